@@ -86,9 +86,8 @@ class Encoder:
         known = self.compatible.get(key)
         if known is None:
             known = self._fits(a, b)
-            if len(self.compatible) > REMEMBERED:
-                self.compatible.clear()
-            self.compatible[key] = known
+            if len(self.compatible) < REMEMBERED:
+                self.compatible[key] = known
         return known
 
     def _fits(self, a: int, b: int) -> bool:
@@ -116,34 +115,36 @@ class Encoder:
 
     def merge(self, piece: bytes) -> list[int]:
         """Token ids of one pretoken."""
-        text, known = piece.decode("latin-1"), self.compatible
-        greedy = [t for _, t in self.automaton.iter_long(text)]
-        for a, b in zip(greedy, greedy[1:]):
-            if not (known.get(a * self.size + b) or self.fits(a, b)):
-                return self._backtrack(text)
-        return greedy
+        text, known, size = piece.decode("latin-1"), self.compatible, self.size
+        out: list[int] = []
+        for _, token in self.automaton.iter_long(text):
+            if out and not (known.get(out[-1] * size + token) or self.fits(out[-1], token)):
+                return self._backtrack(text, out, token)
+            out.append(token)
+        return out
 
     def _longest_at(self, text: str, at: int) -> int:
         return next(self.automaton.iter_long(text[at : at + self.longest]))[1]
 
-    def _backtrack(self, text: str) -> list[int]:
-        n, out, at = len(text), [], 0
-        open_ = bytearray(b"\1") * (n + 1)
-        token = self._longest_at(text, 0)
+    def _backtrack(self, text: str, out: list[int], token: int) -> list[int]:
+        """Goes on from the tokens in out, which fit each other, where token doesn't fit."""
+        length, shorter, known, size = self.length, self.shorter, self.compatible, self.size
+        n, at = len(text), sum([length[t] for t in out])
+        closed: set[int] = set()
         while True:
-            end = at + self.length[token]
-            if open_[end] and (not out or self.fits(out[-1], token)):
+            end = at + length[token]
+            if end not in closed and (not out or known.get(out[-1] * size + token) or self.fits(out[-1], token)):
                 out.append(token)
                 if end == n:
                     return out
                 at, token = end, self._longest_at(text, end)
-            elif (less := self.shorter[token]) >= 0:
+            elif (less := shorter[token]) >= 0:
                 token = less
             else:
                 # Nothing that starts here fits: the position is closed and the token before it is tried shorter.
-                open_[at] = 0
+                closed.add(at)
                 token = out.pop()
-                at -= self.length[token]
+                at -= length[token]
 
     def _whole(self, text: str) -> bytes:
         """Ids of a text, pretoken by pretoken."""
@@ -156,9 +157,7 @@ class Encoder:
                 got = known.get(p)
                 if got is None:
                     got = array("I", self.merge(p.encode())).tobytes()
-                    if len(p) < LONG:
-                        if len(known) > REMEMBERED:
-                            known.clear()
+                    if len(p) < LONG and len(known) < REMEMBERED:
                         known[p] = got
                 out.append(got)
         return b"".join(out)
@@ -188,22 +187,21 @@ class Pieces:
         self.encode, self.first, self.later = encode, {}, {}
 
     def _learn(self, known: dict[str, bytes | None], pieces: set[str], space: str) -> list[str]:
+        """Adds the encodings of all pieces; returns those to forget after the batch: long ones, and what is beyond the bound."""
         new = [*pieces.difference(known)]
-        if len(known) + len(new) > REMEMBERED:
-            known.clear()
-            new = [*pieces]
         even = [p for p in new if not space or p and not p[0].isspace() and not p[-1].isspace()]
+        room = max(0, REMEMBERED - len(known))
         known.update(dict.fromkeys(new))
         known.update(zip(even, self.encode([space + p for p in even])))
-        return [p for p in new if len(p) >= LONG]
+        return [p for p in new[:room] if len(p) >= LONG] + new[room:]
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         cut = [t.split(" ") for t in texts]
         heads = [c.pop(0) for c in cut]
         usual = [bool(h) and not (c and h[-1].isspace()) for h, c in zip(heads, cut)]
-        long_heads = self._learn(self.first, {h for h, u in zip(heads, usual) if u}, "")
-        long_later = self._learn(self.later, set(chain.from_iterable(c for c, u in zip(cut, usual) if u)), " ")
-        out: list[bytes | None] = [b"" if not t else None for t in texts]
+        forget_heads = self._learn(self.first, {h for h, u in zip(heads, usual) if u}, "")
+        forget_later = self._learn(self.later, set(chain.from_iterable(c for c, u in zip(cut, usual) if u)), " ")
+        out: list[bytes | None] = [None if t else b"" for t in texts]
         for k, (h, c, u) in enumerate(zip(heads, cut, usual)):
             if u:
                 with suppress(TypeError):  # an uneven piece has no encoding of its own
@@ -211,8 +209,8 @@ class Pieces:
         rest = [k for k, o in enumerate(out) if o is None]
         for k, ids in zip(rest, self.encode([texts[k] for k in rest])):
             out[k] = ids
-        for known, long in ((self.first, long_heads), (self.later, long_later)):
-            for p in long:
+        for known, forget in ((self.first, forget_heads), (self.later, forget_later)):
+            for p in forget:
                 known.pop(p, None)
         return out
 
