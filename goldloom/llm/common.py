@@ -64,3 +64,31 @@ def words(text: Column) -> Column:
 def bind(value: Column, body: Callable[[Column], Column]) -> Column:
     """body(value) with value computed once, where a plain reuse would be inlined and computed for each use."""
     return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def likely_in(rows: DataFrame, column: str, keys: DataFrame, words_of_filter: int = 1 << 18) -> DataFrame:
+    """Rows whose column is in keys (a column of the same name), with a few others: a filter of fixed size, broadcast.
+
+    The filter has words_of_filter words of 64 bits; a row of 16 bytes travels for each word in use. It keeps rows that can't
+    match out of a later shuffle, and where it is too small for the number of keys it only lets more rows pass.
+    """
+    spot = F.pmod(F.xxhash64(column), F.lit(words_of_filter * 64))
+    word, bit = F.floor(spot / 64), F.pmod(spot, F.lit(64)).cast("int")
+    bits = keys.select(word.alias("__word"), bit.alias("__bit")).distinct().groupBy("__word").agg(F.bit_or(F.expr("shiftleft(1L, __bit)")).alias("__bits"))
+    marked = rows.withColumn("__word", word).withColumn("__bit", bit).join(F.broadcast(bits), "__word")
+    return marked.filter("(shiftright(__bits, __bit) & 1L) = 1L").drop("__word", "__bit", "__bits")
+
+
+def look_up(rows: DataFrame, level: DataFrame, key: str, hot_share: int = 10_000) -> DataFrame:
+    """rows with the other columns of level, which has one row per key and group_size, its number of rows.
+
+    Keys with more than one in hot_share rows, hot_share at most, are broadcast, so that no task gathers a frequent key; the
+    others are joined by a shuffle.
+    """
+    total = level.agg(F.sum("group_size")).first()[0] or 0
+    least = max(1000, total // hot_share)
+    hot = F.broadcast(level.filter(F.col("group_size") > least).withColumn("__hot", F.lit(True)))
+    kept = level.columns
+    found = rows.join(hot, key, "inner").drop("__hot")
+    rest = rows.join(hot.select(key), key, "left_anti").join(level.filter(F.col("group_size") <= least), key)
+    return found.select(*rows.columns, *(c for c in kept if c != key)).unionByName(rest.select(*rows.columns, *(c for c in kept if c != key)))
