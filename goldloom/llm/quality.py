@@ -39,7 +39,7 @@ RULES = (
     Rule("symbols_per_word", "n_symbols", "n_words", None, 0.2),
     Rule("exclamations_per_word", "n_exclamations", "n_words", None, 0.5),
     Rule("stop_word_share", "n_stop_words", "n_words", 0.01, None),
-    Rule("repeated_line_share", "n_dup_lines", "n_lines", None, 0.3),
+    Rule("repeated_line_share", "n_dup_lines", "n_lines", None, 0.4),
     Rule("bullet_line_share", "n_bullet_lines", "n_lines", None, 0.9),
     Rule("ellipsis_line_share", "n_ellipsis_lines", "n_lines", None, 0.3),
 )
@@ -119,9 +119,11 @@ WITH d AS (
            list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l
     FROM documents
 ), spots AS (
-    SELECT rid, w, unnest(range(1, len(w) - {WINDOW - 2})) AS i FROM d WHERE len(w) > {WINDOW}
+    SELECT rid, unnest(range(1, len(w) - {WINDOW - 2})) AS i,
+           unnest(list_transform(range(1, len(w) - {WINDOW - 2}), lambda k: md5(array_to_string(w[k:k + {WINDOW - 1}], ' ')))) AS gram
+    FROM d WHERE len(w) > {WINDOW}
 ), marked AS (
-    SELECT rid, i, count(*) OVER (PARTITION BY rid, array_to_string(w[i:i + {WINDOW - 1}], ' ')) AS c FROM spots
+    SELECT rid, i, count(*) OVER (PARTITION BY rid, gram) AS c FROM spots
 ), gaps AS (
     SELECT rid, least({WINDOW}, coalesce(lead(i) OVER (PARTITION BY rid ORDER BY i) - i, {WINDOW})) AS g FROM marked WHERE c > 1
 ), repeats AS (

@@ -1,6 +1,7 @@
 """Toxicity by non-negative positive-unlabelled learning.
 
-The classifier is linear in the presence of words. It is fitted in numpy from texts confirmed as toxic (P) and texts
+The classifier is linear in what a text holds of a list of stems (words and beginnings of words): whether it has words
+of a stem at all, twice, three times, and in what share of all words. Stems come from P alone: those that mark it off from U. It is fitted in numpy from texts confirmed as toxic (P) and texts
 without a known label (U). With p the share of toxic texts, the risk is
 
     p * E_P[loss(+1)] + max(0, E_U[loss(-1)] - p * E_P[loss(-1)])
@@ -11,6 +12,7 @@ like P into confident negatives. P and U are bounded samples (MAX_P, MAX_U); eve
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -21,11 +23,15 @@ from pyspark.sql import functions as F
 
 from goldloom.llm.common import map_batches
 
-#: Bounds of the samples that the classifier is fitted on, and of its vocabulary.
-MAX_P, MAX_U, MAX_WORDS = 4_000, 16_000, 20_000
-#: A word is a feature if so many texts of P have it.
-LEAST_TEXTS = 3
-EPOCHS, BATCH, RATE, DECAY = 30, 512, 0.05, 1e-4
+#: Bounds of the samples that the classifier is fitted on, of the stems looked at and of those kept.
+MAX_P, MAX_U, MAX_SEEN, MAX_STEMS = 4_000, 16_000, 40_000, 3_000
+#: A stem is looked at if so many texts of P have it, and kept if its share in P exceeds that in U by so many deviations.
+LEAST_TEXTS, LEAST_DEVIATIONS = 4, 5.0
+EPOCHS, BATCH, RATE, DECAY = 40, 512, 0.02, 1e-3
+#: Lengths of beginnings of words.
+BEGINNINGS = (4, 5, 6, 7)
+LEVELS = 5
+REMEMBERED = 200_000
 _TABLE = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
 
@@ -34,19 +40,52 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
-def word_set(text: bytes | None) -> set[bytes]:
-    return set((text or b"").translate(_TABLE).split())
+def text_words(text: bytes | None) -> list[bytes]:
+    return (text or b"").translate(_TABLE).split()
+
+
+def stems(word: bytes) -> list[str]:
+    """A word and its beginnings, the latter marked by a star."""
+    w = word.decode("utf-8", "replace").lower()
+    return [w, *(w[:k] + "*" for k in BEGINNINGS if len(w) >= k)] if len(w) < 40 else []
+
+
+def levels(count: int, n: int) -> int:
+    """What count words of a stem among n say, as bits: any, two, three, one in 300, one in 100."""
+    return 1 | (count >= 2) << 1 | (count >= 3) << 2 | (count >= 2 and count * 300 >= n) << 3 | (count >= 2 and count * 100 >= n) << 4
+
+
+class Reader:
+    """Finds the stems of a list in texts; remembers which of them a word has."""
+
+    def __init__(self, listed: list[str]) -> None:
+        self.number = {s: k for k, s in enumerate(listed)}
+        self.known: dict[bytes, tuple[int, ...]] = {}
+
+    def _of(self, word: bytes) -> tuple[int, ...]:
+        got = self.known.get(word)
+        if got is None:
+            got = tuple(self.number[s] for s in stems(word) if s in self.number)
+            if len(self.known) < REMEMBERED:
+                self.known[word] = got
+        return got
+
+    def features(self, text: bytes | None) -> list[int]:
+        """Sorted numbers LEVELS * stem + level of all that holds of a text."""
+        found, counts = text_words(text), {}
+        for w in found:
+            for k in self._of(w):
+                counts[k] = counts.get(k, 0) + 1
+        n = len(found)
+        return sorted(LEVELS * k + i for k, c in counts.items() for i in range(LEVELS) if levels(c, n) >> i & 1)
 
 
 @dataclass(frozen=True)
 class Model:
-    weights: dict[bytes, float]
+    stems: tuple[str, ...]
+    weights: tuple[float, ...]
     bias: float
 
-    def score(self, text: bytes | None) -> float:
-        z = self.bias + sum(self.weights[w] for w in sorted(word_set(text) & self.weights.keys()))
-        return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
-
 
 def fit_nnpu(rows_p: list[np.ndarray], rows_u: list[np.ndarray], n_words: int, prior: float, seed: int = 1) -> tuple[np.ndarray, float]:
     """Weights and bias; a row has the numbers of its words. Logistic loss, minibatches of P and U, Adam."""
@@ -97,40 +136,60 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "do
     chosen = F.broadcast(confirmed.withColumn("p", F.lit(True)).unionByName(others.withColumn("p", F.lit(False))))
     rows = docs.select(F.col(key).alias("key"), F.col(text).cast("binary").alias("text")).join(chosen, "key").select("p", "text")
     if not share:
-        return Model({}, -10.0)
+        return Model((), (), -10.0)
 
-    def words_of_p(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def stems_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([w for t in batch.column(1).to_pylist() for w in word_set(t) if len(w) < 64], pa.binary())], ["word"])
+            seen = Counter(s for t in batch.column(1).to_pylist() for s in {s for w in set(text_words(t)) for s in stems(w)})
+            yield pa.RecordBatch.from_arrays([pa.array([*seen], pa.string()), pa.array([*seen.values()], pa.int64())], ["stem", "n"])
 
-    counts = rows.filter("p").mapInArrow(words_of_p, "word binary").groupBy("word").count().filter(F.col("count") >= LEAST_TEXTS)
-    vocabulary = {bytes(r["word"]): k for k, r in enumerate(counts.orderBy(F.desc("count"), "word").limit(MAX_WORDS).collect())}
+    counts = rows.filter("p").mapInArrow(stems_of, "stem string, n long").groupBy("stem").agg(F.sum("n").alias("n")).filter(F.col("n") >= LEAST_TEXTS)
+    seen = [r["stem"] for r in counts.orderBy(F.desc("n"), "stem").limit(MAX_SEEN).collect()]
 
     def make():
+        reader = Reader(seen)
+
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            found = [sorted(vocabulary[w] for w in word_set(t) & vocabulary.keys()) for t in batch.column(1).to_pylist()]
-            return pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int32()))], ["p", "found"])
+            return pa.RecordBatch.from_arrays([batch.column(0), pa.array([reader.features(t) for t in batch.column(1).to_pylist()], pa.list_(pa.int32()))], ["p", "found"])
 
         return step
 
     got = map_batches(rows, "p boolean, found array<int>", make).collect()
     rows_p, rows_u = ([np.array(f, np.int64) for f in sorted(r["found"] for r in got if r["p"] == p)] for p in (True, False))
-    if not rows_p or not rows_u or not vocabulary:
-        return Model({}, -10.0)
-    w, b = fit_nnpu(rows_p, rows_u, len(vocabulary), min(max(share, 1e-3), 0.9), seed)
-    return Model({word: float(w[k]) for word, k in vocabulary.items()}, b)
+    if not rows_p or not rows_u or not seen:
+        return Model((), (), -10.0)
+    kept = marking(rows_p, rows_u, LEVELS * len(seen))
+    place = np.full(LEVELS * len(seen), -1)
+    place[kept] = np.arange(len(kept))
+    rows_p, rows_u = ([p[p >= 0] for p in (place[r] for r in side)] for side in (rows_p, rows_u))
+    w, b = fit_nnpu(rows_p, rows_u, len(kept), min(max(share, 1e-3), 0.9), seed)
+    chosen = sorted({int(k) // LEVELS for k in kept})
+    full = dict(zip(kept.tolist(), w.tolist()))
+    return Model(tuple(seen[k] for k in chosen), tuple(full.get(LEVELS * k + i, 0.0) for k in chosen for i in range(LEVELS)), b)
+
+
+def marking(rows_p: list[np.ndarray], rows_u: list[np.ndarray], n: int) -> np.ndarray:
+    """Features whose share in P exceeds that in U clearly, MAX_STEMS at most."""
+    p, u = (np.bincount(np.concatenate(r), minlength=n) / len(r) for r in (rows_p, rows_u))
+    both = (p * len(rows_p) + u * len(rows_u)) / (len(rows_p) + len(rows_u))
+    z = (p - u) / np.sqrt(np.maximum(both * (1 - both), 1e-9) * (1 / len(rows_p) + 1 / len(rows_u)))
+    good = np.flatnonzero((z >= LEAST_DEVIATIONS) & (p >= 2 * u))
+    return np.sort(good[np.argsort(-z[good], kind="stable")[:MAX_STEMS]])
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", key: str = "doc_id") -> DataFrame:
     """One row per row of docs: key and score (0 to 1).
 
     Null and empty texts get the score of a text without words. Repeated rows give repeated rows, an empty table an empty
-    result, other columns are left out. The model, of at most MAX_WORDS words, travels with the tasks.
+    result, other columns are left out. The model, of at most MAX_STEMS features, travels with the tasks.
     """
 
     def make():
+        reader, weights = Reader(list(model.stems)), np.array([*model.weights, 0.0])
+
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([batch.column(0), pa.array([model.score(t) for t in batch.column(1).to_pylist()], pa.float64())], ["key", "score"])
+            z = [model.bias + float(weights[reader.features(t) or [-1]].sum()) if t else model.bias for t in batch.column(1).to_pylist()]
+            return pa.RecordBatch.from_arrays([batch.column(0), pa.array(1 / (1 + np.exp(-np.clip(z, -30, 30))), pa.float64())], ["key", "score"])
 
         return step
 
