@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from goldloom.llm.common import map_batches
 
 #: Bounds of the samples that the classifier is fitted on, of the stems looked at and of those kept.
-MAX_P, MAX_U, MAX_SEEN, MAX_STEMS = 4_000, 16_000, 40_000, 3_000
+MAX_P, MAX_U, MAX_SEEN, MAX_STEMS = 4_000, 12_000, 30_000, 3_000
 #: A stem is looked at if so many texts of P have it, and kept if its share in P exceeds that in U by so many deviations.
 LEAST_TEXTS, LEAST_DEVIATIONS = 4, 5.0
 EPOCHS, BATCH, RATE, DECAY = 40, 512, 0.02, 1e-3
@@ -150,12 +150,13 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "do
         reader = Reader(seen)
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([batch.column(0), pa.array([reader.features(t) for t in batch.column(1).to_pylist()], pa.list_(pa.int32()))], ["p", "found"])
+            return pa.RecordBatch.from_arrays([batch.column(0), pa.array([np.array(reader.features(t), "<i4").tobytes() for t in batch.column(1).to_pylist()], pa.binary())], ["p", "found"])
 
         return step
 
-    got = map_batches(rows, "p boolean, found array<int>", make).collect()
-    rows_p, rows_u = ([np.array(f, np.int64) for f in sorted(r["found"] for r in got if r["p"] == p)] for p in (True, False))
+    got = map_batches(rows, "p boolean, found binary", make).toArrow()  # MAX_P + MAX_U rows
+    sides = got.column("p").to_pylist()
+    rows_p, rows_u = ([np.frombuffer(f, "<i4") for f in sorted(x.as_py() for x, side in zip(got.column("found"), sides) if side == p)] for p in (True, False))
     if not rows_p or not rows_u or not seen:
         return Model((), (), -10.0)
     kept = marking(rows_p, rows_u, LEVELS * len(seen))
