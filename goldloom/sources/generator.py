@@ -1,0 +1,36 @@
+"""A synthetic register with planted copies, for end-to-end tests: valid check digits, anomalies at fixed rates."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from goldloom.functions import checks
+
+_FIRST = "ADAM ANNA EWA JAN MARIA PIOTR TOMASZ ZOFIA OLGA MAREK".split()
+_LAST = "NOWAK KOWALSKI WOJCIK LEWANDOWSKI ZIELINSKI SZYMANSKI MAZUR KROL DUDA BARAN".split()
+
+
+def _draw(salt: int, n: int) -> Column:
+    return F.pmod(F.xxhash64("entity", F.lit(salt)), F.lit(n))
+
+
+def _pick(words: list[str], salt: int) -> Column:
+    return F.element_at(F.array(*map(F.lit, words)), (_draw(salt, len(words)) + 1).cast("int"))
+
+
+def with_check_digit(body: Column, weights: tuple[int, ...], rule: str) -> Column:
+    total = checks.weighted(body, weights)
+    return F.concat(body, ((10 - total % 10) % 10 if rule == "pesel" else total % 11 % 10).cast("string"))
+
+
+def persons(spark: SparkSession, entities: int, copies: int = 2, typo_rate: int = 50) -> DataFrame:
+    """entities x copies preprocessed rows with entity; one in typo_rate last names lacks its last letter in a copy."""
+    base = spark.range(entities).select(F.col("id").alias("entity"))
+    year, month, day = 50 + _draw(1, 50), 1 + _draw(2, 12), 1 + _draw(3, 28)
+    body = F.format_string("%02d%02d%02d%04d", year, month, day, F.pmod(F.col("entity"), F.lit(10000)))
+    rows = base.select("entity", with_check_digit(body, checks.PESEL_WEIGHTS, "pesel").alias("PESEL_Normalized"), _pick(_FIRST, 4).alias("First_Name_Normalized"), F.concat(_pick(_LAST, 5), F.col("entity").cast("string")).alias("Last_Name_Normalized"), F.make_date((1900 + year).cast("int"), month.cast("int"), day.cast("int")).alias("Birth_Date"), F.concat(F.lit("user"), F.col("entity"), F.lit("@example.org")).alias("Email_Normalized"))
+    copied = rows.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))
+    typo = (F.col("copy") > 0) & (_draw(6, typo_rate) == 0)
+    last = F.when(typo, F.expr("left(Last_Name_Normalized, length(Last_Name_Normalized) - 1)")).otherwise(F.col("Last_Name_Normalized"))
+    return copied.withColumn("Last_Name_Normalized", last).withColumn("Preprocessed_ID", F.col("entity") * copies + F.col("copy"))
