@@ -221,22 +221,25 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def transcode(docs: DataFrame, path: str, text: str = "text", key: str = "doc_id") -> DataFrame:
+def transcode(docs: DataFrame, path: str, text: str = "text", key: str = "doc_id", keep: tuple[str, ...] = ()) -> DataFrame:
     """Encodes every whole text and decodes the ids again.
 
-    Returns key, token_ids (binary, little-endian unsigned 32-bit integers) and decoded_text. A null text counts
-    as empty and gives no ids. Repeated rows give repeated rows; other columns, whatever their names, are left out.
+    Returns key, the columns in keep, token_ids (binary, little-endian unsigned 32-bit integers) and decoded_text. A null
+    text counts as empty and gives no ids. Repeated rows give repeated rows, an empty table an empty result; other columns,
+    whatever their names, are left out.
     """
+    held = [f"held{k}" for k in range(len(keep))]
 
     def make():
         e = encoder(path)
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             ids = e.encode([t or "" for t in batch.column(1).to_pylist()])
-            return pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary()), pa.array([e.decode(i) for i in ids], pa.string())], ["key", "token_ids", "decoded_text"])
+            return pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[2:], pa.array(ids, pa.binary()), pa.array([e.decode(i) for i in ids], pa.string())], ["key", *held, "token_ids", "decoded_text"])
 
         return step
 
-    kind = docs.schema[key].dataType.simpleString()
-    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    return map_batches(rows, f"key {kind}, token_ids binary, decoded_text string", make).withColumnRenamed("key", key)
+    kinds = [f"{h} {docs.schema[c].dataType.simpleString()}" for h, c in zip(held, keep)]
+    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), *(F.col(c).alias(h) for h, c in zip(held, keep)))
+    out = map_batches(rows, ", ".join([f"key {docs.schema[key].dataType.simpleString()}", *kinds, "token_ids binary", "decoded_text string"]), make)
+    return out.select(F.col("key").alias(key), *(F.col(h).alias(c) for h, c in zip(held, keep)), "token_ids", "decoded_text")

@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Fixed by the contracts: what separates words.
 SEPARATOR = r"[\x20\x09-\x0D]+"
@@ -44,7 +45,7 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
 
 
-def map_batches(df: DataFrame, schema: str, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]]) -> DataFrame:
+def map_batches(df: DataFrame, schema: str | StructType, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]]) -> DataFrame:
     """mapInArrow with a function that make() builds once per task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -66,17 +67,39 @@ def bind(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def _marked(rows: DataFrame, column: str, keys: DataFrame, words_of_filter: int, how: str) -> tuple[DataFrame, Column]:
+    """rows joined with a filter of fixed size over keys, and whether a row's column may be among them."""
+    spot = F.pmod(F.xxhash64(column), F.lit(words_of_filter * 64))
+    word, bit = F.floor(spot / 64), F.pmod(spot, F.lit(64)).cast("int")
+    w, b, bits = (unused(rows, f"filter_{x}") for x in ("word", "bit", "bits"))
+    table_ = keys.select(word.alias(w), bit.alias(b)).distinct().groupBy(w).agg(F.bit_or(F.expr(f"shiftleft(1L, {b})")).alias(bits))
+    marked = rows.withColumn(w, word).withColumn(b, bit).join(F.broadcast(table_), w, how)
+    return marked, F.coalesce(F.expr(f"(shiftright({bits}, {b}) & 1L) = 1L"), F.lit(False))
+
+
+def unused(rows: DataFrame, name: str) -> str:
+    """name, with underscores before it until no column of rows has it."""
+    taken = {c.lower() for c in rows.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def likely_in(rows: DataFrame, column: str, keys: DataFrame, words_of_filter: int = 1 << 18) -> DataFrame:
     """Rows whose column is in keys (a column of the same name), with a few others: a filter of fixed size, broadcast.
 
     The filter has words_of_filter words of 64 bits; a row of 16 bytes travels for each word in use. It keeps rows that can't
     match out of a later shuffle, and where it is too small for the number of keys it only lets more rows pass.
     """
-    spot = F.pmod(F.xxhash64(column), F.lit(words_of_filter * 64))
-    word, bit = F.floor(spot / 64), F.pmod(spot, F.lit(64)).cast("int")
-    bits = keys.select(word.alias("__word"), bit.alias("__bit")).distinct().groupBy("__word").agg(F.bit_or(F.expr("shiftleft(1L, __bit)")).alias("__bits"))
-    marked = rows.withColumn("__word", word).withColumn("__bit", bit).join(F.broadcast(bits), "__word")
-    return marked.filter("(shiftright(__bits, __bit) & 1L) = 1L").drop("__word", "__bit", "__bits")
+    marked, likely = _marked(rows, column, keys, words_of_filter, "inner")
+    return marked.filter(likely).select(*rows.columns)
+
+
+def without(rows: DataFrame, column: str, keys: DataFrame, words_of_filter: int = 1 << 18) -> DataFrame:
+    """Rows whose column isn't in keys (a column of the same name); only rows that the filter can't clear are shuffled."""
+    marked, likely = _marked(rows, column, keys, words_of_filter, "left")
+    clear, held = (marked.filter(c).select(*rows.columns) for c in (~likely, likely))
+    return clear.unionByName(held.join(keys.select(column), column, "left_anti").select(*rows.columns))
 
 
 def look_up(rows: DataFrame, level: DataFrame, key: str, hot_share: int = 10_000) -> DataFrame:

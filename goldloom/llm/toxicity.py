@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from goldloom.llm.common import map_batches
 
@@ -184,16 +185,21 @@ def score(docs: DataFrame, model: Model, text: str = "text", key: str = "doc_id"
     Null and empty texts get the score of a text without words. Repeated rows give repeated rows, an empty table an empty
     result, other columns are left out. The model, of at most MAX_STEMS features, travels with the tasks.
     """
+    return with_score(docs.select(F.col(key).alias("key"), F.col(text).alias("text")), model, "text", "score").select(F.col("key").alias(key), "score")
+
+
+def with_score(docs: DataFrame, model: Model, text: str, name: str) -> DataFrame:
+    """docs with a further column, the score."""
+    at = docs.columns.index(text)
 
     def make():
         reader, weights = Reader(list(model.stems)), np.array([*model.weights, 0.0])
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            z = [model.bias + float(weights[reader.features(t) or [-1]].sum()) if t else model.bias for t in batch.column(1).to_pylist()]
-            return pa.RecordBatch.from_arrays([batch.column(0), pa.array(1 / (1 + np.exp(-np.clip(z, -30, 30))), pa.float64())], ["key", "score"])
+            texts = (t.encode("utf-8", "replace") if t else None for t in batch.column(at).to_pylist())
+            z = [model.bias + float(weights[reader.features(t) or [-1]].sum()) if t else model.bias for t in texts]
+            return pa.RecordBatch.from_arrays([*batch.columns, pa.array(1 / (1 + np.exp(-np.clip(z, -30, 30))), pa.float64())], [*batch.schema.names, name])
 
         return step
 
-    kind = docs.schema[key].dataType.simpleString()
-    rows = docs.select(F.col(key).alias("key"), F.col(text).cast("binary").alias("text"))
-    return map_batches(rows, f"key {kind}, score double", make).withColumnRenamed("key", key)
+    return map_batches(docs, T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())]), make)
