@@ -117,13 +117,18 @@ def look_up(rows: DataFrame, level: DataFrame, key: str, hot_share: int = 10_000
     return found.select(*rows.columns, *(c for c in kept if c != key)).unionByName(rest.select(*rows.columns, *(c for c in kept if c != key)))
 
 
-def discard(df: DataFrame) -> None:
-    """Deletes a table that written() made and nothing will read again, and lets Spark drop the shuffle files of plans that are gone."""
+def release(spark: SparkSession) -> None:
+    """Lets Spark drop the shuffle files of plans that nothing refers to any more."""
     import gc
 
+    gc.collect()
+    spark._jvm.System.gc()
+
+
+def discard(df: DataFrame) -> None:
+    """Deletes a table that written() made and nothing will read again."""
     spark = df.sparkSession
     for file in df.inputFiles()[:1]:
         path = spark._jvm.org.apache.hadoop.fs.Path(file).getParent()
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-    gc.collect()
-    spark._jvm.System.gc()
+    release(spark)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 
+import numpy as np
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,16 +23,38 @@ def library_encoder(path: str):
     def make() -> Pieces:
         if path not in _known:
             os.environ["TOKENIZERS_PARALLELISM"] = "false"
-            import numpy as np
             from tokenizers import Tokenizer
 
-            encode = Tokenizer.from_file(path).encode_batch_fast
-            _known[path] = Pieces(lambda texts: [np.array(e.ids, "<u4").tobytes() for e in encode(texts, add_special_tokens=False)])
+            _known[path] = Pieces(joined_encoder(Tokenizer.from_file(path)))
         return _known[path]
 
     return make
 
 
+def joined_encoder(tokenizer, together: int = 200):
+    """Encodings of texts. Those that hold one space, their first character, are encoded as long joined texts, which the library
+    does in a third of the time; a token that begins with a space then begins a text."""
+    vocabulary = tokenizer.get_vocab()
+    spaced = np.zeros(max(vocabulary.values()) + 1, bool)
+    spaced[[i for t, i in vocabulary.items() if t.startswith("\u0120")]] = True
+    ids_of = lambda texts: [np.array(e.ids, "<u4") for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def encode(texts: list[str]) -> list[bytes]:
+        if len(texts) < 2 or not all(t[:1] == " " and t.count(" ") == 1 for t in texts):
+            return [i.tobytes() for i in ids_of(texts)]
+        groups, out = [texts[k : k + together] for k in range(0, len(texts), together)], []
+        for group, ids in zip(groups, ids_of(["".join(g) for g in groups])):
+            starts = np.flatnonzero(spaced[ids]).tolist()
+            if len(starts) != len(group) or starts[0]:
+                out += [i.tobytes() for i in ids_of(group)]
+                continue
+            raw = ids.tobytes()
+            out += [raw[4 * a : 4 * b] for a, b in zip(starts, [*starts[1:], len(ids)])]
+        return out
+
+    return encode
+
+
 def op2_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
     docs = table(spark, sf_dir, "documents")
