@@ -84,7 +84,8 @@ def email(c: Column) -> Column:
 def pesel_birth_date(c: Column) -> Column:
     """Birth date in a number of eleven digits; the month says the century."""
     two = lambda k: F.substring(c, k, 2).try_cast("int")
-    found = F.coalesce(*(F.when((two(3) - off).between(1, 12), F.try_make_date(two(1) + century, two(3) - off, two(5))) for off, century in CENTURIES)) if hasattr(F, "try_make_date") else F.coalesce(*(F.when((two(3) - off).between(1, 12), F.to_date(F.try_to_timestamp(F.format_string("%04d-%02d-%02d", two(1) + century, two(3) - off, two(5)), F.lit("yyyy-MM-dd")))) for off, century in CENTURIES))
+    day = lambda off, century: F.to_date(F.try_to_timestamp(F.format_string("%04d-%02d-%02d", two(1) + century, two(3) - off, two(5)), F.lit("yyyy-MM-dd")))
+    found = F.coalesce(*(F.when((two(3) - off).between(1, 12), day(off, century)) for off, century in CENTURIES))
     return F.when(c.rlike(r"^\d{11}$"), found)
 
 
