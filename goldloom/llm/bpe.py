@@ -31,7 +31,7 @@ from goldloom.llm.common import map_batches
 #: Fixed value: the pretokenizer of byte-level BPE vocabularies of this family.
 PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Encodings that a worker remembers of each kind, and the length from which one is not remembered.
-REMEMBERED, LONG = 600_000, 60
+REMEMBERED, LONG = 300_000, 60
 
 
 def byte_letters() -> dict[str, int]:
@@ -183,14 +183,14 @@ class Pieces:
     other space is encoded as a whole.
     """
 
-    def __init__(self, encode: Callable[[list[str]], list[bytes]]) -> None:
-        self.encode, self.first, self.later = encode, {}, {}
+    def __init__(self, encode: Callable[[list[str]], list[bytes]], remembered: int = REMEMBERED) -> None:
+        self.encode, self.remembered, self.first, self.later = encode, remembered, {}, {}
 
     def _learn(self, known: dict[str, bytes | None], pieces: set[str], space: str) -> list[str]:
         """Adds the encodings of all pieces; returns those to forget after the batch: long ones, and what is beyond the bound."""
         new = [*pieces.difference(known)]
         even = [p for p in new if not space or p and not p[0].isspace() and not p[-1].isspace()]
-        room = max(0, REMEMBERED - len(known))
+        room = max(0, self.remembered - len(known))
         known.update(dict.fromkeys(new))
         known.update(zip(even, self.encode([space + p for p in even])))
         return [p for p in new[:room] if len(p) >= LONG] + new[room:]

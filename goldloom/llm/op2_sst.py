@@ -25,7 +25,7 @@ def library_encoder(path: str):
             os.environ["TOKENIZERS_PARALLELISM"] = "false"
             from tokenizers import Tokenizer
 
-            _known[path] = Pieces(joined_encoder(Tokenizer.from_file(path)))
+            _known[path] = Pieces(joined_encoder(Tokenizer.from_file(path)), 600_000)
         return _known[path]
 
     return make
