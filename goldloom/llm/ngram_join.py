@@ -60,9 +60,9 @@ def prefix_length(size: int, num: int, den: int) -> int:
     """So many first shingles of a set hold 1 + size // SHARE of those it has in common with a set of similarity num / den or more.
 
     Let m = ceil(size * num / den), the least overlap. Behind the k-th common shingle there are m - k more common ones, so it is
-    among the first size - m + k. 0 where only equal sets are that similar.
+    among the first size - m + k. 0 where only equal sets are that similar: the most similar other set has one shingle more.
     """
-    return 0 if (size - 1) * den < num * size else size + (-num * size // den) + 1 + size // SHARE
+    return 0 if size * den < num * (size + 1) else size + (-num * size // den) + 1 + size // SHARE
 
 
 class Order:

@@ -192,6 +192,26 @@ def test_prefix_holds_shared_shingles():
                 assert len(set(first[0]) & set(first[1])) >= 1 + min(len(a), len(b)) // ngram_join.SHARE
 
 
+@pytest.mark.parametrize(("n", "num", "size"), [(4, 85, 9), (5, 80, 8)])
+def test_ngram_join_links_shortest_texts(spark, n, num, size):
+    w = "a b c d e f g h i j".split()
+    texts = [" ".join(w[:size]), " ".join(w[: size + 1]), " ".join(w[: size - 1]), "z " + " ".join(w[:size])]
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.jaccard_components(table(spark, texts), n, num, 100).collect()}
+    assert got == brute_components(list(enumerate(texts)), n, num, 100)
+    assert got[0][1] == got[1][1] == got[3][1] == 0
+
+
+def test_prefix_meets_every_size():
+    for num in (80, 85):
+        for a in range(1, 60):
+            for b in range(a, 90):
+                for common in range(1, a + 1 if b > a else a):
+                    if 100 * common >= num * (a + b - common):
+                        # The last place that the first shared shingles can have in either set.
+                        need = 1 + a // ngram_join.SHARE
+                        assert all(ngram_join.prefix_length(s, num, 100) >= s - common + need for s in (a, b))
+
+
 # --- quality, mixing
 
 
