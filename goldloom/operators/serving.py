@@ -94,6 +94,6 @@ def fuzzy_search(docs: DataFrame, query: str, title: str, content: str, threshol
     by_words = 100.0 * F.size(F.array_intersect(have, words)) / F.greatest(F.lit(1), F.size(words))
     n = len(q)
     text = F.lower(F.col(content))
-    starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(text) - n + 1), F.lit(max(1, n // 4)))
+    starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(text) - n + 1))
     near = F.array_max(F.transform(starts, lambda i: 100.0 * (1 - F.levenshtein(F.substring(text, i, F.lit(n)), F.lit(q)) / max(1, n))))
     return docs.withColumn("score", F.greatest(by_words, near)).filter(F.col("score") >= threshold).orderBy(F.col("score").desc())

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from goldloom.functions import address, checks, dates, similarity, text
-from goldloom.operators import blocking, cluster, mapping, matching, survivorship, validation
+from goldloom.operators import blocking, cluster, mapping, matching, serving, survivorship, validation
 from goldloom.plans import catalogue, pipeline
 from goldloom.plans import rules as R
 from goldloom.sources import files, generator, relational, teryt, xlsx
@@ -186,5 +186,35 @@ def test_incremental(spark, tmp_path):
     assert seen == [2]
 
 
+def brute_score(query, title, content):
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return row[-1]
+
+    q, t, n = query.lower(), content.lower(), len(query)
+    by_words = 100.0 * len({*q.split()} & {*title.lower().split()}) / len({*q.split()})
+    return max(by_words, *(100.0 * (1 - distance(t[i : i + n], q) / n) for i in range(max(1, len(t) - n + 1))))
+
+
+def test_fuzzy_search_tries_every_window(spark):
+    query = "the of and in"
+    texts = ["x" * k + "The of and in" + "y" * 9 for k in range(9)] + ["zz" * k + "thx of abd on z" for k in range(4)] + ["of and", "", "nothing of the kind stands here"]
+    rows = [(i, "The And Of In" if i == 5 else "plain", t) for i, t in enumerate(texts)]
+    want = {i: brute_score(query, a, b) for i, a, b in rows}
+    got = {r["i"]: r["score"] for r in serving.fuzzy_search(spark.createDataFrame(rows, "i int, title string, content string"), query, "title", "content").collect()}
+    assert got == pytest.approx({i: s for i, s in want.items() if s >= 55}) and all(got[i] == 100 for i in range(9))
+
+
+def test_fuzzy_search_query(spark):
+    sf = "/root/testdata/sf0.01"
+    want = {r["item_id"]: brute_score("the of and in", r["text"][:40], r["text"]) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()}
+    got = {r["item_id"]: r["score"] for r in catalogue.QUERIES["fuzzy_search"](spark, sf).collect()}
+    assert got == pytest.approx({i: s for i, s in want.items() if s >= 55})
+
+
 def test_catalogue_has_sql():
     assert set(catalogue.SQL) == set(catalogue.QUERIES) - {"fuzzy_search"}
