@@ -23,7 +23,10 @@ from goldloom.llm.common import map_batches
 PHRASES = ((b"cc by", "cc-by"), (b"general public license", "gpl"), (b"all rights reserved", "reserved"))
 
 _V = r"(?: version| v)?"
-#: label, keyword, name as a regular expression over normalised words; several rows may share a label.
+#: e with or without an acute accent, in one character or two; only A-Z are in lower case here.
+_E = "(?:e(?:\u0301)?|\u00e9|\u00c9)"
+#: label, keyword, name as a regular expression over normalised words; several rows may share a label. Each match of a name has
+#: a word that begins with its keyword.
 FAMILIES = (
     ("agpl-3.0", "affero", rf"(?:gnu )?affero general public license{_V} 3(?: 0)?"),
     ("agpl", "affero", r"(?:gnu )?affero general public license"),
@@ -45,7 +48,8 @@ FAMILIES = (
     ("apache", "apache", r"apache(?: software)? license"),
     ("mit", "mit", r"(?:the )?mit(?: x11)? licen[sc]e"),
     ("mit-0", "attribution", r"mit no attribution(?: license)?"),
-    ("bsd-2-clause", "bsd", r"(?:simplified bsd|bsd (?:2|two) clause|freebsd)(?: license)?"),
+    ("bsd-2-clause", "bsd", r"(?:simplified bsd|bsd (?:2|two) clause)(?: license)?"),
+    ("bsd-2-clause", "freebsd", r"freebsd(?: license)?"),
     ("bsd-3-clause", "bsd", r"(?:new bsd|modified bsd|revised bsd|bsd (?:3|three) clause)(?: license)?"),
     ("bsd-4-clause", "bsd", r"(?:original bsd|bsd (?:4|four) clause)(?: license)?"),
     ("bsd", "bsd", r"bsd(?: style)? licen[sc]e"),
@@ -83,15 +87,17 @@ FAMILIES = (
     ("cc-by-nd", "cc", r"(?:creative commons )?cc by nd(?: [1-4] [05])?"),
     ("cc-by-sa", "cc", r"(?:creative commons )?cc by sa(?: [1-4] [05])?"),
     ("cc-by", "cc", r"(?:creative commons )?cc by(?: [1-4] [05])?"),
-    ("cc-by-nc-nd", "noncommercial", r"creative commons attribution non ?commercial no ?deriv(?:ative)?s?(?: works)?(?: [1-4] [05])?"),
-    ("cc-by-nc-sa", "noncommercial", r"creative commons attribution non ?commercial share ?alike(?: [1-4] [05])?"),
+    ("cc-by-nc-nd", "creative", r"creative commons attribution non ?commercial no ?deriv(?:ative)?s?(?: works)?(?: [1-4] [05])?"),
+    ("cc-by-nc-sa", "creative", r"creative commons attribution non ?commercial share ?alike(?: [1-4] [05])?"),
     ("cc-by-nc", "creative", r"creative commons attribution non ?commercial(?: [1-4] [05])?"),
     ("cc-by-nd", "creative", r"creative commons attribution no ?deriv(?:ative)?s?(?: works)?(?: [1-4] [05])?"),
     ("cc-by-sa", "creative", r"creative commons attribution share ?alike(?: [1-4] [05])?"),
     ("cc-by", "creative", r"creative commons attribution(?: [1-4] [05])?"),
     ("cc", "creative", r"creative commons"),
     ("reserved", "rights", r"all rights (?:are )?reserved"),
-    ("reserved", "reserved", r"tous droits reserv\S*|alle rechte vorbehalten|todos los derechos reservados"),
+    ("reserved", "droits", rf"tous droits r{_E}serv\S*"),
+    ("reserved", "vorbehalten", r"alle rechte vorbehalten"),
+    ("reserved", "derechos", r"todos los derechos reservados"),
     ("public-domain", "domain", r"public domain"),
     ("proprietary", "proprietary", r"proprietary (?:and confidential|software|license)"),
 )

@@ -292,6 +292,44 @@ def test_license_rules(spark):
     assert licenses.scan(table(spark, HARD_TEXTS)).count() == len(HARD_TEXTS) and licenses.scan(table(spark, [])).count() == 0
 
 
+def expansions(parsed):
+    """Strings of a parsed regular expression: each alternative, options with and without."""
+    out = [""]
+    for op, arg in parsed:
+        op = str(op)
+        if op == "LITERAL":
+            tails = [chr(arg)]
+        elif op == "IN":
+            tails = [chr(v) if str(o) == "LITERAL" else "x" for o, v in arg]
+        elif op == "BRANCH":
+            tails = [t for branch in arg[1] for t in expansions(branch)]
+        elif op == "SUBPATTERN":
+            tails = expansions(arg[3])
+        else:
+            assert op == "MAX_REPEAT"
+            tails = [t * k for k in {arg[0], min(arg[1], 1)} for t in expansions(arg[2])]
+        out = [a + t for a in out for t in dict.fromkeys(tails)]
+    return out
+
+
+def test_license_names_pass_their_keywords():
+    for label, keyword, name in licenses.FAMILIES:
+        for text in expansions(re._parser.parse(name)):
+            words = f" {text} "
+            assert f" {keyword}" in words, (label, text)
+            assert re.search(f"(?<= )(?:{name})(?= )".encode(), words.encode()), (label, text)
+            assert licenses.detect(words.encode()), (label, text)
+
+
+def test_license_rules_in_other_forms():
+    labels = lambda t: [d.label for d in licenses.detect(licenses.normalised(t.encode()))]
+    for text in ("Alle Rechte vorbehalten.", "Todos los derechos reservados", "Tous droits réservés", "TOUS DROITS RÉSERVÉS", "tous droits re\u0301serve\u0301s", "Tous droits reserves"):
+        assert labels(f"(c) 2020 X. {text}") == ["reserved"]
+    assert labels("under the FreeBSD License") == ["bsd-2-clause"]
+    assert labels("Creative Commons Attribution-Non-Commercial-ShareAlike 4.0") == ["cc-by-nc-sa"]
+    assert labels("Creative Commons Attribution-Non-Commercial-NoDerivs 4.0") == ["cc-by-nc-nd"]
+
+
 def brute_spans(text):
     def passes(kind, m):
         digits = [int(c) for c in m if c.isdigit()]
