@@ -3,8 +3,8 @@
 A text's set of n-word shingles is put in one order for all texts; two sets that are similar enough share a shingle among
 their first ones, their prefix; a prefix that is longer by k must share k more, which keeps texts apart that only have a
 passage in common. Texts with equal sets are one class. Classes with identical prefixes and sizes are collapsed into one
-group; groups that share a prefix shingle (a block) are filtered by size and shared shingles, expanded to their members,
-and the members are verified by their whole sets.
+group; groups that share a prefix shingle (a block) are expanded to their members, pairs of members are filtered by size and
+shared shingles, and what is left is verified by whole sets. No pairs of groups are formed, so groups save no candidate work.
 
 Only components are wanted, so blocks are not expanded into all pairs. In each round a block has one leader, in the first
 the member that shares most with others, and members that aren't connected with it yet are verified against it; blocks
