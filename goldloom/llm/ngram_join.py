@@ -1,23 +1,26 @@
 """N-gram Jaccard join by grouped prefixes.
 
 A text's set of n-word shingles is put in one order for all texts; two sets that are similar enough share a shingle among
-their first ones, their prefix; a prefix that is longer by k must share k more, which keeps texts apart that only have a
-passage in common. Texts with equal sets are one class. Classes with identical prefixes and sizes are collapsed into one
-group; groups that share a prefix shingle (a block) are expanded to their members, pairs of members are filtered by size and
-shared shingles, and what is left is verified by whole sets. No pairs of groups are formed, so groups save no candidate work.
-
-Only components are wanted, so blocks are not expanded into all pairs. In each round a block has one leader, in the first
-the member that shares most with others, and members that aren't connected with it yet are verified against it; blocks
-that lie in one component are done. What is still open after the rounds is compared pair by pair, within blocks, across
-components. So no link between components is lost, and a group of many near copies costs a few pairs for each.
-
-The order of shingles is by hash, but for those that stand in many prefixes: they come last, by frequency, which
-keeps passages that many texts share from making blocks. Their list has HEAVY entries at most.
+their first ones, their prefix. Texts with equal sets are one class, and from here on a class is one member.
+
+1. Sketch: the prefix by hash order, longer by k, of every text. A set that has a partner shares at least 1 + k' of these
+   shingles with other sets, k' being the k of its smallest possible partner. Most texts share fewer and are done here.
+2. Order: the texts that are left are put in order of frequency, rarest shingles first. The ORDERED most frequent shingles
+   are listed; all others come first, by hash. Any order gives the same links, so the bound of the list costs no result.
+3. Groups: members with identical prefixes and sizes are collapsed into one group; only groups meet in blocks, one block for
+   each shingle that stands in the prefixes of two groups.
+4. Group pairs are filtered by size and by position: the first shingle that two similar sets share has enough places behind it
+   in both. Pairs that pass are expanded to members, and members are verified by their whole sets.
+
+Components are wanted, not pairs, so blocks aren't expanded into all group pairs at once. In each round every group meets the
+leader of one of its blocks, the group that shares most; what is verified becomes one component, and blocks and pairs that lie
+within one component are done. After the rounds all pairs of groups of different components that pass both filters are
+verified, so no link between components is lost, and a large family of near copies costs a few pairs for each member.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -25,16 +28,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from goldloom.llm.common import discard, likely_in, look_up, map_batches, release, written
+from goldloom.llm.common import discard, likely_in, look_up, map_batches, without, written
 from goldloom.llm.components import components
 
-#: Most entries of the list of frequent shingles, and the least number of prefixes that makes one.
-HEAVY, LEAST_PREFIXES = 100_000, 20
-ROUNDS = 4
-#: A set of n shingles must share 1 + n // SHARE shingles of its prefix with a similar one.
-SHARE = 30
-#: Counts as many shared shingles: members of one group share their whole prefix.
-WHOLE = 1 << 20
+#: Most entries of the list of frequent shingles (16 bytes each, broadcast), and how often a shingle stands in sets to be listed.
+ORDERED, FREQUENT = 500_000, 20
+ROUNDS = 3
+#: The sketch of a set of n shingles has n // SHARE more than its prefix.
+SHARE = 20
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -56,13 +57,23 @@ def shingles(text: bytes | None, n: int) -> np.ndarray:
     return np.unique(acc ^ (acc >> np.uint64(29)))
 
 
+def least_overlap(size: int, num: int, den: int) -> int:
+    """So many shingles at least has a set in common with any set of similarity num / den or more."""
+    return -(-num * size // den)
+
+
 def prefix_length(size: int, num: int, den: int) -> int:
     """So many first shingles of a set hold 1 + size // SHARE of those it has in common with a set of similarity num / den or more.
 
     Let m = ceil(size * num / den), the least overlap. Behind the k-th common shingle there are m - k more common ones, so it is
     among the first size - m + k. 0 where only equal sets are that similar: the most similar other set has one shingle more.
     """
-    return 0 if size * den < num * (size + 1) else size + (-num * size // den) + 1 + size // SHARE
+    return 0 if size * den < num * (size + 1) else size - least_overlap(size, num, den) + 1 + size // SHARE
+
+
+def support(size: int, num: int, den: int) -> int:
+    """So many shingles of its sketch a set shares at least with the sketch of a similar one, however small that is."""
+    return 1 + least_overlap(size, num, den) // SHARE
 
 
 class Order:
@@ -73,6 +84,7 @@ class Order:
         self.listed, self.counts = listed[by], counts[by]
 
     def first(self, found: np.ndarray, k: int) -> np.ndarray:
+        """The first k of a set that is sorted by hash."""
         if len(self.listed):
             at = np.minimum(np.searchsorted(self.listed, found), len(self.listed) - 1)
             heavy = self.listed[at] == found
@@ -82,164 +94,243 @@ class Order:
         return found[:k]
 
 
-def _sets(docs: DataFrame, n: int, num: int, den: int, order: Order | None = None) -> DataFrame:
-    """doc_id, n_shingles, digest of the set, and the prefix."""
-    given = docs.sparkSession.sparkContext.broadcast(order or Order(np.zeros(0, np.uint64), np.zeros(0, np.int64)))
+def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
+    ends = np.cumsum([0, *map(len, arrays)])
+    values = np.concatenate(arrays) if arrays else np.zeros(0, np.uint64)
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values.view(np.int64)))
 
-    def make():
-        ranked = given.value
 
+def _digest(found: np.ndarray) -> bytes | None:
+    return xxhash.xxh3_128_digest(found.tobytes()) if len(found) else None
+
+
+def _sketches(rows: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """Of every row (row, row_hash, doc_id, text): n_shingles, digest of the set, the support it needs, and its sketch."""
+
+    def make() -> Callable[[pa.RecordBatch], pa.RecordBatch]:
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            sizes, digests, prefixes = [], [], []
-            for t in batch.column(1).to_pylist():
-                s = shingles(t, n)
+            sizes, digests, needs, firsts = [], [], [], []
+            for text in batch.column(3):
+                s = shingles(text.as_py(), n)
                 sizes.append(len(s))
-                digests.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
-                prefixes.append(ranked.first(s, prefix_length(len(s), num, den)).view(np.int64))
-            return pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(prefixes, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "digest", "prefix"])
+                digests.append(_digest(s))
+                needs.append(support(len(s), num, den))
+                firsts.append(s[: prefix_length(len(s), num, den)])
+            made = [pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(needs, pa.int64()), _lists(firsts)]
+            return pa.RecordBatch.from_arrays([*batch.columns[:3], *made], ["row", "row_hash", "doc_id", "n_shingles", "digest", "need", "sketch"])
 
         return step
 
-    return map_batches(docs, "doc_id long, n_shingles long, digest binary, prefix array<long>", make)
+    return map_batches(rows, "row long, row_hash long, doc_id long, n_shingles long, digest binary, need long, sketch array<long>", make)
 
 
-def _enough(common: Column, a: Column, b: Column, num: int, den: int) -> Column:
-    """Whether so many common shingles can make sets of sizes a and b similar."""
-    return common * (num + den) >= (a + b) * num
+def _whole_sets(rows: DataFrame, n: int) -> DataFrame:
+    """Whole sets of rows (node, digest, text), where they are the set with that digest: node, n, tokens in order of hash."""
 
+    def make() -> Callable[[pa.RecordBatch], pa.RecordBatch]:
+        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+            nodes, sets = [], []
+            for node, digest, text in zip(*batch.columns):
+                s = shingles(text.as_py(), n)
+                if _digest(s) == digest.as_py():
+                    nodes.append(node.as_py())
+                    sets.append(s)
+            return pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(map(len, sets), pa.int64()), _lists(sets)], ["node", "n", "tokens"])
 
-def _verify(pairs: DataFrame, texts: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """Pairs (a, b) whose whole sets are similar. A pair travels with the text of b to that of a, which many pairs share."""
-    side = lambda c: likely_in(texts.select(F.col("doc_id").alias(c), F.col("text").alias(f"text_{c}")), c, pairs.select(c))
-    rows = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "text_a", "text_b")
+        return step
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, set_a = None, None
-        for batch in batches:
-            a, b, ta, tb = (c.to_pylist() for c in batch.columns)
-            keep = []
-            for k in range(batch.num_rows):
-                if last != ta[k]:
-                    last, set_a = ta[k], shingles(ta[k], n)
-                set_b = shingles(tb[k], n)
-                common = len(set_a) + len(set_b) - len(np.union1d(set_a, set_b))
-                if common and den * common >= num * (len(set_a) + len(set_b) - common):
-                    keep.append(k)
-            yield pa.RecordBatch.from_arrays([pa.array([a[k] for k in keep], pa.int64()), pa.array([b[k] for k in keep], pa.int64())], ["a", "b"])
+    return map_batches(rows, "node long, n long, tokens array<long>", make)
 
-    return rows.mapInArrow(run, "a long, b long")
 
+def _prefixes(sets: DataFrame, order: Order, num: int, den: int) -> DataFrame:
+    """(node, n, key, prefix) in the order given; key is a digest of the prefix. Sets that only equal sets are similar to go."""
+    given = sets.sparkSession.sparkContext.broadcast(order)
 
-def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """One row per row of docs: key (long), n_shingles, group_size (rows with an equal set) and component_id.
+    def make() -> Callable[[pa.RecordBatch], pa.RecordBatch]:
+        ranked = given.value
 
-    Texts link when den * common >= num * union of their shingles; component_id is the smallest key that links reach. Null,
-    empty and blank texts have no shingles, link with nothing and are components of their own. Rows that repeat a key with
-    different texts are one node: it links where one of the texts does. An empty table gives an empty result, other columns
-    are left out.
-    """
-    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text"))
-    sets = written(_sets(rows, n, num, den), "sets")
-    level = written(sets.filter("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("group_size")), "classes")
-    reps = sets.filter(F.size("prefix") > 0).join(level.select("digest", F.col("rep").alias("doc_id")), ["digest", "doc_id"]).dropDuplicates(["digest"])
-    reps = written(reps.select("doc_id", "n_shingles", "digest", "prefix"), "reps")
-
-    reps = _reordered(rows, reps, n, num, den)
-    groups = written(reps.groupBy("n_shingles", "prefix").agg(F.min("doc_id").alias("gid"), F.collect_set("doc_id").alias("members")), "groups")
-    plain = written(_blocks(groups), "plain")
-    discard(groups)
-    # A text that many others were made from shares more of its shingles than they do, so it leads its blocks first.
-    blocks = written(plain.join(plain.groupBy("id").agg(F.count("*").alias("shares")), "id"), "blocks")
-    discard(plain)
-    discard(reps)
-    texts = likely_in(rows, "doc_id", blocks.select(F.col("id").alias("doc_id")))
-    texts = written(texts.join(blocks.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi"), "texts")
-
-    links = _links(blocks, texts, n, num, den)
-    if links is None:
-        level = level.withColumn("component_id", F.col("rep"))
-    else:
-        labels = components(links)
-        level = level.join(labels.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component_id", F.coalesce("comp", "rep"))
-    level = written(level.select("digest", "component_id", "group_size"), "level")
-    found = look_up(sets.filter("n_shingles > 0").select("doc_id", "n_shingles", "digest"), level, "digest")
-    empty = sets.filter("n_shingles = 0").select("doc_id", "n_shingles", F.lit(1).cast("long").alias("group_size"), F.col("doc_id").alias("component_id"))
-    return found.select("doc_id", "n_shingles", "group_size", "component_id").unionByName(empty).withColumnRenamed("doc_id", key)
-
-
-def _reordered(rows: DataFrame, reps: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """reps with the prefixes of the final order: texts that have a frequent shingle in their prefix are read again.
-
-    Their new prefixes reach further and may hold frequent shingles that no list has yet, so those are counted once more.
+        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+            firsts = []
+            for found in batch.column(2):
+                size = len(found)
+                length = prefix_length(size, num, den)
+                firsts.append(ranked.first(found.values.to_numpy().view(np.uint64), max(0, length - size // SHARE)))
+            return pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(map(_digest, firsts), pa.binary()), _lists(firsts)], ["node", "n", "key", "prefix"])
+
+        return step
+
+    return map_batches(sets.select("node", "n", "tokens"), "node long, n long, key binary, prefix array<long>", make).filter("key is not null")
+
+
+def _size_and_place(num: int, den: int, a: str = "", b: str = "_b") -> Column:
+    """Whether the first shingle that two sets share can stand at these places: sizes n, positions pos from 1 on.
+
+    Similar sets have m = ceil(num * (n + n_b) / (num + den)) shingles in common, so m - 1 more follow in both.
     """
-    spark = rows.sparkSession
-    least = max(LEAST_PREFIXES, (reps.agg(F.sum(F.size("prefix"))).first()[0] or 0) // HEAVY)
-    listed: dict[int, int] = {}
-    changed = reps
-    for _ in range(3):
-        counts = changed.select(F.explode("prefix").alias("token")).groupBy("token").count()
-        new = {r["token"]: r["count"] for r in counts.filter(F.col("count") > least).collect()}  # HEAVY rows at most
-        if new.keys() <= listed.keys():
-            return reps
-        listed |= {t: c for t, c in new.items() if t not in listed}
-        order = Order(np.array([*listed], np.int64).view(np.uint64), np.array([*listed.values()], np.int64))
-        tokens = spark.createDataFrame([(t,) for t in new], "token long")
-        touched = written(reps.select("doc_id", F.explode("prefix").alias("token")).join(F.broadcast(tokens), "token", "left_semi").select("doc_id").distinct(), "touched")
-        again = likely_in(rows, "doc_id", touched).join(touched, "doc_id", "left_semi")
-        fresh = _sets(again, n, num, den, order).join(reps.select("doc_id", "digest"), ["doc_id", "digest"], "left_semi").dropDuplicates(["digest"])
-        changed = written(fresh.select(*reps.columns), "changed")
-        before, reps = reps, written(reps.join(touched, "doc_id", "left_anti").unionByName(changed), "reps")
+    n, n_b, pos, pos_b = (F.col(c) for c in (f"n{a}", f"n{b}", f"pos{a}", f"pos{b}"))
+    least = F.expr(f"(({num} * (n{a} + n{b}) + {num + den - 1}) div {num + den})")
+    return (F.least(n, n_b) * den >= F.greatest(n, n_b) * num) & (pos <= n - least + 1) & (pos_b <= n_b - least + 1)
+
+
+def _apart(low: str, high: str, low_b: str, high_b: str) -> Column:
+    """Whether members of two groups lie in more than one component."""
+    return F.least(low, low_b) < F.greatest(high, high_b)
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs of members (a, b) whose whole sets are similar."""
+    side = lambda c: likely_in(sets.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("tokens").alias(f"tokens_{c}")), c, pairs.select(c))
+    common = F.size(F.array_intersect("tokens_a", "tokens_b"))
+    both = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "n_a", "n_b", common.alias("common"))
+    return both.filter(F.col("common") * den >= (F.col("n_a") + F.col("n_b") - F.col("common")) * num).select("a", "b")
+
+
+class _Join:
+    """Groups, their blocks, and what is known of their members' components."""
+
+    def __init__(self, sets: DataFrame, blocks: DataFrame, members: DataFrame, num: int, den: int) -> None:
+        self.sets, self.blocks, self.num, self.den = sets, blocks, num, den
+        #: gid, node and comp of every member; a group's gid is its smallest node.
+        self.members = members
+        self.met: DataFrame | None = None
+
+    def rows(self) -> DataFrame:
+        """Blocks with the least and the largest component of each group's members."""
+        state = self.members.groupBy("gid").agg(F.min("comp").alias("low"), F.max("comp").alias("high"))
+        return self.blocks.join(state, "gid")
+
+    def led(self, r: int) -> DataFrame:
+        """(gid, gid_b): each group that isn't in one component with a leader of its blocks, and the leader it shares most with."""
+        rows = self.rows()
+        rank = F.struct((F.lit(0) if r % 2 else F.col("shares")).alias("s"), F.xxhash64("gid", F.lit(r)).alias("h"), "gid", "n", "pos", "low", "high")
+        lead = rows.groupBy("token").agg(F.max(rank).alias("lead"), F.min("low").alias("least"), F.max("high").alias("most")).filter("least < most")
+        lead = lead.select("token", *(F.col(f"lead.{c}").alias(f"{c}_b") for c in ("gid", "n", "pos", "low", "high")))
+        pairs = rows.join(lead, "token").filter((F.col("gid") != F.col("gid_b")) & _apart("low", "high", "low_b", "high_b") & _size_and_place(self.num, self.den))
+        pairs = pairs.groupBy("gid", "gid_b").agg(F.count("*").alias("shared"))
+        if self.met is not None:
+            pairs = pairs.join(self.met, ["gid", "gid_b"], "left_anti")
+        return pairs.groupBy("gid").agg(F.max(F.struct("shared", "gid_b")).alias("best")).select("gid", "best.gid_b")
+
+    def crossing(self) -> DataFrame:
+        """(gid, gid_b) of all groups of different components that pass the filters."""
+        rows = self.rows()
+        lasting = rows.groupBy("token").agg(F.min("low").alias("least"), F.max("high").alias("most")).filter("least < most").select("token")
+        rows = rows.join(lasting, "token", "left_semi").select("token", "gid", "n", "pos", "low", "high")
+        other = rows.select("token", *(F.col(c).alias(f"{c}_b") for c in ("gid", "n", "pos", "low", "high")))
+        both = rows.join(other, "token").filter((F.col("gid") < F.col("gid_b")) & _apart("low", "high", "low_b", "high_b") & _size_and_place(self.num, self.den))
+        return both.select("gid", "gid_b").distinct()
+
+    def within(self) -> DataFrame:
+        """(gid, gid_b), the same group twice, of groups whose members lie in several components."""
+        return self.members.groupBy("gid").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high").select("gid", F.col("gid").alias("gid_b"))
+
+    def expanded(self, pairs: DataFrame, first_only: bool) -> DataFrame:
+        """(a, b): members of different components of a pair's groups; first_only: only the first member of gid_b."""
+        side = lambda c, s: self.members.select(F.col("gid").alias(f"gid{s}"), F.col("node").alias(c), F.col("comp").alias(f"comp_{c}"))
+        led = side("b", "_b").filter("b = gid_b") if first_only else side("b", "_b")
+        found = pairs.join(side("a", ""), "gid").join(led, "gid_b").filter("comp_a <> comp_b")
+        return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+    def verify(self, pairs: DataFrame) -> None:
+        """Joins the components of members whose sets are similar."""
+        links = written(_verified(pairs, self.sets, self.num, self.den), "links")
+        if not links.head(1):
+            return
+        label = lambda c: F.col("comp").alias(c)
+        known = self.members.select("node", "comp")
+        met = links.join(known.withColumnRenamed("node", "a"), "a").select("b", label("x")).join(known.withColumnRenamed("node", "b"), "b")
+        found = components(met.select(F.col("x").alias("a"), label("b"))).select(F.col("id").alias("comp"), F.col("comp").alias("new"))
+        fresh = self.members.join(found, "comp", "left").select("gid", "node", F.coalesce("new", "comp").alias("comp"))
+        before, self.members = self.members, written(fresh, "members")
         discard(before)
-    return reps
-
 
-def _blocks(groups: DataFrame) -> DataFrame:
-    """(token, id, n, weight): members of the groups that share a prefix shingle; a group of several members is a block, too."""
-    rows = groups.select("gid", F.col("n_shingles").alias("n"), F.explode("prefix").alias("token"))
-    shared = rows.groupBy("token").agg(F.count("*").alias("c")).filter("c > 1").select("token")
-    several = groups.filter(F.size("members") > 1)
-    joint = rows.join(shared, "token", "left_semi").join(several.select("gid", "members"), "gid", "left")
-    members = joint.select("token", "n", F.lit(1).alias("weight"), F.explode(F.coalesce("members", F.array("gid"))).alias("id"))
-    own = several.select(F.xxhash64("gid", F.lit(-1)).alias("token"), F.col("n_shingles").alias("n"), F.lit(WHOLE).alias("weight"), F.explode("members").alias("id"))
-    return members.unionByName(own).select("token", "id", "n", "weight")
-
-
-def _links(blocks: DataFrame, texts: DataFrame, n: int, num: int, den: int) -> DataFrame | None:
-    """Links that connect all that the blocks can connect."""
-    links: DataFrame | None = None
-    tested: DataFrame | None = None
-    labels: DataFrame | None = None
-    for r in range(ROUNDS + 1):
-        rows = blocks.withColumn("comp", F.col("id")) if labels is None else blocks.join(labels, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-        if r:
-            # What lies in one component is done, so later rounds read ever less.
-            rows = written(rows.join(rows.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high").select("token"), "token", "left_semi"), "rows")
-            discard(blocks)
-            blocks = rows.drop("comp")
-            if not rows.head(1):
+    def solve(self) -> DataFrame:
+        """(node, comp) of every member."""
+        for r in range(ROUNDS):
+            groups = self.led(r) if r else self.led(r).unionByName(self.within())
+            groups = written(groups, "met")
+            if not groups.head(1):
                 break
-        lead = F.min(F.struct((F.lit(0) if r % 2 else -F.col("shares")).alias("s"), F.xxhash64("id", F.lit(r)).alias("h"), F.col("id"), F.col("n"), F.col("comp"))).alias("lead")
-        open_ = rows.groupBy("token").agg(lead, F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high")
-        if r < ROUNDS:
-            held = rows.join(open_.select("token", "lead"), "token").filter(F.col("comp") != F.col("lead.comp"))
-            pairs = held.select(F.col("lead.id").alias("a"), F.col("id").alias("b"), F.col("lead.n").alias("n_a"), F.col("n").alias("n_b"), "weight")
-        else:
-            left = rows.join(open_.select("token"), "token", "left_semi")
-            right = left.select("token", *(F.col(c).alias(f"{c}_b") for c in ("id", "n", "comp")))
-            held = left.join(right, "token").filter("id < id_b and comp <> comp_b")
-            pairs = held.select(F.col("id").alias("a"), F.col("id_b").alias("b"), F.col("n").alias("n_a"), "n_b", "weight")
-        pairs = pairs.filter(_enough(F.least("n_a", "n_b"), F.col("n_a"), F.col("n_b"), num, den)).groupBy("a", "b", "n_a", "n_b").agg(F.sum("weight").alias("shared"))
-        pairs = pairs.filter(F.col("shared") >= 1 + F.expr(f"least(n_a, n_b) div {SHARE}")).select("a", "b").distinct()
-        if tested is not None:
-            done = tested.unionByName(tested.select(F.col("b").alias("a"), F.col("a").alias("b")))
-            pairs = pairs.join(done, ["a", "b"], "left_anti")
-        pairs = written(pairs, "pairs")
-        if not pairs.head(1):
-            continue
-        new = written(_verify(pairs, texts, n, num, den), "links")
-        release(texts.sparkSession)
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        if new.head(1):
-            links = new if links is None else links.unionByName(new)
-            labels = components(links)
-    return links
+            self.verify(written(self.expanded(groups, first_only=True), "pairs"))
+            self.met = groups if self.met is None else self.met.unionByName(groups)
+        rest = written(self.expanded(self.crossing().unionByName(self.within()), first_only=False), "pairs")
+        if rest.head(1):
+            self.verify(rest)
+        return self.members.select("node", "comp")
+
+
+def _partnered(sets: DataFrame, classes: DataFrame) -> DataFrame:
+    """(node, row_hash, digest) of the classes whose sketch shares as much with others as a similar set would."""
+    several = classes.filter("group_size > 1").select("digest", "node", "group_size")
+    copies = look_up(sets.filter("digest is not null").select("row", "digest"), several, "digest").filter("row <> node").select("row")
+    firsts = without(sets.filter(F.size("sketch") > 0), "row", written(copies, "copies"))
+    rows = firsts.select("row", "need", F.explode("sketch").alias("token"))
+    shared = written(rows.groupBy("token").agg(F.count("*").alias("c")).filter("c > 1").select("token"), "shared")
+    found = likely_in(rows, "token", shared).join(shared, "token", "left_semi").groupBy("row").agg(F.count("*").alias("c"), F.first("need").alias("need"))
+    alive = written(found.filter("c >= need").select("row"), "alive")
+    discard(shared)
+    chosen = sets.select("row", "row_hash", "digest")
+    return written(likely_in(chosen, "row", alive).join(alive, "row", "left_semi").withColumnRenamed("row", "node"), "partnered")
+
+
+def _order(sets: DataFrame) -> Order:
+    """The ORDERED most frequent shingles of whole sets, all above FREQUENT where they are fewer."""
+    counts = sets.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("c")).filter(F.col("c") > FREQUENT)
+    listed = counts.orderBy(F.desc("c"), "token").limit(ORDERED).toPandas()
+    return Order(listed["token"].to_numpy(np.int64).view(np.uint64), listed["c"].to_numpy(np.int64))
+
+
+def _blocks(prefixes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Blocks (token, pos, gid, n, shares) of groups with a shingle that another group has, and members (gid, node, comp)."""
+    groups = prefixes.groupBy("n", "key").agg(F.min("node").alias("gid"))
+    members = written(prefixes.select("n", "key", "node").join(groups, ["n", "key"]).select("gid", "node", F.col("node").alias("comp")), "members")
+    one = prefixes.join(members.select(F.col("gid").alias("node")).distinct(), "node", "left_semi")
+    rows = one.select(F.col("node").alias("gid"), "n", F.posexplode("prefix").alias("pos", "token")).withColumn("pos", F.col("pos") + 1)
+    shared = rows.groupBy("token").agg(F.count("*").alias("c")).filter("c > 1").select("token")
+    met = written(rows.join(shared, "token", "left_semi"), "met")
+    blocks = written(met.join(met.groupBy("gid").agg(F.count("*").alias("shares")), "gid"), "blocks")
+    discard(met)
+    return blocks, members
+
+
+def row_hash(text: Column, key: Column) -> Column:
+    """With the key, the name of a row: rows of one key and different texts differ in it."""
+    return F.xxhash64(key, text)
+
+
+def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """One row per row of docs: key (long), row_hash, n_shingles, group_size (rows with an equal set), component_id and kept.
+
+    Texts link when den * common >= num * union of their shingles; component_id is the smallest key that links reach. kept
+    marks the row with that key (of rows that repeat it, those with the least row_hash; of rows that repeat key and text all).
+    Null, empty and blank texts have no shingles, link with nothing and are components of their own, and kept. Rows that repeat
+    a key are rows of their own, each with the component of its text. A null key comes after all others, so component_id is null
+    where all keys of a component are. An empty table gives an empty result; other columns are left out.
+    """
+    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text"))
+    rows = rows.withColumn("row_hash", row_hash(F.col("text"), F.col("doc_id")))
+    sets = written(_sketches(rows.select(F.monotonically_increasing_id().alias("row"), "row_hash", "doc_id", "text"), n, num, den), "sets")
+    name = F.struct(F.col("doc_id").isNull().alias("keyless"), "doc_id", "row_hash")
+    classes = sets.filter("digest is not null").groupBy("digest").agg(F.min("row").alias("node"), F.count("*").alias("group_size"), F.min(name).alias("name"))
+    classes = written(classes, "classes")
+
+    chosen = _partnered(sets, classes)
+    level = classes.withColumn("comp_name", F.col("name"))
+    if chosen.head(1):
+        whole = _whole_sets(likely_in(rows, "row_hash", chosen).join(chosen, "row_hash").select("node", "digest", "text"), n)
+        whole = written(whole, "whole")
+        if whole.groupBy("node").count().filter("count > 1").head(1):  # rows that repeat key and text
+            whole = written(whole.dropDuplicates(["node"]), "whole")
+        prefixes = written(_prefixes(whole, _order(whole), num, den), "prefixes")
+        blocks, members = _blocks(prefixes)
+        labels = _Join(whole, blocks, members, num, den).solve()
+        named = labels.join(classes.select("node", "name"), "node")
+        least = named.groupBy("comp").agg(F.min("name").alias("comp_name"))
+        labels = written(labels.join(least, "comp").select("node", "comp_name"), "labels")
+        level = classes.join(labels, "node", "left").withColumn("comp_name", F.coalesce("comp_name", "name"))
+    level = written(level.select("digest", "group_size", "comp_name"), "level")
+
+    found = look_up(sets.filter("digest is not null").select("doc_id", "row_hash", "n_shingles", "digest"), level, "digest")
+    linked = found.select("doc_id", "row_hash", "n_shingles", "group_size", F.col("comp_name.doc_id").alias("component_id"), (name == F.col("comp_name")).alias("kept"))
+    empty = sets.filter("digest is null").select("doc_id", "row_hash", "n_shingles", F.lit(1).cast("long").alias("group_size"), F.col("doc_id").alias("component_id"), F.lit(True).alias("kept"))
+    return linked.unionByName(empty).withColumnRenamed("doc_id", key)
