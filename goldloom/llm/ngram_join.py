@@ -9,12 +9,12 @@ their first ones, their prefix. Texts with equal sets are one class, and from he
    are listed; all others come first, by hash. Any order gives the same links, so the bound of the list costs no result.
 3. Groups: members with identical prefixes and sizes are collapsed into one group; only groups meet in blocks, one block for
    each shingle that stands in the prefixes of two groups.
-4. Group pairs are filtered by size and by position: the first shingle that two similar sets share has enough places behind it
-   in both. Pairs that pass are expanded to members, and members are verified by their whole sets.
+4. Group pairs are filtered by size, by position (the first shingle that two similar sets share has enough places behind it in
+   both) and by what their prefixes share. Pairs that pass are expanded to members, which are verified by their whole sets.
 
 Components are wanted, not pairs, so blocks aren't expanded into all group pairs at once. In each round every group meets the
 leader of one of its blocks, the group that shares most; what is verified becomes one component, and blocks and pairs that lie
-within one component are done. After the rounds all pairs of groups of different components that pass both filters are
+within one component are done. After the rounds all pairs of groups of different components that pass the filters are
 verified, so no link between components is lost, and a large family of near copies costs a few pairs for each member.
 """
 
@@ -28,12 +28,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from goldloom.llm.common import discard, likely_in, look_up, map_batches, without, written
+from goldloom.llm.common import discard, held_in, likely_in, look_up, map_batches, without, written
 from goldloom.llm.components import components
 
 #: Most entries of the list of frequent shingles (16 bytes each, broadcast), and how often a shingle stands in sets to be listed.
 ORDERED, FREQUENT = 500_000, 20
-ROUNDS = 3
+#: Most rounds of leaders; what they leave is compared without leaders.
+ROUNDS = 4
 #: The sketch of a set of n shingles has n // SHARE more than its prefix.
 SHARE = 20
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -179,7 +180,7 @@ def _apart(low: str, high: str, low_b: str, high_b: str) -> Column:
 
 def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """Pairs of members (a, b) whose whole sets are similar."""
-    side = lambda c: likely_in(sets.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("tokens").alias(f"tokens_{c}")), c, pairs.select(c))
+    side = lambda c: held_in(sets.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("tokens").alias(f"tokens_{c}")), c, pairs.select(c).distinct())
     common = F.size(F.array_intersect("tokens_a", "tokens_b"))
     both = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "n_a", "n_b", common.alias("common"))
     return both.filter(F.col("common") * den >= (F.col("n_a") + F.col("n_b") - F.col("common")) * num).select("a", "b")
@@ -188,41 +189,56 @@ def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
 class _Join:
     """Groups, their blocks, and what is known of their members' components."""
 
-    def __init__(self, sets: DataFrame, blocks: DataFrame, members: DataFrame, num: int, den: int) -> None:
-        self.sets, self.blocks, self.num, self.den = sets, blocks, num, den
-        #: gid, node and comp of every member; a group's gid is its smallest node.
-        self.members = members
+    def __init__(self, sets: DataFrame, prefixes: DataFrame, num: int, den: int) -> None:
+        self.sets, self.prefixes, self.num, self.den = sets, prefixes, num, den
+        #: members: gid, node and comp of every member; a group's gid is its smallest node.
+        self.blocks, self.members = _blocks(prefixes)
         self.met: DataFrame | None = None
 
-    def rows(self) -> DataFrame:
-        """Blocks with the least and the largest component of each group's members."""
-        state = self.members.groupBy("gid").agg(F.min("comp").alias("low"), F.max("comp").alias("high"))
-        return self.blocks.join(state, "gid")
+    def _state(self) -> DataFrame:
+        return self.members.groupBy("gid").agg(F.min("comp").alias("low"), F.max("comp").alias("high"))
+
+    def renew(self) -> bool:
+        """Leaves blocks out that lie in one component; whether a tenth of the rows went, so that a further round pays."""
+        rows = self.blocks.drop("low", "high").join(self._state(), "gid")
+        lasting = rows.groupBy("token").agg(F.min("low").alias("least"), F.max("high").alias("most")).filter("least < most").select("token")
+        before, self.blocks = self.blocks, written(rows.join(lasting, "token"), "blocks")
+        pays = self.blocks.count() < 0.9 * before.count()
+        discard(before)
+        return pays
 
     def led(self, r: int) -> DataFrame:
-        """(gid, gid_b): each group that isn't in one component with a leader of its blocks, and the leader it shares most with."""
-        rows = self.rows()
+        """(gid, gid_b, n, n_b): each group that isn't in one component with a leader of its blocks, and the leader it shares most with."""
         rank = F.struct((F.lit(0) if r % 2 else F.col("shares")).alias("s"), F.xxhash64("gid", F.lit(r)).alias("h"), "gid", "n", "pos", "low", "high")
-        lead = rows.groupBy("token").agg(F.max(rank).alias("lead"), F.min("low").alias("least"), F.max("high").alias("most")).filter("least < most")
+        lead = self.blocks.groupBy("token").agg(F.max(rank).alias("lead"))
         lead = lead.select("token", *(F.col(f"lead.{c}").alias(f"{c}_b") for c in ("gid", "n", "pos", "low", "high")))
-        pairs = rows.join(lead, "token").filter((F.col("gid") != F.col("gid_b")) & _apart("low", "high", "low_b", "high_b") & _size_and_place(self.num, self.den))
-        pairs = pairs.groupBy("gid", "gid_b").agg(F.count("*").alias("shared"))
+        pairs = self.blocks.join(lead, "token").filter((F.col("gid") != F.col("gid_b")) & _apart("low", "high", "low_b", "high_b") & _size_and_place(self.num, self.den))
+        pairs = pairs.groupBy("gid", "gid_b", "n", "n_b").agg(F.count("*").alias("shared"))
         if self.met is not None:
-            pairs = pairs.join(self.met, ["gid", "gid_b"], "left_anti")
-        return pairs.groupBy("gid").agg(F.max(F.struct("shared", "gid_b")).alias("best")).select("gid", "best.gid_b")
+            pairs = pairs.join(self.met.select("gid", "gid_b"), ["gid", "gid_b"], "left_anti")
+        return pairs.groupBy("gid", "n").agg(F.max(F.struct("shared", "gid_b", "n_b")).alias("best")).select("gid", "best.gid_b", "n", "best.n_b")
 
     def crossing(self) -> DataFrame:
-        """(gid, gid_b) of all groups of different components that pass the filters."""
-        rows = self.rows()
-        lasting = rows.groupBy("token").agg(F.min("low").alias("least"), F.max("high").alias("most")).filter("least < most").select("token")
-        rows = rows.join(lasting, "token", "left_semi").select("token", "gid", "n", "pos", "low", "high")
+        """(gid, gid_b, n, n_b) of all groups of different components that pass the filters of size and place."""
+        rows = self.blocks.select("token", "gid", "n", "pos", "low", "high")
         other = rows.select("token", *(F.col(c).alias(f"{c}_b") for c in ("gid", "n", "pos", "low", "high")))
         both = rows.join(other, "token").filter((F.col("gid") < F.col("gid_b")) & _apart("low", "high", "low_b", "high_b") & _size_and_place(self.num, self.den))
-        return both.select("gid", "gid_b").distinct()
+        return both.select("gid", "gid_b", "n", "n_b").distinct()
+
+    def counted(self, pairs: DataFrame) -> DataFrame:
+        """The pairs of groups whose prefixes share enough.
+
+        The prefix that ends first in the order holds c shingles of the other prefix, and no more of the other set; so the sets
+        share at most c and what is behind that prefix.
+        """
+        side = lambda s: held_in(self.prefixes.select(F.col("node").alias(f"gid{s}"), F.col("prefix").alias(f"prefix{s}")), f"gid{s}", pairs.select(f"gid{s}").distinct())
+        both = pairs.join(side("_b"), "gid_b").join(side(""), "gid")
+        most = F.size(F.array_intersect("prefix", "prefix_b")) + F.greatest(F.col("n") - F.size("prefix"), F.col("n_b") - F.size("prefix_b"))
+        return both.filter(most * (self.num + self.den) >= (F.col("n") + F.col("n_b")) * self.num).select(*pairs.columns)
 
     def within(self) -> DataFrame:
         """(gid, gid_b), the same group twice, of groups whose members lie in several components."""
-        return self.members.groupBy("gid").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high").select("gid", F.col("gid").alias("gid_b"))
+        return self._state().filter("low < high").select("gid", F.col("gid").alias("gid_b"))
 
     def expanded(self, pairs: DataFrame, first_only: bool) -> DataFrame:
         """(a, b): members of different components of a pair's groups; first_only: only the first member of gid_b."""
@@ -247,13 +263,17 @@ class _Join:
     def solve(self) -> DataFrame:
         """(node, comp) of every member."""
         for r in range(ROUNDS):
-            groups = self.led(r) if r else self.led(r).unionByName(self.within())
-            groups = written(groups, "met")
-            if not groups.head(1):
+            pairs = written(self.led(r), "met")
+            self.met = pairs if self.met is None else self.met.unionByName(pairs)
+            pairs = pairs.select("gid", "gid_b").unionByName(self.within()) if not r else written(self.counted(pairs), "counted").select("gid", "gid_b")
+            tried = written(self.expanded(pairs, first_only=True), "pairs")
+            if not tried.head(1):
+                break
+            self.verify(tried)
+            if not self.renew():
                 break
-            self.verify(written(self.expanded(groups, first_only=True), "pairs"))
-            self.met = groups if self.met is None else self.met.unionByName(groups)
-        rest = written(self.expanded(self.crossing().unionByName(self.within()), first_only=False), "pairs")
+        pairs = written(self.counted(written(self.crossing(), "crossing")), "counted").select("gid", "gid_b").unionByName(self.within())
+        rest = written(self.expanded(pairs, first_only=False), "pairs")
         if rest.head(1):
             self.verify(rest)
         return self.members.select("node", "comp")
@@ -266,11 +286,10 @@ def _partnered(sets: DataFrame, classes: DataFrame) -> DataFrame:
     firsts = without(sets.filter(F.size("sketch") > 0), "row", written(copies, "copies"))
     rows = firsts.select("row", "need", F.explode("sketch").alias("token"))
     shared = written(rows.groupBy("token").agg(F.count("*").alias("c")).filter("c > 1").select("token"), "shared")
-    found = likely_in(rows, "token", shared).join(shared, "token", "left_semi").groupBy("row").agg(F.count("*").alias("c"), F.first("need").alias("need"))
+    found = held_in(rows, "token", shared).groupBy("row").agg(F.count("*").alias("c"), F.first("need").alias("need"))
     alive = written(found.filter("c >= need").select("row"), "alive")
     discard(shared)
-    chosen = sets.select("row", "row_hash", "digest")
-    return written(likely_in(chosen, "row", alive).join(alive, "row", "left_semi").withColumnRenamed("row", "node"), "partnered")
+    return written(held_in(sets.select("row", "row_hash", "digest"), "row", alive).withColumnRenamed("row", "node"), "partnered")
 
 
 def _order(sets: DataFrame) -> Order:
@@ -281,16 +300,20 @@ def _order(sets: DataFrame) -> Order:
 
 
 def _blocks(prefixes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Blocks (token, pos, gid, n, shares) of groups with a shingle that another group has, and members (gid, node, comp)."""
-    groups = prefixes.groupBy("n", "key").agg(F.min("node").alias("gid"))
-    members = written(prefixes.select("n", "key", "node").join(groups, ["n", "key"]).select("gid", "node", F.col("node").alias("comp")), "members")
-    one = prefixes.join(members.select(F.col("gid").alias("node")).distinct(), "node", "left_semi")
-    rows = one.select(F.col("node").alias("gid"), "n", F.posexplode("prefix").alias("pos", "token")).withColumn("pos", F.col("pos") + 1)
+    """Blocks (token, pos, gid, n, shares, low, high) of groups with a shingle that another group has, and members (gid, node, comp).
+
+    shares is the number of such shingles of a group; low and high are the least and the largest component of its members.
+    """
+    groups = prefixes.groupBy("n", "key").agg(F.min("node").alias("gid"), F.max("node").alias("high"))
+    grouped = prefixes.select("n", "key", "node").join(groups, ["n", "key"])
+    members = written(grouped.select("gid", "node", F.col("node").alias("comp"), "high"), "members")
+    one = prefixes.join(members.filter("gid = node").select("node", "high"), "node")
+    rows = one.select(F.col("node").alias("gid"), "n", F.col("node").alias("low"), "high", F.posexplode("prefix").alias("pos", "token"))
     shared = rows.groupBy("token").agg(F.count("*").alias("c")).filter("c > 1").select("token")
-    met = written(rows.join(shared, "token", "left_semi"), "met")
-    blocks = written(met.join(met.groupBy("gid").agg(F.count("*").alias("shares")), "gid"), "blocks")
-    discard(met)
-    return blocks, members
+    # As many entries as the prefix of a group has at most.
+    met = held_in(rows, "token", written(shared, "shared")).groupBy("gid", "n", "low", "high").agg(F.collect_list(F.struct("token", (F.col("pos") + 1).alias("pos"))).alias("met"))
+    blocks = met.select("gid", "n", "low", "high", F.size("met").alias("shares"), F.explode("met").alias("m")).select("m.token", "m.pos", "gid", "n", "shares", "low", "high")
+    return written(blocks, "blocks"), members.drop("high")
 
 
 def row_hash(text: Column, key: Column) -> Column:
@@ -322,8 +345,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
         if whole.groupBy("node").count().filter("count > 1").head(1):  # rows that repeat key and text
             whole = written(whole.dropDuplicates(["node"]), "whole")
         prefixes = written(_prefixes(whole, _order(whole), num, den), "prefixes")
-        blocks, members = _blocks(prefixes)
-        labels = _Join(whole, blocks, members, num, den).solve()
+        labels = _Join(whole, prefixes, num, den).solve()
         named = labels.join(classes.select("node", "name"), "node")
         least = named.groupBy("comp").agg(F.min("name").alias("comp_name"))
         labels = written(labels.join(least, "comp").select("node", "comp_name"), "labels")

@@ -201,6 +201,37 @@ def test_ngram_join_links_shortest_texts(spark, n, num, size):
     assert got[0][1] == got[1][1] == got[3][1] == 0
 
 
+@pytest.mark.parametrize(("n", "num"), [(4, 85), (5, 80)])
+def test_ngram_join_every_small_edit(spark, n, num):
+    texts = []
+    for size in range(1, 12 + n):
+        w = [f"v{size}x{k}" for k in range(size)]
+        texts += [" ".join(x) for x in (w, ["new", *w], [*w, "new"], w[1:], w[:-1])]
+        texts += [" ".join([*w[:k], "new", *w[k + 1 :]]) for k in range(size)]
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.jaccard_components(table(spark, texts), n, num, 100).collect()}
+    assert got == brute_components(list(enumerate(texts)), n, num, 100)
+
+
+def test_ngram_join_repeated_and_null_keys(spark):
+    rng = np.random.default_rng(6)
+    base = [" ".join(rng.choice([f"v{i}" for i in range(500)], 80)) for _ in range(6)]
+    texts = [t if k % 3 else t + " end" for t in base for k in range(5)] + [None, "", "short", "short"] + base[:1] * 2
+    keys = [int(k) if k else None for k in rng.integers(0, 9, len(texts))]
+    keys[-1] = keys[-2] = 7
+    docs = spark.createDataFrame(list(zip(keys, texts)), "doc_id long, text string").repartition(3)
+    want = brute_components(list(enumerate(texts)), 4, 85, 100)
+    least, rows = {}, defaultdict(list)
+    for i, (_, c) in want.items():
+        rows[c].append(keys[i])
+    least = {c: min((k for k in ks if k is not None), default=None) for c, ks in rows.items()}
+    result = ngram_join.jaccard_components(docs, 4, 85, 100).collect()
+    order = lambda x: tuple((v is None, v or 0) for v in x)
+    assert sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in result), key=order) == sorted(((keys[i], n, least[c]) for i, (n, c) in want.items()), key=order)
+    # Of each component with a text one row stays, or all rows that are the same.
+    assert all(r["doc_id"] == r["component_id"] for r in result if r["kept"])
+    assert len({(r["doc_id"], r["row_hash"]) for r in result if r["kept"] and r["n_shingles"]}) == len({c for _, (n, c) in want.items() if n})
+
+
 def test_prefix_meets_every_size():
     for num in (80, 85):
         for a in range(1, 60):
