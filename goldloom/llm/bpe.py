@@ -6,15 +6,16 @@ merge rules would never join across or inside that border earlier. Else the next
 and where none is left the last token is taken back. Each position is given up at most once, which bounds
 the work by the length of the text. Decoding copies slices of one byte table through an offset table.
 
-Texts are cut at single spaces, a border that the pretokenizer always keeps, and the encodings of the cut
-pieces are remembered, so a frequent word is encoded once per worker.
+Texts are cut at borders that the pretokenizer always keeps, and the encodings of the cut pieces are
+remembered, so a frequent word is encoded once per worker.
 """
 
 from __future__ import annotations
 
 import json
+import re
 from array import array
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 from contextlib import suppress
 from functools import lru_cache
 from itertools import chain
@@ -47,6 +48,9 @@ class Encoder:
     def __init__(self, path: str) -> None:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        kind = spec.get("pre_tokenizer") or {}
+        if spec["model"].get("type", "BPE") != "BPE" or spec.get("normalizer") or kind.get("type") != "ByteLevel" or kind.get("add_prefix_space") or not kind.get("use_regex", True):
+            raise ValueError(f"{path}: only byte-level BPE with the usual pretokenizer and without a normalizer is read")
         letter = byte_letters()
         vocab: dict[str, int] = spec["model"]["vocab"]
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
@@ -77,8 +81,7 @@ class Encoder:
         self.blob = np.frombuffer(b"".join(self.token), np.uint8)
         self.offset = np.concatenate([[0], np.cumsum(self.length)])
         self.compatible: dict[int, bool] = {}
-        self.pretoken: dict[str, bytes] = {}
-        self.pieces = Pieces(lambda texts: [*map(self._whole, texts)])
+        self.pieces = Pieces(lambda texts: [*map(self._whole, texts)], special=self.special)
 
     def fits(self, a: int, b: int) -> bool:
         """Whether token a directly before token b can be the outcome of the merge rules."""
@@ -147,8 +150,9 @@ class Encoder:
                 at -= length[token]
 
     def _whole(self, text: str) -> bytes:
-        """Ids of a text, pretoken by pretoken."""
-        out, known = [], self.pretoken
+        """Ids of a text, pretoken by pretoken; those of one text are remembered while it lasts."""
+        out: list[bytes] = []
+        known: dict[str, bytes] = {}
         for part in self.borders(text) if self.hints(text) else (text,):
             if part in self.special:
                 out.append(int(self.special[part]).to_bytes(4, "little"))
@@ -156,9 +160,7 @@ class Encoder:
             for p in self.pretokens(part):
                 got = known.get(p)
                 if got is None:
-                    got = array("I", self.merge(p.encode())).tobytes()
-                    if len(p) < LONG and len(known) < REMEMBERED:
-                        known[p] = got
+                    got = known[p] = array("I", self.merge(p.encode())).tobytes()
                 out.append(got)
         return b"".join(out)
 
@@ -175,30 +177,51 @@ class Encoder:
         return self.blob[at].tobytes().decode("utf-8", "replace")
 
 
+#: A piece ends before these, where a letter or a digit stands before them: pretokens never go over that border.
+_MARKS = ".,;:!?"
+_BORDER = re.compile(r"(?<=[0-9A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f])(?=[.,;:!?])")
+#: Begins a piece that had no space before it.
+_TIED = "\x01"
+
+
 class Pieces:
-    """Encodes texts by their pieces between single spaces; encodings of short pieces are remembered.
+    """Encodes texts by pieces; encodings of short pieces are remembered.
 
-    encode gives the encodings of a list of strings. Every piece but a text's first begins with its space.
-    The cut is exact where the space stands between two characters that aren't white space; a text with any
-    other space is encoded as a whole.
+    encode gives the encodings of a list of strings. Texts are cut at single spaces and line feeds, and between a letter or digit
+    and a mark of _MARKS. A piece begins with its space or line feed, if it has one. The cuts are exact where a space or line
+    feed stands between two characters that aren't white space; a text with any other, or with the character _TIED, is encoded
+    as a whole. So are all texts if a special token holds a character at which texts are cut.
     """
 
-    def __init__(self, encode: Callable[[list[str]], list[bytes]], remembered: int = REMEMBERED) -> None:
+    def __init__(self, encode: Callable[[list[str]], list[bytes]], remembered: int = REMEMBERED, special: Iterable[str] = ()) -> None:
         self.encode, self.remembered, self.first, self.later = encode, remembered, {}, {}
+        self.cuts = not any(c in t for t in special for c in f" \n{_MARKS}{_TIED}")
 
     def _learn(self, known: dict[str, bytes | None], pieces: set[str], space: str) -> list[str]:
         """Adds the encodings of all pieces; returns those to forget after the batch: long ones, and what is beyond the bound."""
         new = [*pieces.difference(known)]
-        even = [p for p in new if not space or p and not p[0].isspace() and not p[-1].isspace()]
+        spaced, tied = [], []
+        for p in new:
+            if p and not p[-1].isspace():
+                if not space:
+                    tied.append((p, p))
+                elif p[0] == _TIED:
+                    tied.append((p, p[1:]))
+                elif p[0] == "\n":
+                    if not p[1].isspace():
+                        tied.append((p, p))
+                elif not p[0].isspace():
+                    spaced.append(p)
         room = max(0, self.remembered - len(known))
         known.update(dict.fromkeys(new))
-        known.update(zip(even, self.encode([space + p for p in even])))
+        known.update(zip(spaced, self.encode([space + p for p in spaced])))
+        known.update(zip((p for p, _ in tied), self.encode([t for _, t in tied])))
         return [p for p in new[:room] if len(p) >= LONG] + new[room:]
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        cut = [t.split(" ") for t in texts]
+        cut = [_BORDER.sub(" " + _TIED, t.replace("\n", " \n")).split(" ") for t in texts]
         heads = [c.pop(0) for c in cut]
-        usual = [bool(h) and not (c and h[-1].isspace()) for h, c in zip(heads, cut)]
+        usual = [self.cuts and bool(h) and not (c and h[-1].isspace()) and _TIED not in t for h, c, t in zip(heads, cut, texts)]
         forget_heads = self._learn(self.first, {h for h, u in zip(heads, usual) if u}, "")
         forget_later = self._learn(self.later, set(chain.from_iterable(c for c, u in zip(cut, usual) if u)), " ")
         out: list[bytes | None] = [None if t else b"" for t in texts]

@@ -25,7 +25,8 @@ def library_encoder(path: str):
             os.environ["TOKENIZERS_PARALLELISM"] = "false"
             from tokenizers import Tokenizer
 
-            _known[path] = Pieces(joined_encoder(Tokenizer.from_file(path)), 600_000)
+            tokenizer = Tokenizer.from_file(path)
+            _known[path] = Pieces(joined_encoder(tokenizer), special=[t.content for t in tokenizer.get_added_tokens_decoder().values()])
         return _known[path]
 
     return make
