@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from goldloom.operators.cluster import connected_components
 from goldloom.operators.survivorship import candidates_of, is_pass, survivors
+from goldloom.operators.tables import kept, numbered
 from goldloom.plans import rules as R
 
 
@@ -42,8 +43,8 @@ def match_dimension(groups: DataFrame, existing: DataFrame, identities: list[str
     same = mine.join(first, ["kind", "value"]).select("left_id", F.col("group_id").alias("right_id")).distinct()
     owner = connected_components(same, groups.select(F.col("group_id").alias("id"))).select(F.col("id").alias("group_id"), F.col("component").alias("owner"))
     hits = mine.join(long(existing, dim_id), ["kind", "value"]).join(owner, "group_id").groupBy("owner").agg(F.min(dim_id).alias("found"))
-    top = existing.agg(F.coalesce(F.max(dim_id), F.lit(0)).alias("top"))
-    new = owner.select("owner").distinct().join(hits, "owner", "left_anti").withColumn("n", F.row_number().over(Window.orderBy("owner"))).join(F.broadcast(top)).select("owner", (F.col("top") + F.col("n")).cast("long").alias("fresh"))
+    top = existing.agg(F.coalesce(F.max(dim_id), F.lit(0)).alias("top")).first()["top"]
+    new = numbered(owner.select("owner").distinct().join(hits, "owner", "left_anti"), ["owner"], "n").select("owner", (F.col("n") + F.lit(top)).cast("long").alias("fresh"))
     ids = owner.join(hits, "owner", "left").join(new, "owner", "left").select("group_id", F.coalesce("found", "fresh").cast("long").alias(dim_id), F.when(F.col("found").isNotNull(), "UPDATED").otherwise("CREATED").alias("action"))
     return groups.join(ids, "group_id")
 
@@ -60,9 +61,10 @@ def address_dimension(wanted: DataFrame, existing: DataFrame, columns: list[str]
     distinct = wanted.select(*columns).distinct()
     on = [distinct[c].eqNullSafe(existing[c]) for c in columns]
     known = distinct.join(existing, on, "left").groupBy(*(distinct[c] for c in columns)).agg(F.min("address_id").alias("known"))
-    top = existing.agg(F.coalesce(F.max("address_id"), F.lit(0)).alias("top"))
-    number = F.row_number().over(Window.partitionBy(F.col("known").isNull()).orderBy(*columns))
-    keyed = known.withColumn("n", number).join(F.broadcast(top)).select(*columns, F.coalesce("known", (F.col("top") + F.col("n"))).cast("long").alias("address_id"))
+    known = kept(known, "addresses")
+    top = existing.agg(F.coalesce(F.max("address_id"), F.lit(0)).alias("top")).first()["top"]
+    new = numbered(known.filter("known is null").select(*columns), columns, "n").select(*columns, (F.col("n") + F.lit(top)).cast("long").alias("address_id"))
+    keyed = known.filter("known is not null").select(*columns, F.col("known").cast("long").alias("address_id")).unionByName(new)
     return wanted.alias("w").join(keyed.alias("k"), [F.col(f"w.{c}").eqNullSafe(F.col(f"k.{c}")) for c in columns]).select("w.*", "k.address_id")
 
 
@@ -70,15 +72,18 @@ def link_addresses(links: DataFrame, wanted: DataFrame, owner: str) -> DataFrame
     """Links with validity after a load.
 
     links: owner, address_id, valid_from, valid_to. wanted: owner, address_id, effective_from. An active link to the same address
-    stays; other active links of an owner in wanted are closed at effective_from, and a new one is opened.
+    stays, and gets effective_from where it has no start; other active links of an owner in wanted are closed at effective_from,
+    and a new one is opened.
     """
     w = wanted.select(owner, F.col("address_id").alias("w_address"), "effective_from")
     joined = links.join(w, owner, "left")
     close = F.col("valid_to").isNull() & F.col("w_address").isNotNull() & (F.col("address_id") != F.col("w_address"))
-    kept = joined.select(owner, "address_id", "valid_from", F.when(close, F.col("effective_from")).otherwise(F.col("valid_to")).alias("valid_to"))
+    same = F.col("valid_to").isNull() & F.coalesce(F.col("address_id") == F.col("w_address"), F.lit(False))
+    start = F.coalesce("valid_from", F.when(same, F.col("effective_from")))
+    known = joined.select(owner, "address_id", start.alias("valid_from"), F.when(close, F.col("effective_from")).otherwise(F.col("valid_to")).alias("valid_to"))
     active = links.filter("valid_to is null").select(owner, F.col("address_id").alias("w_address"))
     opened = w.join(active, [owner, "w_address"], "left_anti").select(owner, F.col("w_address").alias("address_id"), F.col("effective_from").alias("valid_from"), F.lit(None).cast("date").alias("valid_to"))
-    return kept.unionByName(opened)
+    return known.unionByName(opened)
 
 
 def effective_from(import_ts: Column) -> Column:
@@ -89,8 +94,8 @@ def identity_bridge(existing: DataFrame, wanted: DataFrame) -> DataFrame:
     """(identity_type, identity_value, party_id): one owner each; the last writer (by seq) takes a value over."""
     last = F.max_by("party_id", "seq").alias("party_id")
     fresh = wanted.filter("coalesce(identity_value, '') <> ''").groupBy("identity_type", "identity_value").agg(last)
-    kept = existing.select("identity_type", "identity_value", "party_id").join(fresh, ["identity_type", "identity_value"], "left_anti")
-    return kept.unionByName(fresh.select(*kept.columns))
+    rest = existing.select("identity_type", "identity_value", "party_id").join(fresh, ["identity_type", "identity_value"], "left_anti")
+    return rest.unionByName(fresh.select(*rest.columns))
 
 
 def quality_score(status: Column) -> Column:
@@ -109,12 +114,18 @@ def lineage(chosen: DataFrame, dims: DataFrame, dim_id: str) -> DataFrame:
     return rows.withColumn("n", F.row_number().over(last)).filter("n = 1").select(dim_id, F.col("field").alias("attribute"), "value", "source", "rule", trust_score(F.col("trust")).alias("trust_score"), quality_score(F.col("status")).alias("quality_score"))
 
 
-def address_link_lineage(chosen: DataFrame) -> DataFrame:
-    """Of each group's address fields the first present in the fixed order, its rule prefixed."""
+def leading_address(chosen: DataFrame) -> DataFrame:
+    """Of each group's address fields the first present in the fixed order: group_id and the columns of survivors."""
     place = F.coalesce(*(F.when(F.col("field") == f, F.lit(k)) for k, f in enumerate(R.ADDRESS_LINK_FIELDS)))
     first = Window.partitionBy("group_id").orderBy("place")
-    ranked = chosen.withColumn("place", place).filter("place is not null").withColumn("n", F.row_number().over(first)).filter("n = 1")
-    return ranked.select("group_id", "field", "source", F.concat(F.lit("ADDRESS_LINK_FROM_"), "rule").alias("rule"))
+    ranked = chosen.withColumn("place", place).filter("place is not null").withColumn("n", F.row_number().over(first))
+    return ranked.filter("n = 1").drop("n", "place")
+
+
+def address_link_lineage(chosen: DataFrame) -> DataFrame:
+    """The leading address field of each group, its rule prefixed."""
+    rule = F.concat(F.lit("ADDRESS_LINK_FROM_"), "rule").alias("rule")
+    return leading_address(chosen).select("group_id", "field", "source", rule)
 
 
 def changes(old: DataFrame, new: DataFrame, dim_id: str, fields: list[str]) -> DataFrame:

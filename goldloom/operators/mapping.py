@@ -6,11 +6,12 @@ import re
 from collections.abc import Iterable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from goldloom.functions import address, dates, text
+from goldloom.operators.tables import numbered
 from goldloom.plans import rules as R
 
 _PERSON_SLOT = re.compile(rf"^({'|'.join(R.PERSON_ROLES)})(\d+)_({'|'.join(R.PERSON_ROLE_FIELDS)})$")
@@ -37,10 +38,10 @@ def find_column(schema: StructType, name: str) -> Column | None:
 
 
 def identifier_kind(column: str) -> str:
-    """NIP, REGON, ... that a source column holds, by its last part or whole name without punctuation."""
-    last = column.split(".")[-1]
-    squeeze = lambda s: re.sub(r"[^0-9a-zA-Z]+", "", s).casefold()
-    return R.IDENTIFIER_KEYS.get(squeeze(last)) or R.IDENTIFIER_KEYS.get(squeeze(column)) or last.strip().upper()
+    """NIP, REGON, ... that a source column holds: the first of its spellings that is known, else its last part in upper case."""
+    last = column.rpartition(".")[2]
+    spellings = ["".join(ch for ch in name if ch.isascii() and ch.isalnum()).casefold() for name in (last, column)]
+    return next((R.IDENTIFIER_KEYS[s] for s in spellings if s in R.IDENTIFIER_KEYS), last.strip().upper())
 
 
 def _value(c: Column) -> Column:
@@ -105,10 +106,10 @@ def key_drift(source: DataFrame, json_column: str, known: list[str]) -> DataFram
     return source.select(F.explode(F.array_except(keys, F.array(*map(F.lit, known)).cast("array<string>"))).alias("key")).groupBy("key").agg(F.count("*").alias("rows"))
 
 
-def source_record_id(source: DataFrame, canonical: Column | None, order_by: list[str]) -> Column:
-    """Canonical id, then the known id columns in order, then the row's number (from 1)."""
+def source_record_id(source: DataFrame, canonical: Column | None, number: Column) -> Column:
+    """Canonical id, then the known id columns in order, then the row's number."""
     options = ([_value(canonical)] if canonical is not None else []) + [_value(c) for c in (find_column(source.schema, n) for n in R.SOURCE_ID_COLUMNS) if c is not None]
-    return F.coalesce(*options, F.row_number().over(Window.orderBy(*order_by)).cast("string"))
+    return F.coalesce(*options, number.cast("string"))
 
 
 def related_persons(source: DataFrame) -> Column:
@@ -135,7 +136,8 @@ def _related(source: DataFrame, pattern: re.Pattern[str], read, fields: dict[str
 
 
 def stage(mapped: DataFrame, entity: str, import_batch_id: int, raw_file_id: int, order_by: list[str]) -> DataFrame:
-    """Typed staging rows of map_columns' output."""
+    """Typed staging rows of map_columns' output; Staging_ID is a row's place in order_by."""
+    rows = numbered(mapped, order_by, "_row")
     c = lambda n: F.col(f"canon_{n}")
     date_columns = {n for n in R.CANONICAL[entity] if n.endswith("_Date")}
     typed = {n: text.sanitize(c(n)) for n in R.CANONICAL[entity]} | {n: dates.lenient_date(c(n)) for n in date_columns}
@@ -143,9 +145,8 @@ def stage(mapped: DataFrame, entity: str, import_batch_id: int, raw_file_id: int
         typed["Sex"] = text.is_female(c("Sex"))
     else:
         typed |= {"Has_Virtual_Accounts": text.flag(c("Has_Virtual_Accounts")), "Bank_Accounts_JSON": F.to_json(text.json_list(c("Bank_Accounts_JSON"))), "Related_Persons_JSON": F.coalesce(c("Related_Persons_JSON"), related_persons(mapped)), "Related_Parties_JSON": F.coalesce(c("Related_Parties_JSON"), related_parties(mapped))}
-    typed |= {"Source_Record_ID": source_record_id(mapped, c("Source_Record_ID"), order_by), "Raw_Record_JSON": c("Raw_Record_JSON")}
-    number = F.row_number().over(Window.orderBy(*order_by)).cast("long")
-    return mapped.select(number.alias("Staging_ID"), F.lit(import_batch_id).cast("long").alias("ImportBatch_ID"), F.lit(raw_file_id).cast("long").alias("RawFile_ID"), *(v.alias(n) for n, v in typed.items()))
+    typed |= {"Source_Record_ID": source_record_id(mapped, c("Source_Record_ID"), F.col("_row")), "Raw_Record_JSON": c("Raw_Record_JSON")}
+    return rows.select(F.col("_row").cast("long").alias("Staging_ID"), F.lit(import_batch_id).cast("long").alias("ImportBatch_ID"), F.lit(raw_file_id).cast("long").alias("RawFile_ID"), *(v.alias(n) for n, v in typed.items()))
 
 
 def _parts(staged: DataFrame) -> dict[str, Column]:

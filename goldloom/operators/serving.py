@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from goldloom.functions import fuzzy
+
 DEFAULT_LIMIT, MAX_LIMIT = 50, 200
 
 
@@ -16,6 +18,12 @@ def page(rows: DataFrame, order: list[Column], limit: int = DEFAULT_LIMIT, offse
     return rows.orderBy(*order).offset(offset).limit(limit)
 
 
+def page_with_total(rows: DataFrame, order: list[Column], limit: int = DEFAULT_LIMIT, offset: int = 0) -> DataFrame:
+    """A page of rows with the column total, the number of all rows, which the page's limits don't change."""
+    total = rows.agg(F.count("*").alias("total"))
+    return page(rows, order, limit, offset).join(F.broadcast(total))
+
+
 def matches_tokens(search: str | None, columns: list[str]) -> Column:
     """Every word of a search is part of some column, without regard to case; % and _ are plain characters."""
     plain = lambda t: t.replace("\\", "\\\\").replace("%", "\\%").replace("_", "\\_")
@@ -58,6 +66,56 @@ def provenance(lineage: DataFrame, key: str) -> DataFrame:
     return last.groupBy(key).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("attribute", "s")))).alias("provenance"))
 
 
+def lineage_list(lineage: DataFrame, sources: DataFrame, key: str, record_id: int | None = None) -> DataFrame:
+    """Lineage entries of a record (of all, without one) in order of lineage_id, with their source's code.
+
+    lineage: key, lineage_id, attribute, source_id and the columns of an entry; sources: source_id, source_code. Entries of a
+    source that isn't known go.
+    """
+    wanted = lineage if record_id is None else lineage.filter(F.col(key) == record_id)
+    return wanted.join(sources.select("source_id", "source_code"), "source_id").orderBy(key, "lineage_id")
+
+
+def golden_summary(persons: DataFrame, parties: DataFrame) -> DataFrame:
+    """(entity_type, record_id, display_name, primary_identifier): a person's name is that of its parts which it has."""
+    blank_to_null = lambda c: F.nullif(c, F.lit(""))
+    name = F.nullif(F.concat_ws(" ", *(blank_to_null(F.col(c)) for c in ("First_Name", "Second_Name", "Last_Name"))), F.lit(""))
+    people = persons.select(F.lit("PERSON").alias("entity_type"), F.col("dim_id").alias("record_id"), name.alias("display_name"), F.col("PESEL").alias("primary_identifier"))
+    firms = parties.select(F.lit("PARTY").alias("entity_type"), F.col("dim_id").alias("record_id"), F.col("Name").alias("display_name"), F.lit(None).cast("string").alias("primary_identifier"))
+    return people.unionByName(firms)
+
+
+def address_list(links: DataFrame, addresses: DataFrame, owner: str, kind: str) -> DataFrame:
+    """A record's addresses: owner, address_type, the address's columns, valid_from and valid_to."""
+    rest = [c for c in addresses.columns if c != "address_id"]
+    joined = links.join(addresses, "address_id")
+    return joined.select(owner, "address_id", F.lit(kind).alias("address_type"), *rest, "valid_from", "valid_to")
+
+
+def candidate_list(candidates: DataFrame, second: DataFrame | None = None, decision: str | None = None, limit: int = DEFAULT_LIMIT, offset: int = 0) -> DataFrame:
+    """A page of scored pairs, best score first, ties by ids, with total and passed, whether stage 2 kept the pair."""
+    kept = filtered(candidates, decision=decision)
+    listed = page_with_total(kept, [F.col("score").desc(), F.col("left_id"), F.col("right_id")], limit, offset)
+    if second is None:
+        return listed.withColumn("passed", F.lit(True))
+    # At most MAX_LIMIT pairs are asked for.
+    asked = F.broadcast(listed.select("left_id", "right_id"))
+    found = second.select("left_id", "right_id").join(asked, ["left_id", "right_id"], "left_semi").distinct().withColumn("found", F.lit(True))
+    flagged = listed.join(found, ["left_id", "right_id"], "left")
+    return flagged.withColumn("passed", F.coalesce("found", F.lit(False))).drop("found").orderBy(F.col("score").desc(), "left_id", "right_id")
+
+
+def field_category(field: Column, strong: Column, conflicts: Column, texts: Column) -> Column:
+    """How a compared field counts: strong, conflict or text, the first that holds; null where none does.
+
+    Names are compared in upper case, without _Normalized and _JSON.
+    """
+    upper = lambda names: F.transform(F.coalesce(names, F.array().cast("array<string>")), F.upper)
+    plain = F.upper(F.replace(F.replace(field, F.lit("_Normalized"), F.lit("")), F.lit("_JSON"), F.lit("")))
+    holds = lambda names: F.array_contains(upper(names), plain)
+    return F.when(holds(strong), "strong").when(holds(conflicts), "conflict").when(holds(texts), "text")
+
+
 def history(changes: DataFrame) -> DataFrame:
     return changes.orderBy(F.col("change_date").desc(), F.col("change_id").desc())
 
@@ -86,14 +144,7 @@ def stage_counts(tables: dict[str, DataFrame]) -> DataFrame:
 
 
 def fuzzy_search(docs: DataFrame, query: str, title: str, content: str, threshold: float = 55.0) -> DataFrame:
-    """docs with score (0 to 100) of at least threshold, best first: the share of the query's words in a title, or the best
-    share of equal characters in any window of the query's length in the content, by edit distance."""
-    q = query.lower()
-    words = F.array(*map(F.lit, sorted(set(q.split()))))
-    have = F.array_distinct(F.split(F.lower(F.col(title)), r"\s+"))
-    by_words = 100.0 * F.size(F.array_intersect(have, words)) / F.greatest(F.lit(1), F.size(words))
-    n = len(q)
-    text = F.lower(F.col(content))
-    starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(text) - n + 1))
-    near = F.array_max(F.transform(starts, lambda i: 100.0 * (1 - F.levenshtein(F.substring(text, i, F.lit(n)), F.lit(q)) / max(1, n))))
-    return docs.withColumn("score", F.greatest(by_words, near)).filter(F.col("score") >= threshold).orderBy(F.col("score").desc())
+    """docs with score (0 to 100) of at least threshold, best first: the better of the titles' word sets and the best part of the
+    content, by the formulas of goldloom.functions.fuzzy. Null texts count as empty."""
+    score = F.greatest(fuzzy.token_set(F.lit(query), F.col(title)), fuzzy.partial(F.lit(query), F.col(content)))
+    return docs.withColumn("score", score).filter(F.col("score") >= threshold).orderBy(F.col("score").desc())

@@ -2,32 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from goldloom.functions import address, checks, dates, similarity, text
-from goldloom.operators import blocking, cluster, golden, mapping, matching, serving, survivorship, validation
+from goldloom.operators import blocking, cluster, golden, mapping, matching, serving, survivorship, tables, validation
+from goldloom.plans import loads  # noqa: F401 (registers its queries)
 from goldloom.plans import rules as R
+from goldloom.plans.registry import QUERIES, SQL, query  # noqa: F401
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 c = F.col
 
 
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = lambda spark, sf_dir, f=f: f(lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet"))
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
 # --- scans and projections
 
 
@@ -78,7 +67,8 @@ def nested_slots(t):
 @query("""SELECT c_custkey, coalesce(CASE WHEN c_custkey % 2 = 0 THEN c_name END, CASE WHEN c_custkey % 3 = 0 THEN 'id-' || c_custkey END, (row_number() OVER (ORDER BY c_custkey))::VARCHAR) AS record_id FROM customer""")
 def source_record_id(t):
     source = t("customer").select("c_custkey", F.when(c("c_custkey") % 2 == 0, c("c_name")).alias("own"), F.when(c("c_custkey") % 3 == 0, F.concat(F.lit("id-"), c("c_custkey"))).alias("Id"))
-    return source.select("c_custkey", mapping.source_record_id(source, c("own"), ["c_custkey"]).alias("record_id"))
+    rows = tables.numbered(source, ["c_custkey"], "row")
+    return rows.select("c_custkey", mapping.source_record_id(source, c("own"), c("row")).alias("record_id"))
 
 
 # --- text
@@ -334,11 +324,11 @@ def param_lookup(t):
 # --- matching over parts
 
 _PART_RULES = (
-    R.FieldRule("REGON", 0.95, R.STRONG, "code", True),
-    R.FieldRule("Name", 0.75, R.SEMI_FIXED, "p_name"),
-    R.FieldRule("Short_Name", 0.55, R.SEMI_FIXED, "p_brand"),
-    R.FieldRule("Establishment", 0.55, R.FIXED, "p_size"),
-    R.FieldRule("Street", 0.15, R.DYNAMIC, "p_type"),
+    R.FieldRule("REGON", 0.95, R.STRONG, ("code",), True),
+    R.FieldRule("Name", 0.75, R.SEMI_FIXED, ("p_name",)),
+    R.FieldRule("Short_Name", 0.55, R.SEMI_FIXED, ("p_brand",)),
+    R.FieldRule("Establishment", 0.55, R.FIXED, ("p_size",)),
+    R.FieldRule("Street", 0.15, R.DYNAMIC, ("p_type",)),
 )
 _PART_KEYS = (("p_brand", "p_type"), ("p_name:4", "p_size"))
 
@@ -363,18 +353,18 @@ def _sim(column: str, how: str) -> str:
 
 
 def _sql_score(rules, prefix: str) -> str:
-    total = " + ".join(f"CASE WHEN {prefix}{r.column} IS NOT NULL THEN {prefix}{r.column} * {r.weight!r} ELSE 0.0 END::DOUBLE" for r in rules)
-    weight = " + ".join(f"CASE WHEN {prefix}{r.column} IS NOT NULL THEN {r.weight!r} ELSE 0.0 END::DOUBLE" for r in rules)
+    total = " + ".join(f"CASE WHEN {prefix}{r.columns[0]} IS NOT NULL THEN {prefix}{r.columns[0]} * {r.weight!r} ELSE 0.0 END::DOUBLE" for r in rules)
+    weight = " + ".join(f"CASE WHEN {prefix}{r.columns[0]} IS NOT NULL THEN {r.weight!r} ELSE 0.0 END::DOUBLE" for r in rules)
     return f"round(({total}) / ({weight}), 4)"
 
 
-_STAGE1 = f"""{_PAIRS}, sims AS (SELECT left_id, right_id, {", ".join(f"({_sim(r.column, 'lev')})::DOUBLE AS s_{r.column}" for r in _PART_RULES)} FROM pairs JOIN parts l ON l.p_partkey = left_id JOIN parts r ON r.p_partkey = right_id),
+_STAGE1 = f"""{_PAIRS}, sims AS (SELECT left_id, right_id, {", ".join(f"({_sim(r.columns[0], 'lev')})::DOUBLE AS s_{r.columns[0]}" for r in _PART_RULES)} FROM pairs JOIN parts l ON l.p_partkey = left_id JOIN parts r ON r.p_partkey = right_id),
 scored AS (SELECT *, {_sql_score(_PART_RULES, 's_')} AS score, coalesce(s_code = 1, FALSE) AS strong, coalesce(s_code < 1, FALSE) AS k1, coalesce(s_p_name < 0.6, FALSE) AS k2, coalesce(s_p_brand < 0.6, FALSE) AS k3, coalesce(s_p_size < 1, FALSE) AS k4 FROM sims),
 stage1 AS (SELECT left_id, right_id, score, strong, k1::INT + k2::INT + k3::INT + k4::INT AS n_conflicts, k1, k2, k3, k4,
  CASE WHEN NOT strong AND k1::INT + k2::INT + k3::INT + k4::INT >= 3 THEN 'NO_MATCH' WHEN score >= 0.95 AND NOT k1 THEN 'AUTO_MERGE' WHEN strong AND k1::INT + k2::INT + k3::INT + k4::INT = 0 THEN 'AUTO_MERGE'
  WHEN score >= 0.9 AND k1::INT + k2::INT + k3::INT + k4::INT = 0 THEN 'AUTO_MERGE' WHEN score >= 0.7 THEN 'REVIEW' WHEN score >= 0.5 THEN 'CANDIDATE' ELSE 'NO_MATCH' END AS decision FROM scored),
 first AS (SELECT * FROM stage1 WHERE decision <> 'NO_MATCH' AND score >= 0.5)"""
-_PART_JW = tuple(r for r in _PART_RULES if r.column in ("p_name", "p_brand"))
+_PART_JW = tuple(r for r in _PART_RULES if r.columns[0] in ("p_name", "p_brand"))
 _STAGE2 = f"""{_STAGE1}, jw AS (SELECT f.*, ({_sim('p_name', 'jw')})::DOUBLE AS j_p_name, ({_sim('p_brand', 'jw')})::DOUBLE AS j_p_brand FROM first f JOIN parts l ON l.p_partkey = left_id JOIN parts r ON r.p_partkey = right_id),
 jscored AS (SELECT left_id, right_id, decision AS d1, strong, {_sql_score(_PART_JW, 'j_')} AS score, k1::INT + k4::INT + (k2 OR j_p_name < 0.82)::INT + (k3 OR j_p_brand < 0.82)::INT AS n_conflicts FROM jw),
 second AS (SELECT *, CASE WHEN score >= 0.94 AND n_conflicts = 0 THEN 'AUTO_MERGE' WHEN strong AND n_conflicts = 0 AND score >= 0.86 THEN 'AUTO_MERGE' WHEN score >= 0.86 THEN 'REVIEW' WHEN score >= 0.78 THEN 'CANDIDATE' WHEN d1 = 'AUTO_MERGE' AND strong THEN 'REVIEW' ELSE 'NO_MATCH' END AS decision FROM jscored),
@@ -438,6 +428,11 @@ def pair_comparison(t):
     return matching.compare_records(_parts(t), "p_partkey", _first(t).filter("decision = 'AUTO_MERGE'"), ["p_name", "p_brand", "code"])
 
 
+@query(f"WITH {_STAGE2} SELECT f.left_id, f.right_id, f.score, count(*) OVER () AS total, EXISTS (SELECT 1 FROM kept k WHERE k.left_id = f.left_id AND k.right_id = f.right_id) AS passed FROM first f WHERE decision = 'REVIEW' ORDER BY f.score DESC, f.left_id, f.right_id LIMIT 50 OFFSET 25")
+def candidate_list(t):
+    return serving.candidate_list(_first(t), _second(t), "review", 50, 25).select("left_id", "right_id", "score", "total", "passed")
+
+
 _EDGES = "edges AS (SELECT d.doc_id AS a, f.first_id AS b FROM documents d JOIN (SELECT text, min(doc_id) AS first_id FROM documents GROUP BY text) f USING (text) WHERE d.doc_id <> f.first_id UNION ALL SELECT doc_id, doc_id - doc_id % 97 FROM documents WHERE doc_id % 97 BETWEEN 1 AND 3)"
 _COMPONENTS = f"""WITH RECURSIVE {_EDGES}, both_ AS (SELECT a, b FROM edges UNION SELECT b, a FROM edges), reach(id, other) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.id, e.b FROM reach r JOIN both_ e ON r.other = e.a), labels AS (SELECT id, min(other) AS component FROM reach GROUP BY id)"""
 
@@ -460,6 +455,12 @@ def group_keys(t):
     return cluster.entity_groups(_labels(t)).select("component", "size", "group_key")
 
 
+@query(f"""{_COMPONENTS}, g AS (SELECT component, list(id ORDER BY id) AS members FROM labels GROUP BY component), n AS (SELECT row_number() OVER (ORDER BY members) AS group_id, members FROM g)
+SELECT group_id, unnest(members) AS id FROM n""")
+def stored_groups(t):
+    return cluster.store_groups(cluster.entity_groups(_labels(t)))["members"]
+
+
 @query("SELECT coalesce(a.k, b.k) AS group_key, CASE WHEN a.k IS NULL THEN 'INSERT' WHEN b.k IS NULL THEN 'DELETE' ELSE 'KEEP' END AS action FROM (SELECT c_custkey AS k FROM customer WHERE c_custkey % 3 > 0) a FULL JOIN (SELECT c_custkey AS k FROM customer WHERE c_custkey % 5 > 0) b ON a.k = b.k")
 def stale_set_diff(t):
     keys = t("customer").select(c("c_custkey").alias("group_key"))
@@ -660,7 +661,7 @@ def preprocess_wide(t):
 
 @query()
 def fuzzy_search(t):
-    rows = t("benchmark").select("item_id", F.substring("text", 1, 40).alias("title"), c("text").alias("content"))
+    rows = t("benchmark").select("item_id", F.concat(F.lit("the item "), c("item_id").cast("string")).alias("title"), c("text").alias("content"))
     return serving.fuzzy_search(rows, "the of and in", "title", "content").select("item_id", "score")
 
 

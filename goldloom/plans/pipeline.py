@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from goldloom.operators import cluster, golden, mapping, matching, validation
+from goldloom.operators import cluster, constraints, golden, mapping, matching, tables, validation
 from goldloom.plans import rules as R
 from goldloom.sources.files import source_code
 
@@ -50,6 +51,30 @@ def batch_status(log: Log) -> str:
     return "STAGING_LOADED" if "STAGING" in done else "RAW_LOADED" if "RAW" in done else "PROCESSING" if log.rows else "NEW"
 
 
+#: Most rows of a raw file.
+FILE_ROWS = 10**10
+
+
+@dataclass(frozen=True)
+class Source:
+    """A raw file to be run: its rows, its column mapping and where it comes from."""
+
+    rows: DataFrame
+    columns: list[tuple[str, str]]
+    code: str
+    batch: int
+    raw_file: int
+    order_by: list[str]
+    import_ts: str | None = None
+
+
+def refuse_staged(spark: SparkSession, path: str, entity: str, raw_file: int) -> None:
+    """ValueError if the raw file has been staged below path."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{entity}/staging/RawFile_ID={raw_file}/_SUCCESS")
+    if place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place):
+        raise ValueError(f"raw file {raw_file} is loaded already")
+
+
 def run_source(spark: SparkSession, source: DataFrame, columns: list[tuple[str, str]], entity: str, batch: int, raw_file: int, path: str, order_by: list[str], teryt: validation.Teryt | None = None, log: Log | None = None) -> dict[str, DataFrame]:
     """Stages one raw file up to validation; each table is written below path, in a partition of its raw file."""
     log = log or Log()
@@ -78,17 +103,129 @@ def match_and_group(records: DataFrame, entity: str, max_pairs: int = R.MAX_PAIR
     return first, second, labels
 
 
-def golden_load(records: DataFrame, labels: DataFrame, entity: str, existing: DataFrame, statuses: DataFrame | None = None) -> dict[str, DataFrame]:
-    """Dimension, rejects, lineage and changes. records: preprocessed rows with source_code, trust and import_ts.
+@dataclass(frozen=True)
+class Golden:
+    """What a golden load reads and leaves, of one entity type.
+
+    dimension: dim_id and the golden columns (for parties those of their leading identities, too); addresses: address_id and the
+    address columns; links: dim_id, address_id, valid_from, valid_to; identities: identity_type, identity_value, party_id.
+    """
+
+    dimension: DataFrame
+    addresses: DataFrame
+    links: DataFrame
+    identities: DataFrame
+
 
-    existing: dim_id and the golden columns (for parties those of identities, too).
+#: The kind of address that a golden record is linked with.
+ADDRESS_TYPE = {"PERSON": "RESIDENCE", "PARTY": "REGISTERED"}
+
+
+def dimension_fields(entity: str) -> dict[str, tuple[str, ...]]:
+    leading = {k: R.IDENTITY_COLUMNS[k] for k in R.PARTY_IDENTITIES} if entity == "PARTY" else {}
+    return R.GOLDEN_FIELDS[entity] | leading
+
+
+def empty_golden(spark: SparkSession, entity: str) -> Golden:
+    columns = ", ".join(f"{f} string" for f in dimension_fields(entity))
+    address = ", ".join(f"{f} string" for f in R.ADDRESS_COLUMNS)
+    make = lambda schema: spark.createDataFrame([], schema)
+    return Golden(make(f"dim_id long, {columns}"), make(f"address_id long, {address}"), make("dim_id long, address_id long, valid_from date, valid_to date"), make("identity_type string, identity_value string, party_id long"))
+
+
+def in_scope(grouped: DataFrame, raw_file: int | None, group: int | None) -> DataFrame:
+    """Rows of the groups that a load is about: all, one, or those with a member from a raw file, with all their members."""
+    if group is not None:
+        grouped = grouped.filter(F.col("group_id") == group)
+    if raw_file is not None:
+        grouped = grouped.join(grouped.filter(F.col("RawFile_ID") == raw_file).select("group_id").distinct(), "group_id", "left_semi")
+    return grouped
+
+
+def golden_load(records: DataFrame, labels: DataFrame, entity: str, existing: DataFrame | Golden, statuses: DataFrame | None = None, raw_file: int | None = None, group: int | None = None) -> dict[str, DataFrame]:
+    """The golden tables after a load: dimension, addresses, links and identities; with rejects, lineage, changes, matched,
+    address_lineage, link_lineage and identity_lineage.
+
+    records: preprocessed rows with source_code, trust and import_ts; labels: id and component, the record's group. Of groups
+    that meet in one dimension the last one (by id) that has an address gives the link; the addresses of all are kept.
     """
-    fields = R.GOLDEN_FIELDS[entity] | ({k: R.IDENTITY_COLUMNS[k] for k in R.PARTY_IDENTITIES} if entity == "PARTY" else {})
+    spark = records.sparkSession
+    known = existing if isinstance(existing, Golden) else replace(empty_golden(spark, entity), dimension=existing)
+    fields = dimension_fields(entity)
     grouped = records.join(labels.select(F.col("id").alias("Preprocessed_ID"), F.col("component").alias("group_id")), "Preprocessed_ID")
+    grouped = in_scope(grouped, raw_file, group)
     chosen = golden.survivors_of(grouped, entity, fields, statuses)
     groups = grouped.select("group_id").distinct().join(golden.pivot_survivors(chosen, list(fields)), "group_id", "left")
     accepted, rejects = golden.accept(groups, ["Name"] if entity == "PARTY" else [])
     ids = list(R.PERSON_IDENTITIES if entity == "PERSON" else R.PARTY_IDENTITIES)
-    matched = golden.match_dimension(accepted, existing, ids, "dim_id")
-    dimension = golden.upsert(matched, existing, "dim_id", list(fields))
-    return {"dimension": dimension, "rejects": rejects, "lineage": golden.lineage(chosen, matched, "dim_id"), "changes": golden.changes(existing, dimension, "dim_id", list(fields)), "matched": matched}
+    matched = tables.kept(golden.match_dimension(accepted, known.dimension, ids, "dim_id"), "matched")
+    dimension = golden.upsert(matched, known.dimension, "dim_id", list(fields))
+    owners = matched.select("group_id", "dim_id")
+    out = {"dimension": dimension, "rejects": rejects, "lineage": golden.lineage(chosen, matched, "dim_id"), "changes": golden.changes(known.dimension, dimension, "dim_id", list(fields)), "matched": matched}
+    return out | _addresses(grouped, owners, entity, known, statuses) | _identities(grouped, owners, entity, known, statuses)
+
+
+def _addresses(grouped: DataFrame, owners: DataFrame, entity: str, known: Golden, statuses: DataFrame | None) -> dict[str, DataFrame]:
+    columns = list(R.ADDRESS_COLUMNS)
+    chosen = golden.survivors_of(grouped, entity, R.ADDRESS_COLUMNS, statuses).join(owners, "group_id")
+    wanted = golden.pivot_survivors(chosen, columns)
+    placed = tables.kept(golden.address_dimension(wanted, known.addresses, columns), "placed")
+    new = placed.select("address_id", *columns).join(known.addresses.select("address_id"), "address_id", "left_anti").distinct()
+    leading = golden.leading_address(chosen)
+    starts = leading.select("group_id", "dim_id", "rule", "source", "trust", "status", golden.effective_from(F.col("import_ts")).alias("effective_from"))
+    last = Window.partitionBy("dim_id").orderBy(F.col("group_id").desc())
+    linked = placed.select("group_id", "address_id").join(starts, "group_id").withColumn("n", F.row_number().over(last)).filter("n = 1")
+    links = golden.link_addresses(known.links, linked.select("dim_id", "address_id", "effective_from"), "dim_id")
+    link_lineage = linked.select("dim_id", "address_id", "source", F.concat(F.lit("ADDRESS_LINK_FROM_"), "rule").alias("rule"), golden.trust_score(F.col("trust")).alias("trust_score"), golden.quality_score(F.col("status")).alias("quality_score"))
+    address_lineage = golden.lineage(chosen, placed.select("group_id", "address_id"), "address_id")
+    return {"addresses": known.addresses.select("address_id", *columns).unionByName(new), "links": links, "link_lineage": link_lineage, "address_lineage": address_lineage}
+
+
+def _identities(grouped: DataFrame, owners: DataFrame, entity: str, known: Golden, statuses: DataFrame | None) -> dict[str, DataFrame]:
+    """A party's identities; persons have theirs in the dimension."""
+    if entity == "PERSON":
+        return {"identities": known.identities}
+    chosen = golden.survivors_of(grouped, entity, R.IDENTITY_COLUMNS, statuses).join(owners, "group_id")
+    wanted = chosen.select(F.col("field").alias("identity_type"), F.col("value").alias("identity_value"), F.col("dim_id").alias("party_id"), F.col("group_id").alias("seq"))
+    entry = ["identity_type", "identity_value"]
+    last = Window.partitionBy(*entry).orderBy(F.col("seq").desc())
+    rows = chosen.select(F.col("field").alias("identity_type"), F.col("value").alias("identity_value"), F.col("group_id").alias("seq"), "source", "rule", golden.trust_score(F.col("trust")).alias("trust_score"), golden.quality_score(F.col("status")).alias("quality_score"))
+    lineage = rows.withColumn("n", F.row_number().over(last)).filter("n = 1").drop("n", "seq")
+    return {"identities": golden.identity_bridge(known.identities, wanted), "identity_lineage": lineage}
+
+
+def after(loaded: dict[str, DataFrame]) -> Golden:
+    """What the next load reads."""
+    return Golden(*(tables.kept(loaded[n], n) for n in ("dimension", "addresses", "links", "identities")))
+
+
+def run_all(spark: SparkSession, sources: list[Source], entity: str, path: str, existing: Golden | None = None, teryt: validation.Teryt | None = None, log: Log | None = None, max_pairs: int = R.MAX_PAIRS) -> dict[str, DataFrame]:
+    """All stages over raw files: staging, preprocessing, validation of each, then matching, groups and the golden load.
+
+    A raw file that is staged below path already is refused. A stage that fails is logged as FAILED, leaves nothing of its own
+    behind and ends the run.
+    """
+    log = log or Log()
+    done: list[tuple[Source, dict[str, DataFrame]]] = []
+    for s in sources:
+        refuse_staged(spark, path, entity, s.raw_file)
+        done.append((s, run_source(spark, s.rows, s.columns, entity, s.batch, s.raw_file, path, s.order_by, teryt, log)))
+    tag = lambda s, df: df.withColumns({"source_code": F.lit(source_code(s.code)), "trust": F.lit(None).cast("double"), "import_ts": F.lit(s.import_ts).cast("timestamp")})
+    # A row's number is its own only within its raw file.
+    own = lambda s, df: df.withColumn("Preprocessed_ID", F.col("Preprocessed_ID") + F.lit(s.raw_file * FILE_ROWS))
+    records = reduce(DataFrame.unionByName, (tag(s, own(s, k["preprocessed"])) for s, k in done))
+    statuses = reduce(DataFrame.unionByName, (own(s, k["validation"]) for s, k in done)).select("Preprocessed_ID", "field_name", "status")
+    out: dict[str, DataFrame] = {}
+
+    def step(name: str, make) -> DataFrame:
+        out[name] = log.run(name.upper(), log.rows[-1]["records_out"], lambda: tables.kept(make(), name))
+        return out[name]
+
+    first = step("candidates", lambda: constraints.enforce(matching.stage1(records, entity, max_pairs=max_pairs), {k: v for k, v in constraints.candidates().items() if k in ("decision", "score", "pair_order")}))
+    second = step("second", lambda: matching.stage2(first, records, R.JW_RULES[entity]))
+    labels = step("labels", lambda: cluster.connected_components(second.filter("decision = 'AUTO_MERGE'"), records.select(F.col("Preprocessed_ID").alias("id"))))
+    loaded = golden_load(records, labels, entity, existing or empty_golden(spark, entity), statuses)
+    constraints.enforce(loaded["links"], constraints.links())
+    for name, table in loaded.items():
+        step(name, lambda table=table: table)
+    return out | {"records": records, "statuses": statuses}

@@ -12,115 +12,112 @@ STABLE_CONFLICT, BLOCKING_CONFLICTS, MAX_PAIRS = 0.60, 3, 2_000_000
 CRITICAL = ("pesel", "nip", "regon", "krs", "id_card", "passport")
 
 STRONG, FIXED, SEMI_FIXED, DYNAMIC, CONTEXT = "STRONG", "FIXED", "SEMI_FIXED", "DYNAMIC", "CONTEXT"
-_ROLES = {"S": STRONG, "F": FIXED, "SF": SEMI_FIXED, "D": DYNAMIC, "C": CONTEXT}
 
 
 @dataclass(frozen=True)
 class FieldRule:
+    """A field that is compared: the first of columns and name that a record has a value in."""
+
     name: str
     weight: float
     role: str
-    column: str
+    columns: tuple[str, ...] = ()
     decisive: bool = False
     comparator: str = "levenshtein"
 
-
-def _rules(table: str) -> tuple[FieldRule, ...]:
-    """Lines of name, weight, role (a star: decisive) and column, where it isn't the name with _Normalized."""
-    out = []
-    for line in table.strip().splitlines():
-        name, weight, role, *column = line.split()
-        out.append(FieldRule(name, float(weight), _ROLES[role.rstrip("*")], column[0] if column else f"{name}_Normalized", role.endswith("*")))
-    return tuple(out)
-
-
-PERSON_RULES = _rules("""
-PESEL 1.0 S*
-Serial_Number_ID_Card 0.95 S*
-Serial_Number_Passport 0.95 S*
-Birth_Date 0.9 F Birth_Date
-First_Name 0.65 SF
-Second_Name 0.55 SF
-Last_Name 0.65 SF
-Family_Name 0.55 SF
-Full_Name 0.75 SF
-Place_Of_Birth 0.6 F
-Sex 0.2 SF Sex
-Citizenship 0.15 SF
-Phone_Number 0.1 D Phone_Normalized
-Email_Address 0.12 D Email_Normalized
-Street 0.15 D
-Building_Number 0.15 D
-Apartment_Number 0.08 D
-City 0.12 D
-Postal_City 0.12 D
-Postal_Code 0.18 D
-District 0.08 D
-Province 0.06 D
-Country 0.08 F
-Full_Address 0.12 D
-""")
-PARTY_RULES = _rules("""
-NIP 1.0 S*
-REGON 0.95 S*
-KRS 0.95 S*
-LEI 1.0 S*
-Name 0.75 SF
-Short_Name 0.55 SF
-Legal_Entity_Type 0.2 SF
-Registration_Country 0.08 F
-Establishment_Date 0.55 F Establishment_Date
-Street 0.15 D
-Building_Number 0.15 D
-Apartment_Number 0.08 D
-City 0.12 D
-Postal_City 0.12 D
-Postal_Code 0.18 D
-District 0.08 D
-Province 0.06 D
-Country 0.08 F
-Full_Address 0.12 D
-Register_Status 0.1 SF
-Registration_Date 0.45 F Registration_Date
-Deregistration_Date 0.25 SF Deregistration_Date
-Decision_Date 0.35 F Decision_Date
-Decision_Number 0.75 S*
-Register_Number 0.75 S*
-Bank_Accounts_JSON 0.15 D Bank_Accounts_Normalized_JSON
-Has_Virtual_Accounts 0.05 C Has_Virtual_Accounts
-Business_Scope 0.08 C
-Ownership_Form 0.08 C
-Municipality 0.08 D
-Phone_Number 0.1 D Phone_Normalized
-Email_Address 0.12 D Email_Normalized
-Website 0.12 D
-Agent_Type 0.7 SF
-Insurance_Company 0.7 SF
-Related_Persons_JSON 0.2 C Related_Persons_Normalized_JSON
-Related_Parties_JSON 0.2 C Related_Parties_Normalized_JSON
-Registration_Status 0.1 SF
-Last_Update_Date 0.05 C Last_Update_Date
-Next_Renewal_Date 0.05 C Next_Renewal_Date
-Managing_LOU 0.15 C
-Validation_Sources 0.15 C
-Validation_Authority_ID 0.7 SF
-Validation_Authority_Entity_ID 0.85 S*
-""") + tuple(
-    rule
-    for parent in ("Direct", "Ultimate")
-    for rule in _rules(f"""
-{parent}_Parent_LEI 0.95 F
-{parent}_Parent_Name 0.6 SF
-{parent}_Parent_Relationship_Type 0.2 C
-{parent}_Parent_Relationship_Status 0.1 C
-{parent}_Parent_Relationship_Start_Date 0.7 SF {parent}_Parent_Relationship_Start_Date
-{parent}_Parent_Relationship_End_Date 0.1 C {parent}_Parent_Relationship_End_Date
-""")
+    @property
+    def sources(self) -> tuple[str, ...]:
+        return (*self.columns, self.name)
+
+
+PERSON_RULES = (
+    FieldRule("PESEL", 1.0, STRONG, ("PESEL_Normalized",), True),
+    FieldRule("Serial_Number_ID_Card", 0.95, STRONG, ("Serial_Number_ID_Card_Normalized",), True),
+    FieldRule("Serial_Number_Passport", 0.95, STRONG, ("Serial_Number_Passport_Normalized",), True),
+    FieldRule("Birth_Date", 0.9, FIXED, ()),
+    FieldRule("First_Name", 0.65, SEMI_FIXED, ("First_Name_Normalized",)),
+    FieldRule("Second_Name", 0.55, SEMI_FIXED, ("Second_Name_Normalized",)),
+    FieldRule("Last_Name", 0.65, SEMI_FIXED, ("Last_Name_Normalized",)),
+    FieldRule("Family_Name", 0.55, SEMI_FIXED, ("Family_Name_Normalized",)),
+    FieldRule("Full_Name", 0.75, SEMI_FIXED, ("Full_Name_Normalized",)),
+    FieldRule("Place_Of_Birth", 0.6, FIXED, ("Place_Of_Birth_Normalized",)),
+    FieldRule("Sex", 0.2, SEMI_FIXED, ()),
+    FieldRule("Citizenship", 0.15, SEMI_FIXED, ("Citizenship_Normalized",)),
+    FieldRule("Phone_Number", 0.1, DYNAMIC, ("Phone_Normalized",)),
+    FieldRule("Email_Address", 0.12, DYNAMIC, ("Email_Normalized",)),
+    FieldRule("Street", 0.15, DYNAMIC, ("Street_Normalized",)),
+    FieldRule("Building_Number", 0.15, DYNAMIC, ("Building_Number_Normalized",)),
+    FieldRule("Apartment_Number", 0.08, DYNAMIC, ("Apartment_Number_Normalized",)),
+    FieldRule("City", 0.12, DYNAMIC, ("City_Normalized",)),
+    FieldRule("Postal_City", 0.12, DYNAMIC, ("Postal_City_Normalized",)),
+    FieldRule("Postal_Code", 0.18, DYNAMIC, ("Postal_Code_Normalized",)),
+    FieldRule("District", 0.08, DYNAMIC, ("District_Normalized",)),
+    FieldRule("Province", 0.06, DYNAMIC, ("Province_Normalized",)),
+    FieldRule("Country", 0.08, FIXED, ("Country_Normalized",)),
+    FieldRule("Full_Address", 0.12, DYNAMIC, ("Full_Address_Normalized",)),
+)
+PARTY_RULES = (
+    FieldRule("NIP", 1.0, STRONG, ("NIP_Normalized",), True),
+    FieldRule("REGON", 0.95, STRONG, ("REGON_Normalized",), True),
+    FieldRule("KRS", 0.95, STRONG, ("KRS_Normalized",), True),
+    FieldRule("LEI", 1.0, STRONG, ("LEI_Normalized",), True),
+    FieldRule("Name", 0.75, SEMI_FIXED, ("Name_Normalized",)),
+    FieldRule("Short_Name", 0.55, SEMI_FIXED, ("Short_Name_Normalized",)),
+    FieldRule("Legal_Entity_Type", 0.2, SEMI_FIXED, ("Legal_Entity_Type_Normalized",)),
+    FieldRule("Registration_Country", 0.08, FIXED, ("Registration_Country_Normalized",)),
+    FieldRule("Establishment_Date", 0.55, FIXED, ()),
+    FieldRule("Street", 0.15, DYNAMIC, ("Street_Normalized",)),
+    FieldRule("Building_Number", 0.15, DYNAMIC, ("Building_Number_Normalized",)),
+    FieldRule("Apartment_Number", 0.08, DYNAMIC, ("Apartment_Number_Normalized",)),
+    FieldRule("City", 0.12, DYNAMIC, ("City_Normalized",)),
+    FieldRule("Postal_City", 0.12, DYNAMIC, ("Postal_City_Normalized",)),
+    FieldRule("Postal_Code", 0.18, DYNAMIC, ("Postal_Code_Normalized",)),
+    FieldRule("District", 0.08, DYNAMIC, ("District_Normalized",)),
+    FieldRule("Province", 0.06, DYNAMIC, ("Province_Normalized",)),
+    FieldRule("Country", 0.08, FIXED, ("Country_Normalized",)),
+    FieldRule("Full_Address", 0.12, DYNAMIC, ("Full_Address_Normalized",)),
+    FieldRule("Register_Status", 0.1, SEMI_FIXED, ("Register_Status_Normalized",)),
+    FieldRule("Registration_Date", 0.45, FIXED, ()),
+    FieldRule("Deregistration_Date", 0.25, SEMI_FIXED, ()),
+    FieldRule("Decision_Date", 0.35, FIXED, ()),
+    FieldRule("Decision_Number", 0.75, STRONG, ("Decision_Number_Normalized",), True),
+    FieldRule("Register_Number", 0.75, STRONG, ("Register_Number_Normalized",), True),
+    FieldRule("Bank_Accounts_JSON", 0.15, DYNAMIC, ("Bank_Accounts_Normalized_JSON",)),
+    FieldRule("Has_Virtual_Accounts", 0.05, CONTEXT, ()),
+    FieldRule("Business_Scope", 0.08, CONTEXT, ("Business_Scope_Normalized",)),
+    FieldRule("Ownership_Form", 0.08, CONTEXT, ("Ownership_Form_Normalized",)),
+    FieldRule("Municipality", 0.08, DYNAMIC, ("Municipality_Normalized",)),
+    FieldRule("Phone_Number", 0.1, DYNAMIC, ("Phone_Normalized",)),
+    FieldRule("Email_Address", 0.12, DYNAMIC, ("Email_Normalized",)),
+    FieldRule("Website", 0.12, DYNAMIC, ("Website_Normalized",)),
+    FieldRule("Agent_Type", 0.7, SEMI_FIXED, ("Agent_Type_Normalized",)),
+    FieldRule("Insurance_Company", 0.7, SEMI_FIXED, ("Insurance_Company_Normalized",)),
+    FieldRule("Related_Persons_JSON", 0.2, CONTEXT, ("Related_Persons_Normalized_JSON",)),
+    FieldRule("Related_Parties_JSON", 0.2, CONTEXT, ("Related_Parties_Normalized_JSON",)),
+    FieldRule("Registration_Status", 0.1, SEMI_FIXED, ("Registration_Status_Normalized",)),
+    FieldRule("Last_Update_Date", 0.05, CONTEXT, ()),
+    FieldRule("Next_Renewal_Date", 0.05, CONTEXT, ()),
+    FieldRule("Managing_LOU", 0.15, CONTEXT, ("Managing_LOU_Normalized",)),
+    FieldRule("Validation_Sources", 0.15, CONTEXT, ("Validation_Sources_Normalized",)),
+    FieldRule("Validation_Authority_ID", 0.7, SEMI_FIXED, ("Validation_Authority_ID_Normalized",)),
+    FieldRule("Validation_Authority_Entity_ID", 0.85, STRONG, ("Validation_Authority_Entity_ID_Normalized",), True),
+    FieldRule("Direct_Parent_LEI", 0.95, FIXED, ("Direct_Parent_LEI_Normalized",)),
+    FieldRule("Direct_Parent_Name", 0.6, SEMI_FIXED, ("Direct_Parent_Name_Normalized",)),
+    FieldRule("Direct_Parent_Relationship_Type", 0.2, CONTEXT, ("Direct_Parent_Relationship_Type_Normalized",)),
+    FieldRule("Direct_Parent_Relationship_Status", 0.1, CONTEXT, ("Direct_Parent_Relationship_Status_Normalized",)),
+    FieldRule("Direct_Parent_Relationship_Start_Date", 0.7, SEMI_FIXED, ()),
+    FieldRule("Direct_Parent_Relationship_End_Date", 0.1, CONTEXT, ()),
+    FieldRule("Ultimate_Parent_LEI", 0.95, FIXED, ("Ultimate_Parent_LEI_Normalized",)),
+    FieldRule("Ultimate_Parent_Name", 0.6, SEMI_FIXED, ("Ultimate_Parent_Name_Normalized",)),
+    FieldRule("Ultimate_Parent_Relationship_Type", 0.2, CONTEXT, ("Ultimate_Parent_Relationship_Type_Normalized",)),
+    FieldRule("Ultimate_Parent_Relationship_Status", 0.1, CONTEXT, ("Ultimate_Parent_Relationship_Status_Normalized",)),
+    FieldRule("Ultimate_Parent_Relationship_Start_Date", 0.7, SEMI_FIXED, ()),
+    FieldRule("Ultimate_Parent_Relationship_End_Date", 0.1, CONTEXT, ()),
 )
 RULES = {"PERSON": PERSON_RULES, "PARTY": PARTY_RULES}
 _JW_FIELDS = {
-    "PERSON": "First_Name Second_Name Last_Name Family_Name Full_Name Place_Of_Birth Street City Postal_City Full_Address".split(),
-    "PARTY": "Name Short_Name Legal_Entity_Type Street City Postal_City Full_Address Business_Scope Ownership_Form Agent_Type Insurance_Company Direct_Parent_Name Ultimate_Parent_Name".split(),
+    "PERSON": ["First_Name", "Second_Name", "Last_Name", "Family_Name", "Full_Name", "Place_Of_Birth", "Street", "City", "Postal_City", "Full_Address"],
+    "PARTY": ["Name", "Short_Name", "Legal_Entity_Type", "Street", "City", "Postal_City", "Full_Address", "Business_Scope", "Ownership_Form", "Agent_Type", "Insurance_Company", "Direct_Parent_Name", "Ultimate_Parent_Name"],
 }
 JW_RULES = {kind: tuple(r for r in RULES[kind] if r.name in names) for kind, names in _JW_FIELDS.items()}
 
@@ -164,29 +161,29 @@ SOURCES = tuple(TRUST)
 ADDRESS_FIELDS = ("Street", "Building_Number", "Apartment_Number", "City", "Postal_City", "Postal_Code", "District", "Province", "Country", "Full_Address")
 ADDRESS_LINK_FIELDS = ("Full_Address", "Street", "City", "Postal_Code", "Building_Number", "Apartment_Number", "Postal_City", "District", "Province", "Country")
 DEFAULT_ORDER = {
-    "PERSON": "PESEL CEIDG INSURANCE_CORE KNF_AGENT KNF_PRACOWNIK_AGENTA KNF_FIRMY_INWESTYCYJNE".split(),
-    "PARTY": "KRS REGON VAT GLEIF CEIDG KNF_FIRMY_INWESTYCYJNE KNF_PIENIADZ_ELEKTRONICZNY KNF_AGENT KNF_PRACOWNIK_AGENTA INSURANCE_CORE".split(),
+    "PERSON": ["PESEL", "CEIDG", "INSURANCE_CORE", "KNF_AGENT", "KNF_PRACOWNIK_AGENTA", "KNF_FIRMY_INWESTYCYJNE"],
+    "PARTY": ["KRS", "REGON", "VAT", "GLEIF", "CEIDG", "KNF_FIRMY_INWESTYCYJNE", "KNF_PIENIADZ_ELEKTRONICZNY", "KNF_AGENT", "KNF_PRACOWNIK_AGENTA", "INSURANCE_CORE"],
 }
-_CONTACT = "CEIDG INSURANCE_CORE PESEL KNF_AGENT KNF_PRACOWNIK_AGENTA KNF_FIRMY_INWESTYCYJNE".split()
-_PERSON_ADDRESS = "CEIDG PESEL INSURANCE_CORE KNF_AGENT KNF_PRACOWNIK_AGENTA KNF_FIRMY_INWESTYCYJNE".split()
-_PARTY_ADDRESS = "REGON VAT CEIDG KRS KNF_AGENT KNF_FIRMY_INWESTYCYJNE KNF_PIENIADZ_ELEKTRONICZNY GLEIF INSURANCE_CORE".split()
+_CONTACT = ["CEIDG", "INSURANCE_CORE", "PESEL", "KNF_AGENT", "KNF_PRACOWNIK_AGENTA", "KNF_FIRMY_INWESTYCYJNE"]
+_PERSON_ADDRESS = ["CEIDG", "PESEL", "INSURANCE_CORE", "KNF_AGENT", "KNF_PRACOWNIK_AGENTA", "KNF_FIRMY_INWESTYCYJNE"]
+_PARTY_ADDRESS = ["REGON", "VAT", "CEIDG", "KRS", "KNF_AGENT", "KNF_FIRMY_INWESTYCYJNE", "KNF_PIENIADZ_ELEKTRONICZNY", "GLEIF", "INSURANCE_CORE"]
 ORDERS = {
     "PERSON": {"Phone_Number": _CONTACT, "Email_Address": _CONTACT} | {f: _PERSON_ADDRESS for f in ADDRESS_FIELDS if f != "Country"},
     "PARTY": {f: _PARTY_ADDRESS for f in ADDRESS_FIELDS}
     | {
-        "NIP": "VAT REGON CEIDG KRS KNF_FIRMY_INWESTYCYJNE KNF_PIENIADZ_ELEKTRONICZNY KNF_AGENT KNF_PRACOWNIK_AGENTA INSURANCE_CORE GLEIF".split(),
-        "REGON": "REGON VAT CEIDG KRS KNF_FIRMY_INWESTYCYJNE KNF_AGENT KNF_PRACOWNIK_AGENTA INSURANCE_CORE GLEIF".split(),
-        "KRS": "KRS REGON VAT CEIDG KNF_FIRMY_INWESTYCYJNE KNF_AGENT KNF_PRACOWNIK_AGENTA INSURANCE_CORE GLEIF".split(),
-        "LEI": "GLEIF KRS REGON VAT CEIDG INSURANCE_CORE KNF_FIRMY_INWESTYCYJNE KNF_PIENIADZ_ELEKTRONICZNY".split(),
-        "Name": "KRS REGON GLEIF VAT CEIDG KNF_FIRMY_INWESTYCYJNE KNF_PIENIADZ_ELEKTRONICZNY KNF_AGENT KNF_PRACOWNIK_AGENTA INSURANCE_CORE".split(),
-        "Short_Name": "CEIDG KRS REGON GLEIF VAT KNF_FIRMY_INWESTYCYJNE INSURANCE_CORE".split(),
-        "Legal_Entity_Type": "KRS GLEIF REGON CEIDG KNF_PIENIADZ_ELEKTRONICZNY INSURANCE_CORE VAT".split(),
-        "Registration_Country": "GLEIF KRS REGON CEIDG VAT INSURANCE_CORE".split(),
-        "Establishment_Date": "KRS CEIDG REGON VAT GLEIF KNF_PIENIADZ_ELEKTRONICZNY INSURANCE_CORE".split(),
-        "Postal_City": "VAT REGON CEIDG KRS KNF_AGENT GLEIF INSURANCE_CORE".split(),
-        "District": "REGON CEIDG KRS GLEIF INSURANCE_CORE".split(),
-        "Province": "REGON CEIDG KRS GLEIF INSURANCE_CORE".split(),
-        "Country": "GLEIF REGON KRS CEIDG VAT INSURANCE_CORE".split(),
+        "NIP": ["VAT", "REGON", "CEIDG", "KRS", "KNF_FIRMY_INWESTYCYJNE", "KNF_PIENIADZ_ELEKTRONICZNY", "KNF_AGENT", "KNF_PRACOWNIK_AGENTA", "INSURANCE_CORE", "GLEIF"],
+        "REGON": ["REGON", "VAT", "CEIDG", "KRS", "KNF_FIRMY_INWESTYCYJNE", "KNF_AGENT", "KNF_PRACOWNIK_AGENTA", "INSURANCE_CORE", "GLEIF"],
+        "KRS": ["KRS", "REGON", "VAT", "CEIDG", "KNF_FIRMY_INWESTYCYJNE", "KNF_AGENT", "KNF_PRACOWNIK_AGENTA", "INSURANCE_CORE", "GLEIF"],
+        "LEI": ["GLEIF", "KRS", "REGON", "VAT", "CEIDG", "INSURANCE_CORE", "KNF_FIRMY_INWESTYCYJNE", "KNF_PIENIADZ_ELEKTRONICZNY"],
+        "Name": ["KRS", "REGON", "GLEIF", "VAT", "CEIDG", "KNF_FIRMY_INWESTYCYJNE", "KNF_PIENIADZ_ELEKTRONICZNY", "KNF_AGENT", "KNF_PRACOWNIK_AGENTA", "INSURANCE_CORE"],
+        "Short_Name": ["CEIDG", "KRS", "REGON", "GLEIF", "VAT", "KNF_FIRMY_INWESTYCYJNE", "INSURANCE_CORE"],
+        "Legal_Entity_Type": ["KRS", "GLEIF", "REGON", "CEIDG", "KNF_PIENIADZ_ELEKTRONICZNY", "INSURANCE_CORE", "VAT"],
+        "Registration_Country": ["GLEIF", "KRS", "REGON", "CEIDG", "VAT", "INSURANCE_CORE"],
+        "Establishment_Date": ["KRS", "CEIDG", "REGON", "VAT", "GLEIF", "KNF_PIENIADZ_ELEKTRONICZNY", "INSURANCE_CORE"],
+        "Postal_City": ["VAT", "REGON", "CEIDG", "KRS", "KNF_AGENT", "GLEIF", "INSURANCE_CORE"],
+        "District": ["REGON", "CEIDG", "KRS", "GLEIF", "INSURANCE_CORE"],
+        "Province": ["REGON", "CEIDG", "KRS", "GLEIF", "INSURANCE_CORE"],
+        "Country": ["GLEIF", "REGON", "KRS", "CEIDG", "VAT", "INSURANCE_CORE"],
     },
 }
 
@@ -200,8 +197,8 @@ PERSON_IDENTITIES = ("PESEL", "Serial_Number_ID_Card", "Serial_Number_Passport")
 PARTY_IDENTITIES = ("NIP", "REGON", "KRS", "LEI")
 
 # Canonical columns of a staged record.
-PERSON_COLUMNS = tuple("Source_Record_ID PESEL Serial_Number_ID_Card Serial_Number_Passport First_Name Second_Name Last_Name Family_Name Birth_Date Place_Of_Birth Sex Citizenship Phone_Number Email_Address Street Building_Number Apartment_Number City Postal_City Postal_Code District Province Country Raw_Record_JSON".split())
-PARTY_COLUMNS = tuple("Source_Record_ID Name Short_Name Legal_Entity_Type Registration_Country Establishment_Date Identifiers_JSON Street Building_Number Apartment_Number City Postal_City Postal_Code District Province Country Register_Status Registration_Date Deregistration_Date Decision_Date Decision_Number Register_Number Bank_Accounts_JSON Has_Virtual_Accounts Business_Scope Ownership_Form Municipality Phone_Number Email_Address Website Agent_Type Insurance_Company Related_Persons_JSON Related_Parties_JSON Registration_Status Last_Update_Date Next_Renewal_Date Managing_LOU Validation_Sources Validation_Authority_ID Validation_Authority_Entity_ID Direct_Parent_LEI Direct_Parent_Name Direct_Parent_Relationship_Type Direct_Parent_Relationship_Status Direct_Parent_Relationship_Start_Date Direct_Parent_Relationship_End_Date Ultimate_Parent_LEI Ultimate_Parent_Name Ultimate_Parent_Relationship_Type Ultimate_Parent_Relationship_Status Ultimate_Parent_Relationship_Start_Date Ultimate_Parent_Relationship_End_Date Raw_Record_JSON".split())
+PERSON_COLUMNS = ("Source_Record_ID", "PESEL", "Serial_Number_ID_Card", "Serial_Number_Passport", "First_Name", "Second_Name", "Last_Name", "Family_Name", "Birth_Date", "Place_Of_Birth", "Sex", "Citizenship", "Phone_Number", "Email_Address", "Street", "Building_Number", "Apartment_Number", "City", "Postal_City", "Postal_Code", "District", "Province", "Country", "Raw_Record_JSON")
+PARTY_COLUMNS = ("Source_Record_ID", "Name", "Short_Name", "Legal_Entity_Type", "Registration_Country", "Establishment_Date", "Identifiers_JSON", "Street", "Building_Number", "Apartment_Number", "City", "Postal_City", "Postal_Code", "District", "Province", "Country", "Register_Status", "Registration_Date", "Deregistration_Date", "Decision_Date", "Decision_Number", "Register_Number", "Bank_Accounts_JSON", "Has_Virtual_Accounts", "Business_Scope", "Ownership_Form", "Municipality", "Phone_Number", "Email_Address", "Website", "Agent_Type", "Insurance_Company", "Related_Persons_JSON", "Related_Parties_JSON", "Registration_Status", "Last_Update_Date", "Next_Renewal_Date", "Managing_LOU", "Validation_Sources", "Validation_Authority_ID", "Validation_Authority_Entity_ID", "Direct_Parent_LEI", "Direct_Parent_Name", "Direct_Parent_Relationship_Type", "Direct_Parent_Relationship_Status", "Direct_Parent_Relationship_Start_Date", "Direct_Parent_Relationship_End_Date", "Ultimate_Parent_LEI", "Ultimate_Parent_Name", "Ultimate_Parent_Relationship_Type", "Ultimate_Parent_Relationship_Status", "Ultimate_Parent_Relationship_Start_Date", "Ultimate_Parent_Relationship_End_Date", "Raw_Record_JSON")
 CANONICAL = {"PERSON": PERSON_COLUMNS, "PARTY": PARTY_COLUMNS}
 IDENTIFIER_KEYS = {"nip": "NIP", "taxnumber": "NIP", "taxref": "NIP", "numernip": "NIP", "numernipagenta": "NIP", "regon": "REGON", "nationalregistryno": "REGON", "statregref": "REGON", "krs": "KRS", "legalregisterno": "KRS", "courtref": "KRS", "numerkrs": "KRS", "numerkrsagenta": "KRS", "numeruknf": "UKNF", "lei": "LEI"}
 SOURCE_ID_COLUMNS = ("Source_Record_ID", "source_record_id", "id", "ID", "firma.id", "numerKRS", "PESEL", "LEI")

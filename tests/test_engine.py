@@ -2,13 +2,14 @@
 
 import datetime as dt
 import json
+import random
 import zipfile
 
 import pytest
 from pyspark.sql import functions as F
 
-from goldloom.functions import address, checks, dates, similarity, text
-from goldloom.operators import blocking, cluster, mapping, matching, serving, survivorship, validation
+from goldloom.functions import address, checks, dates, fuzzy, similarity, text
+from goldloom.operators import blocking, cluster, constraints, mapping, matching, serving, survivorship, tables, validation
 from goldloom.plans import catalogue, pipeline
 from goldloom.plans import rules as R
 from goldloom.sources import files, generator, relational, teryt, xlsx
@@ -186,35 +187,200 @@ def test_incremental(spark, tmp_path):
     assert seen == [2]
 
 
-def brute_score(query, title, content):
-    def distance(a, b):
-        row = list(range(len(b) + 1))
-        for i, x in enumerate(a, 1):
-            last, row[0] = row[0], i
-            for j, y in enumerate(b, 1):
-                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
-        return row[-1]
+def common(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        last = 0
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], last + 1 if x == y else max(row[j], row[j - 1])
+    return row[-1]
 
-    q, t, n = query.lower(), content.lower(), len(query)
-    by_words = 100.0 * len({*q.split()} & {*title.lower().split()}) / len({*q.split()})
-    return max(by_words, *(100.0 * (1 - distance(t[i : i + n], q) / n) for i in range(max(1, len(t) - n + 1))))
 
+def brute_share(a, b):
+    return 200.0 * common(a, b) / (len(a) + len(b)) if a or b else 100.0
 
-def test_fuzzy_search_tries_every_window(spark):
+
+def brute_partial(a, b):
+    a, b = sorted((a, b), key=len)
+    if not a:
+        return 0.0 if b else 100.0
+    parts = lambda x, n: {x[max(0, e - n) : e] for e in range(1, len(x) + n)} | {x[max(0, e - n) :] for e in range(len(x), len(x) + n)}
+    scores = [brute_share(a, p) for p in parts(b, len(a))]
+    return max(scores + [brute_share(b, p) for p in parts(a, len(b))] if len(a) == len(b) else scores)
+
+
+def brute_token_set(a, b):
+    x, y = set(a.split()), set(b.split())
+    if not x or not y:
+        return 0.0
+    same = " ".join(sorted(x & y))
+    if same and (x <= y or y <= x):
+        return 100.0
+    left, right = ((same + " " + " ".join(sorted(s))).strip() for s in (x - y, y - x))
+    head = len(same) + 1 if same else 0
+    scores = [100.0 * (1 - (len(left) + len(right) - 2 * (head + common(left[head:], right[head:]))) / (len(left) + len(right)))]
+    return max(scores + [100.0 * (1 - (len(s) - len(same)) / (len(s) + len(same))) for s in (left, right)] if same else scores)
+
+
+def test_fuzzy_known_values():
+    assert fuzzy.share("this is a test", "this is a test!") == pytest.approx(96.551724)
+    assert fuzzy.partial_score("this is a test", "this is a test!") == 100
+    assert fuzzy.token_set_score("fuzzy fuzzy was a bear", "fuzzy was a bear") == 100
+    assert fuzzy.token_set_score("", "a") == 0 and fuzzy.partial_score("", "a") == 0 and fuzzy.partial_score("", "") == 100
+    rng = random.Random(1)
+    for _ in range(1500):
+        a, b = ("".join(rng.choice("abc d") for _ in range(rng.randint(0, 14))) for _ in range(2))
+        assert fuzzy.partial_score(a, b) == pytest.approx(brute_partial(a, b)), (a, b)
+        assert fuzzy.token_set_score(a, b) == pytest.approx(brute_token_set(a, b)), (a, b)
+
+
+def test_fuzzy_search_tries_every_part(spark):
     query = "the of and in"
-    texts = ["x" * k + "The of and in" + "y" * 9 for k in range(9)] + ["zz" * k + "thx of abd on z" for k in range(4)] + ["of and", "", "nothing of the kind stands here"]
+    texts = ["x" * k + "the of and in" + "y" * 9 for k in range(9)] + ["zz" * k + "thx of abd on z" for k in range(4)] + ["of and", "", "nothing of the kind stands here", None]
     rows = [(i, "The And Of In" if i == 5 else "plain", t) for i, t in enumerate(texts)]
-    want = {i: brute_score(query, a, b) for i, a, b in rows}
-    got = {r["i"]: r["score"] for r in serving.fuzzy_search(spark.createDataFrame(rows, "i int, title string, content string"), query, "title", "content").collect()}
+    want = {i: max(brute_token_set(query, a), brute_partial(query, b or "")) for i, a, b in rows}
+    found = serving.fuzzy_search(spark.createDataFrame(rows, "i int, title string, content string"), query, "title", "content").collect()
+    got = {r["i"]: r["score"] for r in found}
     assert got == pytest.approx({i: s for i, s in want.items() if s >= 55}) and all(got[i] == 100 for i in range(9))
+    assert [r["score"] for r in found] == sorted(got.values(), reverse=True)
 
 
 def test_fuzzy_search_query(spark):
-    sf = "/root/testdata/sf0.01"
-    want = {r["item_id"]: brute_score("the of and in", r["text"][:40], r["text"]) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()}
+    sf = "/root/testdata/sf0.001"
+    query = "the of and in"
+    want = {r["item_id"]: max(brute_token_set(query, f"the item {r['item_id']}"), brute_partial(query, r["text"])) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()}
     got = {r["item_id"]: r["score"] for r in catalogue.QUERIES["fuzzy_search"](spark, sf).collect()}
     assert got == pytest.approx({i: s for i, s in want.items() if s >= 55})
 
 
+def test_similarities_are_computed_once(spark):
+    pairs = spark.createDataFrame([(1, 2)], "left_id long, right_id long")
+    schema = "Preprocessed_ID long, " + ", ".join(f"{r.sources[0]} string" for r in R.PERSON_RULES)
+    records = spark.createDataFrame([], schema)
+    scored = matching.score_pairs(pairs, records, R.PERSON_RULES).filter("score >= 0.5 and decision <> 'NO_MATCH'")
+    spark.conf.set("spark.sql.debug.maxToStringFields", 1000)
+    plan = scored._jdf.queryExecution().optimizedPlan().toString()
+    spark.conf.unset("spark.sql.debug.maxToStringFields")
+    assert plan.count("levenshtein(") == len(R.PERSON_RULES)
+
+
+def test_rules_take_the_first_column_with_a_value(spark):
+    records = spark.createDataFrame([(1, " ", "Jan"), (2, "JAN", None), (3, None, "Stra\u00dfe"), (4, None, "STRASSE")], "Preprocessed_ID long, First_Name_Normalized string, First_Name string")
+    pairs = spark.createDataFrame([(1, 2), (3, 4)], "left_id long, right_id long")
+    assert [r["score"] for r in matching.score_pairs(pairs, records, R.PERSON_RULES).collect()] == [1.0, 1.0]
+
+
+def test_rule_tables():
+    weights = {"PERSON": 24, "PARTY": 56}
+    assert {k: len(v) for k, v in R.RULES.items()} == weights
+    assert {r.name for r in R.PERSON_RULES if r.decisive} == {"PESEL", "Serial_Number_ID_Card", "Serial_Number_Passport"}
+    assert {r.name for r in R.PARTY_RULES if r.decisive} == {"NIP", "REGON", "KRS", "LEI", "Decision_Number", "Register_Number", "Validation_Authority_Entity_ID"}
+    assert round(sum(r.weight for r in R.PERSON_RULES), 2) == 9.26 and all(r.decisive == (r.role == R.STRONG) for v in R.RULES.values() for r in v)
+    assert [r.sources for r in R.PARTY_RULES if r.name == "Bank_Accounts_JSON"] == [("Bank_Accounts_Normalized_JSON", "Bank_Accounts_JSON")]
+
+
+def test_numbered(spark):
+    rows = spark.range(1000).select(((c("id") * 7919) % 1000).alias("v")).repartition(7)
+    got = tables.numbered(rows, ["v"], "n").collect()
+    assert len(got) == 1000 and all(r["n"] == r["v"] + 1 for r in got)
+    assert tables.numbered(rows.limit(0), ["v"], "n").count() == 0
+
+
+def test_stored_groups(spark):
+    labels = spark.createDataFrame([(1, 1), (2, 1), (3, 3), (4, 4)], "id long, component long")
+    first = cluster.store_groups(cluster.entity_groups(labels))
+    assert sorted(map(tuple, first["members"].collect())) == [(1, 1), (1, 2), (2, 3), (3, 4)]
+    moved = spark.createDataFrame([(1, 1), (2, 1), (3, 3), (4, 3)], "id long, component long")
+    second = cluster.store_groups(cluster.entity_groups(moved), first["groups"])
+    assert sorted(map(tuple, second["members"].collect())) == [(1, 1), (1, 2), (4, 3), (4, 4)]
+    assert sorted(r["action"] for r in second["changes"].collect()) == ["DELETE", "DELETE", "INSERT", "KEEP"]
+
+
+def test_constraints(spark):
+    rows = spark.createDataFrame([("PERSON", 1, 2, 0.5, "REVIEW", "[]", None), ("X", 3, 2, 1.5, "NO_MATCH", "[", "{}")], "entity_type string, left_id int, right_id int, score double, decision string, strong_json string, conflict_json string")
+    checks = constraints.candidates()
+    assert {r["constraint"]: r["rows"] for r in constraints.violations(rows, checks).collect()} == {n: int(n != "conflict_json") for n in checks}
+    assert constraints.enforce(rows.limit(1), checks).count() == 1
+    with pytest.raises(constraints.ConstraintError):
+        constraints.enforce(rows, checks)
+
+
+def test_golden_load_of_parties(spark):
+    rows = [
+        (1, 1, "KRS", None, "2024-03-01", "ALFA", "N1", "K1", "Polna", "Opole", "00-001"),
+        (2, 1, "VAT", None, "2024-02-01", "ALFA SP", "N1", None, "Lesna", "Opole", None),
+        (3, 2, "REGON", None, "2024-01-01", None, "N2", None, None, None, None),
+        (4, 3, "REGON", None, "2024-04-01", "BETA", "N3", None, "Polna", "Opole", "00-001"),
+    ]
+    schema = "Preprocessed_ID long, RawFile_ID int, source_code string, trust double, ts string, Name_Normalized string, NIP_Normalized string, KRS_Normalized string, Street_Normalized string, City_Normalized string, Postal_Code_Normalized string"
+    firms = spark.createDataFrame(rows, schema).withColumn("import_ts", c("ts").cast("timestamp"))
+    labels = spark.createDataFrame([(1, 1), (2, 1), (3, 3), (4, 4)], "id long, component long")
+    loaded = pipeline.golden_load(firms, labels, "PARTY", pipeline.empty_golden(spark, "PARTY"))
+    assert [(r["group_id"], r["missing_fields"]) for r in loaded["rejects"].collect()] == [(3, ["Name"])]
+    dims = {r["dim_id"]: r["Name"] for r in loaded["dimension"].collect()}
+    assert dims == {1: "ALFA", 2: "BETA"}
+    places = {r["address_id"]: (r["Street"], r["City"], r["Postal_Code"]) for r in loaded["addresses"].collect()}
+    # The address comes from VAT before KRS, its missing code from KRS.
+    assert sorted(places.values()) == [("Lesna", "Opole", "00-001"), ("Polna", "Opole", "00-001")]
+    links = {r["dim_id"]: (places[r["address_id"]][0], str(r["valid_from"]), r["valid_to"]) for r in loaded["links"].collect()}
+    assert links == {1: ("Lesna", "2024-02-01", None), 2: ("Polna", "2024-04-01", None)}
+    assert {(r["dim_id"], r["rule"]) for r in loaded["link_lineage"].collect()} == {(1, "ADDRESS_LINK_FROM_SOURCE_PRIORITY"), (2, "ADDRESS_LINK_FROM_NON_EMPTY_VALUE")}
+    assert {(r["identity_type"], r["identity_value"], r["party_id"]) for r in loaded["identities"].collect()} == {("NIP", "N1", 1), ("KRS", "K1", 1), ("NIP", "N3", 2)}
+    state = pipeline.after(loaded)
+    again = pipeline.golden_load(firms, labels, "PARTY", state)
+    for name in ("dimension", "addresses", "links", "identities"):
+        assert sorted(map(tuple, again[name].collect()), key=repr) == sorted(map(tuple, getattr(state, name).select(*again[name].columns).collect()), key=repr), name
+    assert again["changes"].count() == 0
+    # One group moves: its old link is closed, a new one opened; the other raw file is out of scope.
+    moved = firms.filter("Preprocessed_ID = 4").withColumn("Street_Normalized", F.lit("Nowa")).withColumn("RawFile_ID", F.lit(9)).withColumn("import_ts", F.lit("2024-05-01").cast("timestamp"))
+    both = firms.filter("Preprocessed_ID < 4").unionByName(moved)
+    third = pipeline.golden_load(both, labels, "PARTY", state, raw_file=9)
+    assert third["matched"].count() == 1 and third["addresses"].count() == 3
+    assert sorted((r["dim_id"], str(r["valid_from"]), str(r["valid_to"])) for r in third["links"].collect()) == [(1, "2024-02-01", "None"), (2, "2024-04-01", "2024-05-01"), (2, "2024-05-01", "None")]
+
+
+def test_validate_parties(spark):
+    columns = [n for n in mapping_columns(spark) if n not in ("Preprocessed_ID", "RawFile_ID")]
+    values = {"NIP_Normalized": "5260250274", "REGON_Normalized": "1", "KRS_Normalized": "0000012345", "Email_Normalized": "a@b.pl", "Name_Normalized": "ALFA"}
+    row = {"Preprocessed_ID": 1, "RawFile_ID": 1} | {n: values.get(n) for n in columns}
+    done = spark.createDataFrame([row], ", ".join(f"{n} {'date' if n.endswith('_Date') else 'long' if n.endswith('_ID') and n in ('Preprocessed_ID', 'RawFile_ID') else 'string'}" for n in row))
+    got = {r["rule_code"]: r["status"] for r in validation.validate_parties(done).collect()}
+    assert got["PARTY_NIP_CHECKSUM"] == "PASS" and got["PARTY_REGON_CHECKSUM"] == "ERROR" and got["PARTY_KRS_FORMAT"] == "PASS" and got["PARTY_LEI_CHECKSUM"] == "PASS"
+    assert got["PARTY_NAME_STRING"] == "PASS" and sum(k.endswith("_DATE_RANGE") for k in got) == 5 and len(got) == 11
+    domains = spark.createDataFrame([("b.pl", False)], "domain string, resolves boolean")
+    checked = {r["rule_code"]: r["status"] for r in validation.with_domain_check(validation.validate_parties(done), domains).collect()}
+    assert checked["PARTY_EMAIL_SYNTAX"] == "ERROR" and checked["PARTY_NIP_CHECKSUM"] == "PASS"
+
+
+def mapping_columns(spark):
+    staged = spark.createDataFrame([], ", ".join(f"{n} {'date' if n.endswith('_Date') else 'string'}" for n in R.PARTY_COLUMNS))
+    staged = staged.select(F.lit(1).cast("long").alias("Staging_ID"), F.lit(1).alias("ImportBatch_ID"), F.lit(1).cast("long").alias("RawFile_ID"), "*")
+    return mapping.preprocess(staged, "PARTY").columns
+
+
+def test_run_of_all_stages(spark, tmp_path):
+    columns = [("PESEL", "PESEL"), ("Imie", "First_Name"), ("Nazwisko", "Last_Name"), ("DataUrodzenia", "Birth_Date"), ("Adres", "Street")]
+    schema = "PESEL string, Imie string, Nazwisko string, DataUrodzenia string, Adres string"
+    one = spark.createDataFrame([("44051401359", "Jan", "Kowalski", "1944-14-05", "ul. Polna 5, 00-950 Warszawa"), ("02070803628", "Ewa", "Lis", "", "")], schema)
+    two = spark.createDataFrame([("44051401359", "Jan", "Kowalsky", "1944-14-05", "ul. Nowa 7, 00-950 Warszawa")], schema)
+    sources = [pipeline.Source(one, columns, "PESEL", 1, 1, ["PESEL"], "2024-01-01"), pipeline.Source(two, columns, "CEIDG", 1, 2, ["PESEL"], "2024-02-01")]
+    log = pipeline.Log()
+    out = pipeline.run_all(spark, sources, "PERSON", f"file://{tmp_path}/run", log=log)
+    assert out["records"].count() == 3 and out["labels"].select("component").distinct().count() == 2
+    names = {(r["PESEL"], r["Last_Name"]) for r in out["dimension"].collect()}
+    assert names == {("44051401359", "KOWALSKI"), ("02070803628", "LIS")}
+    assert out["links"].count() == 1 and out["addresses"].filter("Street like '%NOWA%'").count() == 1  # the contact register goes first for addresses
+    assert pipeline.batch_status(log) == "STAGING_LOADED" and all(r["status"] == "SUCCESS" for r in log.rows)
+    with pytest.raises(ValueError, match="loaded already"):
+        pipeline.run_all(spark, sources[:1], "PERSON", f"file://{tmp_path}/run")
+    failed = pipeline.Log()
+    bad = pipeline.Source(one.withColumn("PESEL", F.raise_error(F.lit("broken"))), columns, "PESEL", 1, 3, ["Imie"])
+    with pytest.raises(Exception, match="broken"):
+        pipeline.run_all(spark, [bad], "PERSON", f"file://{tmp_path}/run", log=failed)
+    assert pipeline.batch_status(failed) == "FAILED" and failed.rows[0]["error"]
+    assert pipeline.batch_status(pipeline.Log()) == "NEW" and pipeline.batch_status(pipeline.Log([{"step": "X", "status": "STARTED"}])) == "PROCESSING"
+    pipeline.refuse_staged(spark, f"file://{tmp_path}/run", "PERSON", 3)  # what failed may run again
+
+
 def test_catalogue_has_sql():
     assert set(catalogue.SQL) == set(catalogue.QUERIES) - {"fuzzy_search"}
