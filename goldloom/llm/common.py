@@ -22,11 +22,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new path below spark.checkpoint.dir, the folder that driver and executors share.
 
-    Where the setting is absent (tests, a single machine) a temporary folder takes its place.
+    Where the setting is absent a temporary folder takes its place, on a single machine only.
     """
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not base:
         if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
             spark.sparkContext.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='goldloom-')}")
         base = spark.sparkContext._jsc.sc().getCheckpointDir().get()
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -115,6 +117,21 @@ def without(rows: DataFrame, column: str, keys: DataFrame, words_of_filter: int
     return clear.unionByName(rest.select(*rows.columns))
 
 
+def row_hash(*columns: Column) -> Column:
+    """With the key, the name of a row: rows that repeat a key and differ in these columns, nulls included, differ in it."""
+    return F.xxhash64(*(x for c in columns for x in (c.isNull(), c)))
+
+
+def keep_rows(docs: DataFrame, name: Column, found: DataFrame) -> DataFrame:
+    """Rows of docs that found (name, kept) doesn't mark as left out, one of each name; name is made of docs' columns."""
+    row = unused(docs, "row")
+    kept = without(docs.withColumn(row, name), row, found.filter("not kept").select(F.col("name").alias(row)))
+    twice = written(found.filter("kept").groupBy(F.col("name").alias(row)).count().filter("count > 1").select(row), "twice")
+    if twice.head(1):
+        kept = without(kept, row, twice).unionByName(kept.join(twice, row, "left_semi").dropDuplicates([row]).select(*kept.columns))
+    return kept.select(*docs.columns)
+
+
 def look_up(rows: DataFrame, level: DataFrame, key: str, hot_share: int = 10_000) -> DataFrame:
     """rows with the other columns of level, which has one row per key and group_size, its number of rows.
 
@@ -123,25 +140,16 @@ def look_up(rows: DataFrame, level: DataFrame, key: str, hot_share: int = 10_000
     """
     total = level.agg(F.sum("group_size")).first()[0] or 0
     least = max(1000, total // hot_share)
-    hot = F.broadcast(level.filter(F.col("group_size") > least).withColumn("__hot", F.lit(True)))
+    hot = F.broadcast(level.filter(F.col("group_size") > least))
     kept = level.columns
-    found = rows.join(hot, key, "inner").drop("__hot")
+    found = rows.join(hot, key, "inner")
     rest = rows.join(hot.select(key), key, "left_anti").join(level.filter(F.col("group_size") <= least), key)
     return found.select(*rows.columns, *(c for c in kept if c != key)).unionByName(rest.select(*rows.columns, *(c for c in kept if c != key)))
 
 
-def release(spark: SparkSession) -> None:
-    """Lets Spark drop the shuffle files of plans that nothing refers to any more."""
-    import gc
-
-    gc.collect()
-    spark._jvm.System.gc()
-
-
 def discard(df: DataFrame) -> None:
     """Deletes a table that written() made and nothing will read again."""
     spark = df.sparkSession
     for file in df.inputFiles()[:1]:
         path = spark._jvm.org.apache.hadoop.fs.Path(file).getParent()
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-    release(spark)

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from goldloom.llm.common import discard, held_in, likely_in, look_up, map_batches, without, written
+from goldloom.llm.common import discard, held_in, likely_in, look_up, map_batches, row_hash, without, written
 from goldloom.llm.components import components
 
 #: Most entries of the list of frequent shingles (16 bytes each, broadcast), and how often a shingle stands in sets to be listed.
@@ -316,11 +316,6 @@ def _blocks(prefixes: DataFrame) -> tuple[DataFrame, DataFrame]:
     return written(blocks, "blocks"), members.drop("high")
 
 
-def row_hash(text: Column, key: Column) -> Column:
-    """With the key, the name of a row: rows of one key and different texts differ in it."""
-    return F.xxhash64(key, text)
-
-
 def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, text: str = "text", key: str = "doc_id") -> DataFrame:
     """One row per row of docs: key (long), row_hash, n_shingles, group_size (rows with an equal set), component_id and kept.
 
@@ -331,13 +326,16 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
     where all keys of a component are. An empty table gives an empty result; other columns are left out.
     """
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text"))
-    rows = rows.withColumn("row_hash", row_hash(F.col("text"), F.col("doc_id")))
+    rows = rows.withColumn("row_hash", row_hash(F.col("text")))
     sets = written(_sketches(rows.select(F.monotonically_increasing_id().alias("row"), "row_hash", "doc_id", "text"), n, num, den), "sets")
     name = F.struct(F.col("doc_id").isNull().alias("keyless"), "doc_id", "row_hash")
     classes = sets.filter("digest is not null").groupBy("digest").agg(F.min("row").alias("node"), F.count("*").alias("group_size"), F.min(name).alias("name"))
     classes = written(classes, "classes")
 
     chosen = _partnered(sets, classes)
+    # Sketches are the larger part of that table and done with.
+    before, sets = sets, written(sets.select("doc_id", "row_hash", "n_shingles", "digest"), "rows")
+    discard(before)
     level = classes.withColumn("comp_name", F.col("name"))
     if chosen.head(1):
         whole = _whole_sets(likely_in(rows, "row_hash", chosen).join(chosen, "row_hash").select("node", "digest", "text"), n)
@@ -349,6 +347,8 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
         named = labels.join(classes.select("node", "name"), "node")
         least = named.groupBy("comp").agg(F.min("name").alias("comp_name"))
         labels = written(labels.join(least, "comp").select("node", "comp_name"), "labels")
+        discard(prefixes)
+        discard(whole)
         level = classes.join(labels, "node", "left").withColumn("comp_name", F.coalesce("comp_name", "name"))
     level = written(level.select("digest", "group_size", "comp_name"), "level")
 
