@@ -60,7 +60,7 @@ def exact_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", d
     """One row per row of docs: key, keep_id, group_size, kept, text_sha256.
 
     Texts are equal when identical after each run of separators is replaced by one space; null counts as empty, so
-    null and empty texts form one group. Of equal texts the row with the smallest key stays. Rows that repeat a key
+    null and empty texts form one group. Of equal texts the row with the smallest key stays; a null key comes after all others. Rows that repeat a key
     count one by one in group_size; of rows with one key and equal texts all are marked as kept. An empty table gives an
     empty result, and other columns are left out. digest_bytes shortens the digest, for tests of the verification.
     """
@@ -72,4 +72,4 @@ def exact_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", d
         groups = wrong.groupBy("digest", "norm").agg(F.min("doc_id").alias("true_id"), F.count("*").alias("true_size"))
         again = wrong.join(groups, ["digest", "norm"]).select("doc_id", F.sha2(F.col("norm").cast("binary"), 256).alias("text_sha256"), "true_id", "true_size").distinct()
         result = result.join(again, ["doc_id", "text_sha256"], "left").select("doc_id", "text_sha256", F.coalesce("true_id", "keep_id").alias("keep_id"), F.coalesce("true_size", "group_size").alias("group_size"))
-    return result.select(F.col("doc_id").alias(key), "keep_id", "group_size", (F.col("doc_id") == F.col("keep_id")).alias("kept"), "text_sha256")
+    return result.select(F.col("doc_id").alias(key), "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from goldloom.llm.common import SEPARATOR, words, written
+from goldloom.llm.common import SEPARATOR, row_hash, unused, without, words, written
 
 #: A document is taken so many times at most, and a target is at most so many times its source's size.
 MOST = 3
@@ -26,9 +26,9 @@ RANGES = 4096
 
 
 def sizes(docs: DataFrame, text: str = "text", key: str = "doc_id", source: str = "source", seed: int = 1) -> DataFrame:
-    """One small row per document: key, source, words and place in the shuffled order."""
+    """One small row per document: key, hash of the row, source, words and place in the shuffled order."""
     order = F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col(key).cast("string"), F.lit(""))))
-    return docs.select(F.col(key).alias("doc_id"), F.coalesce(F.col(source), F.lit("")).alias("name"), F.col(source).isNull().alias("nameless"), F.size(words(F.col(text))).cast("long").alias("size"), order.alias("ord"))
+    return docs.select(F.col(key).alias("doc_id"), row_hash(F.col(source), F.col(text)).alias("row_hash"), F.coalesce(F.col(source), F.lit("")).alias("name"), F.col(source).isNull().alias("nameless"), F.size(words(F.col(text))).cast("long").alias("size"), order.alias("ord"))
 
 
 def targets(buckets: DataFrame) -> DataFrame:
@@ -75,7 +75,8 @@ def mix(docs: DataFrame, text: str = "text", key: str = "doc_id", source: str =
 
     Size is the number of words, null counts as 0. Sources in code point order, null last, weigh 1, 2, 3, repeating, and
     share the sum of all sizes. A source without words gets the target 0 and gives nothing; an empty table gives an empty
-    result. Rows that repeat a key are documents of their own. The order is a hash of seed and key, so reruns agree.
+    result. Rows that repeat a key are documents of their own, and so are those without one. The order is a hash of seed and key,
+    so reruns agree. row_hash tells rows with one key apart.
     """
     timed = written(finish_times(written(sizes(docs, text, key, source, seed), "sizes")), "timed")
     copies = timed.select("*", F.explode(F.sequence(F.lit(0), F.lit(MOST - 1))).alias("copy")).withColumn("time", finish(F.col("copy"))).filter("time is not null")
@@ -96,16 +97,29 @@ def mix(docs: DataFrame, text: str = "text", key: str = "doc_id", source: str =
             fits = lambda c: _place(finish(c)) <= end
         taken = sum((F.coalesce(fits(c), F.lit(False)) & finish(c).isNotNull()).cast("int") for c in map(F.lit, range(MOST)))
     out = timed.withColumn("copies", F.when(F.col("target") > 0, taken).otherwise(0))
-    return out.select(F.col("doc_id").alias(key), F.when(~F.col("nameless"), F.col("name")).alias(source), "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"), "done", "ord")
+    return out.select(F.col("doc_id").alias(key), F.when(~F.col("nameless"), F.col("name")).alias(source), "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"), "done", "row_hash")
 
 
 def apply_mix(docs: DataFrame, text: str = "text", key: str = "doc_id", source: str = "source", seed: int = 1) -> DataFrame:
     """The mix itself: rows of docs, each as often as taken, range-sorted by virtual finish time; columns as in docs.
 
-    Keys must be unique, as those of documents are; a row whose key is null is dropped, for it can't be told from others.
+    Rows that repeat a key, or have none, are taken each for itself: a row is known by its key, source and text, and rows that
+    are equal in these are numbered. An empty table gives an empty result.
     """
-    plan = mix(docs, text, key, source, seed).filter("copies > 0").select(F.col(key).alias("__mix_key"), F.explode(F.transform(F.sequence(F.lit(0), F.col("copies") - 1), lambda c: finish(c))).alias("__mix_time"))
-    return docs.join(plan, docs[key] == plan["__mix_key"]).repartitionByRange("__mix_time").sortWithinPartitions("__mix_time", "__mix_key").drop("__mix_key", "__mix_time")
+    row, n, time = (unused(docs, c) for c in ("mix_row", "mix_n", "mix_time"))
+    planned = mix(docs, text, key, source, seed).select(F.struct(F.col(key).alias("key"), "row_hash").alias(row), "source_size", "target", "done", "copies")
+    planned = written(planned, "plan")
+    marked = docs.withColumn(row, F.struct(F.col(key).alias("key"), row_hash(F.col(source), F.col(text)).alias("row_hash")))
+    times = F.explode(F.transform(F.sequence(F.lit(0), F.col("copies") - 1), lambda c: finish(c))).alias(time)
+    twice = written(planned.groupBy(row).count().filter("count > 1").select(row), "twice")
+    if not twice.head(1):
+        mixed = marked.join(planned.filter("copies > 0").select(row, times), row)
+    else:
+        numbered = lambda rows, order: rows.join(twice, row, "left_semi").withColumn(n, F.row_number().over(Window.partitionBy(row).orderBy(order)))
+        single = without(marked, row, twice).join(without(planned, row, twice).filter("copies > 0").select(row, times), row)
+        several = numbered(marked, F.lit(0)).join(numbered(planned, "done").filter("copies > 0").select(row, n, times), [row, n])
+        mixed = single.unionByName(several.drop(n))
+    return mixed.repartitionByRange(time, row).sortWithinPartitions(time, row).select(*docs.columns)
 
 
 def sql(seed: int = 1) -> str:
