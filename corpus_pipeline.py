@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from goldloom.llm.bpe import transcode
-from goldloom.llm.common import small_batches, table, unused, without, written
+from goldloom.llm.common import keep_rows, row_hash, small_batches, table, unused, written
 from goldloom.llm.exact_dedup import exact_duplicates, normal_text
 from goldloom.llm.mixing import apply_mix
 from goldloom.llm.ngram_join import jaccard_components
@@ -23,7 +23,11 @@ TOXIC_FROM = 0.5
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the texts that the classifier, fitted on docs and labels, calls toxic. Null and empty texts stay."""
+    """Drops the texts that the classifier, fitted on docs and labels, calls toxic.
+
+    Null and empty texts have no words and stay, rows without a doc_id and repeated rows are scored like others, and an empty
+    table stays empty.
+    """
     small_batches(spark)
     model = train(docs, table(spark, sf_dir, "labels"))
     name = unused(docs, "score")
@@ -31,31 +35,40 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts, keeps the row with the smallest doc_id; of rows with one doc_id and equal texts, one."""
-    row = unused(docs, "row")
-    found = written(exact_duplicates(docs).select(F.struct("doc_id", "text_sha256").alias(row), "kept"), "exact")
-    twice = found.groupBy(row).agg(F.count("*").alias("n"), F.max("kept").alias("kept")).filter("n > 1 and kept").select(row)
-    marked = docs.withColumn(row, F.struct("doc_id", F.sha2(normal_text(F.col("text")).cast("binary"), 256).alias("text_sha256")))
-    kept = without(marked, row, found.filter("not kept"))
-    if twice.head(1):
-        kept = without(kept, row, twice).unionByName(kept.join(twice, row, "left_semi").dropDuplicates([row]).select(*kept.columns))
-    return kept.select(*docs.columns)
+    """Of equal texts, keeps the row with the smallest doc_id, a null one being the largest; null and empty texts are equal.
+
+    Of rows with one doc_id, or none, and equal texts one stays. An empty table stays empty.
+    """
+    found = written(exact_duplicates(docs).select(F.struct("doc_id", "text_sha256").alias("name"), "kept"), "exact")
+    sha = F.sha2(normal_text(F.col("text")).cast("binary"), 256)
+    return keep_rows(docs, F.struct("doc_id", sha.alias("text_sha256")), found)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near duplicates (five-word shingles, similarity of 0.8), keeps the row with the smallest doc_id."""
+    """Of each component of near duplicates (five-word shingles, similarity of 0.8), keeps the row with the smallest doc_id.
+
+    Texts without words are near to nothing and stay. Rows that repeat a doc_id are rows of their own, unless their texts are
+    the same, too: then one stays. An empty table stays empty.
+    """
     small_batches(spark)
-    found = written(jaccard_components(docs, n=5, num=80, den=100), "near")
-    return without(docs, "doc_id", found.filter("doc_id <> component_id").select("doc_id"))
+    found = written(jaccard_components(docs, n=5, num=80, den=100).select(F.struct("doc_id", "row_hash").alias("name"), "kept"), "near")
+    return keep_rows(docs, F.struct(F.col("doc_id").cast("long").alias("doc_id"), row_hash(F.col("text").cast("binary")).alias("row_hash")), found)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix of sources: rows as often as the mix takes them, in its order."""
+    """The mix of sources: rows as often as the mix takes them, in its order.
+
+    Rows without words weigh nothing and come as often as their place in the order allows. Rows that repeat a doc_id, or have
+    none, are taken each for itself; a null source is a source. An empty table stays empty.
+    """
     return apply_mix(docs)
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every row, as little-endian unsigned 32-bit integers, and whether decoding gives the text again."""
+    """Token ids of every row, as little-endian unsigned 32-bit integers, and whether decoding gives the text again.
+
+    A null text counts as empty and has no ids. Repeated rows stay repeated, null keys stay; an empty table stays empty.
+    """
     small_batches(spark)
     coded = transcode(docs, public_tokenizers.path(VOCABULARY), keep=("text", "lang", "source"))
     lossless = F.col("decoded_text") == F.coalesce("text", F.lit(""))
