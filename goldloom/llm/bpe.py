@@ -13,12 +13,8 @@ remembered, so a frequent word is encoded once per worker.
 from __future__ import annotations
 
 import json
-import re
 from array import array
-from collections.abc import Callable, Iterable
-from contextlib import suppress
 from functools import lru_cache
-from itertools import chain
 
 import ahocorasick
 import numpy as np
@@ -28,11 +24,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from goldloom.llm.common import map_batches
+from goldloom.llm.pieces import Pieces
 
 #: Fixed value: the pretokenizer of byte-level BPE vocabularies of this family.
 PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Encodings that a worker remembers of each kind, and the length from which one is not remembered.
-REMEMBERED, LONG = 300_000, 60
+#: Pairs of tokens that a worker remembers.
+REMEMBERED = 200_000
 
 
 def byte_letters() -> dict[str, int]:
@@ -82,6 +79,7 @@ class Encoder:
         self.offset = np.concatenate([[0], np.cumsum(self.length)])
         self.compatible: dict[int, bool] = {}
         self.pieces = Pieces(lambda texts: [*map(self._whole, texts)], special=self.special)
+        self.pieces.forgetful.append(self.forget)
 
     def fits(self, a: int, b: int) -> bool:
         """Whether token a directly before token b can be the outcome of the merge rules."""
@@ -164,8 +162,11 @@ class Encoder:
                 out.append(got)
         return b"".join(out)
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of whole texts as little-endian unsigned 32-bit integers."""
+    def forget(self) -> None:
+        self.compatible = {}
+
+    def encode(self, texts: list[str] | pa.Array) -> list[bytes]:
+        """Ids of whole texts as little-endian unsigned 32-bit integers; null counts as empty."""
         return self.pieces(texts)
 
     def decode(self, ids: bytes) -> str:
@@ -177,67 +178,6 @@ class Encoder:
         return self.blob[at].tobytes().decode("utf-8", "replace")
 
 
-#: A piece ends before these, where a letter or a digit stands before them: pretokens never go over that border.
-_MARKS = ".,;:!?"
-_BORDER = re.compile(r"(?<=[0-9A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f])(?=[.,;:!?])")
-#: Begins a piece that had no space before it.
-_TIED = "\x01"
-
-
-class Pieces:
-    """Encodes texts by pieces; encodings of short pieces are remembered.
-
-    encode gives the encodings of a list of strings. Texts are cut at single spaces and line feeds, and between a letter or digit
-    and a mark of _MARKS. A piece begins with its space or line feed, if it has one. The cuts are exact where a space or line
-    feed stands between two characters that aren't white space; a text with any other, or with the character _TIED, is encoded
-    as a whole. So are all texts if a special token holds a character at which texts are cut.
-    """
-
-    def __init__(self, encode: Callable[[list[str]], list[bytes]], remembered: int = REMEMBERED, special: Iterable[str] = ()) -> None:
-        self.encode, self.remembered, self.first, self.later = encode, remembered, {}, {}
-        self.cuts = not any(c in t for t in special for c in f" \n{_MARKS}{_TIED}")
-
-    def _learn(self, known: dict[str, bytes | None], pieces: set[str], space: str) -> list[str]:
-        """Adds the encodings of all pieces; returns those to forget after the batch: long ones, and what is beyond the bound."""
-        new = [*pieces.difference(known)]
-        spaced, tied = [], []
-        for p in new:
-            if p and not p[-1].isspace():
-                if not space:
-                    tied.append((p, p))
-                elif p[0] == _TIED:
-                    tied.append((p, p[1:]))
-                elif p[0] == "\n":
-                    if not p[1].isspace():
-                        tied.append((p, p))
-                elif not p[0].isspace():
-                    spaced.append(p)
-        room = max(0, self.remembered - len(known))
-        known.update(dict.fromkeys(new))
-        known.update(zip(spaced, self.encode([space + p for p in spaced])))
-        known.update(zip((p for p, _ in tied), self.encode([t for _, t in tied])))
-        return [p for p in new[:room] if len(p) >= LONG] + new[room:]
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        cut = [_BORDER.sub(" " + _TIED, t.replace("\n", " \n")).split(" ") for t in texts]
-        heads = [c.pop(0) for c in cut]
-        usual = [self.cuts and bool(h) and not (c and h[-1].isspace()) and _TIED not in t for h, c, t in zip(heads, cut, texts)]
-        forget_heads = self._learn(self.first, {h for h, u in zip(heads, usual) if u}, "")
-        forget_later = self._learn(self.later, set(chain.from_iterable(c for c, u in zip(cut, usual) if u)), " ")
-        out: list[bytes | None] = [None if t else b"" for t in texts]
-        for k, (h, c, u) in enumerate(zip(heads, cut, usual)):
-            if u:
-                with suppress(TypeError):  # an uneven piece has no encoding of its own
-                    out[k] = self.first[h] + b"".join(map(self.later.__getitem__, c))
-        rest = [k for k, o in enumerate(out) if o is None]
-        for k, ids in zip(rest, self.encode([texts[k] for k in rest])):
-            out[k] = ids
-        for known, forget in ((self.first, forget_heads), (self.later, forget_later)):
-            for p in forget:
-                known.pop(p, None)
-        return out
-
-
 @lru_cache(maxsize=2)
 def encoder(path: str) -> Encoder:
     """One encoder per Python worker and file."""
@@ -257,7 +197,7 @@ def transcode(docs: DataFrame, path: str, text: str = "text", key: str = "doc_id
         e = encoder(path)
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            ids = e.encode([t or "" for t in batch.column(1).to_pylist()])
+            ids = e.encode(batch.column(1))
             return pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[2:], pa.array(ids, pa.binary()), pa.array([e.decode(i) for i in ids], pa.string())], ["key", *held, "token_ids", "decoded_text"])
 
         return step

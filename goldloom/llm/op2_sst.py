@@ -9,8 +9,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from goldloom.llm.bpe import Pieces
 from goldloom.llm.common import small_batches, table
+from goldloom.llm.pieces import Pieces
 from goldloom.llm.sstable import new_folder, read_shards, write_shards
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -18,7 +18,7 @@ _known: dict[str, Pieces] = {}
 
 
 def library_encoder(path: str):
-    """Encodes with the tokenizers library, remembering the pieces between spaces; one per Python worker."""
+    """Encodes with the tokenizers library, remembering pieces of texts; one per Python worker."""
 
     def make() -> Pieces:
         if path not in _known:
@@ -57,7 +57,7 @@ def joined_encoder(tokenizer, together: int = 200):
 
 
 def op2_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    small_batches(spark)
+    small_batches(spark, 2000)
     docs = table(spark, sf_dir, "documents")
     folder = new_folder(docs)
     shards = write_shards(docs, folder, library_encoder(public_tokenizers.path(VOCABULARY)))

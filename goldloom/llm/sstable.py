@@ -8,16 +8,17 @@ A shard holds documents in ascending key order:
     filter    Bloom filter over all keys
     footer    offsets and lengths of index and filter, width of an id, documents, ids, magic
 
-Keys are identifiers as 8 bytes, big-endian with the sign bit flipped, so that bytes sort as numbers do. A lookup
-reads the footer, asks the filter, finds the block by binary search in the sparse index and the document by binary
-search over the block's decoded keys. Shards are range-partitioned, each of a bounded number of ids.
+Keys are identifiers as 9 bytes: 1, then big-endian with the sign bit flipped, so that bytes sort as numbers do; a null key is 9
+zero bytes and sorts before all others. Shards are range-partitioned, each of a bounded number of ids, and listed with
+their first and last keys. A lookup opens the shards whose range holds the key, reads the footer, asks the filter, finds the
+block by binary search in the sparse index and the document by binary search over the block's decoded keys.
 """
 
 from __future__ import annotations
 
 import struct
 import uuid
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -25,12 +26,12 @@ import pyarrow as pa
 import pyarrow.fs as pafs
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from goldloom.llm.common import shared_folder, written
 
-MAGIC = b"GLSST001"
+MAGIC = b"GLSST002"
 FOOTER = struct.Struct("<QQQQBQQ8s")
 BLOCK_BYTES = 1 << 18
 #: A shard is closed beyond so many bytes, so a reader never holds more than that and one document.
@@ -39,12 +40,12 @@ FILTER_BITS, FILTER_HASHES = 10, 7
 SIGN = 1 << 63
 
 
-def key_bytes(key: int) -> bytes:
-    return (key + SIGN).to_bytes(8, "big")
+def key_bytes(key: int | None) -> bytes:
+    return bytes(9) if key is None else b"\1" + (key + SIGN).to_bytes(8, "big")
 
 
-def key_int(raw: bytes) -> int:
-    return int.from_bytes(raw, "big") - SIGN
+def key_int(raw: bytes) -> int | None:
+    return int.from_bytes(raw[1:], "big") - SIGN if raw[0] else None
 
 
 def varint(n: int) -> bytes:
@@ -102,7 +103,7 @@ class ShardWriter:
     def _open(self) -> None:
         self.block, self.block_size, self.last, self.block_docs, self.block_ids = [], 0, b"", 0, 0
 
-    def add(self, key: int, ids: bytes) -> None:
+    def add(self, key: int | None, ids: bytes) -> None:
         raw = key_bytes(key)
         shared = next((i for i, (a, b) in enumerate(zip(raw, self.last)) if a != b), min(len(raw), len(self.last)))
         n = len(ids) // 4
@@ -144,7 +145,7 @@ class ShardReader:
         if magic != MAGIC:
             raise ValueError("not a token shard")
         raw = read(at, n)
-        self.index = [(raw[i : i + 8], *struct.unpack_from("<QQQQ", raw, i + 8)) for i in range(0, n, 40)]
+        self.index = [(raw[i : i + 9], *struct.unpack_from("<QQQQ", raw, i + 9)) for i in range(0, n, 41)]
         self.bloom = Bloom(bytearray(read(bloom_at, bloom_n)))
 
     @staticmethod
@@ -164,32 +165,38 @@ class ShardReader:
             out.append((key, ids if self.width == 4 else np.frombuffer(ids, "<u2").astype("<u4").tobytes()))
         return out
 
-    def __iter__(self) -> Iterator[tuple[int, bytes]]:
+    def __iter__(self) -> Iterator[tuple[int | None, bytes]]:
         for k in range(len(self.index)):
             for key, ids in self.block(k):
                 yield key_int(key), ids
 
-    def get(self, key: int) -> bytes | None:
-        """Ids of the first document with this key, or None."""
-        raw = key_bytes(key)
+    def get_all(self, key: int | None) -> list[bytes]:
+        """Ids of the documents with this key, which may stand in several blocks."""
+        raw, out = key_bytes(key), []
         if raw not in self.bloom:
-            return None
-        k = bisect_left([e[0] for e in self.index], raw)
-        if k == len(self.index):
-            return None
-        entries = self.block(k)
-        at = bisect_left([e[0] for e in entries], raw)
-        return entries[at][1] if at < len(entries) and entries[at][0] == raw else None
+            return out
+        lasts = [e[0] for e in self.index]
+        for k in range(bisect_left(lasts, raw), len(self.index)):
+            entries = self.block(k)
+            keys = [e[0] for e in entries]
+            out += [ids for _, ids in entries[bisect_left(keys, raw) : bisect_right(keys, raw)]]
+            if lasts[k] > raw:
+                break
+        return out
 
+    def get(self, key: int | None) -> bytes | None:
+        """Ids of the first document with this key, or None."""
+        return next(iter(self.get_all(key)), None)
 
-def write_shards(docs: DataFrame, path: str, encode: Callable[[], Callable[[list[str]], list[bytes]]], end_id: int = 0, wide: bool = False, partitions: int | None = None, text: str = "text", key: str = "doc_id") -> DataFrame:
+
+def write_shards(docs: DataFrame, path: str, encode: Callable[[], Callable[[pa.Array], list[bytes]]], end_id: int = 0, wide: bool = False, partitions: int | None = None, text: str = "text", key: str = "doc_id") -> DataFrame:
     """Encodes documents, appends end_id to each and writes shards in ascending key order below path; returns their list.
 
-    The list (a written table) has for each shard: part and seq (ascending with the keys), file, n_docs, n_ids. A shard
-    file has a name of its own for every attempt, and only those of finished tasks are listed, so a task that is run again
-    after its executor was lost leaves at most an unlisted file. Null texts count as empty (only the end id is written),
-    a null key raises. Rows that repeat a key all stay. An empty table gives an empty list. wide: ids of 32 bits, needed for
-    vocabularies of 65,536 and more.
+    The list (a written table) has for each shard: part and seq (ascending with the keys), file, n_docs, n_ids, first and last
+    (key bytes). A shard file has a name of its own for every attempt, and only those of finished tasks are listed, so a task
+    that is run again after its executor was lost leaves at most an unlisted file. Null texts count as empty (only the end id
+    is written), null keys come first. Rows that repeat a key all stay. An empty table gives an empty list. wide: ids of 32
+    bits, needed for vocabularies of 65,536 and more.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
@@ -207,12 +214,12 @@ def write_shards(docs: DataFrame, path: str, encode: Callable[[], Callable[[list
             name = f"{part:08d}-{seq:05d}-{uuid.uuid4().hex}.sst"
             with fs.open_output_stream(f"{folder}/{name}") as out:
                 out.write(data)
-            return pa.RecordBatch.from_pylist([{"part": part, "seq": seq, "file": name, "n_docs": shard.n_docs, "n_ids": shard.n_ids}], schema)
+            return pa.RecordBatch.from_pylist([{"part": part, "seq": seq, "file": name, "n_docs": shard.n_docs, "n_ids": shard.n_ids, "first": shard.keys[0], "last": shard.keys[-1]}], _LIST)
 
         part = 0
         for batch in batches:
             part = batch.column(2)[0].as_py() if batch.num_rows else part
-            for k, ids in zip(batch.column(0).to_pylist(), ids_of([t or "" for t in batch.column(1).to_pylist()])):
+            for k, ids in zip(batch.column(0).to_pylist(), ids_of(batch.column(1))):
                 shard = shard or ShardWriter(width)
                 shard.add(k, ids + end)
                 if shard.size + shard.block_size >= SHARD_BYTES:
@@ -221,40 +228,85 @@ def write_shards(docs: DataFrame, path: str, encode: Callable[[], Callable[[list
         if shard:
             yield close(part)
 
-    schema = pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("file", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64())])
-    return written(ordered.mapInArrow(run, "part int, seq int, file string, n_docs long, n_ids long"), "shards")
+    return written(ordered.mapInArrow(run, "part int, seq int, file string, n_docs long, n_ids long, first binary, last binary"), "shards")
+
+
+_LIST = pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("file", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64()), ("first", pa.binary()), ("last", pa.binary())])
+
+
+def _open(fs: pafs.FileSystem, path: str) -> ShardReader:
+    """A shard of which only the parts asked for are read."""
+    file = fs.open_input_file(path)
+
+    def read(at: int, n: int) -> bytes:
+        file.seek(at)
+        return file.read(n)
+
+    return ShardReader(read, file.size())
+
+
+def starts(shards: DataFrame) -> DataFrame:
+    """shards with before, the ids in all shards that come earlier: sums of parts, of which there are as many as tasks wrote, and
+    running sums within a part."""
+    parts = shards.groupBy("part").agg(F.sum("n_ids").alias("ids"))
+    earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select(F.col("part"), F.coalesce(F.sum("ids").over(earlier), F.lit(0)).alias("of_parts"))
+    inside = Window.partitionBy("part").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    rows = shards.withColumn("of_part", F.coalesce(F.sum("n_ids").over(inside), F.lit(0)))
+    return rows.join(parts, "part").withColumn("before", F.col("of_parts") + F.col("of_part")).drop("of_parts", "of_part")
 
 
 def read_shards(shards: DataFrame, path: str) -> DataFrame:
     """Documents of listed shards, read back: key, start (ids of all documents before it), n_ids, token_ids (little-endian unsigned 32-bit).
 
-    The number of ids before a shard is a running sum over the list, a row per shard of some ten million ids.
+    Shards are dealt to tasks by name and read block by block.
     """
-    from pyspark.sql import Window
-
-    first = shards.select("file", F.coalesce(F.sum("n_ids").over(Window.orderBy("part", "seq").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    files = shards.sparkSession.read.format("binaryFile").option("pathGlobFilter", "*.sst").load(path) if shards.head(1) else None
-    if files is None:
-        return shards.sparkSession.createDataFrame([], "key long, start long, n_ids long, token_ids binary")
-    # Each file is one row of up to SHARD_BYTES; the list is joined to it by a name of 50 bytes.
-    rows = files.select("content", F.element_at(F.split("path", "/"), -1).alias("file")).join(F.broadcast(first), "file").select("content", "before")
+    n = max(shards.sparkSession.sparkContext.defaultParallelism, int(shards.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    rows = starts(shards).select("file", "before").repartition(n, "file")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, folder = pafs.FileSystem.from_uri(path)
         for batch in batches:
             for row in range(batch.num_rows):
-                reader, at = ShardReader.over(batch.column(0)[row].as_buffer()), batch.column(1)[row].as_py()
+                reader, at = _open(fs, f"{folder}/{batch.column(0)[row].as_py()}"), batch.column(1)[row].as_py()
                 for k in range(len(reader.index)):
-                    keys, starts, counts, ids = [], [], [], []
+                    keys, begins, counts, ids = [], [], [], []
                     for key, raw in reader.block(k):
                         keys.append(key_int(key))
-                        starts.append(at)
+                        begins.append(at)
                         counts.append(len(raw) // 4)
                         ids.append(raw)
                         at += counts[-1]
-                    yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(starts, pa.int64()), pa.array(counts, pa.int64()), pa.array(ids, pa.binary())], ["key", "start", "n_ids", "token_ids"])
+                    yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(begins, pa.int64()), pa.array(counts, pa.int64()), pa.array(ids, pa.binary())], ["key", "start", "n_ids", "token_ids"])
 
     return rows.mapInArrow(run, "key long, start long, n_ids long, token_ids binary")
 
 
+#: Most keys of one lookup.
+MOST_KEYS = 10_000
+
+
+def lookup(shards: DataFrame, path: str, keys: list[int | None]) -> DataFrame:
+    """(key, token_ids) of all documents with one of the given keys; keys without a document give no row.
+
+    Only shards whose range of keys holds one are opened, and of these only footers, filters and the blocks that a key leads to.
+    """
+    if len(keys) > MOST_KEYS:
+        raise ValueError(f"at most {MOST_KEYS} keys at a time")
+    wanted = sorted({key_bytes(k) for k in keys})
+    asked = F.array(*(F.lit(k) for k in wanted)).cast("array<binary>")
+    files = shards.filter(F.exists(asked, lambda k: (k >= F.col("first")) & (k <= F.col("last")))).select("file", "first", "last")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, folder = pafs.FileSystem.from_uri(path)
+        for batch in batches:
+            for file, first, last in zip(*(c.to_pylist() for c in batch.columns)):
+                reader = _open(fs, f"{folder}/{file}")
+                hits = [(key_int(k), ids) for k in wanted[bisect_left(wanted, first) : bisect_right(wanted, last)] for ids in reader.get_all(key_int(k))]
+                yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in hits], pa.int64()), pa.array([i for _, i in hits], pa.binary())], ["key", "token_ids"])
+
+    return files.mapInArrow(run, "key long, token_ids binary")
+
+
 def new_folder(docs: DataFrame) -> str:
     return shared_folder(docs.sparkSession, "sst")
