@@ -69,16 +69,37 @@ def bind(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def _marked(rows: DataFrame, column: str, keys: DataFrame, words_of_filter: int, how: str) -> tuple[DataFrame, Column]:
-    """rows joined with a filter of fixed size over keys, and whether a row's column may be among them."""
+#: Words of 64 bits of a filter over keys.
+FILTER_WORDS = 1 << 18
+
+
+def _spot(column: str, words_of_filter: int) -> tuple[Column, Column]:
+    """Word and bit of a value in a filter."""
     spot = F.pmod(F.xxhash64(column), F.lit(words_of_filter * 64))
-    word, bit = F.floor(spot / 64), F.pmod(spot, F.lit(64)).cast("int")
+    return F.floor(spot / 64), F.pmod(spot, F.lit(64)).cast("int")
+
+
+def filter_over(keys: DataFrame, column: str, words_of_filter: int = FILTER_WORDS) -> DataFrame:
+    """A filter of fixed size over a column: (word, bits), a row for each word in use."""
+    word, bit = _spot(column, words_of_filter)
+    spots = keys.select(word.alias("word"), bit.alias("bit")).distinct()
+    return spots.groupBy("word").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("bits"))
+
+
+def _marked(rows: DataFrame, column: str, table_: DataFrame, words_of_filter: int, how: str) -> tuple[DataFrame, Column]:
+    """rows joined with a filter, and whether a row's column may be among the filter's keys."""
+    word, bit = _spot(column, words_of_filter)
     w, b, bits = (unused(rows, f"filter_{x}") for x in ("word", "bit", "bits"))
-    table_ = keys.select(word.alias(w), bit.alias(b)).distinct().groupBy(w).agg(F.bit_or(F.expr(f"shiftleft(1L, {b})")).alias(bits))
-    marked = rows.withColumn(w, word).withColumn(b, bit).join(F.broadcast(table_), w, how)
+    marked = rows.withColumn(w, word).withColumn(b, bit).join(F.broadcast(table_.select(F.col("word").alias(w), F.col("bits").alias(bits))), w, how)
     return marked, F.coalesce(F.expr(f"(shiftright({bits}, {b}) & 1L) = 1L"), F.lit(False))
 
 
+def passing(rows: DataFrame, column: str, table_: DataFrame, words_of_filter: int = FILTER_WORDS) -> DataFrame:
+    """Rows whose column a filter doesn't clear."""
+    marked, likely = _marked(rows, column, table_, words_of_filter, "inner")
+    return marked.filter(likely).select(*rows.columns)
+
+
 def unused(rows: DataFrame, name: str) -> str:
     """name, with underscores before it until no column of rows has it."""
     taken = {c.lower() for c in rows.columns}
@@ -87,17 +108,16 @@ def unused(rows: DataFrame, name: str) -> str:
     return name
 
 
-def likely_in(rows: DataFrame, column: str, keys: DataFrame, words_of_filter: int = 1 << 18) -> DataFrame:
+def likely_in(rows: DataFrame, column: str, keys: DataFrame, words_of_filter: int = FILTER_WORDS) -> DataFrame:
     """Rows whose column is in keys (a column of the same name), with a few others: a filter of fixed size, broadcast.
 
     The filter has words_of_filter words of 64 bits; a row of 16 bytes travels for each word in use. It keeps rows that can't
     match out of a later shuffle, and where it is too small for the number of keys it only lets more rows pass.
     """
-    marked, likely = _marked(rows, column, keys, words_of_filter, "inner")
-    return marked.filter(likely).select(*rows.columns)
+    return passing(rows, column, filter_over(keys, column, words_of_filter), words_of_filter)
 
 
-def held_in(rows: DataFrame, column: str, keys: DataFrame, words_of_filter: int = 1 << 18) -> DataFrame:
+def held_in(rows: DataFrame, column: str, keys: DataFrame, words_of_filter: int = FILTER_WORDS) -> DataFrame:
     """Rows whose column is in keys (a column of the same name, no value twice); most others aren't shuffled.
 
     The join is an inner one: the optimizer moves a semi join to the rows before the filter.
@@ -105,12 +125,12 @@ def held_in(rows: DataFrame, column: str, keys: DataFrame, words_of_filter: int
     return likely_in(rows, column, keys, words_of_filter).join(keys.select(column), column).select(*rows.columns)
 
 
-def without(rows: DataFrame, column: str, keys: DataFrame, words_of_filter: int = 1 << 18) -> DataFrame:
+def without(rows: DataFrame, column: str, keys: DataFrame, words_of_filter: int = FILTER_WORDS) -> DataFrame:
     """Rows whose column isn't in keys (a column of the same name); only rows that the filter can't clear are shuffled.
 
     The join is an outer one: the optimizer moves an anti join to the rows before the filter.
     """
-    marked, likely = _marked(rows, column, keys, words_of_filter, "left")
+    marked, likely = _marked(rows, column, filter_over(keys, column, words_of_filter), words_of_filter, "left")
     clear, held = (marked.filter(c).select(*rows.columns) for c in (~likely, likely))
     found = unused(rows, "found")
     rest = held.join(keys.select(column).distinct().withColumn(found, F.lit(True)), column, "left").filter(F.col(found).isNull())

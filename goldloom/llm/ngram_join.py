@@ -33,6 +33,8 @@ from goldloom.llm.components import components
 
 #: Most entries of the list of frequent shingles (16 bytes each, broadcast), and how often a shingle stands in sets to be listed.
 ORDERED, FREQUENT = 500_000, 20
+#: Up to so many pairs (of 16 bytes) are sent to all tasks.
+FEW_PAIRS = 500_000
 #: Most rounds of leaders; what they leave is compared without leaders.
 ROUNDS = 4
 #: The sketch of a set of n shingles has n // SHARE more than its prefix.
@@ -106,41 +108,36 @@ def _digest(found: np.ndarray) -> bytes | None:
 
 
 def _sketches(rows: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """Of every row (row, row_hash, doc_id, text): n_shingles, digest of the set, the support it needs, and its sketch."""
+    """Of every row (row, node, row_hash, doc_id, text): n_shingles, digest of the set, the support it needs, and its sketch."""
 
     def make() -> Callable[[pa.RecordBatch], pa.RecordBatch]:
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             sizes, digests, needs, firsts = [], [], [], []
-            for text in batch.column(3):
+            for text in batch.column(4):
                 s = shingles(text.as_py(), n)
                 sizes.append(len(s))
                 digests.append(_digest(s))
                 needs.append(support(len(s), num, den))
                 firsts.append(s[: prefix_length(len(s), num, den)])
             made = [pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(needs, pa.int64()), _lists(firsts)]
-            return pa.RecordBatch.from_arrays([*batch.columns[:3], *made], ["row", "row_hash", "doc_id", "n_shingles", "digest", "need", "sketch"])
+            return pa.RecordBatch.from_arrays([*batch.columns[:4], *made], ["row", "node", "row_hash", "doc_id", "n_shingles", "digest", "need", "sketch"])
 
         return step
 
-    return map_batches(rows, "row long, row_hash long, doc_id long, n_shingles long, digest binary, need long, sketch array<long>", make)
+    return map_batches(rows, "row long, node long, row_hash long, doc_id long, n_shingles long, digest binary, need long, sketch array<long>", make)
 
 
 def _whole_sets(rows: DataFrame, n: int) -> DataFrame:
-    """Whole sets of rows (node, digest, text), where they are the set with that digest: node, n, tokens in order of hash."""
+    """Whole sets of rows (node, text): node, digest, n, tokens in order of hash."""
 
     def make() -> Callable[[pa.RecordBatch], pa.RecordBatch]:
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            nodes, sets = [], []
-            for node, digest, text in zip(*batch.columns):
-                s = shingles(text.as_py(), n)
-                if _digest(s) == digest.as_py():
-                    nodes.append(node.as_py())
-                    sets.append(s)
-            return pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(map(len, sets), pa.int64()), _lists(sets)], ["node", "n", "tokens"])
+            sets = [shingles(text.as_py(), n) for text in batch.column(1)]
+            return pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(_digest, sets), pa.binary()), pa.array(map(len, sets), pa.int64()), _lists(sets)], ["node", "digest", "n", "tokens"])
 
         return step
 
-    return map_batches(rows, "node long, n long, tokens array<long>", make)
+    return map_batches(rows, "node long, digest binary, n long, tokens array<long>", make).filter("digest is not null")
 
 
 def _prefixes(sets: DataFrame, order: Order, num: int, den: int) -> DataFrame:
@@ -180,9 +177,11 @@ def _apart(low: str, high: str, low_b: str, high_b: str) -> Column:
 
 def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """Pairs of members (a, b) whose whole sets are similar."""
-    side = lambda c: held_in(sets.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("tokens").alias(f"tokens_{c}")), c, pairs.select(c).distinct())
+    named = lambda c: sets.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("tokens").alias(f"tokens_{c}"))
     common = F.size(F.array_intersect("tokens_a", "tokens_b"))
-    both = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "n_a", "n_b", common.alias("common"))
+    # Pairs go to the sets where they are few; sets go to the pairs where not.
+    one = named("b").join(F.broadcast(pairs), "b") if pairs.count() <= FEW_PAIRS else held_in(named("b"), "b", pairs.select("b").distinct()).join(pairs, "b")
+    both = one.join(held_in(named("a"), "a", pairs.select("a").distinct()), "a").select("a", "b", "n_a", "n_b", common.alias("common"))
     return both.filter(F.col("common") * den >= (F.col("n_a") + F.col("n_b") - F.col("common")) * num).select("a", "b")
 
 
@@ -280,16 +279,16 @@ class _Join:
 
 
 def _partnered(sets: DataFrame, classes: DataFrame) -> DataFrame:
-    """(node, row_hash, digest) of the classes whose sketch shares as much with others as a similar set would."""
-    several = classes.filter("group_size > 1").select("digest", "node", "group_size")
-    copies = look_up(sets.filter("digest is not null").select("row", "digest"), several, "digest").filter("row <> node").select("row")
+    """(node, digest) of the classes whose sketch shares as much with others as a similar set would."""
+    several = classes.filter("group_size > 1").select("digest", "first", "group_size")
+    copies = look_up(sets.filter("digest is not null").select("row", "digest"), several, "digest").filter("row <> first.row").select("row")
     firsts = without(sets.filter(F.size("sketch") > 0), "row", written(copies, "copies"))
     rows = firsts.select("row", "need", F.explode("sketch").alias("token"))
     shared = written(rows.groupBy("token").agg(F.count("*").alias("c")).filter("c > 1").select("token"), "shared")
     found = held_in(rows, "token", shared).groupBy("row").agg(F.count("*").alias("c"), F.first("need").alias("need"))
     alive = written(found.filter("c >= need").select("row"), "alive")
     discard(shared)
-    return written(held_in(sets.select("row", "row_hash", "digest"), "row", alive).withColumnRenamed("row", "node"), "partnered")
+    return written(held_in(sets.select("row", "node", "digest"), "row", alive).drop("row"), "partnered")
 
 
 def _order(sets: DataFrame) -> Order:
@@ -316,7 +315,17 @@ def _blocks(prefixes: DataFrame) -> tuple[DataFrame, DataFrame]:
     return written(blocks, "blocks"), members.drop("high")
 
 
-def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, text: str = "text", key: str = "doc_id") -> DataFrame:
+def _one_each(whole: DataFrame, chosen: DataFrame) -> DataFrame:
+    """whole with one row of each node, the one with the digest it was chosen for; rows may repeat key and text, or share a hash."""
+    twice = written(whole.groupBy("node").count().filter("count > 1").select("node"), "twice")
+    if not twice.head(1):
+        return whole
+    rest = held_in(whole, "node", twice)
+    true = rest.join(chosen, ["node", "digest"], "left_semi").dropDuplicates(["node"])
+    return written(without(whole, "node", twice).unionByName(true.select(*whole.columns)), "whole")
+
+
+def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, text: str = "text", key: str = "doc_id", salt: int = 0) -> DataFrame:
     """One row per row of docs: key (long), row_hash, n_shingles, group_size (rows with an equal set), component_id and kept.
 
     Texts link when den * common >= num * union of their shingles; component_id is the smallest key that links reach. kept
@@ -324,32 +333,37 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
     Null, empty and blank texts have no shingles, link with nothing and are components of their own, and kept. Rows that repeat
     a key are rows of their own, each with the component of its text. A null key comes after all others, so component_id is null
     where all keys of a component are. An empty table gives an empty result; other columns are left out.
+
+    Within, a class is known by node, a hash of one of its rows; salt changes it, should two classes ever share one.
     """
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text"))
-    rows = rows.withColumn("row_hash", row_hash(F.col("text")))
-    sets = written(_sketches(rows.select(F.monotonically_increasing_id().alias("row"), "row_hash", "doc_id", "text"), n, num, den), "sets")
+    rows = rows.withColumns({"row_hash": row_hash(F.col("text")), "node": F.xxhash64(F.lit(salt), "doc_id", "text")})
+    sets = written(_sketches(rows.select(F.monotonically_increasing_id().alias("row"), "node", "row_hash", "doc_id", "text"), n, num, den), "sets")
     name = F.struct(F.col("doc_id").isNull().alias("keyless"), "doc_id", "row_hash")
-    classes = sets.filter("digest is not null").groupBy("digest").agg(F.min("row").alias("node"), F.count("*").alias("group_size"), F.min(name).alias("name"))
+    classes = sets.filter("digest is not null").groupBy("digest").agg(F.min(F.struct("row", "node")).alias("first"), F.count("*").alias("group_size"), F.min(name).alias("name"))
     classes = written(classes, "classes")
 
     chosen = _partnered(sets, classes)
+    if chosen.groupBy("node").count().filter("count > 1").head(1):
+        return jaccard_components(docs, n, num, den, text, key, salt + 1)
     # Sketches are the larger part of that table and done with.
     before, sets = sets, written(sets.select("doc_id", "row_hash", "n_shingles", "digest"), "rows")
     discard(before)
     level = classes.withColumn("comp_name", F.col("name"))
     if chosen.head(1):
-        whole = _whole_sets(likely_in(rows, "row_hash", chosen).join(chosen, "row_hash").select("node", "digest", "text"), n)
-        whole = written(whole, "whole")
-        if whole.groupBy("node").count().filter("count > 1").head(1):  # rows that repeat key and text
-            whole = written(whole.dropDuplicates(["node"]), "whole")
+        # Texts stay where they are: a few rows that weren't chosen come along, and have no part in any class.
+        whole = written(_whole_sets(likely_in(rows.select("node", "text"), "node", chosen), n), "whole")
+        whole = _one_each(whole, chosen)
         prefixes = written(_prefixes(whole, _order(whole), num, den), "prefixes")
         labels = _Join(whole, prefixes, num, den).solve()
-        named = labels.join(classes.select("node", "name"), "node")
+        nodes = classes.select(F.col("first.node").alias("node"), "digest", "name", "group_size")
+        named = labels.join(nodes.join(chosen, ["node", "digest"], "left_semi"), "node")
+        named = written(named.select("node", "digest", "comp", "name"), "named")
         least = named.groupBy("comp").agg(F.min("name").alias("comp_name"))
-        labels = written(labels.join(least, "comp").select("node", "comp_name"), "labels")
+        labels = written(named.join(least, "comp").select("digest", "comp_name"), "labels")
         discard(prefixes)
         discard(whole)
-        level = classes.join(labels, "node", "left").withColumn("comp_name", F.coalesce("comp_name", "name"))
+        level = classes.join(labels, "digest", "left").withColumn("comp_name", F.coalesce("comp_name", "name"))
     level = written(level.select("digest", "group_size", "comp_name"), "level")
 
     found = look_up(sets.filter("digest is not null").select("doc_id", "row_hash", "n_shingles", "digest"), level, "digest")
