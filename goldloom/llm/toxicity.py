@@ -22,15 +22,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from goldloom.llm.common import map_batches
+from goldloom.llm.common import map_batches, written
 
-#: Bounds of the samples that the classifier is fitted on, of the stems looked at and of those kept.
-MAX_P, MAX_U, MAX_SEEN, MAX_STEMS = 4_000, 12_000, 30_000, 3_000
+#: Bounds of the samples of labelled and of other rows that the classifier is fitted on.
+MAX_P, MAX_U = 4_000, 12_000
 #: A stem is looked at if so many texts of P have it, and kept if its share in P exceeds that in U by so many deviations.
 LEAST_TEXTS, LEAST_DEVIATIONS = 4, 5.0
 EPOCHS, BATCH, RATE, DECAY = 40, 512, 0.02, 1e-3
 #: Lengths of beginnings of words.
 BEGINNINGS = (4, 5, 6, 7)
+#: Words from so many letters on, and text without spaces, count by their beginnings alone.
+LONG_WORD = 40
 LEVELS = 5
 REMEMBERED = 200_000
 _TABLE = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -46,9 +48,9 @@ def text_words(text: bytes | None) -> list[bytes]:
 
 
 def stems(word: bytes) -> list[str]:
-    """A word and its beginnings, the latter marked by a star."""
+    """A word and its beginnings, the latter marked by a star; of a long word the beginnings."""
     w = word.decode("utf-8", "replace").lower()
-    return [w, *(w[:k] + "*" for k in BEGINNINGS if len(w) >= k)] if len(w) < 40 else []
+    return [*([w] if len(w) < LONG_WORD else []), *(w[:k] + "*" for k in BEGINNINGS if len(w) >= k)]
 
 
 def levels(count: int, n: int) -> int:
@@ -138,52 +140,66 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "do
     rows = docs.select(F.col(key).alias("key"), F.col(text).cast("binary").alias("text")).join(chosen, "key").select("p", "text")
     if not share:
         return Model((), (), -10.0)
+    rows = written(rows, "sample")  # MAX_P + MAX_U texts; keys that repeat bring all their texts
 
     def stems_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            seen = Counter(s for t in batch.column(1).to_pylist() for s in {s for w in set(text_words(t)) for s in stems(w)})
-            yield pa.RecordBatch.from_arrays([pa.array([*seen], pa.string()), pa.array([*seen.values()], pa.int64())], ["stem", "n"])
+            found = Counter(s for t in batch.column(1).to_pylist() for s in {s for w in set(text_words(t)) for s in stems(w)})
+            yield pa.RecordBatch.from_arrays([pa.array([*found], pa.string()), pa.array([*found.values()], pa.int64())], ["stem", "n"])
 
     counts = rows.filter("p").mapInArrow(stems_of, "stem string, n long").groupBy("stem").agg(F.sum("n").alias("n")).filter(F.col("n") >= LEAST_TEXTS)
-    seen = [r["stem"] for r in counts.orderBy(F.desc("n"), "stem").limit(MAX_SEEN).collect()]
+    seen = [r["stem"] for r in counts.orderBy(F.desc("n"), "stem").collect()]  # stems of LEAST_TEXTS of MAX_P texts
+
+    def features_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader = Reader(seen)
+        for batch in batches:
+            for side in (True, False):
+                texts = [t for t, p in zip(batch.column(1).to_pylist(), batch.column(0).to_pylist()) if p == side]
+                found = Counter(f for t in texts for f in reader.features(t))
+                yield pa.RecordBatch.from_arrays([pa.array([side] * (len(found) + 1)), pa.array([-1, *found], pa.int64()), pa.array([len(texts), *found.values()], pa.int64())], ["p", "feature", "n"])
+
+    sums = rows.mapInArrow(features_of, "p boolean, feature long, n long").groupBy("p", "feature").agg(F.sum("n").alias("n")).toArrow()  # LEVELS per stem
+    held = {True: np.zeros(LEVELS * len(seen) + 1), False: np.zeros(LEVELS * len(seen) + 1)}
+    for p, feature, n in zip(*(c.to_pylist() for c in sums.columns)):
+        held[p][feature] = n
+    kept = marking(*(held[p] for p in (True, False)))
+    if not held[True][-1] or not held[False][-1] or not len(kept):
+        return Model((), (), -10.0)
+    marks = np.full(LEVELS * len(seen), -1)
+    marks[kept] = np.arange(len(kept))
 
     def make():
         reader = Reader(seen)
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([batch.column(0), pa.array([np.array(reader.features(t), "<i4").tobytes() for t in batch.column(1).to_pylist()], pa.binary())], ["p", "found"])
+            found = (marks[reader.features(t)] if t else np.zeros(0, np.int64) for t in batch.column(1).to_pylist())
+            return pa.RecordBatch.from_arrays([batch.column(0), pa.array([f[f >= 0].astype("<i4").tobytes() for f in found], pa.binary())], ["p", "found"])
 
         return step
 
-    got = map_batches(rows, "p boolean, found binary", make).toArrow()  # MAX_P + MAX_U rows
+    got = map_batches(rows, "p boolean, found binary", make).toArrow()  # the sample, of each text what it has of the kept features
     sides = got.column("p").to_pylist()
     rows_p, rows_u = ([np.frombuffer(f, "<i4") for f in sorted(x.as_py() for x, side in zip(got.column("found"), sides) if side == p)] for p in (True, False))
-    if not rows_p or not rows_u or not seen:
-        return Model((), (), -10.0)
-    kept = marking(rows_p, rows_u, LEVELS * len(seen))
-    place = np.full(LEVELS * len(seen), -1)
-    place[kept] = np.arange(len(kept))
-    rows_p, rows_u = ([p[p >= 0] for p in (place[r] for r in side)] for side in (rows_p, rows_u))
     w, b = fit_nnpu(rows_p, rows_u, len(kept), min(max(share, 1e-3), 0.9), seed)
-    chosen = sorted({int(k) // LEVELS for k in kept})
+    used = sorted({int(k) // LEVELS for k in kept})
     full = dict(zip(kept.tolist(), w.tolist()))
-    return Model(tuple(seen[k] for k in chosen), tuple(full.get(LEVELS * k + i, 0.0) for k in chosen for i in range(LEVELS)), b)
+    return Model(tuple(seen[k] for k in used), tuple(full.get(LEVELS * k + i, 0.0) for k in used for i in range(LEVELS)), b)
 
 
-def marking(rows_p: list[np.ndarray], rows_u: list[np.ndarray], n: int) -> np.ndarray:
-    """Features whose share in P exceeds that in U clearly, MAX_STEMS at most."""
-    p, u = (np.bincount(np.concatenate(r), minlength=n) / len(r) for r in (rows_p, rows_u))
-    both = (p * len(rows_p) + u * len(rows_u)) / (len(rows_p) + len(rows_u))
-    z = (p - u) / np.sqrt(np.maximum(both * (1 - both), 1e-9) * (1 / len(rows_p) + 1 / len(rows_u)))
-    good = np.flatnonzero((z >= LEAST_DEVIATIONS) & (p >= 2 * u))
-    return np.sort(good[np.argsort(-z[good], kind="stable")[:MAX_STEMS]])
+def marking(in_p: np.ndarray, in_u: np.ndarray) -> np.ndarray:
+    """Features whose share in P exceeds that in U clearly. Both arrays hold how many texts have each feature, and last how many texts there are."""
+    n_p, n_u = max(in_p[-1], 1), max(in_u[-1], 1)
+    p, u = in_p[:-1] / n_p, in_u[:-1] / n_u
+    both = (in_p[:-1] + in_u[:-1]) / (n_p + n_u)
+    z = (p - u) / np.sqrt(np.maximum(both * (1 - both), 1e-9) * (1 / n_p + 1 / n_u))
+    return np.flatnonzero((z >= LEAST_DEVIATIONS) & (p >= 2 * u))
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", key: str = "doc_id") -> DataFrame:
     """One row per row of docs: key and score (0 to 1).
 
     Null and empty texts get the score of a text without words. Repeated rows give repeated rows, an empty table an empty
-    result, other columns are left out. The model, of at most MAX_STEMS features, travels with the tasks.
+    result, other columns are left out. The model, bounded by the words of MAX_P texts, travels with the tasks.
     """
     return with_score(docs.select(F.col(key).alias("key"), F.col(text).alias("text")), model, "text", "score").select(F.col("key").alias(key), "score")
 
