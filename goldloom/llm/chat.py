@@ -33,33 +33,26 @@ def unescape(text: Column) -> Column:
 
 
 def format_conversations(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", trained: str = TRAINED) -> DataFrame:
-    """One row per conversation: conv, examples array<struct<text, loss_start, loss_end>> in order of turns.
+    """One row per example: conv, example (from 0 on, in order of turns), last (whether the conversation ends with it), text,
+    loss_start and loss_end.
 
     loss_start and loss_end are offsets in code points, the end exclusive; equal offsets mean that nothing is trainable.
     Turns are ordered by turn, then role and text, nulls first; null roles and texts count as empty. Rows with a null conv
-    form one conversation. Repeated rows are turns of their own. An empty table gives an empty result. The text of a
-    conversation is repeated for each of its assistant turns.
+    form one conversation. Repeated rows are turns of their own. An empty table gives an empty result. A row holds one example
+    and the turns that it is made of, so it grows with the conversation, not with its square.
     """
     rows = turns.select(F.col(conv).alias("conv"), F.struct(F.col(turn).alias("turn"), F.coalesce(F.col(role), F.lit("")).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("text")).alias("row"))
     whole = rows.groupBy("conv").agg(F.array_sort(F.collect_list("row")).alias("rows"))
     head = lambda r: F.concat(F.lit("### "), escape_role(r["role"]), F.lit(": "))
     parts = whole.select("conv", F.transform("rows", lambda r: F.struct((r["role"] == trained).alias("trained"), head(r).alias("head"), escape(r["text"]).alias("body"))).alias("p"))
-    joined = parts.select("conv", "p", F.transform("p", lambda x: F.concat(x["head"], x["body"], F.lit(END))).alias("t"), F.size("p").alias("n"))
-    ends = F.filter(F.sequence(F.lit(1), F.col("n")), lambda i: F.element_at("p", i)["trained"] | (i == F.col("n")))
-
-    def example(i: Column) -> Column:
-        last = F.element_at("p", i)
-        before = F.array_join(F.slice("t", F.lit(1), i - 1), "")
-        start = F.length(before) + F.length(last["head"])
-        return F.struct(F.concat(before, F.element_at("t", i)).alias("text"), start.cast("long").alias("loss_start"), (start + F.when(last["trained"], F.length(last["body"])).otherwise(0)).cast("long").alias("loss_end"))
-
-    return joined.select(F.col("conv").alias(conv), F.transform(ends, example).alias("examples"))
-
-
-def explode_examples(formatted: DataFrame) -> DataFrame:
-    """One row per example: the columns of formatted without examples, and text, loss_start, loss_end."""
-    rest = [c for c in formatted.columns if c != "examples"]
-    return formatted.select(*rest, F.posexplode("examples").alias("example", "e")).select(*rest, "example", "e.*")
+    size = F.size("p")
+    ends = F.filter(F.sequence(F.lit(1), size), lambda i: F.element_at("p", i)["trained"] | (i == size))
+    ending = parts.select("conv", "p", F.posexplode(ends).alias("example", "i"))
+    one = lambda x: F.concat(x["head"], x["body"], F.lit(END))
+    final = F.element_at("p", F.col("i"))
+    made = ending.select("conv", "example", (F.col("i") == size).alias("last"), F.array_join(F.transform(F.slice("p", F.lit(1), F.col("i")), one), "").alias("text"), final["trained"].alias("trained"), F.length(final["body"]).alias("n"))
+    start = F.length("text") - F.lit(len(END)) - F.col("n")
+    return made.select(F.col("conv").alias(conv), "example", "last", "text", start.cast("long").alias("loss_start"), (start + F.when(F.col("trained"), F.col("n")).otherwise(0)).cast("long").alias("loss_end"))
 
 
 def read_turns(text: Column) -> Column:

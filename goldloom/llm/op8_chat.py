@@ -17,12 +17,16 @@ def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(format_conversations(turns.unionByName(hard)))
 
 
-def digests(formatted: DataFrame) -> DataFrame:
-    """What the contract asks for, from the examples alone."""
-    loss = F.transform("examples", lambda e: unescape(F.substring(e["text"], e["loss_start"].cast("int") + 1, (e["loss_end"] - e["loss_start"]).cast("int"))))
-    read = formatted.select("conv_id", read_turns(F.element_at("examples", -1)["text"]).alias("turns"), F.array_join(loss, "").alias("loss"), F.aggregate("examples", F.lit(0).cast("long"), lambda a, e: a + F.length(e["text"])).alias("formatted_chars"))
+def digests(examples: DataFrame) -> DataFrame:
+    """What the contract asks for, from the examples alone; only digests and trained texts meet in a conversation's group."""
+    loss = unescape(F.substring("text", F.col("loss_start").cast("int") + 1, (F.col("loss_end") - F.col("loss_start")).cast("int")))
+    turns = F.when(F.col("last"), read_turns(F.col("text")))
+    read = examples.select("conv_id", "example", loss.alias("loss"), F.length("text").cast("long").alias("chars"), turns.alias("turns"))
     whole = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    return read.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(whole.cast("binary"), 256).alias("turns_sha256"), F.length("loss").cast("long").alias("loss_chars"), F.sha2(F.col("loss").cast("binary"), 256).alias("loss_sha256"), "formatted_chars")
+    small = read.select("conv_id", "example", "loss", "chars", F.when(F.col("turns").isNotNull(), F.size("turns").cast("long")).alias("n"), F.sha2(whole.cast("binary"), 256).alias("sha"))
+    by = small.groupBy("conv_id").agg(F.max("n").alias("n_turns"), F.max("sha").alias("turns_sha256"), F.sum("chars").alias("formatted_chars"), F.array_sort(F.collect_list(F.struct("example", "loss"))).alias("losses"))
+    text = F.array_join(F.col("losses.loss"), "")
+    return by.select("conv_id", "n_turns", "turns_sha256", F.length(text).cast("long").alias("loss_chars"), F.sha2(text.cast("binary"), 256).alias("loss_sha256"), "formatted_chars")
 
 
 SQL = r"""

@@ -46,6 +46,12 @@ def _iso_date(m: Column) -> Column:
     return F.to_date(F.try_to_timestamp(F.regexp_replace(m, "[./]", "-"), F.lit("yyyy-MM-dd"))).isNotNull()
 
 
+def _mixed(m: Column) -> Column:
+    """Whether what a credential is set to has letters and digits, as random strings have and words haven't."""
+    value = F.regexp_extract(m, r"[A-Za-z0-9_+/=-]{12,}$", 0)
+    return value.rlike("[0-9]") & value.rlike("[A-Za-z]")
+
+
 @dataclass(frozen=True)
 class Kind:
     """gate: cheap test of a text; score: of a confirmed match, to which words of context add near."""
@@ -68,6 +74,8 @@ KINDS = (
     Kind("phone", r"\+[0-9]", r"\+[0-9][\x20().0-9-]+[0-9]", lambda m: F.length(_digits(m)).between(8, 15), True, 0.7, r"(?i)phone|tel|call|mobile|appel|anruf|llam"),
     Kind("iban", r"[A-Z]{2}[0-9]{2}", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[\x20]?[A-Z0-9]{4}){2,7}(?:[\x20]?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", lambda m: bind(F.replace(m, F.lit(" "), F.lit("")), lambda x: F.when(F.length(x).between(15, 34), mod97(x)).otherwise(False)), False, 0.8, r"(?i)iban|account|konto|compte|cuenta"),
     Kind("ssn", r"[0-9]{3}-[0-9]{2}-[0-9]{4}", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", lambda m: ~m.rlike("^(?:000|666|9)|-00-|-0000$"), False, 0.4, r"(?i)ssn|social security"),
+    Kind("secret", r"(?i)key|secret|token|passw|pwd|credential", r"(?i)(?<![A-Za-z0-9])(?:api[_-]?key|access[_-]?key|secret(?:[_-]?key)?|(?:auth[_-]?|access[_-]?)?token|passw(?:or)?d|pwd|credential)[\"']?\x20{0,4}[:=]\x20{0,4}[\"']?[A-Za-z0-9_+/=-]{12,}+", _mixed, False, 0.6, r"(?i)auth|login|header|export|bearer"),
+    Kind("key_id", r"AKIA|ASIA|ghp_|gho_|xox[bap]-|eyJ", r"(?<![A-Za-z0-9])(?:(?:AKIA|ASIA)[0-9A-Z]{16}|gh[po]_[A-Za-z0-9]{36}|xox[bap]-[A-Za-z0-9-]{10,}+|eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+)(?![A-Za-z0-9])", None, False, 0.9, r"(?i)key|token|auth"),
     Kind("birth_date", r"[0-9]{4}[-./][0-9]{2}[-./][0-9]{2}", r"(?<![0-9])[0-9]{4}([-./])[0-9]{2}\1[0-9]{2}(?![0-9])", _iso_date, False, 0.2, r"(?i)\bborn\b|birth|geboren|naissance|nacimiento", 0.5),
 )
 
