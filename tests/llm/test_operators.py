@@ -3,17 +3,19 @@
 import hashlib
 import math
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from goldloom.llm import bpe, chat, exact_dedup, licenses, mixing, ngram_join, pii, quality, sstable, toxicity
+from goldloom.llm import bpe, chat, exact_dedup, licenses, mixing, ngram_join, pieces, pii, quality, sstable, toxicity
 from goldloom.llm.op2_sst import library_encoder, op2_token_shards
 from goldloom.llm.op4_bpe import op4_bpe
 from goldloom.llm.op5_toxicity import op5_toxicity
@@ -102,6 +104,59 @@ def test_shard_lookup():
     assert all(r.get(k) is None for k in range(-60, 5100) if k not in ids)
 
 
+def test_pieces_forget_and_find():
+    t = Tokenizer.from_file(VOCABULARY)
+    calls = []
+
+    def encode(texts):
+        calls.extend(texts)
+        return [np.array(t.encode(x, add_special_tokens=False).ids, "<u4").tobytes() for x in texts]
+
+    p = pieces.Pieces(encode, remembered=5, special=["<|endoftext|>"])
+    rng = np.random.default_rng(8)
+    parts = [*"ab c\n\t'sé12  漢🙂\r.,!_\x85\u2003\x01\x02:;?", "<|endoftext|>", " the", "ing", "  ", "\n\n", "3.14", "it's, ok."]
+    for _ in range(40):
+        texts = ["".join(rng.choice(parts, rng.integers(0, 12))) for _ in range(25)] + [None, ""]
+        assert p(pa.array(texts, pa.string())) == [encode([x or ""])[0] for x in texts]
+        assert len(p.young) <= 10 and len(p.old) <= 10
+    p = pieces.Pieces(encode)
+    calls.clear()
+    p(["the cat, the dog.\nthe end"] * 3)
+    p(["the dog, the cat.\nthe end"])
+    assert sorted(calls) == sorted([" cat", " the", " dog", " end", ",", ".", "the", "\nthe"])
+    assert p([]) == [] and pieces.Pieces(encode, special=["a b"])(["a b c"]) == encode(["a b c"])
+
+
+def test_shards_with_null_and_repeated_keys(spark, tmp_path):
+    keys = [None, None, 5, 5, 5, -3, *range(100, 400)]
+    rows = [(k, f"text {i} " * (400 if k == 5 else 3)) for i, k in enumerate(keys)]
+    path = f"file://{tmp_path}/s"
+    shards = sstable.write_shards(spark.createDataFrame(rows, "doc_id long, text string"), path, library_encoder(VOCABULARY), partitions=4)
+    assert shards.count() > 1 and shards.agg(F.sum("n_docs")).first()[0] == len(rows)
+    back = sorted(((r["start"], r["key"], r["n_ids"]) for r in sstable.read_shards(shards, path).collect()))
+    assert [k for _, k, _ in back] == sorted(keys, key=lambda k: (k is not None, k or 0))
+    assert [s for s, _, _ in back] == list(np.cumsum([0, *(n for _, _, n in back[:-1])]))
+    t = Tokenizer.from_file(VOCABULARY)
+    ids = lambda text: np.array([*t.encode(text, add_special_tokens=False).ids, 0], "<u4").tobytes()
+    wanted = [None, 5, -3, 100, 399, 400, 7, -(1 << 63)]
+    got = [(r["key"], bytes(r["token_ids"])) for r in sstable.lookup(shards, path, wanted).collect()]
+    assert sorted(got, key=repr) == sorted(((k, ids(x)) for k, x in rows if k in wanted), key=repr)
+    assert sstable.lookup(shards, path, []).count() == 0
+    # A shard whose range doesn't hold the key isn't opened.
+    for name in [r["file"] for r in shards.filter(~F.lit(sstable.key_bytes(-3)).between(F.col("first"), F.col("last"))).collect()]:
+        (tmp_path / "s" / name).unlink()
+    assert [bytes(r["token_ids"]) for r in sstable.lookup(shards, path, [-3]).collect()] == [ids(rows[5][1])]
+
+
+def test_repeated_key_over_blocks():
+    w = sstable.ShardWriter(2)
+    body = np.arange(60_000, dtype="<u4").tobytes()
+    for k in (1, 2, 2, 2, 2, 2, 2, 2, 3):
+        w.add(k, body)
+    r = sstable.ShardReader.over(w.finish())
+    assert len(r.index) > 2 and len(r.get_all(2)) == 7 and len(r.get_all(3)) == 1 and r.get_all(4) == []
+
+
 def test_shards_hard_cases(spark, tmp_path):
     for texts in (HARD_TEXTS, []):
         path = f"file://{tmp_path}/{len(texts)}"
@@ -128,6 +183,27 @@ def test_exact_duplicates(spark, digest_bytes):
     assert exact_dedup.exact_duplicates(table(spark, [])).count() == 0
 
 
+def test_exact_index_takes_batches(spark):
+    rng = np.random.default_rng(10)
+    rows = [(int(i) if i % 13 else None, f"text  {int(rng.integers(0, 60))}") for i in rng.permutation(600)]
+    batches = [spark.createDataFrame(rows[k : k + 60], "doc_id long, text string").repartition(2) for k in range(0, 600, 60)]
+    index, seen = exact_dedup.Index(memtable=20, fan=3), {}
+    for k, batch in enumerate(batches):
+        hits = {bytes(r["digest"]): r["keep_id"] for r in index.add(batch).collect()}
+        own = [(i, hashlib.sha256(t.replace("  ", " ").encode()).digest()) for i, t in rows[60 * k : 60 * k + 60]]
+        assert hits == {d: seen[d] for _, d in own if d in seen}
+        for i, d in own:
+            seen[d] = min((x for x in (seen.get(d), i) if x is not None), default=None)
+        assert all(len(level) < 3 for level in index.levels)
+    assert len(index.levels) == 3
+    runs = exact_dedup.flush_runs(exact_dedup.digested(batches[0].coalesce(1)), 20).collect()
+    assert {r["run"] for r in runs} != {0} and all(bytes(a["digest"]) < bytes(b["digest"]) for a, b in zip(runs, runs[1:]) if a["run"] == b["run"])
+    sizes = Counter(t for _, t in rows)
+    least = {t: min((i for i, u in rows if u == t and i is not None), default=None) for t in sizes}
+    want = sorted(((i, least[t], sizes[t], i == least[t]) for i, t in rows), key=repr)
+    assert sorted(((r["doc_id"], r["keep_id"], r["group_size"], r["kept"]) for r in index.result().collect()), key=repr) == want
+
+
 def brute_components(rows, n, num, den):
     sets = {}
     for i, t in rows:
@@ -297,6 +373,71 @@ def test_toxicity_hard_cases(spark):
     assert toxicity.score(table(spark, []), model).count() == 0
 
 
+def brute_toxicity(rows, labels, seed=1):
+    """Scores by dense matrices: rows (doc_id, text), labels {doc_id: toxic}. The sample must hold all rows of the fold."""
+    words = lambda t: re.findall(r"[0-9a-z\x80-\U0010ffff]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+
+    def parts(w):
+        w = w.lower()
+        return ([w] if len(w) < 40 else []) + [w[:k] + "*" for k in (4, 5, 6, 7) if len(w) >= k]
+
+    def holds(t, stem):
+        n = sum(stem in parts(w) for w in words(t))
+        total = len(words(t))
+        return [n >= 1, n >= 2, n >= 3, n >= 2 and n * 300 >= total, n >= 2 and n * 100 >= total]
+
+    fold = lambda i: zlib.crc32(str(i).encode()) % 5 != 0
+    p_rows = [t for i, t in rows if fold(i) and labels.get(i) == 1]
+    # A confirmed text is in both samples, as others are drawn from all.
+    u_rows = [t for i, t in rows if fold(i)]
+    known = [v for i, v in labels.items() if fold(i)]
+    seen = Counter(s for t in p_rows for s in {s for w in words(t) for s in parts(w)})
+    stems = sorted((s for s, n in seen.items() if n >= 4), key=lambda s: (-seen[s], s))
+    x_p, x_u = (np.array([[b for s in stems for b in holds(t, s)] for t in side], float) for side in (p_rows, u_rows))
+    kept = toxicity.marking(np.append(x_p.sum(0), len(x_p)), np.append(x_u.sum(0), len(x_u)))
+    as_rows = lambda x: sorted((np.flatnonzero(r) for r in x[:, kept]), key=lambda r: r.astype("<i4").tobytes())
+    x_p, x_u = (np.array([[float(k in r) for k in range(len(kept))] for r in map(set, map(np.ndarray.tolist, as_rows(x)))]) for x in (x_p, x_u))
+    prior = sum(known) / len(known)
+    rng, w, b = np.random.default_rng(seed), np.zeros(len(kept)), math.log(prior / (1 - prior))
+    m, v, t = np.zeros(len(kept) + 1), np.zeros(len(kept) + 1), 0
+    sigmoid = lambda z: 1 / (1 + np.exp(-z))
+    steps = max(1, len(x_u) // 512)
+    for _ in range(40):
+        order_p, order_u = rng.permutation(len(x_p)), rng.permutation(len(x_u))
+        for s in range(steps):
+            a, c = x_p[order_p[s::steps]], x_u[order_u[s::steps]]
+            z_a, z_c = a @ w + b, c @ w + b
+            grad = lambda x, slope: np.append(x.T @ slope, slope.sum())
+            negative = np.log1p(np.exp(z_c)).mean() - prior * np.log1p(np.exp(z_a)).mean()
+            other = grad(c, sigmoid(z_c) / len(c)) - grad(a, prior * sigmoid(z_a) / len(a))
+            g = grad(a, prior * (sigmoid(z_a) - 1) / len(a)) + other if negative >= 0 else -other
+            g[:-1] += 1e-3 * w
+            t += 1
+            m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
+            d = 0.02 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
+            w, b = w - d[:-1], b - d[-1]
+    score = lambda t: sigmoid(np.array([x for s in stems for x in holds(t, s)], float)[kept] @ w + b)
+    return {i: float(score(t)) for i, t in rows}
+
+
+def test_toxicity_equals_dense_version(spark):
+    rng = np.random.default_rng(11)
+    plain, bad = [f"word{i}" for i in range(60)], ["nastyword", "vileness", "hatefully", "x" * 45]
+    rows, labels = [], {}
+    for i in range(700):
+        toxic = i % 6 == 0
+        words = [*rng.choice(plain, 15), *(rng.choice(bad, 4) if toxic else [])]
+        rows.append((i, " ".join(rng.permutation(words))))
+        if i % 2 == 0:
+            labels[i] = int(toxic)
+    rows += [(700, None), (701, ""), (702, "NASTYWORD " * 30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    model = toxicity.train(docs, spark.createDataFrame([(i, 0, v) for i, v in labels.items()], "doc_id long, quality int, toxic int"))
+    got = {r["doc_id"]: r["score"] for r in toxicity.score(docs, model).collect()}
+    assert got == pytest.approx(brute_toxicity(rows, labels), rel=1e-6)
+    assert got[702] > 0.5 > got[700] == got[701]
+
+
 # --- licenses, personal data
 
 
@@ -352,6 +493,38 @@ def test_license_names_pass_their_keywords():
             assert licenses.detect(words.encode()), (label, text)
 
 
+def test_written_license_rules_pass_their_keywords():
+    for rows, before in ((licenses.IDENTIFIERS, "spdx license identifier "), (licenses.BODIES, ""), (licenses.ADDRESSES, "https www ")):
+        for label, keyword, pattern in rows:
+            for text in expansions(re._parser.parse(pattern)):
+                words = f" {before}{text} "
+                found = licenses.detect(re.sub(" +", " ", words).encode())
+                assert f" {keyword}" in words and label in {d.label for d in found}, (label, text)
+    rules = [r for v in licenses.signatures().values() for r in v]
+    assert len({r.pattern.pattern for r in rules}) == len(rules)
+
+
+def test_license_places_and_containment():
+    text = "x y Apache License 2.0 z " * 3 + "SPDX-License-Identifier: GPL-2.0-or-later"
+    found = licenses.detect(licenses.normalised(text.encode()))
+    assert [(d.label, d.start, d.end) for d in found] == [("apache-2.0", 7 * k + 2, 7 * k + 6) for k in range(3)] + [("gpl-2.0", 21, 29)]
+    rng = np.random.default_rng(9)
+    for _ in range(200):
+        spans = [licenses.Detection("a", "b", int(s), int(s + n), 0, 1.0) for s, n in zip(rng.integers(0, 30, 25), rng.integers(1, 9, 25))]
+        taken = []
+        for d in spans:
+            if not any(t.start <= d.start and d.end <= t.end for t in taken):
+                taken.append(d)
+        assert licenses._uncontained(spans) == taken
+
+
+def test_license_scan_of_a_long_text_is_linear():
+    text = licenses.normalised(b"word mit license word released under the apache license 2.0 " * 20_000)
+    start = time.perf_counter()
+    assert len(licenses.detect(text)) == 40_000
+    assert time.perf_counter() - start < 20
+
+
 def test_license_rules_in_other_forms():
     labels = lambda t: [d.label for d in licenses.detect(licenses.normalised(t.encode()))]
     for text in ("Alle Rechte vorbehalten.", "Todos los derechos reservados", "Tous droits réservés", "TOUS DROITS RÉSERVÉS", "tous droits re\u0301serve\u0301s", "Tous droits reserves"):
@@ -399,6 +572,15 @@ def test_pii_hard_texts(spark, tmp_path):
     assert "iban" in "".join(r["spans"] for r in got.values()) and pii.find_pii(table(spark, [])).count() == 0
 
 
+def test_pii_finds_secrets(spark):
+    yes = ['x token = "04dbebab91ab85687d33eeaaf9ac699e1188f962" y', "API_KEY: abcd1234efgh5678", "password=hunter2hunter2", "AKIA" + "ABCD1234EFGH5678", "TOKEN = '9233A8ECF7C5B09F'", "é🙂 secret: a1" + "b" * 30]
+    no = ["a token of thanks", "token = yes", "password: correcthorsebattery", "the key is 12", "broken = 04dbebab91ab85687d33"]
+    got = [r["spans"] for r in pii.find_pii(table(spark, yes + no)).orderBy("doc_id").collect()]
+    found = [{s["kind"]: (s["start"], s["end"]) for s in spans} for spans in got]
+    assert all({"secret", "key_id"} & set(f) for f in found[: len(yes)]) and not any({"secret", "key_id"} & set(f) for f in found[len(yes) :])
+    assert found[0]["secret"] == (2, 51) and found[5]["secret"] == (3, 3 + len("secret: a1") + 30)
+
+
 # --- chat
 
 
@@ -411,13 +593,21 @@ def test_chat_escapes(spark):
 
 def test_chat_examples(spark):
     rows = [(1, 0, "system", "s"), (1, 1, "user", HARD), (1, 2, "assistant", HARD), (1, 3, "user", None), (1, 4, "assistant", "</turn>"), (1, 5, "user", "tail"), (2, 0, None, "x"), (None, 0, "assistant", "n")]
-    formatted = chat.format_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
-    examples = chat.explode_examples(formatted)
+    schema = "conv_id long, turn long, role string, text string"
+    examples = chat.format_conversations(spark.createDataFrame(rows, schema))
     got = [(r["conv_id"], r["text"][r["loss_start"] : r["loss_end"]]) for r in examples.orderBy("conv_id", "example").collect()]
     assert got == [(None, "n"), (1, chat_escape(HARD)), (1, "\\e"), (1, ""), (2, "")]
-    turns = {r["conv_id"]: [tuple(t) for t in r["turns"]] for r in formatted.select("conv_id", chat.read_turns(F.element_at("examples", -1)["text"]).alias("turns")).collect()}
+    turns = {r["conv_id"]: [tuple(t) for t in r["turns"]] for r in examples.filter("last").select("conv_id", chat.read_turns(F.col("text")).alias("turns")).collect()}
     assert turns[1] == [(r or "", t or "") for _, _, r, t in rows[:6]] and turns[2] == [("", "x")]
-    assert chat.format_conversations(formatted.select(F.col("conv_id"), F.lit(1).alias("turn"), F.lit("a").alias("role"), F.lit("b").alias("text")).limit(0)).count() == 0
+    assert chat.format_conversations(spark.createDataFrame([], schema)).count() == 0
+
+
+def test_chat_of_a_long_conversation(spark):
+    rows = [(1, k, "assistant" if k % 2 else "user", f"turn {k}") for k in range(2000)]
+    examples = chat.format_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    whole = sum(len(f"### {r}: {t}</turn>\n") for _, _, r, t in rows)
+    sizes = examples.agg(F.count("*").alias("n"), F.max(F.length("text")).alias("most"), F.sum(F.col("loss_end") - F.col("loss_start")).alias("loss")).first()
+    assert (sizes["n"], sizes["most"], sizes["loss"]) == (1000, whole, sum(len(t) for _, _, r, t in rows if r == "assistant"))
 
 
 def chat_escape(text):
