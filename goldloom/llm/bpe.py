@@ -28,8 +28,8 @@ from goldloom.llm.pieces import Pieces
 
 #: Fixed value: the pretokenizer of byte-level BPE vocabularies of this family.
 PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Pairs of tokens that a worker remembers.
-REMEMBERED = 200_000
+#: Pairs of tokens and pieces of texts that a worker remembers.
+PAIRS, PIECES = 100_000, 250_000
 
 
 def byte_letters() -> dict[str, int]:
@@ -78,7 +78,7 @@ class Encoder:
         self.blob = np.frombuffer(b"".join(self.token), np.uint8)
         self.offset = np.concatenate([[0], np.cumsum(self.length)])
         self.compatible: dict[int, bool] = {}
-        self.pieces = Pieces(lambda texts: [*map(self._whole, texts)], special=self.special)
+        self.pieces = Pieces(lambda texts: [*map(self._whole, texts)], PIECES, 25_000, special=self.special)
         self.pieces.forgetful.append(self.forget)
 
     def fits(self, a: int, b: int) -> bool:
@@ -87,7 +87,7 @@ class Encoder:
         known = self.compatible.get(key)
         if known is None:
             known = self._fits(a, b)
-            if len(self.compatible) < REMEMBERED:
+            if len(self.compatible) < PAIRS:
                 self.compatible[key] = known
         return known
 
@@ -163,7 +163,9 @@ class Encoder:
         return b"".join(out)
 
     def forget(self) -> None:
+        """Lets an idle worker's memory go; the next task that encodes builds the tables anew."""
         self.compatible = {}
+        encoder.cache_clear()
 
     def encode(self, texts: list[str] | pa.Array) -> list[bytes]:
         """Ids of whole texts as little-endian unsigned 32-bit integers; null counts as empty."""
@@ -184,25 +186,30 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def transcode(docs: DataFrame, path: str, text: str = "text", key: str = "doc_id", keep: tuple[str, ...] = ()) -> DataFrame:
+def transcode(docs: DataFrame, path: str, text: str = "text", key: str = "doc_id", keep: tuple[str, ...] = (), decoded: bool = True) -> DataFrame:
     """Encodes every whole text and decodes the ids again.
 
-    Returns key, the columns in keep, token_ids (binary, little-endian unsigned 32-bit integers) and decoded_text. A null
-    text counts as empty and gives no ids. Repeated rows give repeated rows, an empty table an empty result; other columns,
-    whatever their names, are left out.
+    Returns key, the columns in keep, token_ids (binary, little-endian unsigned 32-bit integers), lossless (whether the decoded
+    text is the text) and, if asked for, decoded_text. A null text counts as empty and gives no ids. Repeated rows give repeated
+    rows, an empty table an empty result; other columns, whatever their names, are left out.
     """
     held = [f"held{k}" for k in range(len(keep))]
+    names = ["key", *held, "token_ids", "lossless", *(["decoded_text"] if decoded else [])]
 
     def make():
         e = encoder(path)
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             ids = e.encode(batch.column(1))
-            return pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[2:], pa.array(ids, pa.binary()), pa.array([e.decode(i) for i in ids], pa.string())], ["key", *held, "token_ids", "decoded_text"])
+            back = [e.decode(i) for i in ids]
+            same = [b == (t.as_py() or "") for b, t in zip(back, batch.column(1))]
+            made = [pa.array(ids, pa.binary()), pa.array(same, pa.bool_()), *([pa.array(back, pa.string())] if decoded else [])]
+            return pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[2:], *made], names)
 
         return step
 
     kinds = [f"{h} {docs.schema[c].dataType.simpleString()}" for h, c in zip(held, keep)]
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), *(F.col(c).alias(h) for h, c in zip(held, keep)))
-    out = map_batches(rows, ", ".join([f"key {docs.schema[key].dataType.simpleString()}", *kinds, "token_ids binary", "decoded_text string"]), make)
-    return out.select(F.col("key").alias(key), *(F.col(h).alias(c) for h, c in zip(held, keep)), "token_ids", "decoded_text")
+    schema = [f"key {docs.schema[key].dataType.simpleString()}", *kinds, "token_ids binary", "lossless boolean", *(["decoded_text string"] if decoded else [])]
+    out = map_batches(rows, ", ".join(schema), make)
+    return out.select(F.col("key").alias(key), *(F.col(h).alias(c) for h, c in zip(held, keep)), *names[1 + len(keep) :])

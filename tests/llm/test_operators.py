@@ -112,18 +112,20 @@ def test_pieces_forget_and_find():
         calls.extend(texts)
         return [np.array(t.encode(x, add_special_tokens=False).ids, "<u4").tobytes() for x in texts]
 
-    p = pieces.Pieces(encode, remembered=5, special=["<|endoftext|>"])
+    p = pieces.Pieces(encode, remembered=9, fresh=4, special=["<|endoftext|>"])
     rng = np.random.default_rng(8)
     parts = [*"ab c\n\t'sé12  漢🙂\r.,!_\x85\u2003\x01\x02:;?", "<|endoftext|>", " the", "ing", "  ", "\n\n", "3.14", "it's, ok."]
     for _ in range(40):
         texts = ["".join(rng.choice(parts, rng.integers(0, 12))) for _ in range(25)] + [None, ""]
         assert p(pa.array(texts, pa.string())) == [encode([x or ""])[0] for x in texts]
-        assert len(p.young) <= 10 and len(p.old) <= 10
+        assert len(p.fresh) < 4 and len(p.filed.pieces) <= 9 + 200
     p = pieces.Pieces(encode)
     calls.clear()
     p(["the cat, the dog.\nthe end"] * 3)
     p(["the dog, the cat.\nthe end"])
     assert sorted(calls) == sorted([" cat", " the", " dog", " end", ",", ".", "the", "\nthe"])
+    p.forget()
+    assert not p.fresh and not len(p.filed.pieces) and p(["the cat"]) == encode(["the cat"])
     assert p([]) == [] and pieces.Pieces(encode, special=["a b"])(["a b c"]) == encode(["a b c"])
 
 
