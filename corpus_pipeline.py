@@ -69,10 +69,9 @@ def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     A null text counts as empty and has no ids. Repeated rows stay repeated, null keys stay; an empty table stays empty.
     """
-    small_batches(spark)
-    coded = transcode(docs, public_tokenizers.path(VOCABULARY), keep=("text", "lang", "source"))
-    lossless = F.col("decoded_text") == F.coalesce("text", F.lit(""))
-    return coded.select("doc_id", "lang", "source", F.expr("length(token_ids) div 4").alias("n_tokens"), lossless.alias("lossless"), "token_ids")
+    small_batches(spark, 500)
+    coded = transcode(docs, public_tokenizers.path(VOCABULARY), keep=("lang", "source"), decoded=False)
+    return coded.select("doc_id", "lang", "source", F.expr("length(token_ids) div 4").alias("n_tokens"), "lossless", "token_ids")
 
 
 STAGES = [("toxicity", toxicity), ("exact dedup", exact), ("n-gram Jaccard join", near), ("mixing", mixing), ("BPE", encoding)]
