@@ -153,11 +153,10 @@ def slug_and_address(t):
     return rows.select("s_suppkey", F.upper(text.slug(F.concat(F.lit("Nr "), n, F.lit(" /x")))).alias("slug"), address.full_address(c("n_name"), n, F.lit(None).cast("string"), F.lit(None).cast("string"), F.lit(""), F.lit(None).cast("string")).alias("full_address"))
 
 
-@query("SELECT doc_id, length(s) AS n, sha256(s) AS hash FROM (SELECT doc_id, trim(regexp_replace(text, '[\\x00-\\x1F\\x7F]', '', 'g'), ' ') AS s FROM documents WHERE NOT regexp_matches(text, '[^\\x00-\\x7F]'))")
+@query(r"SELECT doc_id, length(s) AS n, sha256(s) AS hash FROM (SELECT doc_id, trim(regexp_replace(text, '[\p{Cc}\p{Cf}\p{Co}\p{Zl}\p{Zp}\x{A0}\x{1680}\x{2000}-\x{200A}\x{202F}\x{205F}\x{3000}]', '', 'g'), ' ') AS s FROM documents)")
 def sanitize_text(t):
-    ascii_only = t("documents").filter(~c("text").rlike(r"[^\x00-\x7F]"))
     s = text.sanitize(c("text"))
-    return ascii_only.select("doc_id", F.length(s).cast("long").alias("n"), F.sha2(s, 256).alias("hash"))
+    return t("documents").select("doc_id", F.length(s).cast("long").alias("n"), F.sha2(s, 256).alias("hash"))
 
 
 @query("SELECT page_id, length(html) - length(replace(html, chr(10), '')) + 1 AS lines FROM pages")

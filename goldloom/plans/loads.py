@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from goldloom.operators import constraints, serving
+from goldloom.operators import constraints, matching, serving
 from goldloom.plans import pipeline
 from goldloom.plans.registry import query
 
@@ -52,6 +52,16 @@ def golden_load_person(t):
     return rows.select("dim_id", "PESEL", "First_Name", "address_id", "City", "Postal_Code", c("valid_from").cast("string").alias("valid_from"))
 
 
+_SIM = "CASE WHEN a.{0} IS NOT NULL AND b.{0} IS NOT NULL THEN 1 - levenshtein(lower(a.{0}), lower(b.{0})) / greatest(length(a.{0}), length(b.{0})) END"
+
+
+@query(f"""WITH {_PERSON_ROWS}, sims AS (SELECT a.id AS left_id, b.id AS right_id, ({_SIM.format('first_name')})::DOUBLE AS f, ({_SIM.format('city')})::DOUBLE AS t, ({_SIM.format('code')})::DOUBLE AS k FROM r a JOIN r b ON a.pesel = b.pesel AND a.id < b.id),
+scored AS (SELECT *, round((1.0::DOUBLE + coalesce(f * 0.65::DOUBLE, 0) + coalesce(t * 0.12::DOUBLE, 0) + coalesce(k * 0.18::DOUBLE, 0)) / (1.0::DOUBLE + CASE WHEN f IS NULL THEN 0 ELSE 0.65::DOUBLE END + CASE WHEN t IS NULL THEN 0 ELSE 0.12::DOUBLE END + CASE WHEN k IS NULL THEN 0 ELSE 0.18::DOUBLE END), 4) AS score, coalesce(f < 0.6, FALSE) AS differs FROM sims)
+SELECT left_id, right_id, score, CASE WHEN score >= 0.95 OR NOT differs THEN 'AUTO_MERGE' WHEN score >= 0.7 THEN 'REVIEW' ELSE 'CANDIDATE' END AS decision FROM scored WHERE score >= 0.5""")
+def match_persons(t):
+    return matching.stage1(_persons(t), "PERSON").select("left_id", "right_id", "score", "decision")
+
+
 # --- parties: groups without a name are rejected, two groups may share a NIP
 
 _PARTY_ROWS = """r AS (SELECT s_suppkey AS id, s_suppkey % 60 AS grp, CASE s_suppkey % 3 WHEN 0 THEN 'KRS' WHEN 1 THEN 'REGON' ELSE 'VAT' END AS src,

@@ -90,7 +90,7 @@ def run_source(spark: SparkSession, source: DataFrame, columns: list[tuple[str,
 
     staged = step("staging", None, lambda: mapping.stage(mapping.map_columns(source, columns, entity), entity, batch, raw_file, order_by))
     count = log.rows[-1]["records_out"]
-    done = step("preprocessed", count, lambda: mapping.preprocess(staged, entity))
+    done = step("preprocessed", count, lambda: mapping.preprocess(staged, entity).withColumn("Rules_JSON", mapping.preprocessing_stamp()))
     step("validation", count, lambda: validation.validate_persons(staged, done, None, teryt) if entity == "PERSON" else validation.validate_parties(done, teryt))
     return kept
 
@@ -194,9 +194,15 @@ def _identities(grouped: DataFrame, owners: DataFrame, entity: str, known: Golde
     return {"identities": golden.identity_bridge(known.identities, wanted), "identity_lineage": lineage}
 
 
-def after(loaded: dict[str, DataFrame]) -> Golden:
-    """What the next load reads."""
-    return Golden(*(tables.kept(loaded[n], n) for n in ("dimension", "addresses", "links", "identities")))
+def after(loaded: dict[str, DataFrame], entity: str) -> Golden:
+    """What the next load reads: the stored columns alone."""
+    allowed = {
+        "dimension": ["dim_id", *dimension_fields(entity)],
+        "addresses": ["address_id", *R.ADDRESS_COLUMNS],
+        "links": ["dim_id", "address_id", "valid_from", "valid_to"],
+        "identities": ["identity_type", "identity_value", "party_id"],
+    }
+    return Golden(*(tables.kept(golden.known_fields(loaded[n], columns), n) for n, columns in allowed.items()))
 
 
 def run_all(spark: SparkSession, sources: list[Source], entity: str, path: str, existing: Golden | None = None, teryt: validation.Teryt | None = None, log: Log | None = None, max_pairs: int = R.MAX_PAIRS) -> dict[str, DataFrame]:

@@ -12,7 +12,7 @@ from goldloom.functions import address, checks, dates, fuzzy, similarity, text
 from goldloom.operators import blocking, cluster, constraints, mapping, matching, serving, survivorship, tables, validation
 from goldloom.plans import catalogue, pipeline
 from goldloom.plans import rules as R
-from goldloom.sources import files, generator, relational, teryt, xlsx
+from goldloom.sources import files, generator, registers, relational, teryt, xlsx
 from goldloom.streaming import incremental
 
 c = F.col
@@ -143,6 +143,22 @@ def test_relational(spark):
         relational.find_extract("KRS", "x", "PARTY")
 
 
+def test_snapshots_and_appends(spark, tmp_path):
+    rows = relational.run_sql(spark, "SELECT id, CASE WHEN id > 0 THEN 'x' END AS v FROM range(3)")
+    landed = files.land_snapshot(rows.coalesce(1), f"file://{tmp_path}/raw", "insurance_core")
+    kept = landed.select("file_hash").collect()
+    assert [bytes(r["content"]).decode().splitlines() for r in landed.collect()] == [['{"id":0,"v":null}', '{"id":1,"v":"x"}', '{"id":2,"v":"x"}']]
+    again = files.land_snapshot(rows.coalesce(1), f"file://{tmp_path}/raw2", "insurance_core", spark.createDataFrame(kept, "file_hash string"))
+    assert again.count() == 0
+    for n in (1, 2):
+        files.append(rows.withColumn("RawFile_ID", F.lit(n)), f"file://{tmp_path}/stage", ["RawFile_ID"])
+    stored = spark.read.parquet(f"file://{tmp_path}/stage")
+    assert stored.count() == 6
+    with pytest.raises(ValueError):
+        files.refuse_reload(stored, 2)
+    files.refuse_reload(stored, 3)
+
+
 def test_teryt(spark, tmp_path):
     assert teryt.load(spark, str(tmp_path)) is None
     (tmp_path / "simc.CSV").write_text("NAZWA;SYM\nSieradz;S1\n")
@@ -178,6 +194,23 @@ def test_clusters_of_generated_register(spark):
     assert again["changes"].count() == 0 and again["matched"].filter("action = 'CREATED'").count() == 0
 
 
+def test_registers(spark, tmp_path):
+    made = {n: registers.register(spark, n, 1000).cache() for n in registers.REGISTERS}
+    assert len(made) == 10 and all(df.count() == 1000 for df in made.values())
+    share = lambda a, b: made[a].join(made[b].select("entity"), "entity").count()
+    assert share("KRS", "VAT") == 300 and share("PESEL", "KNF_AGENT") == 50
+    valid = lambda n, column, check: made[n].filter(check(c(f"`{column}`"))).count()
+    assert all(950 <= v < 1000 for v in (valid("PESEL", "PESEL", checks.pesel), valid("VAT", "nip", checks.nip), valid("REGON", "regon", checks.regon), valid("GLEIF", "LEI", checks.lei)))
+    assert 0 < made["PESEL"].filter("Email not like '%@%' and Email <> ''").count() < 40
+    small = made["PESEL"].filter("row < 20")
+    rows = lambda df: sorted((r["PESEL"] or "", r["Nazwisko"] or "", r["Plec"] or "") for r in df.collect())
+    for kind in files.FILE_TYPES:
+        path = f"file://{tmp_path}/p.{kind}"
+        registers.write_register(small, path, kind)
+        back = spark.read.json(path) if kind == "json" else files.read_any(spark, path)
+        assert rows(back) == rows(small), kind
+
+
 def test_incremental(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in/a.json").write_text('{"v": 1}\n{"v": 2}\n')
@@ -326,7 +359,7 @@ def test_golden_load_of_parties(spark):
     assert links == {1: ("Lesna", "2024-02-01", None), 2: ("Polna", "2024-04-01", None)}
     assert {(r["dim_id"], r["rule"]) for r in loaded["link_lineage"].collect()} == {(1, "ADDRESS_LINK_FROM_SOURCE_PRIORITY"), (2, "ADDRESS_LINK_FROM_NON_EMPTY_VALUE")}
     assert {(r["identity_type"], r["identity_value"], r["party_id"]) for r in loaded["identities"].collect()} == {("NIP", "N1", 1), ("KRS", "K1", 1), ("NIP", "N3", 2)}
-    state = pipeline.after(loaded)
+    state = pipeline.after(loaded, "PARTY")
     again = pipeline.golden_load(firms, labels, "PARTY", state)
     for name in ("dimension", "addresses", "links", "identities"):
         assert sorted(map(tuple, again[name].collect()), key=repr) == sorted(map(tuple, getattr(state, name).select(*again[name].columns).collect()), key=repr), name
