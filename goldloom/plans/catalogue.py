@@ -390,8 +390,10 @@ def blocking_pairs_union(t):
 
 @query(f"WITH {_PAIRS} SELECT left_id, right_id, round({_sim('p_name', 'lev')}, 6) AS name_sim, round({_sim('p_brand', 'lev')}, 6) AS brand_sim FROM pairs JOIN parts l ON l.p_partkey = left_id JOIN parts r ON r.p_partkey = right_id")
 def lev_similarity(t):
-    rows = matching.attach(_part_pairs(t), _parts(t), "p_partkey", ["p_name", "p_brand"])
-    return rows.select("left_id", "right_id", F.round(similarity.levenshtein(c("l_p_name"), c("r_p_name")), 6).alias("name_sim"), F.round(similarity.levenshtein(c("l_p_brand"), c("r_p_brand")), 6).alias("brand_sim"))
+    plain = _parts(t).select("p_partkey", *(similarity.comparable(c(n)).alias(n) for n in ("p_name", "p_brand")))
+    rows = matching.attach(_part_pairs(t), plain, "p_partkey", ["p_name", "p_brand"])
+    sim = lambda n: F.round(similarity.levenshtein_of(c(f"l_{n}"), c(f"r_{n}")), 6)
+    return rows.select("left_id", "right_id", sim("p_name").alias("name_sim"), sim("p_brand").alias("brand_sim"))
 
 
 @query("SELECT a.p_name AS a, b.p_name AS b, round(jaro_winkler_similarity(a.p_name, b.p_name), 6) AS sim FROM (SELECT DISTINCT p_name FROM part) a JOIN (SELECT DISTINCT p_name FROM part) b ON a.p_name < b.p_name")
