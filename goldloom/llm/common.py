@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import string
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -13,6 +14,7 @@ from pyspark.sql.types import StructType
 
 #: Fixed by the contracts: what separates words.
 SEPARATOR = r"[\x20\x09-\x0D]+"
+SPACES = " \t\n\x0b\x0c\r"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -64,13 +66,28 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SEPARATOR), "")
 
 
+def ascii_lower(text: Column) -> Column:
+    """text with A-Z in lower case and nothing else changed."""
+    return F.translate(text, string.ascii_uppercase, string.ascii_lowercase)
+
+
 def bind(value: Column, body: Callable[[Column], Column]) -> Column:
     """body(value) with value computed once, where a plain reuse would be inlined and computed for each use."""
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-#: Words of 64 bits of a filter over keys.
+#: Words of 64 bits of a filter over keys, and the least and the most of a filter that is sized by a count.
 FILTER_WORDS = 1 << 18
+LEAST_WORDS, MOST_WORDS = 1 << 10, 1 << 20
+
+
+def filter_words(keys: int) -> int:
+    """Words for a filter over so many keys: 16 bits a key, up to MOST_WORDS; 0 where that leaves less than 4 bits a key.
+
+    A filter of 0 words isn't worth its broadcast: it would let most rows pass.
+    """
+    words = max(LEAST_WORDS, 1 << max(0, keys // 4 - 1).bit_length())
+    return words if words <= MOST_WORDS else MOST_WORDS if keys <= MOST_WORDS * 16 else 0
 
 
 def _spot(column: str, words_of_filter: int) -> tuple[Column, Column]:
@@ -137,6 +154,18 @@ def without(rows: DataFrame, column: str, keys: DataFrame, words_of_filter: int
     return clear.unionByName(rest.select(*rows.columns))
 
 
+def split_by(rows: DataFrame, column: str, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows whose column may be among keys (a written table with a column of the same name), and rows whose column isn't.
+
+    A filter that is sized by the number of keys tells them apart; with too many keys for one, all rows may be among them.
+    """
+    words_of_filter = filter_words(keys.count())
+    if not words_of_filter:
+        return rows, rows.limit(0)
+    marked, likely = _marked(rows, column, written(filter_over(keys, column, words_of_filter), "filter"), words_of_filter, "left")
+    return marked.filter(likely).select(*rows.columns), marked.filter(~likely).select(*rows.columns)
+
+
 def row_hash(*columns: Column) -> Column:
     """With the key, the name of a row: rows that repeat a key and differ in these columns, nulls included, differ in it."""
     return F.xxhash64(*(x for c in columns for x in (c.isNull(), c)))

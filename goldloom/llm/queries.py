@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from goldloom.llm import op1_quality, op3_exact, op6_mixing, op8_chat
+from goldloom.llm import op1_quality, op3_exact, op6_mixing, op8_chat, op11_lines
 from goldloom.llm.op2_sst import op2_token_shards
 from goldloom.llm.op4_bpe import op4_bpe
 from goldloom.llm.op5_toxicity import op5_toxicity
@@ -21,5 +21,12 @@ QUERIES = {
     "op8_chat": op8_chat.op8_chat,
     "op9_pii": op9_pii,
     "op10_ngram_join": op10_ngram_join,
+    "op11_line_dedup": op11_lines.op11_line_dedup,
+}
+ORACLE_SQL: dict[str, str] = {
+    "op1_quality": op1_quality.SQL,
+    "op3_exact_dedup": op3_exact.SQL,
+    "op6_mixing": op6_mixing.SQL,
+    "op8_chat": op8_chat.SQL,
+    "op11_line_dedup": op11_lines.SQL,
 }
-ORACLE_SQL: dict[str, str] = {"op1_quality": op1_quality.SQL, "op3_exact_dedup": op3_exact.SQL, "op6_mixing": op6_mixing.SQL, "op8_chat": op8_chat.SQL}
