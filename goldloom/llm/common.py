@@ -49,6 +49,11 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
 
 
+def arrow_batches(spark: SparkSession, most_bytes: int) -> None:
+    """Arrow batches of so many bytes, so that a Python worker's memory stays bounded whatever the length of texts."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", most_bytes)
+
+
 def map_batches(df: DataFrame, schema: str | StructType, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]]) -> DataFrame:
     """mapInArrow with a function that make() builds once per task."""
 

@@ -9,6 +9,7 @@ from goldloom.llm.op5_toxicity import op5_toxicity
 from goldloom.llm.op7_licenses import op7_licenses
 from goldloom.llm.op9_pii import op9_pii
 from goldloom.llm.op10_join import op10_ngram_join
+from goldloom.llm.op12_align import op12_alignment
 
 QUERIES = {
     "op1_quality": op1_quality.op1_quality,
@@ -22,6 +23,7 @@ QUERIES = {
     "op9_pii": op9_pii,
     "op10_ngram_join": op10_ngram_join,
     "op11_line_dedup": op11_lines.op11_line_dedup,
+    "op12_alignment": op12_alignment,
 }
 ORACLE_SQL: dict[str, str] = {
     "op1_quality": op1_quality.SQL,
