@@ -14,6 +14,7 @@ from pyspark.sql.types import StructType
 
 #: Fixed by the contracts: what separates words.
 SEPARATOR = r"[\x20\x09-\x0D]+"
+UPPER, LOWER = string.ascii_uppercase, string.ascii_lowercase
 SPACES = " \t\n\x0b\x0c\r"
 
 
@@ -36,6 +37,11 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def local_path(folder: str) -> str | None:
+    """The path of a folder that is mounted like a local one; None for stores that only Spark opens."""
+    return folder.removeprefix("file://") if folder.startswith(("file:///", "/")) else None
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Writes df to the shared folder and reads it back: lineage ends there, so a lost executor costs no recomputation."""
     spark = df.sparkSession
@@ -73,7 +79,7 @@ def words(text: Column) -> Column:
 
 def ascii_lower(text: Column) -> Column:
     """text with A-Z in lower case and nothing else changed."""
-    return F.translate(text, string.ascii_uppercase, string.ascii_lowercase)
+    return F.translate(text, UPPER, LOWER)
 
 
 def bind(value: Column, body: Callable[[Column], Column]) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from goldloom.llm import op1_quality, op3_exact, op6_mixing, op8_chat, op11_lines
+from goldloom.llm import op1_quality, op3_exact, op6_mixing, op8_chat, op11_lines, op13_phrases
 from goldloom.llm.op2_sst import op2_token_shards
 from goldloom.llm.op4_bpe import op4_bpe
 from goldloom.llm.op5_toxicity import op5_toxicity
@@ -24,6 +24,7 @@ QUERIES = {
     "op10_ngram_join": op10_ngram_join,
     "op11_line_dedup": op11_lines.op11_line_dedup,
     "op12_alignment": op12_alignment,
+    "op13_collocations": op13_phrases.op13_collocations,
 }
 ORACLE_SQL: dict[str, str] = {
     "op1_quality": op1_quality.SQL,
@@ -31,4 +32,5 @@ ORACLE_SQL: dict[str, str] = {
     "op6_mixing": op6_mixing.SQL,
     "op8_chat": op8_chat.SQL,
     "op11_line_dedup": op11_lines.SQL,
+    "op13_collocations": op13_phrases.SQL,
 }
