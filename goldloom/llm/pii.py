@@ -80,13 +80,19 @@ KINDS = (
 )
 
 
+#: Matches whose places are found one after another; their blocks are found each for itself.
+TOGETHER = 128
+
+
 def spans_of(text: Column, kind: Kind) -> Column:
     """array<struct<kind, start, end, score>> of a kind's confirmed matches, in order of start."""
     none = F.array().cast("array<struct<kind:string,start:bigint,end:bigint,score:double>>")
+    no_rows = F.array().cast("array<struct<start:bigint,m:string,before:string>>")
+    added = lambda acc, x: acc + x
 
     def located(t: Column) -> Column:
         found, pieces = F.regexp_extract_all(t, F.lit(kind.pattern), F.lit(0)), F.split(t, kind.pattern)
-        start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:bigint,m:string,before:string>>").alias("out"))
+        zero = F.lit(0).cast("long")
 
         def add(a: Column, x: Column) -> Column:
             at = a["at"] + F.length(x["piece"])
@@ -94,7 +100,17 @@ def spans_of(text: Column, kind: Kind) -> Column:
             return F.struct((at + F.length(x["m"])).alias("at"), F.concat(a["out"], F.array(row)).alias("out"))
 
         pairs = bind(F.struct(found.alias("f"), pieces.alias("p")), lambda s: F.transform(s["f"], lambda m, i: F.struct(m.alias("m"), F.get(s["p"], i).alias("piece"))))
-        return F.aggregate(pairs, start, add, lambda a: a["out"])
+
+        def of_block(block: Column, at: Column) -> Column:
+            return F.aggregate(block, F.struct(at.alias("at"), no_rows.alias("out")), add, lambda a: a["out"])
+
+        def summed(blocks: Column) -> Column:
+            """Lists grow within a block of TOGETHER matches only, so the work doesn't grow with the square of the matches."""
+            sums = F.transform(blocks, lambda b: F.aggregate(b, zero, lambda acc, x: acc + F.length(x["piece"]) + F.length(x["m"])))
+            return bind(sums, lambda s: F.flatten(F.transform(blocks, lambda b, k: of_block(b, F.aggregate(F.slice(s, F.lit(1), k), zero, added)))))
+
+        cut = lambda p: F.transform(F.sequence(F.lit(0), F.floor((F.size(p) - 1) / TOGETHER).cast("int")), lambda k: F.slice(p, k * TOGETHER + 1, F.lit(TOGETHER)))
+        return bind(pairs, lambda p: F.when(F.size(p) > 0, bind(cut(p), summed)).otherwise(no_rows))
 
     def judged(rows: Column) -> Column:
         valid = F.filter(rows, lambda r: kind.valid(r["m"])) if kind.valid else rows
