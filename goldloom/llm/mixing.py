@@ -26,8 +26,12 @@ RANGES = 4096
 
 
 def sizes(docs: DataFrame, text: str = "text", key: str = "doc_id", source: str = "source", seed: int = 1) -> DataFrame:
-    """One small row per document: key, hash of the row, source, words and place in the shuffled order."""
-    order = F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col(key).cast("string"), F.lit(""))))
+    """One small row per document: key, hash of the row, source, words and place in the shuffled order.
+
+    The place is a hash of seed, key and text, so that rows that repeat a key, or have none, are shuffled like others.
+    """
+    whole = F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary"))
+    order = F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col(key).cast("string"), F.lit("")), whole))
     return docs.select(F.col(key).alias("doc_id"), row_hash(F.col(source), F.col(text)).alias("row_hash"), F.coalesce(F.col(source), F.lit("")).alias("name"), F.col(source).isNull().alias("nameless"), F.size(words(F.col(text))).cast("long").alias("size"), order.alias("ord"))
 
 
@@ -75,8 +79,8 @@ def mix(docs: DataFrame, text: str = "text", key: str = "doc_id", source: str =
 
     Size is the number of words, null counts as 0. Sources in code point order, null last, weigh 1, 2, 3, repeating, and
     share the sum of all sizes. A source without words gets the target 0 and gives nothing; an empty table gives an empty
-    result. Rows that repeat a key are documents of their own, and so are those without one. The order is a hash of seed and key,
-    so reruns agree. row_hash tells rows with one key apart.
+    result. Rows that repeat a key are documents of their own, and so are those without one. The order is a hash of seed, key and
+    text, so reruns agree. row_hash tells rows with one key apart.
     """
     timed = written(finish_times(written(sizes(docs, text, key, source, seed), "sizes")), "timed")
     copies = timed.select("*", F.explode(F.sequence(F.lit(0), F.lit(MOST - 1))).alias("copy")).withColumn("time", finish(F.col("copy"))).filter("time is not null")
@@ -126,7 +130,7 @@ def sql(seed: int = 1) -> str:
     """The same over the table documents in DuckDB's dialect."""
     return rf"""
 WITH d AS (
-    SELECT doc_id, coalesce(source, '') AS name, source IS NULL AS nameless, md5('{seed}:' || coalesce(doc_id::VARCHAR, '')) AS ord,
+    SELECT doc_id, coalesce(source, '') AS name, source IS NULL AS nameless, md5('{seed}:' || coalesce(doc_id::VARCHAR, '') || ':' || md5(coalesce(text, ''))) AS ord,
            len(list_filter(regexp_split_to_array(coalesce(text, ''), '{SEPARATOR}'), lambda x: x <> ''))::BIGINT AS size
     FROM documents
 ), s AS (

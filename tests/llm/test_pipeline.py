@@ -62,7 +62,7 @@ def test_toxic_texts_go(spark, stages):
 
 def brute_mix(rows, seed=1):
     """How often each (doc_id, source, text) is taken."""
-    docs = [((s is None, s or ""), hashlib.md5(f"{seed}:{'' if i is None else i}".encode()).hexdigest(), NULLS_FIRST(i), len(re.findall(r"[^\x20\x09-\x0D]+", t or "")), (i, s, t)) for i, s, t in rows]
+    docs = [((s is None, s or ""), hashlib.md5(f"{seed}:{'' if i is None else i}:{hashlib.md5((t or '').encode()).hexdigest()}".encode()).hexdigest(), NULLS_FIRST(i), len(re.findall(r"[^\x20\x09-\x0D]+", t or "")), (i, s, t)) for i, s, t in rows]
     sizes = defaultdict(int)
     for d in docs:
         sizes[d[0]] += d[3]
