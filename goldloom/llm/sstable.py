@@ -107,7 +107,12 @@ class ShardWriter:
         raw = key_bytes(key)
         shared = next((i for i, (a, b) in enumerate(zip(raw, self.last)) if a != b), min(len(raw), len(self.last)))
         n = len(ids) // 4
-        body = ids if self.width == 4 else np.frombuffer(ids, "<u4").astype("<u2").tobytes()
+        body = ids
+        if self.width == 2:
+            given = np.frombuffer(ids, "<u4")
+            if n and given.max() >= 1 << 16:
+                raise ValueError(f"id {given.max()} needs shards with wide ids")
+            body = given.astype("<u2").tobytes()
         entry = b"".join((varint(shared), varint(len(raw) - shared), raw[shared:], varint(n), body))
         self.block.append(entry)
         self.block_size += len(entry)
@@ -189,18 +194,31 @@ class ShardReader:
         return next(iter(self.get_all(key)), None)
 
 
+#: Bytes of input in a range of keys, and a size from which a plan's size is only a guess.
+RANGE_BYTES, UNKNOWN = 64 << 20, 1 << 50
+
+
+def range_count(docs: DataFrame) -> int:
+    """Ranges of keys for a table: RANGE_BYTES of its input each, as the plan estimates it, and at least one for each core and
+    shuffle partition; just these where the size isn't known."""
+    spark = docs.sparkSession
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    least = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return max(least, -(-size // RANGE_BYTES)) if size < UNKNOWN else least
+
+
 def write_shards(docs: DataFrame, path: str, encode: Callable[[], Callable[[pa.Array], list[bytes]]], end_id: int = 0, wide: bool = False, partitions: int | None = None, text: str = "text", key: str = "doc_id") -> DataFrame:
     """Encodes documents, appends end_id to each and writes shards in ascending key order below path; returns their list.
 
     The list (a written table) has for each shard: part and seq (ascending with the keys), file, n_docs, n_ids, first and last
     (key bytes). A shard file has a name of its own for every attempt, and only those of finished tasks are listed, so a task
-    that is run again after its executor was lost leaves at most an unlisted file. Null texts count as empty (only the end id
+    that is run again after its executor was lost leaves at most an unlisted file. An id that doesn't fit the width is an error. Null texts count as empty (only the end id
     is written), null keys come first. Rows that repeat a key all stay. An empty table gives an empty list. wide: ids of 32
     bits, needed for vocabularies of 65,536 and more.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
-    n = partitions or max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    n = partitions or range_count(docs)
     ordered = rows.repartitionByRange(n, "key").sortWithinPartitions("key").withColumn("part", F.spark_partition_id())
     end = end_id.to_bytes(4, "little")
 
