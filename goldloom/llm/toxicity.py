@@ -18,11 +18,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from goldloom.llm.common import map_batches, written
+from goldloom.llm.common import map_batches, row_hash, written
 
 #: Bounds of the samples of labelled and of other rows that the classifier is fitted on.
 MAX_P, MAX_U = 4_000, 12_000
@@ -31,8 +32,9 @@ LEAST_TEXTS, LEAST_DEVIATIONS = 4, 5.0
 EPOCHS, BATCH, RATE, DECAY = 40, 512, 0.02, 1e-3
 #: Lengths of beginnings of words.
 BEGINNINGS = (4, 5, 6, 7)
-#: Words from so many letters on, and text without spaces, count by their beginnings alone.
-LONG_WORD = 40
+#: Words from so many letters on, and text without spaces, count by what begins at any of their letters; so many letters of
+#: them count as a word.
+LONG_WORD, LETTERS = 40, 6
 LEVELS = 5
 REMEMBERED = 200_000
 _TABLE = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -47,10 +49,20 @@ def text_words(text: bytes | None) -> list[bytes]:
     return (text or b"").translate(_TABLE).split()
 
 
-def stems(word: bytes) -> list[str]:
-    """A word and its beginnings, the latter marked by a star; of a long word the beginnings."""
+def stems(word: bytes) -> Iterator[str]:
+    """A word and its beginnings, the latter marked by a star; of a long word what may be the beginning of a word, at every letter."""
     w = word.decode("utf-8", "replace").lower()
-    return [*([w] if len(w) < LONG_WORD else []), *(w[:k] + "*" for k in BEGINNINGS if len(w) >= k)]
+    if len(w) < LONG_WORD:
+        yield w
+    for i in range(len(w) if len(w) >= LONG_WORD else 1):
+        for k in BEGINNINGS:
+            if len(w) >= i + k:
+                yield w[i : i + k] + "*"
+
+
+def word_count(found: list[bytes]) -> int:
+    """Words of a text, a long one counting by its letters."""
+    return sum(1 if len(w) < LONG_WORD else max(1, len(w.decode("utf-8", "replace")) // LETTERS) for w in found)
 
 
 def levels(count: int, n: int) -> int:
@@ -69,7 +81,7 @@ class Reader:
         got = self.known.get(word)
         if got is None:
             got = tuple(self.number[s] for s in stems(word) if s in self.number)
-            if len(self.known) < REMEMBERED:
+            if len(self.known) < REMEMBERED and len(word) < LONG_WORD:
                 self.known[word] = got
         return got
 
@@ -79,7 +91,7 @@ class Reader:
         for w in found:
             for k in self._of(w):
                 counts[k] = counts.get(k, 0) + 1
-        n = len(found)
+        n = word_count(found)
         return sorted(LEVELS * k + i for k, c in counts.items() for i in range(LEVELS) if levels(c, n) >> i & 1)
 
 
@@ -127,24 +139,26 @@ def fit_nnpu(rows_p: list[np.ndarray], rows_u: list[np.ndarray], n_words: int, p
 def train(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", seed: int = 1) -> Model:
     """Fits the model on at most MAX_P confirmed toxic texts and MAX_U others, all outside the held-out fold.
 
-    Samples are the rows with the smallest hashes of their keys. Labels of 0 only enter the estimate of the share of toxic
-    texts. Without any confirmed text the model scores everything near 0.
+    Samples are the rows with the smallest hashes of their keys; rows that are equal in key and text count once. Labels of 0 only
+    enter the estimate of the share of toxic texts. Without any confirmed text the model scores everything near 0.
     """
-    shuffled = lambda d, n: d.select(F.col(key).alias("key")).distinct().orderBy(F.xxhash64("key", F.lit(seed)), "key").limit(n)
+    order = lambda *more: [F.xxhash64("key", F.lit(seed)), "key", *more]
+    row = docs.select(F.col(key).alias("key"), row_hash(F.col(text)).alias("row"))
+    rows_of = lambda d, n: d.distinct().orderBy(*order("row")).limit(n)
     fold = labels.filter(F.col(key).isNotNull() & ~held_out(F.col(key)))
     share = fold.agg(F.avg(F.when(F.col("toxic") == 1, 1.0).otherwise(0.0))).first()[0] or 0.0
-    confirmed = shuffled(fold.filter("toxic = 1"), MAX_P)
-    others = shuffled(docs.filter(F.col(key).isNotNull() & ~held_out(F.col(key))), MAX_U)
-    # Both lists are bounded by MAX_P and MAX_U rows.
-    chosen = F.broadcast(confirmed.withColumn("p", F.lit(True)).unionByName(others.withColumn("p", F.lit(False))))
-    rows = docs.select(F.col(key).alias("key"), F.col(text).cast("binary").alias("text")).join(chosen, "key").select("p", "text")
     if not share:
         return Model((), (), -10.0)
-    rows = written(rows, "sample")  # MAX_P + MAX_U texts; keys that repeat bring all their texts
+    confirmed = fold.filter("toxic = 1").select(F.col(key).alias("key")).distinct().orderBy(*order()).limit(MAX_P)
+    sides = rows_of(row.join(F.broadcast(confirmed), "key"), MAX_P), rows_of(row.filter(F.col("key").isNotNull() & ~held_out(F.col("key"))), MAX_U)
+    # Both lists are bounded by MAX_P and MAX_U rows.
+    chosen = F.broadcast(written(sides[0].withColumn("p", F.lit(True)).unionByName(sides[1].withColumn("p", F.lit(False))), "chosen"))
+    texts = docs.select(F.col(key).alias("key"), row_hash(F.col(text)).alias("row"), F.col(text).cast("binary").alias("text"))
+    rows = written(texts.join(chosen, ["key", "row"]).groupBy("key", "row", "p").agg(F.first("text").alias("text")).select("p", "text"), "sample")
 
     def stems_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = Counter(s for t in batch.column(1).to_pylist() for s in {s for w in set(text_words(t)) for s in stems(w)})
+            found = Counter(s for t in batch.column(1) for s in {s for w in set(text_words(t.as_py())) for s in stems(w)})
             yield pa.RecordBatch.from_arrays([pa.array([*found], pa.string()), pa.array([*found.values()], pa.int64())], ["stem", "n"])
 
     counts = rows.filter("p").mapInArrow(stems_of, "stem string, n long").groupBy("stem").agg(F.sum("n").alias("n")).filter(F.col("n") >= LEAST_TEXTS)
@@ -154,9 +168,9 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "do
         reader = Reader(seen)
         for batch in batches:
             for side in (True, False):
-                texts = [t for t, p in zip(batch.column(1).to_pylist(), batch.column(0).to_pylist()) if p == side]
-                found = Counter(f for t in texts for f in reader.features(t))
-                yield pa.RecordBatch.from_arrays([pa.array([side] * (len(found) + 1)), pa.array([-1, *found], pa.int64()), pa.array([len(texts), *found.values()], pa.int64())], ["p", "feature", "n"])
+                own = batch.filter(pc.equal(batch.column(0), side))
+                found = Counter(f for t in own.column(1) for f in reader.features(t.as_py()))
+                yield pa.RecordBatch.from_arrays([pa.array([side] * (len(found) + 1)), pa.array([-1, *found], pa.int64()), pa.array([own.num_rows, *found.values()], pa.int64())], ["p", "feature", "n"])
 
     sums = rows.mapInArrow(features_of, "p boolean, feature long, n long").groupBy("p", "feature").agg(F.sum("n").alias("n")).toArrow()  # LEVELS per stem
     held = {True: np.zeros(LEVELS * len(seen) + 1), False: np.zeros(LEVELS * len(seen) + 1)}
@@ -172,7 +186,7 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "do
         reader = Reader(seen)
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            found = (marks[reader.features(t)] if t else np.zeros(0, np.int64) for t in batch.column(1).to_pylist())
+            found = (marks[reader.features(t)] if t else np.zeros(0, np.int64) for t in map(pa.Scalar.as_py, batch.column(1)))
             return pa.RecordBatch.from_arrays([batch.column(0), pa.array([f[f >= 0].astype("<i4").tobytes() for f in found], pa.binary())], ["p", "found"])
 
         return step
@@ -212,7 +226,7 @@ def with_score(docs: DataFrame, model: Model, text: str, name: str) -> DataFrame
         reader, weights = Reader(list(model.stems)), np.array([*model.weights, 0.0])
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            texts = (t.encode("utf-8", "replace") if t else None for t in batch.column(at).to_pylist())
+            texts = (t.encode("utf-8", "replace") if t else None for t in map(pa.Scalar.as_py, batch.column(at)))
             z = [model.bias + float(weights[reader.features(t) or [-1]].sum()) if t else model.bias for t in texts]
             return pa.RecordBatch.from_arrays([*batch.columns, pa.array(1 / (1 + np.exp(-np.clip(z, -30, 30))), pa.float64())], [*batch.schema.names, name])
 
