@@ -284,7 +284,7 @@ def blocks(docs: DataFrame, a_path: str, b_path: str, text: str, key: str, block
                 del made, rows
                 pa.default_memory_pool().release_unused()
 
-    arrow_batches(docs.sparkSession, block_bytes)
+    arrow_batches(docs.sparkSession)
     return written(docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, BLOCKS.format(key=kind)), "blocks")
 
 

@@ -91,7 +91,6 @@ def chunks(made: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
         if held:
             yield from flush()
 
-    arrow_batches(made.sparkSession, chunk_bytes)
     return written(made.mapInArrow(run, CHUNK), "chunks")
 
 
@@ -140,7 +139,6 @@ def short_phrases(made: DataFrame, buckets: int) -> DataFrame:
             with _database(None) as con:
                 yield from _counted(con, row, [{"w0": ids, "weight": weight}, {"w0": ids[at], "w1": ids[at + 1], "weight": weight[at]}], words, buckets)
 
-    arrow_batches(made.sparkSession, 1)
     return made.mapInArrow(run, DEALT)
 
 
@@ -265,6 +263,7 @@ def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", least:
     Null and empty texts count nothing, a null language is und, repeated rows count as often as they come, an empty table gives
     an empty result; other columns take no part. Arithmetic is exact as long as a million times a squared has 38 digits at most.
     """
+    arrow_batches(docs.sparkSession)
     made = chunks(pieces(docs, text, lang), chunk_bytes)
     size = made.agg(F.coalesce(F.sum(F.octet_length("ids")), F.lit(0)).alias("size")).first()["size"]
     buckets = bucket_count(size)

@@ -50,14 +50,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Keeps Arrow batches of whole texts small, so that a Python worker's memory stays bounded."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+#: Bytes of an Arrow batch; a longer row is a batch of its own.
+BATCH_BYTES = 3_000_000
 
 
-def arrow_batches(spark: SparkSession, most_bytes: int) -> None:
-    """Arrow batches of so many bytes, so that a Python worker's memory stays bounded whatever the length of texts."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", most_bytes)
+def arrow_batches(spark: SparkSession) -> None:
+    """Bounds Arrow batches by bytes, so that a Python worker's memory stays bounded whatever the length of texts.
+
+    All operators set the same bound, so it doesn't matter which of them a session ran last.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
 
 def map_batches(df: DataFrame, schema: str | StructType, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]]) -> DataFrame:

@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from goldloom.llm.common import small_batches, table
+from goldloom.llm.common import arrow_batches, table
 from goldloom.llm.pieces import Pieces
 from goldloom.llm.sstable import new_folder, read_shards, write_shards
 
@@ -57,7 +57,7 @@ def joined_encoder(tokenizer, together: int = 200):
 
 
 def op2_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    small_batches(spark, 2000)
+    arrow_batches(spark)
     docs = table(spark, sf_dir, "documents")
     folder = new_folder(docs)
     shards = write_shards(docs, folder, library_encoder(public_tokenizers.path(VOCABULARY)))

@@ -7,13 +7,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from goldloom.llm.bpe import transcode
-from goldloom.llm.common import small_batches, table
+from goldloom.llm.common import arrow_batches, table
 
 VOCABULARY = "byte_bpe_50k.json"
 
 
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    small_batches(spark)
+    arrow_batches(spark)
     coded = transcode(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY))
     return coded.select(
         "doc_id",

@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from goldloom.llm.common import small_batches, table
+from goldloom.llm.common import arrow_batches, table
 from goldloom.llm.licenses import scan
 
 
 def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    small_batches(spark)
+    arrow_batches(spark)
     listed = lambda c: F.array_join(F.array_sort(F.array_distinct(c)), ",")
     base = F.transform("base", lambda b: b["label"])
     return scan(table(spark, sf_dir, "documents")).select(

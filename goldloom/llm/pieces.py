@@ -50,7 +50,7 @@ class Pieces:
         self.fresh: dict[str, bytes] = {}
 
     def _touch(self) -> None:
-        self.used = time.monotonic()
+        self.used = float("inf")  # nothing is forgotten while texts are encoded
         if self.watch is None:
             self.watch = threading.Thread(target=self._wait, daemon=True)
             self.watch.start()
@@ -107,6 +107,12 @@ class Pieces:
         if not len(given):
             return []
         self._touch()
+        try:
+            return self._of_all(given)
+        finally:
+            self.used = time.monotonic()
+
+    def _of_all(self, given: pa.Array) -> list[bytes]:
         if not self.cuts:
             return self.encode(given.to_pylist())
         marked = pc.replace_substring(pc.binary_join_element_wise(pa.scalar(_FIRST), given, pa.scalar("")), "\n", " \n")
@@ -136,7 +142,6 @@ class Pieces:
         rest = np.flatnonzero(whole).tolist()
         for k, ids in zip(rest, self.encode([given[k].as_py() for k in rest])):
             out[k] = ids
-        self.used = time.monotonic()
         return out
 
 
