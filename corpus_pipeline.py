@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from goldloom.llm.bpe import transcode
-from goldloom.llm.common import keep_rows, row_hash, small_batches, table, unused, written
+from goldloom.llm.common import arrow_batches, keep_rows, row_hash, table, unused, written
 from goldloom.llm.exact_dedup import exact_duplicates, normal_text
 from goldloom.llm.mixing import apply_mix
 from goldloom.llm.ngram_join import jaccard_components
@@ -28,7 +28,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Null and empty texts have no words and stay, rows without a doc_id and repeated rows are scored like others, and an empty
     table stays empty.
     """
-    small_batches(spark)
+    arrow_batches(spark)
     model = train(docs, table(spark, sf_dir, "labels"))
     name = unused(docs, "score")
     return with_score(docs, model, "text", name).filter(F.col(name) < TOXIC_FROM).drop(name)
@@ -50,7 +50,7 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Texts without words are near to nothing and stay. Rows that repeat a doc_id are rows of their own, unless their texts are
     the same, too: then one stays. An empty table stays empty.
     """
-    small_batches(spark)
+    arrow_batches(spark)
     found = written(jaccard_components(docs, n=5, num=80, den=100).select(F.struct("doc_id", "row_hash").alias("name"), "kept"), "near")
     return keep_rows(docs, F.struct(F.col("doc_id").cast("long").alias("doc_id"), row_hash(F.col("text").cast("binary")).alias("row_hash")), found)
 
@@ -69,7 +69,7 @@ def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     A null text counts as empty and has no ids. Repeated rows stay repeated, null keys stay; an empty table stays empty.
     """
-    small_batches(spark, 500)
+    arrow_batches(spark)
     coded = transcode(docs, public_tokenizers.path(VOCABULARY), keep=("lang", "source"), decoded=False)
     return coded.select("doc_id", "lang", "source", F.expr("length(token_ids) div 4").alias("n_tokens"), "lossless", "token_ids")
 
