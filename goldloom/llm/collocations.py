@@ -10,6 +10,8 @@ phrases are looked up by shuffled requests, and scores are exact decimals.
 
 from __future__ import annotations
 
+import os
+import shutil
 from collections.abc import Iterator
 
 import duckdb
@@ -24,8 +26,8 @@ from goldloom.llm.common import LOWER, UPPER, arrow_batches, local_path, shared_
 
 #: Phrases in fewer places aren't candidates; a longer one with so many hundredths of a phrase's places drops it; rows for each language.
 LEAST, COVERED, TOP = 10, 50, 2000
-#: Bytes of pieces in a chunk and in a bucket, the most buckets, and the parts a language's candidates are ranked in.
-CHUNK_BYTES, BUCKET_BYTES, MOST_BUCKETS, PARTS = 6_000_000, 16_000_000, 1 << 15, 64
+#: Bytes of pieces in a chunk, of word numbers (4 each) in a bucket, the most buckets, and the parts a language's candidates are ranked in.
+CHUNK_BYTES, BUCKET_BYTES, MOST_BUCKETS, PARTS = 6_000_000, 4_000_000, 1 << 15, 64
 #: MB that DuckDB may hold in one task before it writes to disk.
 MEMORY_MB = 300
 MARKS = ".,;:!?\x0b\x0c\r"
@@ -174,6 +176,8 @@ def _rows(batch: pa.RecordBatch) -> Iterator[dict]:
 
 def _database(spill: str | None) -> duckdb.DuckDBPyConnection:
     """A database in memory; with a folder to spill to, it holds MEMORY_MB at most."""
+    if spill:
+        os.makedirs(spill, exist_ok=True)
     conf: dict = {"threads": 1, "temp_directory": spill or ""}
     return duckdb.connect(config=conf | ({"memory_limit": f"{MEMORY_MB}MB", "preserve_insertion_order": False} if spill else {}))
 
@@ -187,6 +191,8 @@ def frequent_phrases(dealt: DataFrame, least: int) -> DataFrame:
     kinds = [pa.string(), pa.binary(), pa.string(), pa.string(), pa.int32(), pa.int64()]
     names = [c.split()[0] for c in COUNTED.split(", ")]
 
+    own = lambda: spill and f"{spill}/{TaskContext.get().taskAttemptId()}"
+
     def answer(con: duckdb.DuckDBPyConnection, of: list[tuple[str, str]]) -> Iterator[pa.RecordBatch]:
         con.register("named", pa.table({"no": pa.array(range(len(of)), pa.int32()), "lang": [lang for _, lang in of]}))
         con.execute("CREATE TEMP TABLE spoken AS SELECT no, (dense_rank() OVER (ORDER BY lang))::INT AS tongue, lang FROM named")
@@ -201,6 +207,8 @@ def frequent_phrases(dealt: DataFrame, least: int) -> DataFrame:
             row = [of[int(at[s])][0], _packed(asked.slice(s, e - s).drop_columns(["no"])), None, None, None, None]
             yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, kinds)], names)
         con.close()
+        if spill:
+            shutil.rmtree(own(), ignore_errors=True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bucket, con, of = None, None, []
@@ -208,7 +216,7 @@ def frequent_phrases(dealt: DataFrame, least: int) -> DataFrame:
             if row["bucket"] != bucket:
                 if con:
                     yield from answer(con, of)
-                bucket, con, of = row["bucket"], _database(spill and f"{spill}/{TaskContext.get().taskAttemptId()}"), []
+                bucket, con, of = row["bucket"], _database(own()), []
                 con.execute("CREATE TEMP TABLE t (no INT, phrase VARCHAR, n_words TINYINT, a INT, b INT, f BIGINT)")
             con.register("came", _unpacked(row["packed"]))
             con.execute(f"INSERT INTO t SELECT {len(of)}, phrase, n_words, a, b, f FROM came")
