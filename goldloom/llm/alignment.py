@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import regex
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -34,7 +35,7 @@ BLOCK_BYTES, TOGETHER = 3_000_000, 200
 BLANK = "▁"
 #: Nothing, or white space at an end: a text with such a part between single spaces is cut with care.
 UNEVEN = r"^$|^[\pZ\x09-\x0D\x1C-\x1F\x{85}]|[\pZ\x09-\x0D\x1C-\x1F\x{85}]$"
-BLOCKS = "kind int, block string, doc_id {key}, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, segs binary, times binary, pair_a array<int>, pair_b array<int>, pair_docs array<long>, link_seg binary, link_pair binary, link_times binary"
+BLOCKS = "kind int, block string, doc_id {key}, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, held binary, pair_a array<int>, pair_b array<int>, pair_docs array<long>, links binary"
 
 #: Tokens, pieces and (document, piece) rows of a block become intervals, groups, links and counts.
 STEPS = (
@@ -53,10 +54,6 @@ STEPS = (
     "CREATE OR REPLACE TEMP TABLE pairs AS SELECT a, b, (row_number() OVER (ORDER BY a, b) - 1)::INT AS pair FROM (SELECT DISTINCT a, b FROM links)",
     "CREATE OR REPLACE TEMP TABLE numbered AS SELECT seg, pair, times FROM links JOIN pairs USING (a, b)",
 )
-GROUPED = "SELECT grp, id::VARCHAR AS id FROM {} ORDER BY grp, n"
-GROUPS = """
-    SELECT seg, na, nb FROM (SELECT grp, count(*) AS na FROM ga GROUP BY grp) x JOIN (SELECT grp, count(*) AS nb FROM gb GROUP BY grp) y USING (grp) JOIN gs USING (grp)
-    ORDER BY grp"""
 DOCUMENTS = "SELECT pair, count(*) AS docs FROM (SELECT DISTINCT doc, pair FROM held JOIN numbered USING (seg)) GROUP BY pair ORDER BY pair"
 LINKS = "SELECT seg, pair, times FROM numbered ORDER BY seg, pair"
 
@@ -69,6 +66,7 @@ class Tokens:
         self.length = np.array([len(r) for r in raw], np.int64)
         self.offset = np.cumsum(self.length) - self.length
         self.blob = np.frombuffer(b"".join(raw), np.uint8)
+        self.names = pa.array([str(i) for i in range(len(raw))])
         self.spaced = np.array([r[:1] == b" " for r in raw])
         #: Whether no token goes over a cut.
         self.cuts = not any(regex.search(r"\S ", r.decode("utf-8", "replace")) for r in raw)
@@ -172,10 +170,23 @@ def all_pieces(texts: pa.Array, cuts: bool) -> tuple[list[str], int, list[np.nda
     return [*words, *spaced], plain, docs
 
 
-def _joined(values: pa.Array | pa.ChunkedArray, counts: np.ndarray, mark: str) -> pa.Array:
+def _steps(rising: np.ndarray) -> np.ndarray:
+    return np.diff(rising, prepend=rising.dtype.type(0))
+
+
+def _squeezed(*columns: np.ndarray) -> bytes:
+    """Numbers in columns of one length."""
+    return zstandard.ZstdCompressor(level=1).compress(np.concatenate([c.astype("<i8") for c in columns]).tobytes())
+
+
+def _columns(data: bytes, n: int) -> np.ndarray:
+    """The n columns that _squeezed put into data."""
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(data), "<i8").reshape(n, -1)
+
+
+def _joined(values: pa.Array, counts: np.ndarray, mark: str) -> pa.Array:
     """Values joined by a mark, as many for each string as counts says."""
-    flat = values.combine_chunks() if isinstance(values, pa.ChunkedArray) else values
-    return pc.binary_join(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), flat), mark)
+    return pc.binary_join(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), values), mark)
 
 
 class Block:
@@ -195,29 +206,33 @@ class Block:
         ids_a, ids_b = ids_a[np.repeat(good, n_a)], ids_b[np.repeat(good, n_b)]
         segs = np.flatnonzero(good).astype(np.int32)
         times = [np.unique(d, return_counts=True) for d in self.docs]
-        self.held = [(s.astype("<i4"), c.astype("<i4")) for s, c in times]
+        self.held = times
         tables = {
             "tokens_a": {"n": np.arange(len(ids_a), dtype=np.int32), "id": ids_a, "len": a.length[ids_a]},
             "tokens_b": {"n": np.arange(len(ids_b), dtype=np.int32), "id": ids_b, "len": b.length[ids_b]},
             "segs": {"seg": segs, "till": np.cumsum(sizes[segs])},
-            "held": {"doc": np.repeat(np.arange(len(texts), dtype=np.int32), [len(s) for s, _ in self.held]), "seg": np.concatenate([np.zeros(0, "<i4"), *(s for s, _ in self.held)])},
+            "held": {"doc": np.repeat(np.arange(len(texts), dtype=np.int32), [len(s) for s, _ in self.held]), "seg": np.concatenate([np.zeros(0, np.int32), *(s for s, _ in self.held)])},
         }
         for name, columns in tables.items():
             con.register(name, pa.table({k: pa.array(v) for k, v in columns.items()}))
         for step in STEPS:
             con.execute(step)
         read = lambda sql: con.sql(sql).to_arrow_table()
-        groups = read(GROUPS)
-        seg, na, nb = (groups[c].to_numpy() for c in ("seg", "na", "nb"))
-        self.sums = np.array([np.bincount(seg, w, len(pieces)) for w in (na, nb, np.ones(len(seg)), na * nb)]).astype(np.int64)
+        # Groups are numbered along the axis, from 1 on, so tokens in order are in order of groups.
+        seg = read("SELECT seg FROM gs ORDER BY grp")["seg"].to_numpy()
+        counts, sides = [], []
+        for t, tokens in (("ga", a), ("gb", b)):
+            grouped = read(f"SELECT grp, id FROM {t} ORDER BY n")
+            counts.append(np.bincount(grouped["grp"].to_numpy(), minlength=len(seg) + 1)[1:])
+            sides.append(_joined(tokens.names.take(grouped["id"].combine_chunks()), counts[-1], ","))
+        self.sums = np.array([np.bincount(seg, w, len(pieces)) for w in (*counts, np.ones(len(seg)), counts[0] * counts[1])]).astype(np.int64)
         self.text = np.full(len(pieces), "", object)
-        sides = [_joined(read(GROUPED.format(t))["id"], n, ",") for t, n in (("ga", na), ("gb", nb))]
         held = np.flatnonzero(self.sums[2])
         self.text[held] = _joined(pc.binary_join_element_wise(*sides, "|"), self.sums[2, held], ";").to_pylist()
         pairs = read("SELECT a, b FROM pairs ORDER BY pair")
         self.pairs = (pairs["a"].to_numpy(), pairs["b"].to_numpy(), read(DOCUMENTS))
         links = read(LINKS)
-        self.links = [links[c].to_numpy().astype(t) for c, t in (("seg", "<i4"), ("pair", "<i4"), ("times", "<i8"))]
+        self.links = [links[c].to_numpy() for c in ("seg", "pair", "times")]
 
     @staticmethod
     def _same(pieces: list[str], sizes: np.ndarray, *coded: tuple[Tokens, np.ndarray, np.ndarray]) -> np.ndarray:
@@ -246,13 +261,12 @@ class Block:
             "doc_id": pa.concat_arrays([keys, pa.nulls(1, keys.type)]),
             **{c: pa.array([*s.tolist(), None], pa.int64()) for c, s in zip(("n_a", "n_b", "n_groups", "n_links"), sums)},
             "groups_sha256": pa.array([*digests, None], pa.string()),
-            # Pieces of a document go up, so steps between them are small and compress.
-            "segs": pa.array([*(np.diff(s, prepend=np.int32(0)).astype("<i4").tobytes() for s, _ in self.held), None], pa.binary()),
-            "times": pa.array([*(c.tobytes() for _, c in self.held), None], pa.binary()),
+            # Pieces go up, in a document and in the list of links, so steps between them are small and compress.
+            "held": pa.array([*(_squeezed(_steps(s), c) for s, c in self.held), None], pa.binary()),
             "pair_a": only(self.pairs[0], pa.list_(pa.int32())),
             "pair_b": only(self.pairs[1], pa.list_(pa.int32())),
             "pair_docs": only(pair_docs, pa.list_(pa.int64())),
-            **{c: only(v.tobytes(), pa.binary()) for c, v in zip(("link_seg", "link_pair", "link_times"), self.links)},
+            "links": only(_squeezed(_steps(self.links[0]), *self.links[1:]), pa.binary()),
         }
         return pa.RecordBatch.from_arrays([columns[f.name].cast(f.type) for f in schema], schema=schema)
 
@@ -291,7 +305,7 @@ def blocks(docs: DataFrame, a_path: str, b_path: str, text: str, key: str, block
 def _schema(key: pa.DataType) -> list[tuple[str, pa.DataType]]:
     whole, raw = pa.int64(), pa.binary()
     numbers = [(c, whole) for c in ("n_a", "n_b", "n_groups", "n_links")]
-    return [("kind", pa.int32()), ("block", pa.string()), ("doc_id", key), *numbers, ("groups_sha256", pa.string()), ("segs", raw), ("times", raw), ("pair_a", pa.list_(pa.int32())), ("pair_b", pa.list_(pa.int32())), ("pair_docs", pa.list_(whole)), *((c, raw) for c in ("link_seg", "link_pair", "link_times"))]
+    return [("kind", pa.int32()), ("block", pa.string()), ("doc_id", key), *numbers, ("groups_sha256", pa.string()), ("held", raw), ("pair_a", pa.list_(pa.int32())), ("pair_b", pa.list_(pa.int32())), ("pair_docs", pa.list_(whole)), ("links", raw)]
 
 
 def asked_pairs(made: DataFrame) -> DataFrame:
@@ -312,7 +326,8 @@ def _scores(rows: pa.Table, answers: pa.Table) -> pa.Table:
     """Documents of one block with n_best and count_sum."""
     own = rows.filter(pc.equal(rows["kind"], 1))
     docs = rows.filter(pc.equal(rows["kind"], 0))
-    seg, pair, times = (np.frombuffer(own[c][0].as_py(), t).astype(np.int64) for c, t in (("link_seg", "<i4"), ("link_pair", "<i4"), ("link_times", "<i8")))
+    steps, pair, times = _columns(own["links"][0].as_py(), 3)
+    seg = np.cumsum(steps)
     size = answers.num_rows
     count, best = np.zeros(size, np.int64), np.zeros(size, np.int64)
     at = answers["pair"].to_numpy()
@@ -322,8 +337,9 @@ def _scores(rows: pa.Table, answers: pa.Table) -> pa.Table:
     np.add.at(sums, seg, times * count[pair])
     np.add.at(bests, seg, times * best[pair])
     n_best, count_sum = [], []
-    for s, c in zip(docs["segs"], docs["times"]):
-        held, n = np.cumsum(np.frombuffer(s.as_py(), "<i4"), dtype=np.int64), np.frombuffer(c.as_py(), "<i4").astype(np.int64)
+    for data in docs["held"]:
+        steps, n = _columns(data.as_py(), 2)
+        held = np.cumsum(steps)
         n_best.append(int(bests[held] @ n))
         count_sum.append(int(sums[held] @ n))
     out = docs.select(["doc_id", "n_a", "n_b", "n_groups", "n_links"])
@@ -342,7 +358,7 @@ def aligned(docs: DataFrame, a_path: str, b_path: str, text: str = "text", key:
     counts = pair_counts(made)
     answers = asked_pairs(made).join(counts, ["a", "b"]).select(F.col("block").alias("asked_by"), "pair", "count", "best")
     kind = docs.schema[key].dataType.simpleString()
-    rows = made.select("kind", "block", "doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "segs", "times", "link_seg", "link_pair", "link_times")
+    rows = made.select("kind", "block", "doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "held", "links")
     met = rows.groupBy("block").cogroup(answers.groupBy("asked_by"))
     out = met.applyInArrow(_scores, f"doc_id {kind}, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string")
     return out.withColumnRenamed("doc_id", key)
