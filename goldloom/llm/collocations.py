@@ -28,6 +28,8 @@ from goldloom.llm.common import LOWER, UPPER, arrow_batches, local_path, shared_
 LEAST, COVERED, TOP = 10, 50, 2000
 #: Bytes of pieces in a chunk, of word numbers (4 each) in a bucket, the most buckets, and the parts a language's candidates are ranked in.
 CHUNK_BYTES, BUCKET_BYTES, MOST_BUCKETS, PARTS = 6_000_000, 4_000_000, 1 << 15, 64
+#: Chunks' worth of pieces that wait in a task, and rows that DuckDB is given at a time.
+WAITING, TOGETHER = 3, 200_000
 #: MB that DuckDB may hold in one task before it writes to disk.
 MEMORY_MB = 300
 MARKS = ".,;:!?\x0b\x0c\r"
@@ -73,25 +75,31 @@ def chunks(made: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """Pieces packed into chunks of one language each, written to the shared folder."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, k, held, size = TaskContext.get().partitionId(), 0, [], 0
+        part, k = TaskContext.get().partitionId(), 0
+        held: dict[str, list[pa.RecordBatch]] = {}
+        size: dict[str, int] = {}
 
-        def flush() -> Iterator[pa.RecordBatch]:
-            nonlocal k, held, size
-            table = pa.Table.from_batches(held)
-            for lang in pc.unique(table["lang"]).to_pylist():
-                row = _chunk(lang, table.filter(pc.equal(table["lang"], lang)), f"{part}-{k}")
-                k += 1
-                yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, (pa.string(), pa.string(), pa.int64(), pa.list_(pa.string()), pa.binary(), pa.binary(), pa.binary()))], [c.split()[0] for c in CHUNK.split(", ")])
-            held, size = [], 0
+        def flush(lang: str) -> pa.RecordBatch:
+            nonlocal k
+            row = _chunk(lang, pa.Table.from_batches(held.pop(lang)), f"{part}-{k}")
+            k += 1
+            size.pop(lang)
+            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, kinds)], [c.split()[0] for c in CHUNK.split(", ")])
 
         for batch in batches:
-            if batch.num_rows:
-                held.append(batch)
-                size += batch.nbytes
-            if size >= chunk_bytes:
-                yield from flush()
-        if held:
-            yield from flush()
+            for lang in pc.unique(batch.column(0)).to_pylist():
+                own = batch.filter(pc.equal(batch.column(0), lang))
+                held.setdefault(lang, []).append(own)
+                size[lang] = size.get(lang, 0) + own.nbytes
+                # Languages fill chunks of their own; what waits is bounded, too.
+                if size[lang] >= chunk_bytes:
+                    yield flush(lang)
+            while sum(size.values()) >= WAITING * chunk_bytes:
+                yield flush(max(size, key=size.get))
+        for lang in [*held]:
+            yield flush(lang)
+
+    kinds = (pa.string(), pa.string(), pa.int64(), pa.list_(pa.string()), pa.binary(), pa.binary(), pa.binary())
 
     return written(made.mapInArrow(run, CHUNK), "chunks")
 
@@ -121,9 +129,8 @@ def _counted(con: duckdb.DuckDBPyConnection, row: dict, grams: list[dict[str, np
     table = con.sql(f"SELECT (hash((SELECT lang FROM own) || chr(10) || phrase) % {buckets})::INT AS bucket, * FROM ({' UNION ALL '.join(parts)}) ORDER BY bucket, phrase").to_arrow_table()
     spot, rest = table["bucket"].to_numpy(), table.drop_columns(["bucket"]).combine_chunks()
     starts = np.flatnonzero(np.diff(spot, prepend=-1)).tolist()
-    for s, e in zip(starts, [*starts[1:], len(spot)]):
-        columns = [pa.array([int(spot[s])], pa.int32()), pa.array([row["chunk"]]), pa.array([row["lang"]]), pa.array([_packed(rest.slice(s, e - s))], pa.binary())]
-        yield pa.RecordBatch.from_arrays(columns, ["bucket", "chunk", "lang", "packed"])
+    data = [_packed(rest.slice(s, e - s)) for s, e in zip(starts, [*starts[1:], len(spot)])]
+    yield pa.RecordBatch.from_arrays([pa.array(spot[starts], pa.int32()), pa.array([row["chunk"]] * len(data)), pa.array([row["lang"]] * len(data)), pa.array(data, pa.binary())], ["bucket", "chunk", "lang", "packed"])
 
 
 def _next_to(keep: np.ndarray, n: int) -> np.ndarray:
@@ -203,25 +210,39 @@ def frequent_phrases(dealt: DataFrame, least: int) -> DataFrame:
         asked = con.sql("SELECT no, a, b FROM t JOIN spoken USING (no) SEMI JOIN often USING (tongue, phrase) WHERE b >= 0 ORDER BY no, a, b").to_arrow_table().combine_chunks()
         at = asked["no"].to_numpy()
         starts = np.flatnonzero(np.diff(at, prepend=-1)).tolist()
+        rest, data = asked.drop_columns(["no"]), []
         for s, e in zip(starts, [*starts[1:], len(at)]):
-            row = [of[int(at[s])][0], _packed(asked.slice(s, e - s).drop_columns(["no"])), None, None, None, None]
-            yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, kinds)], names)
+            data.append(_packed(rest.slice(s, e - s)))
+        if data:
+            yield pa.RecordBatch.from_arrays([pa.array([of[k][0] for k in at[starts].tolist()]), pa.array(data, pa.binary()), *(pa.nulls(len(data), t) for t in kinds[2:])], names)
         con.close()
         if spill:
             shutil.rmtree(own(), ignore_errors=True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bucket, con, of = None, None, []
+        bucket, con, of, held = None, None, [], []
+
+        def put() -> None:
+            if held:
+                con.register("came", pa.concat_tables(held))
+                con.execute("INSERT INTO t SELECT no, phrase, n_words, a, b, f FROM came")
+                con.unregister("came")
+                held.clear()
+
         for row in (r for batch in batches for r in _rows(batch)):
             if row["bucket"] != bucket:
                 if con:
+                    put()
                     yield from answer(con, of)
                 bucket, con, of = row["bucket"], _database(own()), []
                 con.execute("CREATE TEMP TABLE t (no INT, phrase VARCHAR, n_words TINYINT, a INT, b INT, f BIGINT)")
-            con.register("came", _unpacked(row["packed"]))
-            con.execute(f"INSERT INTO t SELECT {len(of)}, phrase, n_words, a, b, f FROM came")
+            came = _unpacked(row["packed"])
+            held.append(came.append_column("no", pa.array(np.full(len(came), len(of), np.int32))))
             of.append((row["chunk"], row["lang"]))
+            if sum(map(len, held)) >= TOGETHER:
+                put()
         if con:
+            put()
             yield from answer(con, of)
 
     return written(dealt.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, COUNTED), "counted")
