@@ -426,7 +426,7 @@ def scan(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     def make():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             counts, bases, found, scores = [], [], [], []
-            for raw in map(pa.Scalar.as_py, batch.column(1)):
+            for raw in (x.as_py() for x in batch.column(1)):
                 t = normalised(raw or b"")
                 counts.append(len(t) > 1 and t.count(b" ") - 1 or 0)
                 base = [(label, s) for phrase, label in PHRASES for s in phrase_starts(t, phrase)]

@@ -186,7 +186,7 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "do
         reader = Reader(seen)
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            found = (marks[reader.features(t)] if t else np.zeros(0, np.int64) for t in map(pa.Scalar.as_py, batch.column(1)))
+            found = (marks[reader.features(t)] if t else np.zeros(0, np.int64) for t in (x.as_py() for x in batch.column(1)))
             return pa.RecordBatch.from_arrays([batch.column(0), pa.array([f[f >= 0].astype("<i4").tobytes() for f in found], pa.binary())], ["p", "found"])
 
         return step
@@ -226,7 +226,7 @@ def with_score(docs: DataFrame, model: Model, text: str, name: str) -> DataFrame
         reader, weights = Reader(list(model.stems)), np.array([*model.weights, 0.0])
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            texts = (t.encode("utf-8", "replace") if t else None for t in map(pa.Scalar.as_py, batch.column(at)))
+            texts = (t.encode("utf-8", "replace") if t else None for t in (x.as_py() for x in batch.column(at)))
             z = [model.bias + float(weights[reader.features(t) or [-1]].sum()) if t else model.bias for t in texts]
             return pa.RecordBatch.from_arrays([*batch.columns, pa.array(1 / (1 + np.exp(-np.clip(z, -30, 30))), pa.float64())], [*batch.schema.names, name])
 

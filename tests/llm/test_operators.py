@@ -367,6 +367,9 @@ def test_toxicity_held_out(spark):
     assert (toxic.predicted == 1).mean() > 0.7 and (got[got.toxic == 0].predicted == 1).mean() < 0.02
 
 
+real = toxicity.written
+
+
 def test_toxicity_hard_cases(spark):
     docs, labels = table(spark, HARD_TEXTS), spark.createDataFrame([], "doc_id long, quality int, toxic int")
     model = toxicity.train(docs, labels)
@@ -381,11 +384,13 @@ def brute_toxicity(rows, labels, seed=1):
 
     def parts(w):
         w = w.lower()
-        return ([w] if len(w) < 40 else []) + [w[:k] + "*" for k in (4, 5, 6, 7) if len(w) >= k]
+        if len(w) < 40:
+            return [w] + [w[:k] + "*" for k in (4, 5, 6, 7) if len(w) >= k]
+        return [w[i : i + k] + "*" for i in range(len(w)) for k in (4, 5, 6, 7) if len(w) >= i + k]
 
     def holds(t, stem):
-        n = sum(stem in parts(w) for w in words(t))
-        total = len(words(t))
+        n = sum(parts(w).count(stem) for w in words(t))
+        total = sum(1 if len(w) < 40 else len(w) // 6 for w in words(t))
         return [n >= 1, n >= 2, n >= 3, n >= 2 and n * 300 >= total, n >= 2 and n * 100 >= total]
 
     fold = lambda i: zlib.crc32(str(i).encode()) % 5 != 0
@@ -432,12 +437,30 @@ def test_toxicity_equals_dense_version(spark):
         rows.append((i, " ".join(rng.permutation(words))))
         if i % 2 == 0:
             labels[i] = int(toxic)
-    rows += [(700, None), (701, ""), (702, "NASTYWORD " * 30)]
+    rows += [(700, None), (701, ""), (702, "NASTYWORD " * 30), (703, "pq" * 200 + "nastyword" + "qp" * 200)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     model = toxicity.train(docs, spark.createDataFrame([(i, 0, v) for i, v in labels.items()], "doc_id long, quality int, toxic int"))
     got = {r["doc_id"]: r["score"] for r in toxicity.score(docs, model).collect()}
     assert got == pytest.approx(brute_toxicity(rows, labels), rel=1e-6)
     assert got[702] > 0.5 > got[700] == got[701]
+    # Text without spaces counts wherever its words are.
+    run = "pq" * 50_000
+    ends = spark.createDataFrame([(0, run), (1, run + "nastywordvileness"), (2, "nastyword" + run + "vileness" + run)], "doc_id long, text string")
+    tail = {r["doc_id"]: r["score"] for r in toxicity.score(ends, model).collect()}
+    assert tail[1] == tail[2] > tail[0] == got[700]
+
+
+def test_toxicity_sample_is_bounded_in_rows(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "MAX_P", 6)
+    monkeypatch.setattr(toxicity, "MAX_U", 9)
+    seen = []
+    monkeypatch.setattr(toxicity, "written", lambda df, name: seen.append((name, real(df, name))) or seen[-1][1])
+    # One key has most of the rows; rows that are equal count once.
+    rows = [(1 if i % 2 else i, f"word{i % 40} nastyword") for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    toxicity.train(docs, spark.createDataFrame([(1, 0, 1), (2, 0, 0)], "doc_id long, quality int, toxic int"))
+    sample = dict(seen)["sample"]
+    assert sample.filter("p").count() == 6 and sample.filter("not p").count() == 9
 
 
 # --- licenses, personal data
