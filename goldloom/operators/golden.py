@@ -49,10 +49,15 @@ def match_dimension(groups: DataFrame, existing: DataFrame, identities: list[str
     return groups.join(ids, "group_id")
 
 
+def last_of(matched: DataFrame, dim_id: str, fields: list[str]) -> DataFrame:
+    """The values of each dimension's last group."""
+    last = Window.partitionBy(dim_id).orderBy(F.col("group_id").desc())
+    return matched.withColumn("n", F.row_number().over(last)).filter("n = 1").select(dim_id, *fields)
+
+
 def upsert(matched: DataFrame, existing: DataFrame, dim_id: str, fields: list[str]) -> DataFrame:
     """The new dimension: rows of existing that no group hits, and the last group's values (nulls included) for the others."""
-    last = Window.partitionBy(dim_id).orderBy(F.col("group_id").desc())
-    fresh = matched.withColumn("n", F.row_number().over(last)).filter("n = 1").select(dim_id, *fields)
+    fresh = last_of(matched, dim_id, fields)
     return existing.select(dim_id, *fields).join(fresh.select(dim_id), dim_id, "left_anti").unionByName(fresh)
 
 
@@ -90,10 +95,15 @@ def effective_from(import_ts: Column) -> Column:
     return F.coalesce(F.to_date(import_ts), F.current_date())
 
 
+def last_owners(wanted: DataFrame) -> DataFrame:
+    """(identity_type, identity_value, party_id): the last writer (by seq) of each value."""
+    last = F.max_by("party_id", "seq").alias("party_id")
+    return wanted.filter("coalesce(identity_value, '') <> ''").groupBy("identity_type", "identity_value").agg(last)
+
+
 def identity_bridge(existing: DataFrame, wanted: DataFrame) -> DataFrame:
     """(identity_type, identity_value, party_id): one owner each; the last writer (by seq) takes a value over."""
-    last = F.max_by("party_id", "seq").alias("party_id")
-    fresh = wanted.filter("coalesce(identity_value, '') <> ''").groupBy("identity_type", "identity_value").agg(last)
+    fresh = last_owners(wanted)
     rest = existing.select("identity_type", "identity_value", "party_id").join(fresh, ["identity_type", "identity_value"], "left_anti")
     return rest.unionByName(fresh.select(*rest.columns))
 

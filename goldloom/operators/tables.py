@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -48,3 +48,41 @@ def numbered(rows: DataFrame, order: list[str | Column], name: str) -> DataFrame
     offsets = placed.sparkSession.createDataFrame(before, "_part long, _before long")
     number = F.col("_before") + F.col(at).bitwiseAND(F.lit((1 << 33) - 1)) + 1
     return placed.join(F.broadcast(offsets), part == F.col("_part")).select(*rows.columns, number.alias(name))
+
+
+class Conflict(ValueError):
+    """Another writer was first."""
+
+
+class Folder:
+    """Small files in a folder that Spark's file systems reach."""
+
+    def __init__(self, spark: SparkSession, folder: str) -> None:
+        self._spark, self.folder = spark, folder
+        self.fs = self._at().getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def _at(self, name: str = ""):
+        return self._spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}" if name else self.folder)
+
+    def names(self, below: str = "") -> list[str]:
+        at = self._at(below)
+        return sorted(s.getPath().getName() for s in self.fs.listStatus(at)) if self.fs.exists(at) else []
+
+    def get(self, name: str) -> str:
+        stream = self.fs.open(self._at(name))
+        try:
+            return self._spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        finally:
+            stream.close()
+
+    def put(self, name: str, text: str) -> None:
+        """Writes a file that mustn't exist; it is there as a whole or not at all."""
+        if self.fs.exists(self._at(name)):
+            raise Conflict(f"{name} has been written by another run")
+        out = self.fs.create(self._at(f"_{name}.tmp"), True)
+        try:
+            out.write(bytearray(text.encode()))
+        finally:
+            out.close()
+        if not self.fs.rename(self._at(f"_{name}.tmp"), self._at(name)):
+            raise Conflict(f"{name} has been written by another run")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field, replace
+from dataclasses import dataclass, replace
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from goldloom.operators import cluster, constraints, golden, mapping, matching, tables, validation
 from goldloom.plans import rules as R
+from goldloom.plans.runs import Log, Run, batch_status  # noqa: F401
 from goldloom.sources.files import source_code
 
 # What a source holds, where it doesn't say.
@@ -22,35 +23,6 @@ def entity_types(source: str, wanted: str | None = None) -> tuple[str, ...]:
     return ("PARTY", "PERSON") if wanted and wanted.upper() == "BOTH" else ENTITY_OF_SOURCE[source_code(source)]
 
 
-@dataclass
-class Log:
-    """Steps with their state and row counts."""
-
-    rows: list[dict] = field(default_factory=list)
-
-    def run(self, step: str, rows_in: int | None, work) -> DataFrame:
-        entry = {"step": step, "status": "STARTED", "records_in": rows_in, "records_out": None, "error": None}
-        self.rows.append(entry)
-        try:
-            out = work()
-            entry |= {"status": "SUCCESS", "records_out": out.count()}
-            return out
-        except Exception as e:
-            entry |= {"status": "FAILED", "error": str(e)[:500]}
-            raise
-
-    def frame(self, spark: SparkSession) -> DataFrame:
-        return spark.createDataFrame(self.rows, "step string, status string, records_in long, records_out long, error string")
-
-
-def batch_status(log: Log) -> str:
-    """Where a batch stands by its steps."""
-    if any(r["status"] == "FAILED" for r in log.rows):
-        return "FAILED"
-    done = {r["step"] for r in log.rows if r["status"] == "SUCCESS"}
-    return "STAGING_LOADED" if "STAGING" in done else "RAW_LOADED" if "RAW" in done else "PROCESSING" if log.rows else "NEW"
-
-
 #: Most rows of a raw file.
 FILE_ROWS = 10**10
 
@@ -68,28 +40,19 @@ class Source:
     import_ts: str | None = None
 
 
-def refuse_staged(spark: SparkSession, path: str, entity: str, raw_file: int) -> None:
-    """ValueError if the raw file has been staged below path."""
-    place = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{entity}/staging/RawFile_ID={raw_file}/_SUCCESS")
-    if place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place):
-        raise ValueError(f"raw file {raw_file} is loaded already")
-
-
-def run_source(spark: SparkSession, source: DataFrame, columns: list[tuple[str, str]], entity: str, batch: int, raw_file: int, path: str, order_by: list[str], teryt: validation.Teryt | None = None, log: Log | None = None) -> dict[str, DataFrame]:
+def run_source(spark: SparkSession, source: DataFrame, columns: list[tuple[str, str]], entity: str, batch: int, raw_file: int, path: str, order_by: list[str], teryt: validation.Teryt | None = None, log: Log | None = None, run: Run | None = None) -> dict[str, DataFrame]:
     """Stages one raw file up to validation; each table is written below path, in a partition of its raw file."""
-    log = log or Log()
+    run = run or Run(spark, path, entity, [raw_file], log)
     kept: dict[str, DataFrame] = {}
 
     def step(name: str, before: int | None, make) -> DataFrame:
-        def work() -> DataFrame:
-            make().write.mode("overwrite").parquet(f"{path}/{entity}/{name}/RawFile_ID={raw_file}")
-            return spark.read.parquet(f"{path}/{entity}/{name}/RawFile_ID={raw_file}")
-
-        kept[name] = log.run(name.upper(), before, work)
+        kept[name] = run.step(name.upper(), before, make, raw_file, f"{path}/{entity}/{name}/RawFile_ID={raw_file}")
         return kept[name]
 
     staged = step("staging", None, lambda: mapping.stage(mapping.map_columns(source, columns, entity), entity, batch, raw_file, order_by))
-    count = log.rows[-1]["records_out"]
+    count = run.log.rows[-1]["records_out"]
+    if count >= FILE_ROWS:
+        raise ValueError(f"raw file {raw_file} has {count} rows; at most {FILE_ROWS - 1} can be told apart")
     done = step("preprocessed", count, lambda: mapping.preprocess(staged, entity).withColumn("Rules_JSON", mapping.preprocessing_stamp()))
     step("validation", count, lambda: validation.validate_persons(staged, done, None, teryt) if entity == "PERSON" else validation.validate_parties(done, teryt))
     return kept
@@ -142,18 +105,22 @@ def in_scope(grouped: DataFrame, raw_file: int | None, group: int | None) -> Dat
     return grouped
 
 
-def golden_load(records: DataFrame, labels: DataFrame, entity: str, existing: DataFrame | Golden, statuses: DataFrame | None = None, raw_file: int | None = None, group: int | None = None) -> dict[str, DataFrame]:
+def golden_load(records: DataFrame, labels: DataFrame, entity: str, existing: DataFrame | Golden, statuses: DataFrame | None = None, raw_file: int | None = None, group: int | None = None, groups_of: DataFrame | None = None) -> dict[str, DataFrame]:
     """The golden tables after a load: dimension, addresses, links and identities; with rejects, lineage, changes, matched,
-    address_lineage, link_lineage and identity_lineage.
+    address_lineage, link_lineage and identity_lineage. fresh_dimension, fresh_addresses and fresh_identities are the rows that
+    the load puts in place of those with the same key.
 
     records: preprocessed rows with source_code, trust and import_ts; labels: id and component, the record's group. Of groups
-    that meet in one dimension the last one (by id) that has an address gives the link; the addresses of all are kept.
+    that meet in one dimension the last one (by id) that has an address gives the link; the addresses of all are kept. With
+    groups_of (group_id) the load is about these groups.
     """
     spark = records.sparkSession
     known = existing if isinstance(existing, Golden) else replace(empty_golden(spark, entity), dimension=existing)
     fields = dimension_fields(entity)
     grouped = records.join(labels.select(F.col("id").alias("Preprocessed_ID"), F.col("component").alias("group_id")), "Preprocessed_ID")
     grouped = in_scope(grouped, raw_file, group)
+    if groups_of is not None:
+        grouped = grouped.join(groups_of.select("group_id"), "group_id", "left_semi")
     chosen = golden.survivors_of(grouped, entity, fields, statuses)
     groups = grouped.select("group_id").distinct().join(golden.pivot_survivors(chosen, list(fields)), "group_id", "left")
     accepted, rejects = golden.accept(groups, ["Name"] if entity == "PARTY" else [])
@@ -162,6 +129,7 @@ def golden_load(records: DataFrame, labels: DataFrame, entity: str, existing: Da
     dimension = golden.upsert(matched, known.dimension, "dim_id", list(fields))
     owners = matched.select("group_id", "dim_id")
     out = {"dimension": dimension, "rejects": rejects, "lineage": golden.lineage(chosen, matched, "dim_id"), "changes": golden.changes(known.dimension, dimension, "dim_id", list(fields)), "matched": matched}
+    out["fresh_dimension"] = golden.last_of(matched, "dim_id", list(fields))
     return out | _addresses(grouped, owners, entity, known, statuses) | _identities(grouped, owners, entity, known, statuses)
 
 
@@ -178,20 +146,20 @@ def _addresses(grouped: DataFrame, owners: DataFrame, entity: str, known: Golden
     links = golden.link_addresses(known.links, linked.select("dim_id", "address_id", "effective_from"), "dim_id")
     link_lineage = linked.select("dim_id", "address_id", "source", F.concat(F.lit("ADDRESS_LINK_FROM_"), "rule").alias("rule"), golden.trust_score(F.col("trust")).alias("trust_score"), golden.quality_score(F.col("status")).alias("quality_score"))
     address_lineage = golden.lineage(chosen, placed.select("group_id", "address_id"), "address_id")
-    return {"addresses": known.addresses.select("address_id", *columns).unionByName(new), "links": links, "link_lineage": link_lineage, "address_lineage": address_lineage}
+    return {"addresses": known.addresses.select("address_id", *columns).unionByName(new), "fresh_addresses": new, "links": links, "link_lineage": link_lineage, "address_lineage": address_lineage}
 
 
 def _identities(grouped: DataFrame, owners: DataFrame, entity: str, known: Golden, statuses: DataFrame | None) -> dict[str, DataFrame]:
     """A party's identities; persons have theirs in the dimension."""
     if entity == "PERSON":
-        return {"identities": known.identities}
+        return {"identities": known.identities, "fresh_identities": known.identities.limit(0)}
     chosen = golden.survivors_of(grouped, entity, R.IDENTITY_COLUMNS, statuses).join(owners, "group_id")
     wanted = chosen.select(F.col("field").alias("identity_type"), F.col("value").alias("identity_value"), F.col("dim_id").alias("party_id"), F.col("group_id").alias("seq"))
     entry = ["identity_type", "identity_value"]
     last = Window.partitionBy(*entry).orderBy(F.col("seq").desc())
     rows = chosen.select(F.col("field").alias("identity_type"), F.col("value").alias("identity_value"), F.col("group_id").alias("seq"), "source", "rule", golden.trust_score(F.col("trust")).alias("trust_score"), golden.quality_score(F.col("status")).alias("quality_score"))
     lineage = rows.withColumn("n", F.row_number().over(last)).filter("n = 1").drop("n", "seq")
-    return {"identities": golden.identity_bridge(known.identities, wanted), "identity_lineage": lineage}
+    return {"identities": golden.identity_bridge(known.identities, wanted), "fresh_identities": golden.last_owners(wanted), "identity_lineage": lineage}
 
 
 def after(loaded: dict[str, DataFrame], entity: str) -> Golden:
@@ -205,33 +173,112 @@ def after(loaded: dict[str, DataFrame], entity: str) -> Golden:
     return Golden(*(tables.kept(golden.known_fields(loaded[n], columns), n) for n, columns in allowed.items()))
 
 
+#: Steps of a run behind the golden load's, which later runs read.
+GOLDEN = ("dimension", "addresses", "links", "identities")
+
+
 def run_all(spark: SparkSession, sources: list[Source], entity: str, path: str, existing: Golden | None = None, teryt: validation.Teryt | None = None, log: Log | None = None, max_pairs: int = R.MAX_PAIRS) -> dict[str, DataFrame]:
     """All stages over raw files: staging, preprocessing, validation of each, then matching, groups and the golden load.
 
-    A raw file that is staged below path already is refused. A stage that fails is logged as FAILED, leaves nothing of its own
-    behind and ends the run.
+    New records are matched with each other and with those of all earlier runs below path; pairs of earlier records are known.
+    Components grow by the new links, and the golden load is about the groups that they touch and those that share a dimension
+    with these. So files that are loaded one by one give the same groups as all at once; and the same dimensions, unless a
+    later record joins groups that had a dimension each: then the one with the smaller id goes on, and the other stays as it is.
+
+    A raw file that an earlier run has loaded is refused. A step that fails is noted as FAILED and ends the run; called again
+    with the same raw files, the run goes on behind its last finished step. existing is what the first run starts from.
     """
-    log = log or Log()
-    done: list[tuple[Source, dict[str, DataFrame]]] = []
-    for s in sources:
-        refuse_staged(spark, path, entity, s.raw_file)
-        done.append((s, run_source(spark, s.rows, s.columns, entity, s.batch, s.raw_file, path, s.order_by, teryt, log)))
+    run = Run(spark, path, entity, [s.raw_file for s in sources], log)
+    done = [(s, run_source(spark, s.rows, s.columns, entity, s.batch, s.raw_file, path, s.order_by, teryt, run=run)) for s in sources]
     tag = lambda s, df: df.withColumns({"source_code": F.lit(source_code(s.code)), "trust": F.lit(None).cast("double"), "import_ts": F.lit(s.import_ts).cast("timestamp")})
     # A row's number is its own only within its raw file.
     own = lambda s, df: df.withColumn("Preprocessed_ID", F.col("Preprocessed_ID") + F.lit(s.raw_file * FILE_ROWS))
-    records = reduce(DataFrame.unionByName, (tag(s, own(s, k["preprocessed"])) for s, k in done))
-    statuses = reduce(DataFrame.unionByName, (own(s, k["validation"]) for s, k in done)).select("Preprocessed_ID", "field_name", "status")
-    out: dict[str, DataFrame] = {}
-
-    def step(name: str, make) -> DataFrame:
-        out[name] = log.run(name.upper(), log.rows[-1]["records_out"], lambda: tables.kept(make(), name))
-        return out[name]
-
-    first = step("candidates", lambda: constraints.enforce(matching.stage1(records, entity, max_pairs=max_pairs), {k: v for k, v in constraints.candidates().items() if k in ("decision", "score", "pair_order")}))
+    union = lambda frames: reduce(DataFrame.unionByName, frames)
+
+    def step(name: str, make, key: list[str] | None = None) -> DataFrame:
+        return run.step(name.upper(), run.log.rows[-1]["records_out"], make, key=key)
+
+    def with_history(name: str, new: DataFrame) -> DataFrame:
+        old = run.all_of(name.upper())
+        return new if old is None else old.unionByName(new)
+
+    fresh = step("records", lambda: union(tag(s, own(s, k["preprocessed"])) for s, k in done))
+    records = with_history("records", fresh)
+    statuses = with_history("statuses", step("statuses", lambda: union(own(s, k["validation"]) for s, k in done).select("Preprocessed_ID", "field_name", "status")))
+    ids = fresh.select(F.col("Preprocessed_ID").alias("id"))
+    scope = F.floor(F.col("Preprocessed_ID") / FILE_ROWS).isin([s.raw_file for s in sources]) if run.base else None
+    rules = {k: v for k, v in constraints.candidates().items() if k in ("decision", "score", "pair_order")}
+    first = step("candidates", lambda: constraints.enforce(tables.kept(matching.stage1(records, entity, scope=scope, max_pairs=max_pairs), "candidates"), rules))
     second = step("second", lambda: matching.stage2(first, records, R.JW_RULES[entity]))
-    labels = step("labels", lambda: cluster.connected_components(second.filter("decision = 'AUTO_MERGE'"), records.select(F.col("Preprocessed_ID").alias("id"))))
-    loaded = golden_load(records, labels, entity, existing or empty_golden(spark, entity), statuses)
-    constraints.enforce(loaded["links"], constraints.links())
-    for name, table in loaded.items():
-        step(name, lambda table=table: table)
-    return out | {"records": records, "statuses": statuses}
+
+    before = run.last("LABELS")
+    known = before if before is not None else spark.createDataFrame([], "id long, component long")
+    grown: list[tuple[DataFrame, DataFrame]] = []
+
+    def grow() -> tuple[DataFrame, DataFrame]:
+        if not grown:
+            grown.append(cluster.grow_components(known, second.filter("decision = 'AUTO_MERGE'"), ids))
+        return grown[0]
+
+    labels = step("labels", lambda: grow()[0])
+    touched = step("touched", lambda: grow()[1])
+    out = {"records": records, "statuses": statuses, "candidates": first, "second": second, "labels": labels}
+    out["groups"], out["members"], out["group_changes"] = _stored_groups(run, step, known, labels, touched)
+
+    owners = run.last("OWNERS")
+    scoped = touched.select(F.col("component").alias("group_id"))
+    if owners is not None:
+        # Names of touched groups before this run, the dimensions these had, and all groups with one of those.
+        was = known.join(labels.join(touched, "component", "left_semi").select("id"), "id", "left_semi").select(F.col("component").alias("group_id")).distinct()
+        dims = owners.join(was, "group_id", "left_semi").select("dim_id").distinct()
+        current = labels.select(F.col("component").alias("group_id")).distinct()
+        scoped = scoped.unionByName(owners.join(dims, "dim_id", "left_semi").select("group_id").join(current, "group_id", "left_semi")).distinct()
+    start = Golden(*(run.last(n.upper()) for n in GOLDEN)) if run.base else existing or empty_golden(spark, entity)
+    made: list[dict[str, DataFrame]] = []
+
+    def load() -> dict[str, DataFrame]:
+        if not made:
+            made.append(golden_load(records, labels, entity, start, statuses, groups_of=scoped))
+            constraints.enforce(made[0]["links"], constraints.links())
+        return made[0]
+
+    # Tables that go on from run to run are changed by key; only files with a changed row are written anew.
+    keys = {"dimension": ["dim_id"], "addresses": ["address_id"], "identities": ["identity_type", "identity_value"], "lineage": ["dim_id", "attribute"]}
+    names = [*GOLDEN, "rejects", "lineage", "changes", "matched", "address_lineage", "link_lineage", *(["identity_lineage"] if entity == "PARTY" else [])]
+    allowed = {"dimension": ["dim_id", *dimension_fields(entity)], "addresses": ["address_id", *R.ADDRESS_COLUMNS]}
+    for name in names:
+        # The first run stores whole tables, later ones what they change.
+        part = f"fresh_{name}" if run.base and name in keys and name != "lineage" else name
+        out[name] = step(name, lambda name=name, part=part: golden.known_fields(load()[part], allowed[name]) if name in allowed else load()[part], keys.get(name))
+    new = out["matched"].select("group_id", "dim_id")
+    rest = None if owners is None else owners.join(new.select("group_id"), "group_id", "left_anti").join(labels.select(F.col("component").alias("group_id")).distinct(), "group_id", "left_semi")
+    out["owners"] = step("owners", lambda: new if rest is None else rest.select("group_id", "dim_id").unionByName(new))
+    run.finish()
+    return out
+
+
+def _stored_groups(run: Run, step, known: DataFrame, labels: DataFrame, touched: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Stored groups (group_id, group_key, component), their members (group_id, id) and the run's changes (group_key, action).
+
+    Only groups that the run touches are made anew; a group with the same members keeps its id.
+    """
+    spark = labels.sparkSession
+    empty = "group_id long, group_key string, component long", "group_id long, id long"
+    old, old_members = (t if t is not None else spark.createDataFrame([], s) for t, s in zip((run.last("GROUPS"), run.last("MEMBERS")), empty))
+    was = known.join(labels.join(touched, "component", "left_semi").select("id"), "id", "left_semi").select("component").distinct()
+    made: list[dict[str, DataFrame]] = []
+
+    def fresh() -> dict[str, DataFrame]:
+        if not made:
+            top = old.agg(F.coalesce(F.max("group_id"), F.lit(0)).alias("top")).first()["top"]
+            found = tables.kept(cluster.entity_groups(labels.join(touched, "component", "left_semi")), "touched")
+            stored = cluster.store_groups(found, old.join(was, "component", "left_semi"), top)
+            stored["groups"] = stored["groups"].join(found.select("group_key", "component"), "group_key")
+            made.append(stored)
+        return made[0]
+
+    groups = step("groups", lambda: old.join(was, "component", "left_anti").unionByName(fresh()["groups"]))
+    gone = old.join(was, "component", "left_semi").select("group_id")
+    members = step("members", lambda: old_members.join(gone, "group_id", "left_anti").unionByName(fresh()["members"]))
+    changes = step("group_changes", lambda: fresh()["changes"])
+    return groups, members, changes
