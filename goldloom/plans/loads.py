@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from goldloom.operators import constraints, matching, serving
-from goldloom.plans import pipeline
+from goldloom.operators import cluster, constraints, matching, serving, store, tables
+from goldloom.plans import pipeline, runs
+from goldloom.plans import rules as R
 from goldloom.plans.registry import query
 
 c = F.col
@@ -55,13 +58,62 @@ def golden_load_person(t):
 _SIM = "CASE WHEN a.{0} IS NOT NULL AND b.{0} IS NOT NULL THEN 1 - levenshtein(lower(a.{0}), lower(b.{0})) / greatest(length(a.{0}), length(b.{0})) END"
 
 
-@query(f"""WITH {_PERSON_ROWS}, sims AS (SELECT a.id AS left_id, b.id AS right_id, ({_SIM.format('first_name')})::DOUBLE AS f, ({_SIM.format('city')})::DOUBLE AS t, ({_SIM.format('code')})::DOUBLE AS k FROM r a JOIN r b ON a.pesel = b.pesel AND a.id < b.id),
-scored AS (SELECT *, round((1.0::DOUBLE + coalesce(f * 0.65::DOUBLE, 0) + coalesce(t * 0.12::DOUBLE, 0) + coalesce(k * 0.18::DOUBLE, 0)) / (1.0::DOUBLE + CASE WHEN f IS NULL THEN 0 ELSE 0.65::DOUBLE END + CASE WHEN t IS NULL THEN 0 ELSE 0.12::DOUBLE END + CASE WHEN k IS NULL THEN 0 ELSE 0.18::DOUBLE END), 4) AS score, coalesce(f < 0.6, FALSE) AS differs FROM sims)
-SELECT left_id, right_id, score, CASE WHEN score >= 0.95 OR NOT differs THEN 'AUTO_MERGE' WHEN score >= 0.7 THEN 'REVIEW' ELSE 'CANDIDATE' END AS decision FROM scored WHERE score >= 0.5""")
+_PERSON_SIMS = f"""{_PERSON_ROWS}, sims AS (SELECT a.id AS left_id, b.id AS right_id, ({_SIM.format('first_name')})::DOUBLE AS f, ({_SIM.format('city')})::DOUBLE AS t, ({_SIM.format('code')})::DOUBLE AS k FROM r a JOIN r b ON a.pesel = b.pesel AND a.id < b.id),
+scored AS (SELECT *, round((1.0::DOUBLE + coalesce(f * 0.65::DOUBLE, 0) + coalesce(t * 0.12::DOUBLE, 0) + coalesce(k * 0.18::DOUBLE, 0)) / (1.0::DOUBLE + CASE WHEN f IS NULL THEN 0 ELSE 0.65::DOUBLE END + CASE WHEN t IS NULL THEN 0 ELSE 0.12::DOUBLE END + CASE WHEN k IS NULL THEN 0 ELSE 0.18::DOUBLE END), 4) AS score, coalesce(f < 0.6, FALSE) AS differs FROM sims),
+matched AS (SELECT left_id, right_id, score, CASE WHEN score >= 0.95 OR NOT differs THEN 'AUTO_MERGE' WHEN score >= 0.7 THEN 'REVIEW' ELSE 'CANDIDATE' END AS decision FROM scored WHERE score >= 0.5)"""
+
+
+@query(f"WITH {_PERSON_SIMS} SELECT * FROM matched")
 def match_persons(t):
     return matching.stage1(_persons(t), "PERSON").select("left_id", "right_id", "score", "decision")
 
 
+#: A file is one of three parts of the records; the last one is new, the others are history.
+_FILE = c("Preprocessed_ID") % 3
+
+
+@query(f"WITH {_PERSON_SIMS} SELECT * FROM matched WHERE left_id % 3 = 2 OR right_id % 3 = 2")
+def scoped_pairs(t):
+    return matching.stage1(_persons(t), "PERSON", scope=_FILE == 2).select("left_id", "right_id", "score", "decision")
+
+
+@query(f"""WITH RECURSIVE {_PERSON_SIMS}, links AS (SELECT left_id AS a, right_id AS b FROM matched WHERE decision = 'AUTO_MERGE' UNION SELECT right_id, left_id FROM matched WHERE decision = 'AUTO_MERGE'),
+reach(id, other) AS (SELECT id, id FROM r UNION SELECT x.id, l.b FROM reach x JOIN links l ON x.other = l.a)
+SELECT id, min(other) AS component FROM reach GROUP BY id""")
+def incremental_groups(t):
+    people = _persons(t)
+    labels = people.sparkSession.createDataFrame([], "id long, component long")
+    for n in range(3):
+        known = people.filter(n >= _FILE)
+        pairs = matching.stage1(known, "PERSON", scope=_FILE == n).filter("decision = 'AUTO_MERGE'")
+        labels, _ = cluster.grow_components(labels, pairs, known.filter(_FILE == n).select(c("Preprocessed_ID").alias("id")))
+    return labels
+
+
+@query("""SELECT f AS raw_file, step, 'SUCCESS' AS status, CASE WHEN step <> 'STAGING' THEN n ELSE 0 END AS records_in, CASE WHEN step <> 'VALIDATION' THEN n ELSE 0 END AS records_out
+FROM (SELECT c_custkey % 2 + 1 AS f, count(*) AS n FROM customer GROUP BY 1), (VALUES ('STAGING'), ('PREPROCESSED'), ('VALIDATION')) s(step)""")
+def stored_run_log(t):
+    rows, columns = t("customer"), [("c_custkey", "Source_Record_ID"), ("c_name", "First_Name"), ("c_phone", "Phone_Number")]
+    spark, path = rows.sparkSession, f"{tables.shared_folder(rows)}/runs-{uuid.uuid4().hex}"
+    for n in range(2):
+        pipeline.run_source(spark, rows.filter(c("c_custkey") % 2 == n), columns, "PERSON", 1, n + 1, path, ["c_custkey"])
+    log = runs.run_log(spark, path, "PERSON")
+    # Staging has no step before it; a record has several rows of validation.
+    out = F.when(c("step") != "VALIDATION", c("records_out")).otherwise(0)
+    return log.select("raw_file", "step", "status", F.coalesce("records_in", F.lit(0)).alias("records_in"), out.alias("records_out"))
+
+
+@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 500 = 1 THEN 'changed' ELSE o_orderstatus END AS status, CASE WHEN o_orderkey % 500 = 1 THEN 2 ELSE 1 END AS load FROM orders WHERE o_orderkey % 700 <> 5 OR o_orderkey % 500 = 1
+UNION ALL SELECT -1 - p_partkey, 'new', 2 FROM part""")
+def stored_table_upsert(t):
+    rows = t("orders").select("o_orderkey", c("o_orderstatus").alias("status"), F.lit(1).alias("load"))
+    table = store.BucketTable.create(rows, f"{tables.shared_folder(rows)}/table-{uuid.uuid4().hex}", ["o_orderkey"])
+    changed = rows.filter("o_orderkey % 500 = 1").select("o_orderkey", F.lit("changed").alias("status"), F.lit(2).alias("load"))
+    new = t("part").select((-1 - c("p_partkey")).alias("o_orderkey"), F.lit("new").alias("status"), F.lit(2).alias("load"))
+    table.upsert(changed.unionByName(new), remove=rows.filter("o_orderkey % 700 = 5"))
+    return table.read()
+
+
 # --- parties: groups without a name are rejected, two groups may share a NIP
 
 _PARTY_ROWS = """r AS (SELECT s_suppkey AS id, s_suppkey % 60 AS grp, CASE s_suppkey % 3 WHEN 0 THEN 'KRS' WHEN 1 THEN 'REGON' ELSE 'VAT' END AS src,
@@ -106,6 +158,41 @@ def golden_load_rejects(t):
     return _loaded_parties(t)["rejects"].select("group_id", F.array_join("missing_fields", ",").alias("missing"), "status")
 
 
+# --- parties by all their keys and rules
+
+_FIRM_COLUMNS = {"NIP": "nip", "REGON": "regon", "Name": "name", "Legal_Entity_Type": "legal", "City": "city", "Country": "land", "Website": "site"}
+_FIRM_RULES = tuple(r for r in R.RULES["PARTY"] if r.name in _FIRM_COLUMNS)
+_FIRM_SIM = ", ".join(f"({_SIM.format(column)})::DOUBLE AS {column}" for column in _FIRM_COLUMNS.values())
+_FIRM_TOTAL = " + ".join(f"coalesce({_FIRM_COLUMNS[r.name]} * {r.weight!r}::DOUBLE, 0)" for r in _FIRM_RULES)
+_FIRM_WEIGHT = " + ".join(f"CASE WHEN {_FIRM_COLUMNS[r.name]} IS NULL THEN 0 ELSE {r.weight!r}::DOUBLE END" for r in _FIRM_RULES)
+_FIRMS = """f AS (SELECT s_suppkey AS id, CASE WHEN s_suppkey % 3 > 0 THEN 'N' || s_suppkey % 40 END AS nip, CASE WHEN s_suppkey % 4 = 1 THEN 'R' || s_suppkey % 30 END AS regon,
+ upper(n_name) || ' ' || s_suppkey % 9 AS name, CASE s_suppkey % 3 WHEN 0 THEN 'S.A.' WHEN 1 THEN 'SP. Z O.O.' END AS legal, 'TOWN' || s_suppkey % 7 AS city, substr(n_name, 1, 2) AS land, CASE WHEN s_suppkey % 2 = 0 THEN 'w' || s_suppkey % 50 || '.pl' END AS site
+ FROM supplier JOIN nation ON n_nationkey = s_nationkey),
+pairs AS (SELECT a.id AS left_id, b.id AS right_id FROM f a JOIN f b ON a.id < b.id AND (a.nip = b.nip OR a.regon = b.regon OR a.site = b.site OR substr(a.name, 1, 4) = substr(b.name, 1, 4) AND (a.city = b.city OR a.land = b.land OR a.legal = b.legal)))"""
+
+
+@query(f"""WITH {_FIRMS}, sims AS (SELECT left_id, right_id, {_FIRM_SIM} FROM pairs JOIN f a ON a.id = left_id JOIN f b ON b.id = right_id),
+scored AS (SELECT *, CASE WHEN {_FIRM_WEIGHT} = 0 THEN 0 ELSE round(({_FIRM_TOTAL}) / ({_FIRM_WEIGHT}), 4) END AS score, coalesce(nip = 1, FALSE) OR coalesce(regon = 1, FALSE) AS strong, coalesce(nip < 1, FALSE) OR coalesce(regon < 1, FALSE) AS critical,
+ coalesce(nip < 1, FALSE)::INT + coalesce(regon < 1, FALSE)::INT + coalesce(name < 0.6, FALSE)::INT + coalesce(legal < 0.6, FALSE)::INT + coalesce(land < 1, FALSE)::INT AS n FROM sims),
+decided AS (SELECT left_id, right_id, score, n::BIGINT AS conflicts, CASE WHEN NOT strong AND n >= 3 THEN 'NO_MATCH' WHEN score >= 0.95 AND NOT critical THEN 'AUTO_MERGE' WHEN strong AND n = 0 THEN 'AUTO_MERGE' WHEN score >= 0.9 AND n = 0 THEN 'AUTO_MERGE'
+ WHEN score >= 0.7 THEN 'REVIEW' WHEN score >= 0.5 THEN 'CANDIDATE' ELSE 'NO_MATCH' END AS decision FROM scored)
+SELECT * FROM decided WHERE decision <> 'NO_MATCH' AND score >= 0.5""")
+def match_parties(t):
+    k = c("s_suppkey")
+    text_of = lambda prefix, n: F.concat(F.lit(prefix), (k % n).cast("string"))
+    firms = t("supplier").join(t("nation"), c("n_nationkey") == c("s_nationkey")).select(
+        k.alias("Preprocessed_ID"),
+        F.when(k % 3 > 0, text_of("N", 40)).alias("NIP_Normalized"),
+        F.when(k % 4 == 1, text_of("R", 30)).alias("REGON_Normalized"),
+        F.concat(F.upper("n_name"), F.lit(" "), (k % 9).cast("string")).alias("Name_Normalized"),
+        F.when(k % 3 == 0, "S.A.").when(k % 3 == 1, "SP. Z O.O.").alias("Legal_Entity_Type_Normalized"),
+        text_of("TOWN", 7).alias("City_Normalized"),
+        F.substring("n_name", 1, 2).alias("Country_Normalized"),
+        F.when(k % 2 == 0, F.concat(text_of("w", 50), F.lit(".pl"))).alias("Website_Normalized"),
+    )
+    return matching.stage1(firms, "PARTY", max_pairs=0).select("left_id", "right_id", "score", F.size("conflicts").cast("long").alias("conflicts"), "decision")
+
+
 # --- reads of stored tables
 
 
