@@ -42,11 +42,22 @@ def local_path(folder: str) -> str | None:
     return folder.removeprefix("file://") if folder.startswith(("file:///", "/")) else None
 
 
+#: Removes a query's shuffle files when it ends, instead of some time after the driver has collected its garbage.
+_TIDY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
-    """Writes df to the shared folder and reads it back: lineage ends there, so a lost executor costs no recomputation."""
+    """Writes df to the shared folder and reads it back: lineage ends there, so a lost executor costs no recomputation.
+
+    What the write has shuffled is removed when it ends, as only the table is read from then on.
+    """
     spark = df.sparkSession
-    path = shared_folder(spark, name)
-    df.write.parquet(path)
+    path, before = shared_folder(spark, name), spark.conf.get(_TIDY, "false")
+    spark.conf.set(_TIDY, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_TIDY, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
