@@ -374,8 +374,8 @@ def _first(t) -> DataFrame:
     return matching.score_pairs(_part_pairs(t), _parts(t), _PART_RULES, "p_partkey").filter((c("score") >= R.CANDIDATE) & (c("decision") != "NO_MATCH"))
 
 
-def _second(t) -> DataFrame:
-    return matching.stage2(_first(t), _parts(t), _PART_JW, "p_partkey")
+def _second(t, first: DataFrame | None = None) -> DataFrame:
+    return matching.stage2(_first(t) if first is None else first, _parts(t), _PART_JW, "p_partkey")
 
 
 @query("WITH " + _PARTS + " SELECT a.p_partkey AS left_id, b.p_partkey AS right_id FROM parts a JOIN parts b ON a.code = b.code AND a.p_partkey < b.p_partkey")
@@ -420,7 +420,8 @@ def match_stage2(t):
 
 @query(f"WITH {_STAGE2} SELECT left_id, right_id, f.score, EXISTS (SELECT 1 FROM kept k WHERE k.left_id = f.left_id AND k.right_id = f.right_id) AS passed FROM first f")
 def stage2_flag(t):
-    return matching.flag_stage2(_first(t), _second(t)).select("left_id", "right_id", "score", "passed")
+    first = tables.kept(_first(t), "first")
+    return matching.flag_stage2(first, _second(t, first)).select("left_id", "right_id", "score", "passed")
 
 
 @query(f"""WITH {_STAGE1}, cols AS (SELECT left_id, right_id, unnest(['p_name', 'p_brand', 'code']) AS field, unnest([l.p_name, l.p_brand, l.code]) AS left_value, unnest([r.p_name, r.p_brand, r.code]) AS right_value FROM first JOIN parts l ON l.p_partkey = left_id JOIN parts r ON r.p_partkey = right_id WHERE decision = 'AUTO_MERGE')
@@ -431,7 +432,8 @@ def pair_comparison(t):
 
 @query(f"WITH {_STAGE2} SELECT f.left_id, f.right_id, f.score, count(*) OVER () AS total, EXISTS (SELECT 1 FROM kept k WHERE k.left_id = f.left_id AND k.right_id = f.right_id) AS passed FROM first f WHERE decision = 'REVIEW' ORDER BY f.score DESC, f.left_id, f.right_id LIMIT 50 OFFSET 25")
 def candidate_list(t):
-    return serving.candidate_list(_first(t), _second(t), "review", 50, 25).select("left_id", "right_id", "score", "total", "passed")
+    first = tables.kept(_first(t), "first")
+    return serving.candidate_list(first, _second(t, first), "review", 50, 25).select("left_id", "right_id", "score", "total", "passed")
 
 
 _EDGES = "edges AS (SELECT d.doc_id AS a, f.first_id AS b FROM documents d JOIN (SELECT text, min(doc_id) AS first_id FROM documents GROUP BY text) f USING (text) WHERE d.doc_id <> f.first_id UNION ALL SELECT doc_id, doc_id - doc_id % 97 FROM documents WHERE doc_id % 97 BETWEEN 1 AND 3)"

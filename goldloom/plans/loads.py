@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from goldloom.operators import cluster, constraints, matching, serving, store, tables
+from goldloom.operators import cluster, constraints, mapping, matching, serving, store, tables
 from goldloom.plans import pipeline, runs
 from goldloom.plans import rules as R
 from goldloom.plans.registry import query
@@ -193,6 +193,29 @@ def match_parties(t):
     return matching.stage1(firms, "PARTY", max_pairs=0).select("left_id", "right_id", "score", F.size("conflicts").cast("long").alias("conflicts"), "decision")
 
 
+@query("""SELECT p_partkey, to_json([x for x in [
+ CASE WHEN p_partkey % 3 > 0 THEN {relationship_group: 'PARTY_SHAREHOLDER', slot: 1, name: p_name, krs: lpad(p_partkey::VARCHAR, 10, '0')} END,
+ CASE WHEN p_partkey % 2 = 1 THEN {relationship_group: 'PARTY_SHAREHOLDER', slot: 2, name: p_brand, krs: NULL} END] if x IS NOT NULL]) AS related FROM part WHERE p_partkey % 6 > 0 AND NOT (p_partkey % 3 = 0 AND p_partkey % 2 = 0)""")
+def related_parties_json(t):
+    k = c("p_partkey")
+    rows = t("part").select("p_partkey", F.when(k % 2 == 1, c("p_brand")).alias("WspolnikPodmiot2_Nazwa"), F.when(k % 3 > 0, c("p_name")).alias("WspolnikPodmiot1_Nazwa"), F.when(k % 3 > 0, F.lpad(k.cast("string"), 10, "0")).alias("WspolnikPodmiot1_KRS"))
+    found = rows.select("p_partkey", mapping.related_parties(rows).alias("related")).filter("related is not null")
+    # Written in one form: a slot's fields in the order of the SQL, nulls spelled out.
+    slots = F.from_json("related", "array<struct<relationship_group:string,slot:int,name:string,krs:string>>")
+    return found.select("p_partkey", F.to_json(slots, {"ignoreNullFields": "false"}).alias("related"))
+
+
+@query(f"""WITH {_PERSON_ROWS}, best AS (SELECT grp, arg_min(city, [by_address, age, id]) AS "City", arg_min(code, [by_address, age, id]) AS "Postal_Code" FROM ranked GROUP BY grp),
+dims AS (SELECT *, row_number() OVER (ORDER BY grp) AS dim_id FROM best)
+SELECT dim_id, 'RESIDENCE' AS address_type, "City", "Postal_Code", TRUE AS active FROM dims""")
+def address_lists(t):
+    people = _persons(t)
+    labels = people.select(c("Preprocessed_ID").alias("id"), (c("Preprocessed_ID") % 400).alias("component"))
+    loaded = pipeline.golden_load(people, labels, "PERSON", pipeline.empty_golden(people.sparkSession, "PERSON"))
+    rows = serving.address_list(loaded["links"], loaded["addresses"], "dim_id", pipeline.ADDRESS_TYPE["PERSON"])
+    return rows.select("dim_id", "address_type", "City", "Postal_Code", c("valid_to").isNull().alias("active"))
+
+
 # --- reads of stored tables
 
 

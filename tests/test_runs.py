@@ -1,16 +1,18 @@
 """Runs that go on after a failure, files one by one against all at once, growing components, stored tables and blocks."""
 
 import itertools
+import json
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from goldloom.operators import blocking, cluster
+from goldloom.operators import blocking, cluster, mapping
 from goldloom.operators.store import BucketTable
 from goldloom.operators.tables import Conflict
 from goldloom.plans import pipeline, runs
 from goldloom.plans import rules as R
+from goldloom.streaming import incremental
 
 COLUMNS = [("PESEL", "PESEL"), ("Imie", "First_Name"), ("Nazwisko", "Last_Name"), ("DataUrodzenia", "Birth_Date"), ("Adres", "Street")]
 SCHEMA = "PESEL string, Imie string, Nazwisko string, DataUrodzenia string, Adres string"
@@ -171,3 +173,29 @@ def test_frequent_key_is_spread(spark):
     dealt = [n for n in sizes if n > 5000]
     assert len(dealt) >= 4 and dealt[-1] <= 2 * dealt[len(dealt) // 2]
     assert "HashAggregate(keys=[left_id" not in pairs._jdf.queryExecution().executedPlan().toString()
+
+
+def test_stream_batches_become_runs(spark, tmp_path, monkeypatch):
+    path, loaded = f"file://{tmp_path}/runs", []
+
+    def run_all(session, sources, entity, where):
+        loaded.append((sources[0].raw_file, sources[0].rows.count()))
+        runs.Run(session, where, entity, [sources[0].raw_file]).finish()
+
+    monkeypatch.setattr(incremental.pipeline, "run_all", run_all)
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/a.json").write_text('{"PESEL": "1"}\n{"PESEL": "2"}\n')
+    load = incremental.load_runs([("PESEL", "PESEL")], "PESEL", "PERSON", path, ["PESEL"], first=5)
+    follow = lambda: incremental.follow(spark, str(tmp_path / "in"), "PESEL string", str(tmp_path / "seen"), load).awaitTermination()
+    follow()
+    (tmp_path / "in/b.json").write_text('{"PESEL": "3"}\n')
+    follow()
+    # A batch that comes again is known.
+    load(spark.createDataFrame([("3",)], "PESEL string"), 1)
+    assert loaded == [(5, 2), (6, 1)]
+
+
+def test_preprocessing_stamp(spark):
+    made = json.loads(spark.range(1).select(mapping.preprocessing_stamp().alias("s")).first()["s"])
+    assert {k: v for k, v in made.items() if k != "generated_at_utc"} == {"text": "trim_uppercase", "phone": "e164_when_possible", "address": "regex_split"}
+    assert len(made["generated_at_utc"]) == 19
