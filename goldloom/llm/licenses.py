@@ -27,6 +27,8 @@ from goldloom.llm.common import map_batches
 PHRASES = ((b"cc by", "cc-by"), (b"general public license", "gpl"), (b"all rights reserved", "reserved"))
 
 _V = r"(?: version| v)?"
+#: After an abbreviation, which may be joined with its version.
+_N = r"(?: version| v|v)?"
 _CC = "(?:1 0|2 0|2 5|3 0|4 0)"
 #: e with or without an acute accent, in one character or two; only A-Z are in lower case here.
 _E = "(?:e(?:\u0301)?|\u00e9|\u00c9)"
@@ -35,27 +37,29 @@ _E = "(?:e(?:\u0301)?|\u00e9|\u00c9)"
 FAMILIES = (
     ("agpl-3.0", "affero", rf"(?:gnu )?affero general public license{_V} 3(?: 0)?"),
     ("agpl", "affero", r"(?:gnu )?affero general public license"),
-    ("agpl-3.0", "agpl", rf"(?:gnu )?agpl{_V} ?3(?: 0)?"),
+    ("agpl-3.0", "agpl", rf"(?:gnu )?agpl{_N} ?3(?: 0)?"),
     ("lgpl-3.0", "lesser", rf"(?:gnu )?lesser general public license{_V} 3(?: 0)?"),
     ("lgpl-2.1", "lesser", rf"(?:gnu )?lesser general public license{_V} 2(?: 1)?"),
     ("lgpl", "lesser", r"(?:gnu )?lesser general public license"),
     ("lgpl-2.0", "library", r"(?:gnu )?library general public license"),
-    ("lgpl-3.0", "lgpl", rf"(?:gnu )?lgpl{_V} ?3(?: 0)?"),
-    ("lgpl-2.1", "lgpl", rf"(?:gnu )?lgpl{_V} ?2(?: 1)?"),
+    ("lgpl-3.0", "lgpl", rf"(?:gnu )?lgpl{_N} ?3(?: 0)?"),
+    ("lgpl-2.1", "lgpl", rf"(?:gnu )?lgpl{_N} ?2(?: 1)?"),
     ("gpl-3.0", "general", rf"(?:gnu )?general public license{_V} 3(?: 0)?"),
     ("gpl-2.0", "general", rf"(?:gnu )?general public license{_V} 2(?: 0)?"),
     ("gpl", "general", r"(?:gnu )?general public license"),
-    ("gpl-3.0", "gpl", rf"(?:gnu )?gpl{_V} ?3(?: 0)?"),
-    ("gpl-2.0", "gpl", rf"(?:gnu )?gpl{_V} ?2(?: 0)?"),
+    ("gpl-3.0", "gpl", rf"(?:gnu )?gpl{_N} ?3(?: 0)?"),
+    ("gpl-2.0", "gpl", rf"(?:gnu )?gpl{_N} ?2(?: 0)?"),
     ("gfdl", "documentation", r"(?:gnu )?free documentation license(?: version 1 [123])?"),
-    ("apache-2.0", "apache", rf"apache(?: software)?(?: license)?{_V} 2(?: 0)?"),
+    ("apache-2.0", "apache", rf"apache(?: software)?(?: license)?{_N} ?2(?: 0)?"),
     ("apache-1.1", "apache", rf"apache(?: software)?(?: license)?{_V} 1 1"),
     ("apache", "apache", r"apache(?: software)? license"),
     ("mit", "mit", r"(?:the )?mit(?: x11)? licen[sc]e"),
     ("mit-0", "attribution", r"mit no attribution(?: license)?"),
-    ("bsd-2-clause", "bsd", r"(?:simplified bsd|bsd (?:2|two) clause)(?: license)?"),
+    ("bsd-2-clause", "bsd", r"(?:simplified bsd|bsd (?:2|two) clause|(?:2|two) clause bsd)(?: license)?"),
     ("bsd-2-clause", "freebsd", r"freebsd(?: license)?"),
-    ("bsd-3-clause", "bsd", r"(?:new bsd|modified bsd|revised bsd|bsd (?:3|three) clause)(?: license)?"),
+    ("bsd-3-clause", "bsd", r"(?:new bsd|modified bsd|revised bsd|bsd (?:3|three) clause|(?:3|three) clause bsd)(?: license)?"),
+    ("bsd-2-clause", "bsd", r"bsd (?:2|two) licen[sc]e"),
+    ("bsd-3-clause", "bsd", r"bsd (?:3|three) licen[sc]e"),
     ("bsd-4-clause", "bsd", r"(?:original bsd|bsd (?:4|four) clause)(?: license)?"),
     ("bsd", "bsd", r"bsd(?: style)? licen[sc]e"),
     ("isc", "isc", r"isc licen[sc]e"),

@@ -641,3 +641,20 @@ def chat_escape(text):
 
 def test_chat_query_has_hard_conversation(spark):
     assert op8_chat(spark, SF).filter("conv_id = -7").first()["n_turns"] == 2
+
+
+#: Ways in which people name licenses, and what is meant; None: no license is named.
+NAMED_LICENSES = (
+    ("GPLv2+", "gpl-2.0"), ("licensed under GPLv3+", "gpl-3.0"), ("Apache2", "apache-2.0"), ("BSD-3 license", "bsd-3-clause"), ("under the GPLv2 or later", "gpl-2.0"), ("LGPLv2.1+", "lgpl-2.1"),
+    ("AGPLv3", "agpl-3.0"), ("Apache-2.0", "apache-2.0"), ("MIT licence", "mit"), ("the MIT License", "mit"), ("BSD-2-Clause", "bsd-2-clause"), ("released under Apache2 license", "apache-2.0"),
+    ("2-clause BSD", "bsd-2-clause"), ("GPL3", "gpl-3.0"), ("MPL2", "mpl-2.0"), ("CC BY-SA 4.0", "cc-by-sa"), ("GNU GPL v3", "gpl-3.0"), ("gpl version 2", "gpl-2.0"), ("Apache License, Version 2.0", "apache-2.0"),
+    ("a gplv4x word", None), ("an apache helicopter 2", None), ("bsd 3 times", None), ("the 3-clause sentence", None), ("we commit and permit 2 things", None),
+)
+
+
+def test_named_licenses():
+    found = [({d.label for d in licenses.detect(licenses.normalised(t.encode()))}, label) for t, label in NAMED_LICENSES]
+    hits = sum(label in got for got, label in found if label)
+    assert hits >= 0.9 * sum(label is not None for _, label in found)
+    # Labels that aren't meant: none where no license is named, and no other version where one is.
+    assert not any(got for got, label in found if not label) and hits >= 0.9 * sum(len(got) for got, _ in found)
