@@ -8,14 +8,30 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from goldloom.functions import fuzzy
+from goldloom.operators.tables import numbered
 
 DEFAULT_LIMIT, MAX_LIMIT = 50, 200
 
 
-def page(rows: DataFrame, order: list[Column], limit: int = DEFAULT_LIMIT, offset: int = 0) -> DataFrame:
+#: From this offset on, a page is found by counted ranges.
+DEEP_OFFSET = 10_000
+
+
+def page(rows: DataFrame, order: list[Column], limit: int = DEFAULT_LIMIT, offset: int = 0, deep: int = DEEP_OFFSET) -> DataFrame:
+    """limit rows behind the first offset ones in an order that should be total.
+
+    A small offset takes the first offset + limit rows of each partition. A deep one would bring all rows before it to one task;
+    there, rows are dealt into ranges, the ranges are counted, and only the range that holds the page gives rows.
+    """
     if not 1 <= limit <= MAX_LIMIT or offset < 0:
         raise ValueError("limit must be 1 to 200 and offset 0 or more")
-    return rows.orderBy(*order).offset(offset).limit(limit)
+    if offset < deep:
+        return rows.orderBy(*order).offset(offset).limit(limit)
+    place = "_place"
+    while place in rows.columns:
+        place = f"_{place}"
+    found = numbered(rows, order, place).filter(F.col(place).between(offset + 1, offset + limit))
+    return found.orderBy(place).limit(limit).select(*rows.columns)
 
 
 def page_with_total(rows: DataFrame, order: list[Column], limit: int = DEFAULT_LIMIT, offset: int = 0) -> DataFrame:

@@ -231,6 +231,12 @@ def paged_total(t):
     return serving.page_with_total(t("customer").filter("c_mktsegment = 'BUILDING'").select("c_custkey", "c_name"), [c("c_custkey")], 20, 40)
 
 
+@query("SELECT o_orderkey, o_totalprice, o_seventh FROM (SELECT o_orderkey, o_totalprice, o_orderkey % 7 AS o_seventh FROM orders) ORDER BY o_totalprice DESC, o_orderkey LIMIT 40 OFFSET 1200")
+def deep_page(t):
+    rows = t("orders").select("o_orderkey", "o_totalprice", (c("o_orderkey") % 7).alias("o_seventh"))
+    return serving.page(rows, [c("o_totalprice").desc(), c("o_orderkey")], 40, 1200, deep=1000)
+
+
 @query("""SELECT 'PERSON' AS entity_type, c_custkey AS record_id, CASE WHEN c_custkey % 5 = 0 THEN CASE WHEN c_custkey % 2 = 0 THEN NULL ELSE c_mktsegment END WHEN c_custkey % 2 = 0 THEN c_name ELSE c_name || ' ' || c_mktsegment END AS display_name, c_custkey::VARCHAR AS primary_identifier FROM customer
 UNION ALL SELECT 'PARTY', s_suppkey, s_name, NULL FROM supplier""")
 def golden_summaries(t):

@@ -7,7 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from goldloom.operators import blocking, cluster, mapping
+from goldloom.operators import blocking, cluster, mapping, serving
 from goldloom.operators.store import BucketTable
 from goldloom.operators.tables import Conflict
 from goldloom.plans import pipeline, runs
@@ -199,3 +199,11 @@ def test_preprocessing_stamp(spark):
     made = json.loads(spark.range(1).select(mapping.preprocessing_stamp().alias("s")).first()["s"])
     assert {k: v for k, v in made.items() if k != "generated_at_utc"} == {"text": "trim_uppercase", "phone": "e164_when_possible", "address": "regex_split"}
     assert len(made["generated_at_utc"]) == 19
+
+
+def test_deep_pages_are_as_shallow_ones(spark):
+    rows = spark.range(3000).select("id", (F.col("id") % 11).alias("g"), F.when(F.col("id") % 5 > 0, F.col("id") % 97).alias("_place"))
+    order = [F.col("g").desc(), F.col("_place"), F.col("id")]
+    for offset in (0, 37, 1500, 2990, 3000):
+        shallow, deep = (serving.page(rows, order, 50, offset, d).collect() for d in (10_000, 0))
+        assert shallow == deep and len(deep) == min(50, 3000 - offset)
