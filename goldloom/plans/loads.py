@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from goldloom.operators import cluster, constraints, mapping, matching, serving, store, tables
@@ -68,13 +68,14 @@ def match_persons(t):
     return matching.stage1(_persons(t), "PERSON").select("left_id", "right_id", "score", "decision")
 
 
-#: A file is one of three parts of the records; the last one is new, the others are history.
-_FILE = c("Preprocessed_ID") % 3
+def _file() -> Column:
+    """A record's file, one of three; of these the last one is new, the others are history."""
+    return c("Preprocessed_ID") % 3
 
 
 @query(f"WITH {_PERSON_SIMS} SELECT * FROM matched WHERE left_id % 3 = 2 OR right_id % 3 = 2")
 def scoped_pairs(t):
-    return matching.stage1(_persons(t), "PERSON", scope=_FILE == 2).select("left_id", "right_id", "score", "decision")
+    return matching.stage1(_persons(t), "PERSON", scope=_file() == 2).select("left_id", "right_id", "score", "decision")
 
 
 @query(f"""WITH RECURSIVE {_PERSON_SIMS}, links AS (SELECT left_id AS a, right_id AS b FROM matched WHERE decision = 'AUTO_MERGE' UNION SELECT right_id, left_id FROM matched WHERE decision = 'AUTO_MERGE'),
@@ -84,9 +85,9 @@ def incremental_groups(t):
     people = _persons(t)
     labels = people.sparkSession.createDataFrame([], "id long, component long")
     for n in range(3):
-        known = people.filter(n >= _FILE)
-        pairs = matching.stage1(known, "PERSON", scope=_FILE == n).filter("decision = 'AUTO_MERGE'")
-        labels, _ = cluster.grow_components(labels, pairs, known.filter(_FILE == n).select(c("Preprocessed_ID").alias("id")))
+        known = people.filter(n >= _file())
+        pairs = matching.stage1(known, "PERSON", scope=_file() == n).filter("decision = 'AUTO_MERGE'")
+        labels, _ = cluster.grow_components(labels, pairs, known.filter(_file() == n).select(c("Preprocessed_ID").alias("id")))
     return labels
 
 
