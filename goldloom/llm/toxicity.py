@@ -62,7 +62,10 @@ def stems(word: bytes) -> Iterator[str]:
 
 def word_count(found: list[bytes]) -> int:
     """Words of a text, a long one counting by its letters."""
-    return sum(1 if len(w) < LONG_WORD else max(1, len(w.decode("utf-8", "replace")) // LETTERS) for w in found)
+    if not found or max(map(len, found)) < LONG_WORD:
+        return len(found)
+    letters = [len(w.decode("utf-8", "replace")) for w in found if len(w) >= LONG_WORD]
+    return len(found) + sum(n // LETTERS - 1 for n in letters if n >= LONG_WORD)
 
 
 def levels(count: int, n: int) -> int:
