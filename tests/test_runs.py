@@ -3,14 +3,16 @@
 import itertools
 import json
 import random
+from pathlib import Path
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from goldloom.operators import blocking, cluster, mapping, serving
 from goldloom.operators.store import BucketTable
 from goldloom.operators.tables import Conflict
-from goldloom.plans import pipeline, runs
+from goldloom.plans import catalogue, pipeline, runs
 from goldloom.plans import rules as R
 from goldloom.streaming import incremental
 
@@ -208,3 +210,51 @@ def test_deep_pages_are_as_shallow_ones(spark):
     for offset in (0, 37, 1500, 2990, 3000):
         shallow, deep = (serving.page(rows, order, 50, offset, d).collect() for d in (10_000, 0))
         assert shallow == deep and len(deep) == min(50, 3000 - offset)
+
+
+def _copied(spark, tmp_path, name, key, copies, shift):
+    """A table of sf0.001 with copies of its rows, whose keys are shifted."""
+    rows = spark.read.parquet(f"/root/testdata/sf0.001/{name}.parquet")
+    many = rows.withColumn("_n", F.explode(F.sequence(F.lit(0), F.lit(copies - 1)))).withColumn(key, (F.col(key) + F.col("_n") * shift).cast("long")).drop("_n")
+    many.repartition(1).write.parquet(f"{tmp_path}/{name}.parquet")
+
+
+def _written(spark, run):
+    """Bytes of run's files below the shared folder."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir").removeprefix("file://")
+    size = lambda: sum(f.stat().st_size for f in Path(base).rglob("*") if f.is_file())
+    before = size()
+    run()
+    return size() - before
+
+
+@pytest.mark.parametrize("name", ["match_stage1", "match_decisions", "match_stage2", "stage2_flag", "pair_comparison", "candidate_list", "lev_similarity", "blocking_pairs_union", "blocking_pairs_exact"])
+def test_copies_are_compared_once(spark, tmp_path, name):
+    """Copies of all parts: nothing written or shuffled grows with pairs, only with parts; the rows are those of the SQL."""
+    _copied(spark, tmp_path, "part", "p_partkey", 12, 2000)
+    query, sql = catalogue.QUERIES[name], catalogue.SQL[name]
+    folder = str(tmp_path)
+    got = []
+    bytes_written = _written(spark, lambda: got.extend(tuple(r) for r in query(spark, folder).collect()))
+    assert bytes_written < 200_000
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW part AS SELECT * FROM read_parquet('{folder}/part.parquet/*.parquet')")
+    want = con.execute(sql).fetchall()
+    assert sorted(map(repr, got)) == sorted(map(repr, want))
+    plan = query(spark, folder)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(left_id" not in plan and "hashpartitioning(right_id" not in plan
+
+
+def test_units_scoped_brute_force(spark):
+    """Many records that are alike, in units smaller and larger than the least, scoped or not, each pair once."""
+    rng = random.Random(5)
+    rows = [(i, rng.choice(["anna", "ann", "bob"]), rng.choice("xy"), rng.choice(["1", None]), i % 3) for i in range(120)]
+    records = spark.createDataFrame(rows, "id long, name string, city string, code string, raw int")
+    for scoped in (False, True):
+        for block in (2000, 12):
+            scope = F.col("raw") == 2 if scoped else None
+            units = blocking.candidate_units(records, "id", KEYS, {"name": F.col("name")}, scope, block)
+            got = [tuple(r) for r in blocking.expand(units.select("l_ids", "r_ids", F.col("l.name").alias("l"), F.col("r.name").alias("r")), "l", "r").collect()]
+            assert len(got) == len(set(got)) and {g[:2] for g in got} == brute_pairs(rows, scoped)
+            assert all(g[2:] == (rows[g[0]][1], rows[g[1]][1]) for g in got)
+            assert blocking.weighed(units).agg(F.sum("pairs")).first()[0] == len(got)
