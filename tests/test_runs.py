@@ -219,6 +219,20 @@ def _copied(spark, tmp_path, name, key, copies, shift):
     many.repartition(1).write.parquet(f"{tmp_path}/{name}.parquet")
 
 
+def test_persons_have_no_budget(spark, tmp_path):
+    """2,100 persons of one PESEL make more than R.MAX_PAIRS pairs, which these queries' SQL has, too."""
+    _copied(spark, tmp_path, "customer", "c_custkey", 14, 400 * 150)
+    customers = spark.read.parquet(f"{tmp_path}/customer.parquet")
+    customers.withColumn("c_custkey", F.col("c_custkey") * 400).write.parquet(f"{tmp_path}/one/customer.parquet")
+    spark.read.parquet("/root/testdata/sf0.001/nation.parquet").write.parquet(f"{tmp_path}/one/nation.parquet")
+    found = {name: catalogue.QUERIES[name](spark, f"{tmp_path}/one") for name in ("match_persons", "scoped_pairs", "incremental_groups")}
+    assert customers.count() == 2100 and found["match_persons"].count() > R.MAX_PAIRS
+    files = [r[0] for r in customers.select(F.col("c_custkey") * 400 % 3).collect()]
+    old = sum(f != 2 for f in files)
+    assert found["scoped_pairs"].count() <= 2100 * 2099 // 2 - old * (old - 1) // 2
+    assert found["incremental_groups"].count() == 2100
+
+
 def _written(spark, run):
     """Bytes of run's files below the shared folder."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir").removeprefix("file://")
@@ -258,3 +272,9 @@ def test_units_scoped_brute_force(spark):
             assert len(got) == len(set(got)) and {g[:2] for g in got} == brute_pairs(rows, scoped)
             assert all(g[2:] == (rows[g[0]][1], rows[g[1]][1]) for g in got)
             assert blocking.weighed(units).agg(F.sum("pairs")).first()[0] == len(got)
+
+
+def test_spanning_links_connect_the_same(spark):
+    units = spark.createDataFrame([([1, 4], [1, 4]), ([2, 6], [3]), ([3], [2, 6]), ([3], [7]), ([8], [9])], "l_ids array<long>, r_ids array<long>").repartition(3)
+    of = lambda pairs: {r["id"]: r["component"] for r in cluster.connected_components(pairs).collect()}
+    assert of(cluster.spanning_links(units)) == of(blocking.expand(units)) == {1: 1, 4: 1, 2: 2, 6: 2, 3: 2, 7: 2, 8: 8, 9: 8}
