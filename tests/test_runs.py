@@ -9,7 +9,8 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from goldloom.operators import blocking, cluster, mapping, serving
+from goldloom.functions import similarity
+from goldloom.operators import blocking, cluster, mapping, matching, serving
 from goldloom.operators.store import BucketTable
 from goldloom.operators.tables import Conflict
 from goldloom.plans import catalogue, pipeline, runs
@@ -278,3 +279,22 @@ def test_spanning_links_connect_the_same(spark):
     units = spark.createDataFrame([([1, 4], [1, 4]), ([2, 6], [3]), ([3], [2, 6]), ([3], [7]), ([8], [9])], "l_ids array<long>, r_ids array<long>").repartition(3)
     of = lambda pairs: {r["id"]: r["component"] for r in cluster.connected_components(pairs).collect()}
     assert of(cluster.spanning_links(units)) == of(blocking.expand(units)) == {1: 1, 4: 1, 2: 2, 6: 2, 3: 2, 7: 2, 8: 8, 9: 8}
+
+
+@pytest.mark.parametrize("most", [500, 3])
+def test_fields_look_up_or_cut(spark, monkeypatch, most):
+    """Few values: no edit distance by pair; many: without the ends that all share. Both as of whole texts."""
+    monkeypatch.setattr(matching, "MOST_VALUES", most)
+    names = ["Customer#0012x", "Customer#0013x", "customer#00x", "Customer#00 x", None, " ", "Customer#0x", "Customer#00ŁÓx"]
+    records = spark.createDataFrame([(i, "b", n) for i, n in enumerate(names * 2)], "id long, k string, n string")
+    rules = (R.FieldRule("Name", 0.75, R.SEMI_FIXED, ("n",)),)
+    fields = matching.Fields(records, rules, rules)
+    units = fields.units("id", (("k",),))
+    both = matching.once(units, ["l_ids", "r_ids"], {"lev": fields.similarity(rules[0]), "jw": fields.similarity(rules[0], "jaro_winkler")})
+    got = {(r[0], r[1]): (r[2], r[3]) for r in blocking.expand(both, "lev", "jw").collect()}
+    a, b = (records.select(*(F.col(c).alias(f"{s}_{c}") for c in ("id", "n"))) for s in "ab")
+    shown = lambda how: F.when((F.trim("a_n") != "") & (F.trim("b_n") != ""), how(F.col("a_n"), F.col("b_n")))
+    pairs = a.join(b, F.col("a_id") < F.col("b_id")).select("a_id", "b_id", shown(similarity.levenshtein), shown(similarity.jaro_winkler))
+    assert got == {(r[0], r[1]): (r[2], r[3]) for r in pairs.collect()}
+    plan = both._jdf.queryExecution().optimizedPlan().toString()
+    assert ("levenshtein(" in plan) == (most == 3)
